@@ -209,3 +209,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     out = prints.join(to, "fp").select("doc_id", shown, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id. Rows with a null doc_id stay. All columns stay."""
+    groups = durable(near_duplicates(docs, shingle, radius).where("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct(), "simhash-copies")
+    return docs.join(groups, docs["doc_id"].cast("long") == F.col("_copy"), "left_anti")
