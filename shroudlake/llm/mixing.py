@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-ROUNDS, TEMPERATURE, MIN_SHARE, BROADCAST_CELLS = 8, 0.7, 0.0001, 100_000
+ROUNDS, TEMPERATURE, MIN_SHARE, BROADCAST_CELLS = 8, 0.9, 0.0001, 100_000
 #: Topics by the first mark that a text contains.
 TOPICS = (("licence", "icensed under"), ("contact", "@"), ("table", " | "), ("shout", "!! "), ("symbols", "*** "), ("secret", "token = "))
 DIMS = ("source_group", "lang_group", "topic")

@@ -211,7 +211,89 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return out
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id. Rows with a null doc_id stay. All columns stay."""
-    groups = durable(near_duplicates(docs, shingle, radius).where("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct(), "simhash-copies")
-    return docs.join(groups, docs["doc_id"].cast("long") == F.col("_copy"), "left_anti")
+#: Least-hash bands of the wide probe: BANDS keys of ROWS least hashes each.
+BANDS, ROWS = 16, 4
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key per band: a hash of the least values of ROWS permutations of the set."""
+    out = np.zeros(BANDS, np.uint64)
+    base = found ^ (found >> np.uint64(31))
+    for r in range(ROWS):
+        low = np.array([(base * np.uint64((2 * (b * ROWS + r) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min() for b in range(BANDS)])
+        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + low + np.uint64(1)
+    return out
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """(doc_id, component_id) of documents whose word-shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Equal shingle sets are one text. Candidates are fingerprints within ``radius`` bits, and, since pairs
+    at 0.8 differ in up to 15 of 64 bits, where no pigeonhole plan is selective, texts that share a band of least hashes.
+    In a bucket each text is a candidate with the bucket's smallest only, so candidates stay linear in any group of copies. Every
+    candidate is verified on the whole sets. Texts without a word are one group.
+    """
+    small_batches(docs.sparkSession)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, digest, keys = [], [], []
+            for t in b.column(1):
+                all_h = shingle_hashes(t.as_py() or b"", shingle)
+                s = np.unique(all_h)
+                fp.append(majority(all_h))
+                digest.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                keys.append((band_keys(s) if len(s) else np.zeros(BANDS, np.uint64)).view(np.int64))
+            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.record_batch([b.column(0), as_long(fp), as_long(digest), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "digest", "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py() or b"", shingle).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "words"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            close = []
+            for x, y in zip(b.column(2), b.column(3)):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                close.append(both >= similarity * (len(p) + len(q) - both))
+            keep = pa.array(close, pa.bool_())
+            yield pa.record_batch([b.column(0), b.column(1)], ["src", "dst"]).filter(keep)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
+    each = durable(texts.mapInArrow(sketch, "doc_id long, fp long, digest long, keys array<long>"), "copies-sketch")
+    same = each.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    one = durable(same, "copies-distinct")
+    links = near_duplicate_links(one.select("fp", "id"), radius)
+    buckets = one.select("id", F.posexplode("keys").alias("band", "key"))
+    first = buckets.groupBy("band", "key").agg(F.min("id").alias("src"), F.count("*").alias("n")).where("n > 1")
+    pairs = buckets.join(first, ["band", "key"]).where("id <> src").select("src", F.col("id").alias("dst"))
+    pairs = durable(pairs.unionByName(links).distinct(), "copies-pairs")
+    wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
+    # a repeated id keeps one of its texts for the comparison
+    words = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
+    words = durable(words, "copies-words")
+    sided = pairs.join(words.select(F.col("doc_id").alias("src"), F.col("words").alias("a")), "src").join(words.select(F.col("doc_id").alias("dst"), F.col("words").alias("b")), "dst")
+    sure = sided.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long")
+    group = components(one.select("id"), sure)
+    return each.join(one.select("digest", "id"), "digest").join(group, "id").select("doc_id", F.col("component").alias("component_id"))
+
+
+def near_duplicate_links(one: DataFrame, radius: int) -> DataFrame:
+    """(src, dst): ids whose fingerprints are in links of close_links(), each by the smallest id of its fingerprint, and equal fingerprints."""
+    named = one.groupBy("fp").agg(F.min("id").alias("first"))
+    close = close_links(named.select("fp"), radius)
+    far = close.join(named.withColumnsRenamed({"fp": "src", "first": "a"}), "src").join(named.withColumnsRenamed({"fp": "dst", "first": "b"}), "dst")
+    equal = one.join(named, "fp").where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    return far.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).unionByName(equal)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest doc_id. Rows with a null doc_id stay. All columns stay."""
+    copies = similar_groups(docs, shingle, similarity).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(durable(copies, "simhash-copies"), docs["doc_id"].cast("long") == F.col("_copy"), "left_anti")
