@@ -4,12 +4,187 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as geo
+from ..functions.checksum import luhn
+from ..functions.text import escape_html, plain, spans, tokens
+from ..operators import agent, detect, fuse, history, rank, sanitize
+from ..sources import tables
+from ..streaming import state
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pii_summary(spark: SparkSession, d: str) -> DataFrame:
+    """All rules over all documents, counted by type and decision."""
+    return detect.summarize(detect.detect_pii(_table(spark, d, "documents"), ["doc_id"]), "doc_id")
+
+
+def pii_core(spark: SparkSession, d: str) -> DataFrame:
+    """Three rules with spans, confidence and decision."""
+    found = detect.detect_pii(_table(spark, d, "documents"), ["doc_id"], rules=["email", "pan", "ssn"])
+    return found.select("doc_id", "rule", F.col("text").alias("match_text"), F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), F.round("confidence", 4).alias("confidence"), "decision")
+
+
+def card_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of 16 digits with their place and whether they pass Luhn."""
+    docs = _table(spark, d, "documents").select("doc_id", F.inline(spans(plain(F.col("text")), r"[0-9]{16}")))
+    return docs.select("doc_id", F.col("s").cast("long").alias("span_start"), F.col("m").alias("run"), luhn(F.col("m")).alias("valid"))
+
+
+def text_redaction(spark: SparkSession, d: str) -> DataFrame:
+    return sanitize.redact_text(_table(spark, d, "documents"), "doc_id", mode="merged", rules=["email"])
+
+
+def text_redaction_compat(spark: SparkSession, d: str) -> DataFrame:
+    return sanitize.redact_text(_table(spark, d, "documents"), "doc_id")
+
+
+def escaped_text(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "benchmark").select("item_id", escape_html(F.col("text")).alias("escaped"))
+
+
+def text_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "benchmark").select("item_id", F.inline(tokens(F.col("text"))))
+    return t.groupBy("item_id").agg(F.count("*").alias("n_tokens"), F.max("end").cast("long").alias("last_end"), F.max("id").alias("last_id"))
+
+
+def page_elements(spark: SparkSession, d: str) -> DataFrame:
+    return tables.elements(_table(spark, d, "pages")).select("page_id", F.col("elem_idx").cast("long").alias("elem_idx"), "tag", F.col("parent_idx").cast("long").alias("parent_idx"), "text")
+
+
+def page_tags(spark: SparkSession, d: str) -> DataFrame:
+    return tables.tag_counts(tables.elements(_table(spark, d, "pages")).where("tag in ('li', 'h1', 'article', 'nav')"))
+
+
+def line_box(k: Column, m: Column, n: Column) -> Column:
+    return geo.box(k % 1100, m % 700, F.lit(20) + n * 4, F.lit(12) + (k % 40))
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    li = _table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("n"), line_box(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")).alias("bbox"), (F.col("l_quantity") / 50).alias("confidence"))
+
+
+def box_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping boxes of a page by the grid join."""
+    b = _boxes(spark, d).select("page_id", F.col("n").alias("n1"), F.col("bbox").alias("b1"))
+    o = _boxes(spark, d).select("page_id", F.col("n").alias("n2"), F.col("bbox").alias("b2"))
+    pairs = geo.grid_join(b, o, "page_id", "b1", "b2", geo.overlaps).where("n1 < n2")
+    return pairs.select("page_id", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), F.round(geo.iou(F.col("b1"), F.col("b2")), 6).alias("iou"))
+
+
+def mapped_boxes(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    m = geo.map_box(F.col("bbox"), F.lit(1.5), F.lit(1.5), F.lit(1280), F.lit(720))
+    return b.select("page_id", F.col("n").cast("long").alias("n"), *[m[k].cast("long").alias(k) for k in ("x", "y", "width", "height")], geo.position_tag(F.col("bbox")).alias("position"))
+
+
+def decisions(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("n") % 3 == 0, "signature").when(F.col("n") % 3 == 1, "email").otherwise("face")
+    c = _boxes(spark, d).select("page_id", "n", kind.alias("type"), F.lit("regex:x").alias("reason"), "confidence", "bbox")
+    return fuse.decided(c).groupBy("type", "decision").agg(F.count("*").alias("n_rows"), F.sum(F.col("bbox")["height"].cast("long")).alias("height"))
+
+
+def fused_detections(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    c = b.select("page_id", F.col("n").cast("long").alias("cand_seq"), F.when(F.col("n") % 2 == 0, "email").otherwise("phone").alias("type"), F.array(F.when(F.col("n") % 3 == 0, "ocr").otherwise("dom")).alias("sources"), F.lit("").alias("text"), F.expr("cast(array() as array<string>)").alias("tokens"), "confidence", F.lit("").alias("reason"), "bbox")
+    return fuse.fuse(c).select("page_id", "cand_seq", "type", F.round("confidence", 6).alias("confidence"), "decision", F.size("members").cast("long").alias("n_members"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    c = _table(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_seq"), F.when(F.col("role") == "user", "type").when(F.col("role") == "assistant", "click").otherwise("wait").alias("action_type"), F.substring("text", 1, 80).alias("action_value"), F.concat(F.lit("/"), F.col("turn") % 3).alias("page_url"))
+
+
+def turn_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return history.outcomes(_turns(spark, d)).select("session_id", "turn_seq", "outcome")
+
+
+def last_turns(spark: SparkSession, d: str) -> DataFrame:
+    return history.last_turns(_turns(spark, d), 3).select("session_id", "turn_seq", F.col("from_end").cast("long").alias("from_end"))
+
+
+def prior_actions(spark: SparkSession, d: str) -> DataFrame:
+    return history.prior_actions(_turns(spark, d)).select("session_id", "turn_seq", F.array_join("prior", "|").alias("prior"))
+
+
+def loop_breakers(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events").select(F.col("user_id").alias("loop_id"), F.col("event_id").alias("step"), F.when(F.col("event_type") == "click", "click").otherwise("type").alias("action_type"), F.col("event_type").alias("value"), F.col("event_type").alias("target"))
+    return history.breakers(e).groupBy("action_type").agg(F.count_if("already_sent").alias("n_sent"), F.count_if("repeated_click").alias("n_clicked"))
+
+
+def latest_events(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return state.latest_state(e, "user_id", "event_id", "event_type").select("user_id", "state", F.col("at").alias("event_id"))
+
+
+def ranked_elements(spark: SparkSession, d: str) -> DataFrame:
+    e = tables.elements(_table(spark, d, "pages")).select("page_id", "elem_idx", "tag", "text", F.col("attrs")["href"].alias("href"), F.col("attrs")["id"].alias("id"), F.expr("cast(null as string)").alias("role"), F.expr(f"cast(null as {geo.BOX})").alias("bbox"), F.lit("open the first article").alias("task"))
+    return rank.ranked(e).select("page_id", F.col("elem_idx").cast("long").alias("elem_idx"), "tag", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def search_tasks(spark: SparkSession, d: str) -> DataFrame:
+    c = _table(spark, d, "conversations").where("role = 'user'").withColumn("task", F.concat(F.lit("search for "), F.substring_index(F.regexp_replace("text", r"[^A-Za-z ]", ""), " ", 2), F.lit(" and play it")))
+    return c.select("conv_id", "turn", agent.search_query(F.col("task")).alias("query"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = (
+        pii_summary, pii_core, card_runs, text_redaction, text_redaction_compat, escaped_text, text_tokens, page_elements, page_tags, box_pairs, mapped_boxes,
+        decisions, fused_detections, turn_outcomes, last_turns, prior_actions, loop_breakers, latest_events, ranked_elements, search_tasks,
+    )
+    return {f.__name__: f for f in found}
+
+
+_MARKED = "regexp_replace(t, '{p}', concat(chr(1), '\\0', chr(2)), 'g')"
+
+
+def _spans_sql(pattern: str, alias: str) -> str:
+    """CTEs that give (doc_id, t, s, m) of all matches, code points from 0."""
+    marked = _MARKED.format(p=pattern)
+    return f"""{alias}_p AS (SELECT doc_id, t, str_split({marked}, chr(1)) AS parts FROM b),
+{alias}_q AS (SELECT doc_id, t, parts[i] AS part, i, list_sum([0] || list_transform(parts[1:i - 1], lambda p: length(replace(p, chr(2), '')))) AS s FROM {alias}_p, unnest(range(2, len(parts) + 1)) AS u(i)),
+{alias} AS (SELECT doc_id, t, s::BIGINT AS s, substr(part, 1, strpos(part, chr(2)) - 1) AS m FROM {alias}_q)"""
+
+
+_BOXES = "b AS (SELECT l_orderkey AS page_id, l_linenumber::BIGINT AS n, l_partkey % 1100 AS x, l_suppkey % 700 AS y, 20 + l_linenumber * 4 AS w, 12 + l_partkey % 40 AS h, l_quantity / 50 AS c FROM lineitem)"
+_TURNS = "t AS (SELECT conv_id AS session_id, turn AS turn_seq, CASE role WHEN 'user' THEN 'type' WHEN 'assistant' THEN 'click' ELSE 'wait' END AS a, substr(text, 1, 80) AS v, '/' || (turn % 3)::VARCHAR AS u FROM conversations)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    email = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
+    docs = "b AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), '') AS t FROM documents)"
+    near = "lower(substr(t, greatest(s - 100, 0)::BIGINT + 1, (least(s + length(m) + 100, length(t)) - greatest(s - 100, 0))::BIGINT))"
+    hit = lambda words: " OR ".join(f"contains({near}, '{w}')" for w in words.split("|"))
+    rule = lambda a, name, base, words, where="true": f"SELECT doc_id, '{name}' AS rule, m, s, least(1.0, {base} + CASE WHEN {hit(words)} THEN 0.25 ELSE 0 END) AS c FROM {a} WHERE {where}"
+    from ..operators.rules import KEYWORDS
+
+    core = "\nUNION ALL ".join((
+        rule("e", "email", 0.92, KEYWORDS["email"]), rule("p", "pan", 0.70, KEYWORDS["pan"], "substr(m, 4, 1) IN ('A','B','C','F','G','H','L','J','P','T')"),
+        rule("n", "ssn", 0.85, KEYWORDS["ssn"], "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')"),
+    ))
+    digit = "(substr(m, 17 - i, 1)::INT * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)"
+    return {
+        "pii_core": f"WITH {docs}, {_spans_sql(email, 'e')}, {_spans_sql(r'\b[A-Z]{5}[0-9]{4}[A-Z]\b', 'p')}, {_spans_sql(r'\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', 'n')}, r AS ({core}) "
+        "SELECT doc_id, rule, m AS match_text, s AS span_start, s + length(m) AS span_end, round(c, 4) AS confidence, CASE WHEN c >= 0.7 THEN 'REDACT' WHEN c >= 0.4 THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM r",
+        "card_runs": f"WITH {docs}, {_spans_sql('[0-9]{16}', 'r')} SELECT doc_id, s AS span_start, m AS run, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN {digit} > 9 THEN {digit} - 9 ELSE {digit} END)) % 10 = 0 AS valid FROM r",
+        "text_redaction": f"WITH {docs} SELECT doc_id, regexp_replace(t, '{email}', '[REDACTED]', 'g') AS sanitized, len(regexp_extract_all(t, '{email}'))::INT AS n_redacted FROM b",
+        "escaped_text": "SELECT item_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS escaped FROM benchmark",
+        "text_tokens": "WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS l FROM benchmark) SELECT item_id, len(l)::BIGINT AS n_tokens, length(array_to_string(l, ' '))::BIGINT AS last_end, 'dom_' || lpad(len(l)::VARCHAR, 4, '0') AS last_id FROM w WHERE len(l) > 0",
+        "page_tags": "WITH x AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '<(li|h1|article|nav)[ >]', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM x GROUP BY tag",
+        "box_pairs": f"WITH {_BOXES}, p AS (SELECT a.page_id, a.n AS n1, o.n AS n2, a.w * a.h AS aa, o.w * o.h AS oa, (least(a.x + a.w, o.x + o.w) - greatest(a.x, o.x))::DOUBLE * (least(a.y + a.h, o.y + o.h) - greatest(a.y, o.y)) AS i FROM b a JOIN b o ON a.page_id = o.page_id AND a.n < o.n AND a.x < o.x + o.w AND a.x + a.w > o.x AND a.y < o.y + o.h AND a.y + a.h > o.y) SELECT page_id, n1, n2, round(i / (aa + oa - i), 6) AS iou FROM p",
+        "mapped_boxes": f"WITH {_BOXES}, m AS (SELECT *, greatest(0, least(floor(x * 1.5 + 0.5), 1279))::BIGINT AS mx, greatest(0, least(floor(y * 1.5 + 0.5), 719))::BIGINT AS my FROM b) "
+        "SELECT page_id, n, mx AS x, my AS y, greatest(1, least(floor(w * 1.5 + 0.5), 1280 - mx))::BIGINT AS width, greatest(1, least(floor(h * 1.5 + 0.5), 720 - my))::BIGINT AS height, "
+        "CASE WHEN (y + h / 2.0) / 800 < 0.33 THEN 'top' WHEN (y + h / 2.0) / 800 < 0.66 THEN 'mid' ELSE 'bottom' END || '-' || CASE WHEN (x + w / 2.0) / 1280 < 0.33 THEN 'left' WHEN (x + w / 2.0) / 1280 < 0.66 THEN 'center' ELSE 'right' END AS position FROM m",
+        "decisions": f"WITH {_BOXES}, k AS (SELECT *, CASE n % 3 WHEN 0 THEN 'signature' WHEN 1 THEN 'email' ELSE 'face' END AS type FROM b), e AS (SELECT *, CASE WHEN type = 'face' OR c >= 0.7 THEN 'REDACT' WHEN c >= 0.4 THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM k) SELECT type, decision, count(*) AS n_rows, sum(h + CASE WHEN type = 'signature' AND decision = 'REDACT' THEN least(y, 45) + 10 ELSE 0 END)::BIGINT AS height FROM e GROUP BY ALL",
+        "turn_outcomes": f"WITH {_TURNS}, n AS (SELECT *, lead(u) OVER w AS nu FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn_seq)) SELECT session_id, turn_seq, CASE WHEN nu IS NULL THEN NULL WHEN nu <> u THEN 'navigation_success' WHEN a = 'type' THEN 'executed_and_sent' WHEN a = 'click' THEN 'clicked_successfully' ELSE 'executed_successfully' END AS outcome FROM n",
+        "last_turns": f"WITH {_TURNS} SELECT session_id, turn_seq, row_number() OVER (PARTITION BY session_id ORDER BY turn_seq DESC) AS from_end FROM t QUALIFY from_end <= 3",
+        "prior_actions": f"WITH {_TURNS}, s AS (SELECT *, a || CASE WHEN v <> '' THEN ': ' || CASE WHEN length(v) > 50 THEN substr(v, 1, 50) || '...' ELSE v END ELSE '' END AS r FROM t) SELECT session_id, turn_seq, coalesce(array_to_string(list(r) OVER (PARTITION BY session_id ORDER BY turn_seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS prior FROM s",
+        "loop_breakers": "WITH e AS (SELECT *, CASE WHEN event_type = 'click' THEN 'click' ELSE 'type' END AS action_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) SELECT action_type, count(*) FILTER (WHERE action_type = 'type' AND k > 1) AS n_sent, count(*) FILTER (WHERE action_type = 'click' AND k > 1) AS n_clicked FROM e GROUP BY action_type",
+        "latest_events": "SELECT user_id, arg_max(event_type, event_id) AS state, max(event_id) AS event_id FROM events GROUP BY user_id",
+    }
