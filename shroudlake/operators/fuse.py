@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,54 +14,49 @@ from .rules import REDACT, REVIEW
 #: Fixed values.
 OVERLAP, CONTAINED_RATIO, AGREEMENT, CELL, BRUTE = 0.40, 0.5, 0.15, 120, 30
 APART = ("face", "identity_document")
-FUSED = (
-    "page_id long, cand_seq long, type string, sources array<string>, text string, tokens array<string>, confidence double, reason string, "
-    "x int, y int, width int, height int, members array<long>"
-)
+SCHEMA = pa.schema([
+    ("page_id", pa.int64()), ("cand_seq", pa.int64()), ("type", pa.string()), ("sources", pa.list_(pa.string())), ("text", pa.string()), ("tokens", pa.list_(pa.string())), ("confidence", pa.float64()), ("reason", pa.string()),
+    ("x", pa.int32()), ("y", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("members", pa.list_(pa.int64())),
+])
+FUSED = "page_id long, cand_seq long, type string, sources array<string>, text string, tokens array<string>, confidence double, reason string, x int, y int, width int, height int, members array<long>"
+
 
+def meets(a: list[int], b: list[int]) -> bool:
+    """Boxes [x, y, right, bottom] overlap by more than OVERLAP, or one holds the other at a fair area ratio."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return False
+    sizes = sorted(((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])))
+    return w * h > OVERLAP * (sum(sizes) - w * h) or (w * h == sizes[0] and sizes[0] >= CONTAINED_RATIO * sizes[1])
 
-def _overlap(x, y, w, h, bx, by, bw, bh):
-    """(IoU, one contains the other at a fair area ratio) of one box against arrays of boxes."""
-    both = np.clip(np.minimum(x + w, bx + bw) - np.maximum(x, bx), 0, None) * np.clip(np.minimum(y + h, by + bh) - np.maximum(y, by), 0, None)
-    total = w * h + bw * bh - both
-    share = np.divide(both, total, out=np.zeros(len(bx)), where=total > 0)
-    inside = ((bx >= x) & (by >= y) & (bx + bw <= x + w) & (by + bh <= y + h)) | ((bx <= x) & (by <= y) & (bx + bw >= x + w) & (by + bh >= y + h))
-    ratio = np.minimum(w * h, bw * bh) / np.maximum(np.maximum(w * h, bw * bh), 1e-9)
-    return share, inside & (ratio >= CONTAINED_RATIO)
 
+def cells_of(b: list[int]) -> tuple[int, int, int, int]:
+    return b[0] // CELL, b[1] // CELL, b[2] // CELL, b[3] // CELL
 
-def fuse_page(p: pd.DataFrame) -> pd.DataFrame:
+
+def fuse_page(rows: list[dict]) -> list[dict]:
     """Greedy: the most confident free candidate absorbs later ones in order; its box grows as it does."""
-    p = p[(p.width > 0) & (p.height > 0)].sort_values(["confidence", "cand_seq"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    x, y, w, h = (p[c].to_numpy(float) for c in ("x", "y", "width", "height"))
-    kind = p["type"].map(lambda t: APART.index(t) if t in APART else -1).to_numpy()
-    free, rows = np.ones(len(p), bool), []
-    cell = [np.floor(v / CELL) for v in (x, x + w, y, y + h)]
-    for i in range(len(p)):
-        if not free[i]:
+    rows = sorted((r for r in rows if r["width"] > 0 and r["height"] > 0), key=lambda r: (-r["confidence"], r["cand_seq"]))
+    boxes = [[r["x"], r["y"], r["x"] + r["width"], r["y"] + r["height"]] for r in rows]
+    kinds = [r["type"] if r["type"] in APART else "" for r in rows]
+    used, out, many = [False] * len(rows), [], len(rows) > BRUTE
+    for i, r in enumerate(rows):
+        if used[i]:
             continue
-        free[i] = False
-        near = free.copy()
-        near[: i + 1] = False
-        if len(p) > BRUTE:  # only what shares a cell with the seed's first box
-            near &= (cell[0] <= cell[1][i]) & (cell[1] >= cell[0][i]) & (cell[2] <= cell[3][i]) & (cell[3] >= cell[2][i])
-        b = [x[i], y[i], w[i], h[i]]
-        r = p.iloc[i]
-        cur = {"type": r["type"], "text": r["text"], "confidence": r["confidence"], "sources": list(r["sources"]), "tokens": list(r["tokens"]), "members": [r["cand_seq"]]}
-        later = np.flatnonzero(near & (kind == kind[i]))
-        at = 0
-        while at < len(later):
-            rest = later[at:]
-            share, inside = _overlap(*b, x[rest], y[rest], w[rest], h[rest])
-            hit = np.flatnonzero((share > OVERLAP) | inside)
-            if not len(hit):
-                break
-            j = rest[hit[0]]
-            at += hit[0] + 1
-            o = p.iloc[j]
-            free[j] = False
-            x0, y0 = min(b[0], x[j]), min(b[1], y[j])
-            b = [x0, y0, max(b[0] + b[2], x[j] + w[j]) - x0, max(b[1] + b[3], y[j] + h[j]) - y0]
+        cur = {**r, "sources": list(r["sources"]), "tokens": list(r["tokens"]), "members": [r["cand_seq"]]}
+        box, seed = list(boxes[i]), cells_of(boxes[i])
+        for j in range(i + 1, len(rows)):
+            # a crowded page is searched in the cells of the seed's first box only; kinds follow the current type
+            if used[j] or kinds[j] != (cur["type"] if cur["type"] in APART else ""):
+                continue
+            if many:
+                c = cells_of(boxes[j])
+                if c[0] > seed[2] or c[2] < seed[0] or c[1] > seed[3] or c[3] < seed[1]:
+                    continue
+            if not meets(box, boxes[j]):
+                continue
+            o, used[j] = rows[j], True
+            box = [min(box[0], boxes[j][0]), min(box[1], boxes[j][1]), max(box[2], boxes[j][2]), max(box[3], boxes[j][3])]
             cur["tokens"] += [t for t in dict.fromkeys(o["tokens"]) if t not in cur["tokens"]]
             cur["sources"] += [s for s in dict.fromkeys(o["sources"]) if s not in cur["sources"]]
             most = max(cur["confidence"], o["confidence"])
@@ -70,20 +66,36 @@ def fuse_page(p: pd.DataFrame) -> pd.DataFrame:
             if cur["type"] == "other":
                 cur["type"] = o["type"]
             cur["members"].append(o["cand_seq"])
-        rows.append({"page_id": r["page_id"], "cand_seq": r["cand_seq"], "reason": r["reason"], **cur, **dict(zip(("x", "y", "width", "height"), map(int, b)))})
-    return pd.DataFrame(rows, columns=["page_id", "cand_seq", "type", "sources", "text", "tokens", "confidence", "reason", "x", "y", "width", "height", "members"])
+        out.append(cur | {"x": box[0], "y": box[1], "width": box[2] - box[0], "height": box[3] - box[1]})
+    return out
 
 
 def fuse(candidates: DataFrame) -> DataFrame:
     """candidates(page_id, cand_seq, type, sources, text, tokens, confidence, reason, bbox) to detections with decision and final box.
 
-    Pages are independent and bounded by what a screen shows, so a page is one group.
+    Pages are independent and bounded by what a screen shows: partitions are ordered by page, and a task holds one page at a time.
     """
     flat = candidates.select(
         "page_id", "cand_seq", F.coalesce("type", F.lit("other")).alias("type"), F.coalesce("sources", F.array(F.lit("dom"))).alias("sources"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("tokens", F.expr("cast(array() as array<string>)")).alias("tokens"), F.col("confidence").cast("double").alias("confidence"), F.coalesce("reason", F.lit("")).alias("reason"), "bbox.x", "bbox.y", "bbox.width", "bbox.height",
     )
-    return decided(flat.groupBy("page_id").applyInPandas(fuse_page, FUSED).withColumn("bbox", box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).drop("x", "y", "width", "height"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page: list[dict] = []
+        for batch in batches:
+            done: list[dict] = []
+            for r in batch.to_pylist():
+                if page and r["page_id"] != page[0]["page_id"]:
+                    done += fuse_page(page)
+                    page = []
+                page.append(r)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, SCHEMA)
+        if page:
+            yield pa.RecordBatch.from_pylist(fuse_page(page), SCHEMA)
+
+    ordered = flat.repartition("page_id").sortWithinPartitions("page_id")
+    return decided(ordered.mapInArrow(run, FUSED).withColumn("bbox", box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).drop("x", "y", "width", "height"))
 
 
 def shield(kind: Column, reason: Column) -> Column:

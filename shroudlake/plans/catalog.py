@@ -171,7 +171,7 @@ def oracle_sql() -> dict[str, str]:
     digit = "(substr(m, 17 - i, 1)::INT * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)"
     return {
         "pii_core": f"WITH {docs}, {_spans_sql(email, 'e')}, {_spans_sql(r'\b[A-Z]{5}[0-9]{4}[A-Z]\b', 'p')}, {_spans_sql(r'\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', 'n')}, r AS ({core}) "
-        "SELECT doc_id, rule, m AS match_text, s AS span_start, s + length(m) AS span_end, round(c, 4) AS confidence, CASE WHEN c >= 0.7 THEN 'REDACT' WHEN c >= 0.4 THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM r",
+        "SELECT doc_id, rule, m AS match_text, s AS span_start, s + length(m) AS span_end, round(c::DOUBLE, 4) AS confidence, CASE WHEN c >= 0.7 THEN 'REDACT' WHEN c >= 0.4 THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM r",
         "card_runs": f"WITH {docs}, {_spans_sql('[0-9]{16}', 'r')} SELECT doc_id, s AS span_start, m AS run, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN {digit} > 9 THEN {digit} - 9 ELSE {digit} END)) % 10 = 0 AS valid FROM r",
         "text_redaction": f"WITH {docs} SELECT doc_id, regexp_replace(t, '{email}', '[REDACTED]', 'g') AS sanitized, len(regexp_extract_all(t, '{email}'))::INT AS n_redacted FROM b",
         "escaped_text": "SELECT item_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS escaped FROM benchmark",
