@@ -6,6 +6,11 @@ position and every document position are joined; around each hit the aligned tok
 compared, and a hit counts if enough of them agree. Items shorter than SPAN but of SHORTEST
 tokens or more are sought as a whole, all places kept.
 
+Most positions are sorted out before any row is made for them: the benchmark's seed hashes, and its
+pairs of neighbouring tokens (each seed keeps its last two places), are hash sets of the plan if there
+are at most LITERALS of each, and only positions that pass become rows; the join then decides.
+Without these sets more positions become rows; the result is the same.
+
 The benchmark's seeds are broadcast only if there are at most BROADCAST_ROWS of them (about 40
 bytes each); beyond that the seeds of both sides are exchanged by hash.
 
@@ -21,12 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Seeds over 12 tokens, 8 of them kept.
 SEEDS = ("111011010111", "110110111011", "101111001111")
 SPAN, SHORTEST = 12, 5
 #: Tokens compared on each side of a hit besides the seed's own, and the share of agreeing tokens that counts.
 AROUND, AGREE = 2, 0.75
 BROADCAST_ROWS = 1_000_000
+LITERALS = 50_000
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -47,25 +55,50 @@ def seed_hash(mask: str, toks: Column, at: Column) -> Column:
 def seeded(df: DataFrame, masks: list[str], *carry: str) -> DataFrame:
     """(carry.., at, h): each seed's hash at each position. df has toks."""
     shortest = min(map(len, masks))
-    places = df.where(F.size("toks") >= shortest).select(*carry, "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - shortest)).alias("at"))
-    return places.select(*carry, "toks", "at", F.explode(F.array(*[seed_hash(m, F.col("toks"), F.col("at")) for m in masks])).alias("h")).where("h is not null")
+    spots = df.where(F.size("toks") >= shortest).select(*carry, "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - shortest)).alias("at"))
+    return spots.select(*carry, "toks", "at", F.explode(F.array(*[seed_hash(m, F.col("toks"), F.col("at")) for m in masks])).alias("h")).where("h is not null")
+
+
+def members(hashes: DataFrame) -> str | None:
+    """The distinct hashes(h) as a SQL list; none if there are more than LITERALS."""
+    got = [r[0] for r in hashes.distinct().limit(LITERALS + 1).collect()]
+    least = -(1 << 63)
+    return "(" + ",".join(f"{x}L" if x > least else f"(-{(1 << 63) - 1}L - 1L)" for x in [*got, 0]) + ")" if len(got) <= LITERALS else None
+
+
+def candidates(texts: DataFrame, masks: list[str], index: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, toks, at, h) of the positions that pass the filters. texts has doc_id and toks."""
+    pair = "zip_with(toks, slice(toks, 2, size(toks)), (a, b) -> xxhash64(a, b))"
+    seeds, pairs = members(index.select("h")), members(items.select(F.explode(F.expr(pair)).alias("h")))
+    tests = []
+    for n in sorted({len(m) for m in masks}):
+        own = [f"xxhash64('{m}', " + ", ".join(f"get(toks, i + {p})" for p in kept(m)) + f") in {seeds}" for m in masks if len(m) == n] if seeds else ["true"]
+        last = f"get(pairs, i + {n - 2}) in {pairs}" if pairs else "true"
+        tests.append(f"(i + {n} <= size(toks) AND {last} AND ({' OR '.join(own)}))")
+    shortest = min(map(len, masks))
+    some = f"filter(sequence(0, size(toks) - {shortest}), i -> {' OR '.join(tests)})"
+    # explode of one element: a step that the optimiser does not merge, so a text is cut into tokens once
+    once = lambda df, *cols: df.select("doc_id", F.explode(F.array(F.struct(*cols))).alias("r")).select("doc_id", "r.*")
+    long_enough = once(texts, F.col("toks")).where(F.size("toks") >= shortest)
+    at = once(once(long_enough, F.col("toks"), F.expr(pair).alias("pairs")), F.col("toks"), F.expr(some).alias("some")).where("size(some) > 0")
+    rows = at.select("doc_id", "toks", F.explode("some").alias("at"))
+    return rows.select("doc_id", "toks", "at", F.explode(F.array(*[seed_hash(m, F.col("toks"), F.col("at")) for m in masks])).alias("h")).where("h is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, n_hits, agreement): the documents that hold benchmark text, each with the items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens("text").alias("toks")).where(f"item_id is not null and size(toks) >= {SHORTEST}")
+    items = durable(items, "benchmark-items")
     lengths = [r[0] for r in items.where(F.size("toks") < SPAN).select(F.size("toks")).distinct().collect()]  # at most SPAN - SHORTEST
     long_items = seeded(items.where(F.size("toks") >= SPAN), list(SEEDS), "item_id")
     sides = [long_items, *[seeded(items.where(F.size("toks") == n), ["1" * n], "item_id") for n in sorted(lengths)]]
-    index = reduce(DataFrame.unionByName, sides).select("item_id", F.col("at").alias("j"), "h", F.col("toks").alias("item"))
+    index = durable(reduce(DataFrame.unionByName, sides).select("item_id", F.col("at").alias("j"), "h"), "benchmark-seeds")
     masks = [*SEEDS, *["1" * n for n in sorted(lengths)]]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens("text").alias("toks")).where("doc_id is not null")
-    probes = seeded(texts, masks, "doc_id")
-    if index.count() <= BROADCAST_ROWS:
-        hits = probes.join(F.broadcast(index), "h")
-    else:
-        found = probes.select("doc_id", "at", "h").join(index.select("h", "item_id", "j"), "h").select("doc_id", "item_id", "at", "j").distinct()
-        hits = found.join(texts, "doc_id").join(items.withColumnRenamed("toks", "item"), "item_id")
+    probes = candidates(texts, masks, index, items)
+    small = index.count() <= BROADCAST_ROWS
+    named = items.withColumnRenamed("toks", "item")
+    hits = probes.join(F.broadcast(index) if small else index, "h").join(F.broadcast(named) if small else named, "item_id")
     low = F.greatest(F.lit(0), F.col("j") - AROUND)
     high = F.least(F.size("item"), F.col("j") + SPAN + AROUND)
     same = F.size(F.filter(F.sequence(low, high - 1), lambda p: (p + F.col("at") - F.col("j") >= 0) & (F.get("toks", p + F.col("at") - F.col("j")) == F.get("item", p))))
