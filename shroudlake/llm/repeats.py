@@ -2,7 +2,7 @@
 
 Every byte covered by a ``depth``-byte string that also starts in a document with a smaller id is
 removed. The first most-significant digit of a suffix is not its first bytes but its sampled
-anchor: of the 20-byte grams inside the ``depth`` bytes, the one with the least hash. Equal
+anchor: of the 32-byte grams inside the ``depth`` bytes, the one with the least hash. Equal
 strings have equal anchors, so suffixes whose anchor is in one document alone are sorted out at once.
 The others are ordered by most-significant-digit passes of 8 bytes down to ``depth`` bytes and no
 further; groups with one member leave after each pass, and the groups left are exactly the
@@ -11,7 +11,8 @@ repeated strings. Each group keeps its smallest document.
 Work is laid out by ``gid``, a hash of the document that sizes groups to about GROUP_BYTES of text.
 Before anything is exchanged a group keeps one record for each anchor, or context, so an anchor
 in a third of all documents sends one record for each gid. Contexts of such hot anchors are
-dealt out by whole strings instead of by anchor.
+dealt out by whole strings instead of by anchor. Of equal texts only the one of the smallest document
+takes part: the others, if they have ``depth`` bytes, are removed whole. Contexts travel compressed.
 
 Defined cases: a null text is empty; texts shorter than ``depth`` keep all bytes; rows that share
 a doc_id never remove each other's bytes; rows with a null doc_id are returned unchanged and
@@ -25,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MUL_B, mix, spans_of
 
-GRAM = 20
-GROUP_BYTES = 12 << 20
+GRAM = 32
+GROUP_BYTES = 4 << 20
 #: From so many groups on, an anchor counts as hot and its strings are dealt out singly.
 HOT_GROUPS = 64
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -75,10 +78,8 @@ def anchors(b: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hash(b, GRAM)
     low = slide(h, width, np.minimum)
-    ends = off[1:]
-    inside = np.arange(len(low)) + depth <= ends[np.searchsorted(ends, np.arange(len(low)), "right")] if len(ends) > 1 else None
-    if inside is not None:
-        low = np.where(inside, low, 0)
+    for e in off[1:]:  # strings do not run past a document's end
+        low[max(0, e - depth + 1) : e] = 0
     edge = np.zeros(width - 1, np.uint64)
     high = slide(np.concatenate([edge, low, edge]), width, np.maximum)[: len(h)]
     at = np.flatnonzero(high == h)
@@ -88,7 +89,7 @@ def anchors(b: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.
 def all_anchors(b: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, hash, document) over a group of documents, in blocks."""
     got: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, j in spans_of(off):
+    for i, j in spans_of(off, 1 << 17):
         p, h = anchors(b[off[i] : off[j]], off[i : j + 1] - off[i], depth)
         got.append((p + off[i], h))
     p = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.int64)
@@ -106,6 +107,20 @@ def blobs(order_key: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[np
     return used, packed
 
 
+def six(h: np.ndarray) -> bytes:
+    """The low six bytes of each number: enough to tell a bucket's anchors apart, as strings are compared in full later."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+LOW = np.uint64((1 << 48) - 2)
+
+
 def group_text(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, ids) of a gid's documents."""
     parts = t.column("text").combine_chunks()
@@ -117,14 +132,25 @@ def group_text(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0], t.column("doc_id").to_numpy()
 
 
+def split_copies(t: pa.Table, side: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(the rows that take part, the rows whose text a smaller document has); side has the copies' (copy, d1)."""
+    known = side.filter(side.column("copy").is_valid())
+    gone = set(zip(known.column("copy").to_pylist(), known.column("d1").to_pylist()))
+    flag = pa.array([x in gone for x in zip(t.column("doc_id").to_pylist(), t.column("d1").to_pylist())] if gone else [False] * t.num_rows, pa.bool_())
+    return t.filter(pc.invert(flag)), t.filter(flag)
+
+
 def context(b: np.ndarray, off: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes around each anchor (2 * depth - GRAM of them, zero beyond the document), and how many exist before and after the gram."""
     side = depth - GRAM
     left = np.minimum(side, at - off[doc])
     right = np.minimum(side, off[doc + 1] - at - GRAM)
-    col = np.arange(-side, GRAM + side)
-    grid = np.clip(at[:, None] + col, 0, b.size - 1)
-    out = np.where((col >= -left[:, None]) & (col < GRAM + right[:, None]), b[grid], 0).astype(np.uint8)
+    col = np.arange(-side, GRAM + side, dtype=np.int32)
+    out = np.empty((len(at), len(col)), np.uint8)
+    for i in range(0, len(at), 1 << 14):
+        k = slice(i, i + (1 << 14))
+        grid = np.clip(at[k, None].astype(np.int32) + col, 0, b.size - 1)
+        out[k] = np.where((col >= -left[k, None]) & (col < GRAM + right[k, None]), b[grid], 0)
     return out, left.astype(np.uint8), right.astype(np.uint8)
 
 
@@ -207,7 +233,8 @@ def results(b: np.ndarray, off: np.ndarray, ids: np.ndarray, gone: np.ndarray) -
     for i in range(len(ids)):
         own = b[off[i] : off[i + 1]]
         sha.append(hashlib.sha256((own[~gone[off[i] : off[i + 1]]] if removed[off[i + 1]] > removed[off[i]] else own).tobytes()).hexdigest())
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": np.diff(off), "n_removed": removed[off[1:]] - removed[off[:-1]], "n_spans": runs[off[1:]] - runs[off[:-1]], "kept_sha256": sha})
+    numbers = {"n_bytes": np.diff(off), "n_removed": removed[off[1:]] - removed[off[:-1]], "n_spans": runs[off[1:]] - runs[off[:-1]]}
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), **{k: pa.array(v, pa.int64()) for k, v in numbers.items()}, "kept_sha256": pa.array(sha, pa.string())})
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -216,16 +243,24 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def remove_repeats(docs: DataFrame, depth: int = 50, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs(doc_id, text)."""
     if not GRAM < depth <= GRAM + 63:
-        raise ValueError("depth must be within 21 and 83 bytes")
+        raise ValueError(f"depth must be within {GRAM + 1} and {GRAM + 63} bytes")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    key = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
-    named = rows.where("doc_id is not null").withColumn("gid", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    gid = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("gid")
+    named = rows.where("doc_id is not null").select("doc_id", "text", gid, F.xxhash64("text").alias("d1"))
     by_gid = named.repartition(max(groups, 1), "gid")
+    narrow = rows.where(f"doc_id is not null and octet_length(text) >= {depth}").select("doc_id", gid, F.xxhash64("text").alias("d1"), F.xxhash64("text", F.lit(7)).alias("d2"))
+    lead = narrow.groupBy("d1", "d2").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("d1", "d2", "lead")
+    copies = narrow.join(lead, ["d1", "d2"]).where("doc_id > lead").select("gid", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("mask"), F.col("doc_id").alias("copy"), "d1")
+    side_rows = lambda df, mask: df.select("gid", "data", mask.alias("mask"), F.lit(None).cast("long").alias("copy"), F.lit(None).cast("long").alias("d1"))
+    none = F.lit(None).cast("binary")
 
-    def first_digit(t: pa.Table) -> pa.Table:
+    def first_digit(t: pa.Table, side: pa.Table) -> pa.Table:
         """One record for each distinct anchor of the group: its hash, and whether two of the group's documents have it."""
+        t, _ = split_copies(t, side)
+        if not t.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "gid": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
         b, off, ids = group_text(t)
         _, h, d = all_anchors(b, off, depth)
         by = np.lexsort((ids[d], h))
@@ -234,16 +269,15 @@ def remove_repeats(docs: DataFrame, depth: int = 50, group_bytes: int = GROUP_BY
         head = np.flatnonzero(new)
         last = np.append(head[1:], len(h)) - 1 if len(head) else head
         many = (i[head] != i[last]).astype(np.uint64)
-        packed = (h[head] & ~np.uint64(1)) | many
-        used, (data,) = blobs(h[head], groups, packed)
-        gid = t.column("gid")[0].as_py() if t.num_rows else 0
-        return pa.table({"bucket": pa.array(used, pa.int32()), "gid": pa.array([gid] * len(used), pa.int32()), "data": pa.array(data, pa.binary())})
+        used, (data,) = blobs(h[head], groups, (h[head] & LOW) | many)
+        data = [six(np.frombuffer(x, np.uint64)) for x in data]
+        own = t.column("gid")[0].as_py()
+        return pa.table({"bucket": pa.array(used, pa.int32()), "gid": pa.array([own] * len(used), pa.int32()), "data": pa.array(data, pa.binary())})
 
     def shared(t: pa.Table) -> pa.Table:
         """Back to each group its anchors that some other document has too; the low bit marks hot ones."""
         gids = t.column("gid").to_numpy()
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("data")]
-        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        parts = [from_six(x.as_py()) for x in t.column("data")]
         all_h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         many, h = all_h & np.uint64(1), all_h & ~np.uint64(1)
         _, inv, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -251,24 +285,22 @@ def remove_repeats(docs: DataFrame, depth: int = 50, group_bytes: int = GROUP_BY
         any_many[inv[many > 0]] = True
         keep = (n[inv] > 1) | any_many[inv]
         out = h | (n[inv] >= HOT_GROUPS).astype(np.uint64)
-        rows = [(int(gids[k]), out[(of == k) & keep].tobytes()) for k in range(len(parts))] if len(parts) < 64 else None
-        if rows is None:
-            cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            rows = [(int(gids[k]), out[cut[k] : cut[k + 1]][keep[cut[k] : cut[k + 1]]].tobytes()) for k in range(len(parts))]
+        cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        rows = [(int(gids[k]), six(out[cut[k] : cut[k + 1]][keep[cut[k] : cut[k + 1]]])) for k in range(len(parts))]
         rows = [r for r in rows if r[1]]
         return pa.table({"gid": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     def records(t: pa.Table, flags: pa.Table) -> tuple[np.ndarray, ...]:
         """A group's text, its shared anchors, and one record for each distinct context; hot anchors give one for each string."""
         b, off, ids = group_text(t)
-        got = [np.frombuffer(x.as_py(), np.uint64) for x in flags.column("data")]
+        got = [from_six(x.as_py()) for x in flags.column("data")]
         want = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
         p, h, d = all_anchors(b, off, depth)
-        plain = h & ~np.uint64(1)
+        plain = h & LOW
         spot = np.searchsorted(want & ~np.uint64(1), plain)
         spot[spot == len(want)] = 0
         has = (want[spot] & ~np.uint64(1)) == plain if len(want) else np.zeros(len(h), bool)
-        p, plain, d, hot = p[has], plain[has], d[has], (want[spot[has]] & np.uint64(1)).astype(bool) if len(want) else np.zeros(0, bool)
+        p, plain, d, hot = p[has], h[has], d[has], (want[spot[has]] & np.uint64(1)).astype(bool) if len(want) else np.zeros(0, bool)
         ctx, left, right = context(b, off, p, d, depth)
         side = depth - GRAM
         keys, ctxs, lefts, rights, docs_, src = [plain[~hot]], [ctx[~hot]], [left[~hot]], [right[~hot]], [ids[d[~hot]]], [np.flatnonzero(~hot)]
@@ -289,21 +321,27 @@ def remove_repeats(docs: DataFrame, depth: int = 50, group_bytes: int = GROUP_BY
         group, rep = same_context(key, c, lo, hi, doc)
         return b, off, ids, p, key, c, lo, hi, doc, s, group, rep
 
-    def contexts(t: pa.Table, flags: pa.Table) -> pa.Table:
+    def contexts(t: pa.Table, side: pa.Table) -> pa.Table:
+        t, _ = split_copies(t, side)
+        flags = side.filter(side.column("data").is_valid())
         if not t.num_rows or not flags.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "gid": pa.array([], pa.int32()), "slot": pa.array([], pa.binary()), "key": pa.array([], pa.binary()), "ctx": pa.array([], pa.binary()), "room": pa.array([], pa.binary()), "doc": pa.array([], pa.binary())})
+            return pa.table({"bucket": pa.array([], pa.int32()), "gid": pa.array([], pa.int32()), "slot": pa.array([], pa.binary()), "ctx": pa.array([], pa.binary()), "room": pa.array([], pa.binary()), "doc": pa.array([], pa.binary())})
         _, _, _, _, key, c, lo, hi, doc, _, group, rep = records(t, flags)
         room = np.stack([lo[rep], hi[rep]], 1)
-        used, (slot, k, cc, rr, dd) = blobs(key[rep], groups, group[rep].astype(np.int32), key[rep], c[rep], room, doc[rep])
-        gid = t.column("gid")[0].as_py()
-        return pa.table({"bucket": pa.array(used, pa.int32()), "gid": pa.array([gid] * len(used), pa.int32()), "slot": pa.array(slot, pa.binary()), "key": pa.array(k, pa.binary()), "ctx": pa.array(cc, pa.binary()), "room": pa.array(rr, pa.binary()), "doc": pa.array(dd, pa.binary())})
+        used, packed = blobs(key[rep], groups, group[rep].astype(np.int32), c[rep], room, doc[rep])
+        own = t.column("gid")[0].as_py()
+        press = zstandard.ZstdCompressor(level=1).compress
+        cols = {n: pa.array(map(press, x), pa.binary()) for n, x in zip(("slot", "ctx", "room", "doc"), packed)}
+        return pa.table({"bucket": pa.array(used, pa.int32()), "gid": pa.array([own] * len(used), pa.int32()), **cols})
 
     def sort_bucket(t: pa.Table) -> pa.Table:
         """The strings of a bucket in order; back to each group a mask for each of its contexts."""
-        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(name)])
-        slots = [np.frombuffer(x.as_py(), np.int32) for x in t.column("slot")]
-        key, doc, room = join("key", np.uint64), join("doc", np.int64), join("room", np.uint8).reshape(-1, 2)
-        ctx = join("ctx", np.uint8).reshape(-1, 2 * depth - GRAM)
+        open_up = zstandard.ZstdDecompressor().decompress
+        parts = lambda name, kind: [np.frombuffer(open_up(x.as_py()), kind) for x in t.column(name)]
+        slots = parts("slot", np.int32)
+        doc, room = np.concatenate(parts("doc", np.int64)), np.concatenate(parts("room", np.uint8)).reshape(-1, 2)
+        ctx = np.concatenate(parts("ctx", np.uint8)).reshape(-1, 2 * depth - GRAM)
+        key = np.zeros(len(doc), np.uint64)
         group, rep = same_context(key, ctx, room[:, 0], room[:, 1], doc)
         own = smaller_before(key[rep], ctx[rep], room[rep, 0], room[rep, 1], doc[rep], depth)
         low, mask = np.empty(len(rep), np.int64), np.empty(len(rep), np.uint64)
@@ -323,12 +361,17 @@ def remove_repeats(docs: DataFrame, depth: int = 50, group_bytes: int = GROUP_BY
                 out_m.append(m[m > 0].tobytes())
         return pa.table({"gid": pa.array(gids, pa.int32()), "slot": pa.array(out_s, pa.binary()), "mask": pa.array(out_m, pa.binary())})
 
-    def finish(t: pa.Table, both: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            z = np.zeros(0, np.int64)
-            return results(np.zeros(0, np.uint8), np.zeros(1, np.int64), z, np.zeros(0, bool))
-        flags = both.filter(both.column("mask").is_null())
+    def finish(t: pa.Table, side: pa.Table) -> pa.Table:
+        t, same = split_copies(t, side)
+        b, off, ids = group_text(same) if same.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64))
+        done = [results(b, off, ids, np.ones(b.size, bool))]
+        if t.num_rows:
+            done.append(unlike(t, side))
+        return pa.concat_tables(done)
+
+    def unlike(t: pa.Table, both: pa.Table) -> pa.Table:
         marks = both.filter(both.column("mask").is_valid())
+        flags = both.filter(pc.and_(both.column("data").is_valid(), both.column("mask").is_null()))
         if not flags.num_rows:
             b, off, ids = group_text(t)
             return results(b, off, ids, np.zeros(b.size, bool))
@@ -343,11 +386,11 @@ def remove_repeats(docs: DataFrame, depth: int = 50, group_bytes: int = GROUP_BY
         own = np.where(first[group] < doc, full, mask[group])
         return results(b, off, ids, covered(b, off, p[s], own, depth))
 
-    firsts = by_gid.groupBy("gid").applyInArrow(first_digit, "bucket int, gid int, data binary")
-    flags = firsts.groupBy("bucket").applyInArrow(shared, "gid int, data binary")
-    ctx = by_gid.groupBy("gid").cogroup(flags.groupBy("gid")).applyInArrow(contexts, "bucket int, gid int, slot binary, key binary, ctx binary, room binary, doc binary")
+    firsts = by_gid.groupBy("gid").cogroup(copies.groupBy("gid")).applyInArrow(first_digit, "bucket int, gid int, data binary")
+    flags = side_rows(firsts.groupBy("bucket").applyInArrow(shared, "gid int, data binary"), none).unionByName(copies)
+    ctx = by_gid.groupBy("gid").cogroup(flags.groupBy("gid")).applyInArrow(contexts, "bucket int, gid int, slot binary, ctx binary, room binary, doc binary")
     marks = ctx.groupBy("bucket").applyInArrow(sort_bucket, "gid int, slot binary, mask binary")
-    both = flags.select("gid", "data", F.lit(None).cast("binary").alias("mask")).unionByName(marks.select("gid", F.col("slot").alias("data"), "mask"))
+    both = flags.unionByName(side_rows(marks.select("gid", F.col("slot").alias("data"), "mask"), F.col("mask")))
     done = by_gid.groupBy("gid").cogroup(both.groupBy("gid")).applyInArrow(finish, OUT)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
