@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +59,14 @@ def sample_labels(labels: DataFrame, label: str, rows: int, seed: int = 7) -> Da
     return one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
 
 
+def trim() -> None:
+    """Gives memory that fitting took on the driver back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

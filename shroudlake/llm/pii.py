@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import TAGS, Tagger, char_ids
-from .common import small_batches, utf8
+from .common import small_batches, trim, utf8
 
 KINDS = TAGS[1:]
 #: The base patterns of the contract.
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, windows: int = WINDOWS) -> Tagger | None:
     tagger = Tagger()
     tagger.train(*training_set(rows))
     tagger.p = {k: v.astype(np.float32) for k, v in tagger.p.items()}
+    trim()
     return tagger
 
 

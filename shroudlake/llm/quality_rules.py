@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, byte_class, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, utf8, words
+from .common import WHITE, byte_class, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, trim, utf8, words
 
 BITS = 18
 #: Labelled rows that fitting reads at most.
@@ -151,7 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS)
     y = got.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32), 10.0)
-    return train([(np.frombuffer(i.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32).astype(float)) for i, x in zip(got.column("i"), got.column("x"))], y, bits)
+    # views of the Arrow buffers, not copies
+    rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for i, x in zip(got.column("i"), got.column("x"))]
+    model = train(rows, y, bits)
+    del rows, got
+    trim()
+    return model
 
 
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MUL_A, NON_ALNUM, ascii_lower, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, utf8, words
+from .common import MUL_A, NON_ALNUM, ascii_lower, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, trim, utf8, words
 
 BITS = 20
 #: Labelled rows that fitting reads at most.
@@ -64,7 +64,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int, alpha: float = 1.0, b
 
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            i = np.append(rows[k], bias)
+            i = np.append(rows[k].astype(np.int64), bias)
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y[k]
             ni = n[i]
@@ -95,7 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99))
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
-    return ftrl([np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in got.column("x")], y, bits)
+    model = ftrl([np.frombuffer(x.as_buffer(), np.int32) for x in got.column("x")], y, bits)
+    del got
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
