@@ -156,9 +156,8 @@ def close_links(fps: DataFrame, radius: int) -> DataFrame:
     First, fingerprints within two bits of each other meet at a common neighbour: each is put
     under itself and its 64 one-bit neighbours, and each meeting point links its members to the
     smallest. A meeting point has 65 possible members, however large a group of copies is, so
-    links stay linear. The pairs at larger distance come from the planned parts; pairs that
-    are already in one component are not made again, and in a bucket only members outside the
-    bucket's largest component probe.
+    links stay linear. The pairs at larger distance come from the planned parts (far_links()); pairs that
+    are already in one component are not made again.
     """
     n, both = bit_counts(fps)
     near = [signed(x) for x in (0, *[1 << b for b in range(BITS)])]
@@ -172,31 +171,38 @@ def close_links(fps: DataFrame, radius: int) -> DataFrame:
     if n < 2:
         return star
     base = durable(components(fps.select(F.col("fp").alias("id")), star).withColumnRenamed("id", "fp"), "simhash-base")
-    parts = plan(n, both, radius)
-    keyed = [
-        base.select(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("key"), "fp", "component")
-        for k, (mask, _) in enumerate(parts)
-    ]
-    index = keyed[0]
-    for x in keyed[1:]:
-        index = index.unionByName(x)
-    probes = None
+    far = far_links(base.select(F.col("fp").alias("id"), "fp", "component"), plan(n, both, radius), radius)
+    return star.unionByName(far)
+
+
+def far_links(items: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(src, dst): the pairs of items (id, fp, component) of different components whose fingerprints are within ``radius`` bits.
+
+    Unflipped probes meet their own bucket: one of any two components is not the bucket's largest, so only members outside
+    the largest probe. Flipped probes go to another bucket, from the smaller key to the larger: a probe of that bucket's largest
+    component meets the members outside it, every other probe meets all members.
+    """
+    index = probes = None
     for k, (mask, t) in enumerate(parts):
-        x = base.select(
-            F.lit(k).alias("part"), F.explode(F.transform(F.lit([signed(f) for f in flips(mask, t)]), lambda f: F.col("fp").bitwiseAND(F.lit(signed(mask))).bitwiseXOR(f))).alias("key"),
-            F.col("fp").alias("pfp"), F.col("component").alias("pcomp"),
-        )
-        probes = x if probes is None else probes.unionByName(x)
-    # the component with the most members of a bucket; its members are found by the others' probes
+        key = F.col("fp").bitwiseAND(F.lit(signed(mask)))
+        x = items.select(F.lit(k).alias("part"), key.alias("key"), "id", "fp", "component")
+        index = x if index is None else index.unionByName(x)
+        other = flips(mask, t)[1:]
+        if other:
+            moved = F.filter(F.transform(F.lit([signed(f) for f in other]), lambda f: key.bitwiseXOR(f)), lambda v: v > key)  # noqa: B023
+            y = items.select(F.lit(k).alias("part"), F.explode(moved).alias("key"), "id", "fp", "component")
+            probes = y if probes is None else probes.unionByName(y)
     sizes = index.groupBy("part", "key", "component").agg(F.count("*").alias("m"))
     major = sizes.groupBy("part", "key").agg(F.max_by("component", F.struct("m", "component")).alias("major"))
-    index = index.join(major, ["part", "key"])
-    far = (
-        probes.join(index, ["part", "key"])
-        .where((F.col("pcomp") != F.col("component")) & (F.col("pcomp") != F.col("major")))
-        .where(F.bit_count(F.col("pfp").bitwiseXOR(F.col("fp"))) <= radius)
-    )
-    return star.unionByName(far.select(F.least("pfp", "fp").alias("src"), F.greatest("pfp", "fp").alias("dst")).distinct())
+    named = {"id": "pid", "fp": "pfp", "component": "pcomp"}
+    outside = index.join(major, ["part", "key"]).where("component <> major").drop("major")
+    met = outside.withColumnsRenamed(named).join(index, ["part", "key"])
+    if probes is not None:
+        sent = probes.join(major, ["part", "key"]).withColumnsRenamed(named)
+        met = met.unionByName(sent.where("pcomp <> major").drop("major").join(index, ["part", "key"]))
+        met = met.unionByName(sent.where("pcomp = major").drop("major").join(outside, ["part", "key"]))
+    far = met.where("pcomp <> component").where(F.bit_count(F.col("pfp").bitwiseXOR(F.col("fp"))) <= radius)
+    return far.select(F.least("pid", "id").alias("src"), F.greatest("pid", "id").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:

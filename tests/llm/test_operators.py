@@ -94,6 +94,31 @@ def test_pigeonhole_plan_is_complete():
             assert any(((x ^ y) & mask).bit_count() <= t for mask, t in parts)
 
 
+def test_simhash_links_are_complete_at_thresholds_of_one(spark, monkeypatch):
+    masks = [(1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43]
+    monkeypatch.setattr(simhash, "plan", lambda *_: list(zip(masks, (1, 0, 0))))
+    # x and y differ by one bit in each part, and most of x's bucket is of y's component and most of y's of x's
+    x, y = 0, 1 | 1 << 22 | 1 << 43
+
+    def arm(v, at):
+        steps = [v, v ^ 3 << at, v ^ 15 << at]
+        return [*steps, *[steps[-1] ^ 1 ^ 1 << at + 4 + k for k in range(6)], steps[-1] ^ 1]
+
+    r = np.random.default_rng(8)
+    more = [int(v) for v in r.integers(0, 1 << 62, 30)]
+    more += [v ^ sum(1 << int(b) for b in r.choice(62, int(r.integers(1, 5)), replace=False)) for v in more for _ in range(3)]
+    prints = sorted({*arm(x, 30), *arm(y, 50), *more})
+    fps = spark.createDataFrame([(p,) for p in prints], "fp long")
+    got = {c.id: c.component for c in simhash.components(fps.select(F.col("fp").alias("id")), simhash.close_links(fps, 3)).collect()}
+    root = {p: p for p in prints}
+    for _ in range(8):
+        for a in prints:
+            for b in prints:
+                if (a ^ b).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == root and got[y] == 0
+
+
 def test_near_copy_stage_at_four_fifths(spark):
     r = np.random.default_rng(2)
     base = [f"w{x}" for x in r.integers(0, 5000, 300)]
