@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, mix, small_batches
 from .components import components
 
 BITS = 64
@@ -235,27 +235,72 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Longs of the parity sketch: bit i is the parity of the number of shingles that fall to i.
+PARITY = 4
+
+
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """Sketches of two sets differ in no more bits than the sets differ in members."""
+    odd = np.bincount((mix(found) >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_be_similar(similarity: float) -> Column:
+    """False only for pairs that are provably below: by their sizes n and pn, or by the bits in which their sketches differ."""
+    apart = sum(F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"pp{i}"))) for i in range(PARITY))
+    # a hair of slack for rounding
+    return (F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("pn")) + 1e-6)
+
+
+def leader_pairs(buckets: DataFrame) -> DataFrame:
+    """(src, dst): each member of a bucket (id, band, key) with the bucket's most central one: the one whose buckets hold most, then the smallest."""
+    live = durable(buckets.join(buckets.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), ["band", "key"]), "copies-buckets")
+    weight = live.groupBy("id").agg(F.sum("m").alias("w"))
+    leader = live.join(weight, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("leader"))
+    met = live.join(leader, ["band", "key"]).where("id <> leader")
+    return met.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst")).distinct()
+
+
+def bucket_links(buckets: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): all pairs of a bucket's members of different components that are not provably below ``similarity``.
+
+    items: (id, component, n, p0..). One of any two components is not the bucket's largest, so only members outside the largest probe.
+    """
+    named = buckets.join(items.select("id", "component"), "id")
+    sizes = named.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    live = named.join(mixed, ["band", "key"]).join(items.drop("component"), "id")
+    probes = live.where("component <> major").drop("major")
+    probes = probes.withColumnsRenamed({c: f"p{c}" if c != "component" else "pcomp" for c in items.columns})
+    met = probes.join(live, ["band", "key"]).where("pcomp <> component").where(may_be_similar(similarity))
+    return met.select(F.least("pid", "id").alias("src"), F.greatest("pid", "id").alias("dst")).distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(doc_id, component_id) of documents whose word-shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Equal shingle sets are one text. Candidates are fingerprints within ``radius`` bits, and, since pairs
     at 0.8 differ in up to 15 of 64 bits, where no pigeonhole plan is selective, texts that share a band of least hashes.
-    In a bucket each text is a candidate with the bucket's smallest only, so candidates stay linear in any group of copies. Every
-    candidate is verified on the whole sets. Texts without a word are one group.
+    First each text meets the most central one of each of its buckets, so that groups of copies become components by few pairs.
+    Then every other candidate pair whose texts are in different components is made, unless sizes or parity sketches
+    prove it to be below. All pairs are verified on the whole sets. Texts without a word are one group.
     """
     small_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, digest, keys = [], [], []
+            fp, digest, keys, n, parity = [], [], [], [], []
             for t in b.column(1):
                 all_h = shingle_hashes(t.as_py() or b"", shingle)
                 s = np.unique(all_h)
                 fp.append(majority(all_h))
                 digest.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 keys.append((band_keys(s) if len(s) else np.zeros(BANDS, np.uint64)).view(np.int64))
+                n.append(len(s))
+                parity.append(parity_sketch(s))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.record_batch([b.column(0), as_long(fp), as_long(digest), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "digest", "keys"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, parity)]
+            yield pa.record_batch([b.column(0), as_long(fp), as_long(digest), pa.array(n, pa.int64()), *lists], ["doc_id", "fp", "digest", "n", "keys", "parity"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,33 +317,34 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
             yield pa.record_batch([b.column(0), b.column(1)], ["src", "dst"]).filter(keep)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    each = durable(texts.mapInArrow(sketch, "doc_id long, fp long, digest long, keys array<long>"), "copies-sketch")
-    same = each.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
+        # a repeated id keeps one of its texts for the comparison
+        words = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
+        words = durable(words, "copies-words")
+        sided = pairs.join(words.select(F.col("doc_id").alias("src"), F.col("words").alias("a")), "src").join(words.select(F.col("doc_id").alias("dst"), F.col("words").alias("b")), "dst")
+        return durable(sided.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long"), "copies-links")
+
+    each = durable(texts.mapInArrow(sketch, "doc_id long, fp long, digest long, n long, keys array<long>, parity array<long>"), "copies-sketch")
+    same = each.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "n", "keys", "parity")])
     one = durable(same, "copies-distinct")
-    links = near_duplicate_links(one.select("fp", "id"), radius)
     buckets = one.select("id", F.posexplode("keys").alias("band", "key"))
-    first = buckets.groupBy("band", "key").agg(F.min("id").alias("src"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(first, ["band", "key"]).where("id <> src").select("src", F.col("id").alias("dst"))
-    pairs = durable(pairs.unionByName(links).distinct(), "copies-pairs")
-    wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
-    # a repeated id keeps one of its texts for the comparison
-    words = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
-    words = durable(words, "copies-words")
-    sided = pairs.join(words.select(F.col("doc_id").alias("src"), F.col("words").alias("a")), "src").join(words.select(F.col("doc_id").alias("dst"), F.col("words").alias("b")), "dst")
-    sure = sided.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long")
-    group = components(one.select("id"), sure)
+    pairs = durable(leader_pairs(buckets), "copies-pairs")
+    sure = verified(pairs)
+    group = durable(components(one.select("id"), sure), "copies-groups")
+    items = one.join(group, "id")
+    sketched = items.select("id", "component", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
+    rest = bucket_links(buckets, sketched, similarity)
+    n, both = bit_counts(one)
+    if n > 1:
+        rest = rest.unionByName(far_links(items.select("id", "fp", "component"), plan(n, both, radius), radius)).distinct()
+    rest = durable(rest.join(pairs, ["src", "dst"], "left_anti"), "copies-pairs")
+    if not rest.isEmpty():
+        group = components(one.select("id"), sure.unionByName(verified(rest)))
     return each.join(one.select("digest", "id"), "digest").join(group, "id").select("doc_id", F.col("component").alias("component_id"))
 
 
-def near_duplicate_links(one: DataFrame, radius: int) -> DataFrame:
-    """(src, dst): ids whose fingerprints are in links of close_links(), each by the smallest id of its fingerprint, and equal fingerprints."""
-    named = one.groupBy("fp").agg(F.min("id").alias("first"))
-    close = close_links(named.select("fp"), radius)
-    far = close.join(named.withColumnsRenamed({"fp": "src", "first": "a"}), "src").join(named.withColumnsRenamed({"fp": "dst", "first": "b"}), "dst")
-    equal = one.join(named, "fp").where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
-    return far.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).unionByName(equal)
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id. Rows with a null doc_id stay. All columns stay."""
     copies = similar_groups(docs, shingle, similarity).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()

@@ -129,6 +129,30 @@ def test_near_copy_stage_at_four_fifths(spark):
     assert simhash.keep_one(df).columns == df.columns
 
 
+def test_near_copies_of_hubs_that_are_not_the_smallest(spark):
+    r = np.random.default_rng(9)
+
+    def edited(words, k):
+        out = list(words)
+        for at in r.choice(len(out), k, replace=False):
+            out[at] = f"x{r.integers(0, 1 << 40)}"
+        return out
+
+    hub = [f"w{x}" for x in r.integers(0, 5000, 300)]
+    other = edited(hub, 10)  # too far from the first hub, but in its buckets
+    texts = [edited(h, 6) for h in (hub, other) for _ in range(20)]
+    texts = [" ".join(t) for t in [*texts[:10], hub, *texts[10:30], other, *texts[30:]]]
+    found = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(4):
+        for a, x in enumerate(found):
+            for b, y in enumerate(found):
+                if len(x & y) >= 0.8 * len(x | y):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {g.doc_id: g.component_id for g in simhash.similar_groups(docs_of(spark, texts)).collect()}
+    assert len(set(root)) < 5 and [got[i + 1] - 1 for i in range(len(texts))] == root
+
+
 def test_decontamination_tolerates_substitutions(spark):
     r = np.random.default_rng(3)
     item = [f"b{x}" for x in r.integers(0, 9999, 30)]
