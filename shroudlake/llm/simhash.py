@@ -219,6 +219,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 #: Least-hash bands of the wide probe: BANDS keys of ROWS least hashes each.
 BANDS, ROWS = 16, 4
+#: A salt of each permutation.
+SALTS = mix(mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)))
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -226,12 +228,13 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
-    """One key per band: a hash of the least values of ROWS permutations of the set."""
+    """One key per band: a hash of the least values of ROWS permutations of the set, each a mixing function with its own salt."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 512):
+        low = np.minimum(low, mix(found[None, i : i + 512] ^ SALTS[:, None]).min(1))
     out = np.zeros(BANDS, np.uint64)
-    base = found ^ (found >> np.uint64(31))
     for r in range(ROWS):
-        low = np.array([(base * np.uint64((2 * (b * ROWS + r) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min() for b in range(BANDS)])
-        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + low + np.uint64(1)
+        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + low[r::ROWS] + np.uint64(1)
     return out
 
 
