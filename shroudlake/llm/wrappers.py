@@ -9,7 +9,8 @@ on all pages, or varying. Wrappers merge like streams, so each task infers one f
 and the tasks' wrappers are merged per host; every page takes part.
 
 A slot belongs to the main text unless its path of open elements has an element of page furniture
-(FURNITURE, or a class, id or role of MARKS), or it has one constant text on STEADY pages or more outside headings. Where
+(FURNITURE, or a class, id or role of MARKS), or it has one constant text, compared whole, on STEADY distinct pages and on a share
+of SHARE of the host's distinct pages or more, outside headings. Pages of a host with equal html are one: each of c copies counts 1 / c. Where
 the host's wrapper has slots inside article or main elements, only those count.
 
 Defined cases: null or empty html gives an empty text; a null URL counts as host ''; repeated rows
@@ -25,10 +26,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import durable, small_batches
 
 #: Elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +45,7 @@ MARKS = re.compile(
     r"share|sharing|social|related|newsletter|subscribe|signup|login|search|widget|toolbar|copyright|complementary|contentinfo|navigation|alert|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-STEADY = 3
+STEADY, SHARE = 3, 0.5
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
@@ -122,9 +124,14 @@ def tokenise(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def stream(blocks: list[tuple[str, str]]) -> list:
-    """The page as wrapper items: ['t', path] tags and ['s', path, constant or None, pages, 1] slots, repeated groups folded."""
-    items = [["s", p, t[:200], 1] if t else ["t", p] for p, t in blocks]
+def whole_hash(text: str) -> str:
+    """Stands for a slot's whole text."""
+    return xxhash.xxh3_128_hexdigest(text)
+
+
+def stream(blocks: list[tuple[str, str]], pages: float = 1) -> list:
+    """The page as wrapper items: ['t', path] tags and ['s', path, hash of the constant or None, pages] slots, repeated groups folded."""
+    items = [["s", p, whole_hash(t), pages] if t else ["t", p] for p, t in blocks]
     return fold(items)
 
 
@@ -248,17 +255,18 @@ def in_main(path: str) -> bool:
     return any(p in MAIN for p in path.split("/"))
 
 
-def decisions(wrapper: list) -> tuple[bool, set[str]]:
-    """(only article slots count, the paths and constant texts that do not belong) of a host."""
+def decisions(wrapper: list, pages: float) -> tuple[bool, set[str]]:
+    """(only article slots count, the paths and hashes of constant texts that do not belong) of a host with so many distinct pages."""
     found = list(slots(wrapper))
     only = any(in_main(x[1]) and not furniture(x[1]) for x in found)
-    steady = {f"{x[1]}\n{x[2]}" for x in found if x[2] is not None and x[3] >= STEADY and not in_main(x[1]) and not re.search(r"/h[1-6]$", x[1])}
+    least = max(STEADY, SHARE * pages) - 1e-6  # the counts are sums of fractions
+    steady = {f"{x[1]}\n{x[2]}" for x in found if x[2] is not None and x[3] >= least and not in_main(x[1]) and not re.search(r"/h[1-6]$", x[1])}
     return only, steady
 
 
 def main_text(blocks: list[tuple[str, str]], only: bool, steady: set[str]) -> str:
     own = only and any(t and in_main(p) and not furniture(p) for p, t in blocks)
-    return "\n".join(t for p, t in blocks if t and not furniture(p) and (not own or in_main(p)) and f"{p}\n{t[:200]}" not in steady)
+    return "\n".join(t for p, t in blocks if t and not furniture(p) and (not own or in_main(p)) and f"{p}\n{whole_hash(t)}" not in steady)
 
 
 def host_of(url) -> F.Column:
@@ -274,41 +282,49 @@ def merge(items: list[list]) -> list:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON): each task's wrappers, merged by host."""
+    """(host, wrapper as JSON, distinct pages): each task's wrappers, merged by host."""
     small_batches(pages.sparkSession, 500)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list] = {}
+        n: dict[str, float] = {}
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = stream(tokenise(page or ""))
+            for host, page, copies in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                s = stream(tokenise(page or ""), 1 / copies)
                 got[host] = align(got[host], s) if host in got else s
+                n[host] = n.get(host, 0) + 1 / copies
         if got:
-            yield pa.record_batch([pa.array(list(got)), pa.array([json.dumps(w) for w in got.values()])], ["host", "wrapper"])
+            yield pa.record_batch([pa.array(list(got)), pa.array([json.dumps(w) for w in got.values()]), pa.array([n[h] for h in got])], ["host", "wrapper", "pages"])
 
     def whole(t: pa.Table) -> pa.Table:
-        parts = sorted(t.column("wrapper").to_pylist())
-        return pa.table({"host": t.column("host").slice(0, 1).to_pylist(), "wrapper": [json.dumps(merge([json.loads(x) for x in parts]))]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+        parts, n = sorted(t.column("wrapper").to_pylist()), sum(sorted(t.column("pages").to_pylist()))
+        row = {"host": t.column("host").slice(0, 1).to_pylist(), "wrapper": [json.dumps(merge([json.loads(x) for x in parts]))], "pages": [n]}
+        return pa.table(row, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.float64())]))
 
-    each = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(part, "host string, wrapper string")
-    return each.groupBy("host").applyInArrow(whole, "host string, wrapper string")
+    made = "host string, wrapper string, pages double"
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    same = [F.xxhash64("host", "html").alias("h"), F.xxhash64("html", "host").alias("g")]
+    # only pages that have copies are looked up; written, so that the size is known and the html is not exchanged for a small table
+    copies = durable(rows.select(*same).groupBy("h", "g").agg(F.count("*").alias("copies")).where("copies > 1"), "wrappers-copies")
+    counted = rows.select("host", "html", *same).join(copies, ["h", "g"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return counted.mapInArrow(part, made).groupBy("host").applyInArrow(whole, made)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     wrappers = infer(pages)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[bool, set[str]]] = {}
+        known: dict[tuple[str, float], tuple[bool, set[str]]] = {}
         for batch in batches:
             text = []
-            for page, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if w not in known:
+            for page, w, n in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
+                if (w, n) not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[w] = decisions(json.loads(w)) if w else (False, set())
-                text.append(main_text(tokenise(page or ""), *known[w]))
+                    known[w, n] = decisions(json.loads(w), n) if w else (False, set())
+                text.append(main_text(tokenise(page or ""), *known[w, n]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -203,6 +203,19 @@ def test_main_text(spark):
     assert got[2].text == got[3].text == "" and got[4].text.startswith("Head & line")
 
 
+def test_steady_texts_are_whole_and_on_distinct_pages(spark):
+    lead = "a shared passage that opens every part of the series " * 5
+    rows = [(i, f"http://a/{i}", f"<div><p>{lead}part {i}</p></div>") for i in range(1, 5)]
+    rows += [(10 + i, f"http://b/{i}", "<div><p>said once, held four times</p></div>" if i < 4 else f"<div><h2>t</h2><p>other {i}</p></div>") for i in range(6)]
+    rows += [(20 + i, f"http://c/{i}", f"<table><tr><td>licence</td></tr></table><p>text {i}</p>" if i < 3 else f"<div><p>own {i}</p></div>") for i in range(9)]
+    rows += [(30 + i, f"http://d/{i}", f"<div>legal line</div><p>text {i}</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == lead + f"part {i}" for i in range(1, 5))
+    assert all(got[10 + i] == "said once, held four times" for i in range(4))
+    assert all(got[20 + i] == f"licence\ntext {i}" for i in range(3))
+    assert all(got[30 + i] == f"text {i}" for i in range(4))
+
+
 def test_wrappers_fold_and_align():
     a = wrappers.stream(wrappers.tokenise("<ul><li>a</li><li>b</li></ul><p>x</p>"))
     b = wrappers.stream(wrappers.tokenise("<ul><li>a</li></ul><h2>new</h2><p>y</p>"))
