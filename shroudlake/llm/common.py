@@ -53,10 +53,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """All labelled documents (doc_id, y); conflicting labels of an id count once, as the larger."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
 def sample_labels(labels: DataFrame, label: str, rows: int, seed: int = 7) -> DataFrame:
-    """At most ``rows`` labelled documents (doc_id, y), the first by a hash of the id; conflicting labels of an id count once, as the larger."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+    """At most ``rows`` of labelled(), the first by a hash of the id."""
+    return labelled(labels, label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
 
 
 def trim() -> None:

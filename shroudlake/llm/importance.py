@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, ascii_lower, durable, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, utf8, words
+from .common import NON_ALNUM, ascii_lower, durable, labelled, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, utf8, words
 
 BUCKETS = 10_000
 #: Labelled rows that the target model reads at most.
@@ -114,7 +114,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, row
     good = F.broadcast(picked.where("y = 1").select("doc_id"))
     target = counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left_semi"), buckets)
     if share is None:
-        share = picked.agg(F.avg("y")).first()[0]
+        share = labelled(labels, "quality").agg(F.avg("y")).first()[0]
         share = 1.0 if share is None else float(share)
     raw = counts(docs, buckets)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)

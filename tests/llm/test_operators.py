@@ -272,6 +272,12 @@ def test_importance_keeps_k(spark, documents):
     assert importance.resample(docs_of(spark, []), labels).count() == 0
 
 
+def test_importance_share_is_of_all_labels(spark):
+    df = docs_of(spark, [f"text number {i}" for i in range(100)])
+    labels = spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(100)] + [(1, 0), (None, 1), (200, None)], "doc_id long, quality int")
+    assert importance.resample(df, labels, rows=7).where("kept").count() == 25
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, "w " * (5 + i % 7), "en" if i % 3 else "fr", f"s{i % 4}", None, 0, "x") for i in range(1, 2001)] + [(None, None, None, None, None, 0, "x")]
     df = spark.createDataFrame(rows, DOC)
