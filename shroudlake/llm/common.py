@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,22 +31,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that all executors share, spark.checkpoint.dir. In local mode, where all is one machine, one of our own if it is unset; on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shroudlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a written folder removed when the application ends; results read it until then."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of numbers that are broadcast at most: some 20 MB.
+FEW = 500_000
+
+
+def sized(df: DataFrame, name: str, most: int = FEW) -> DataFrame:
+    """df written to the shared folder and counted: marked for broadcast if it has at most ``most`` rows, else joined by exchange."""
+    written = durable(df, name)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps Arrow batches of whole texts small; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, small_batches
+from .common import durable, mix, sized, small_batches
 from .components import components
 
 BITS = 64
@@ -255,13 +255,18 @@ def may_be_similar(similarity: float) -> Column:
     return (F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("pn")) + 1e-6)
 
 
-def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """(src, dst): each member of a bucket (id, band, key) with the bucket's most central one: the one whose buckets hold most, then the smallest."""
+def leader_pairs(buckets: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): each member of a bucket (id, band, key) with the bucket's most central one: the one whose buckets hold most, then the smallest.
+
+    items: (id, n, p0..). Pairs that are provably below ``similarity`` are left out.
+    """
     live = durable(buckets.join(buckets.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), ["band", "key"]), "copies-buckets")
     weight = live.groupBy("id").agg(F.sum("m").alias("w"))
     leader = live.join(weight, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("leader"))
-    met = live.join(leader, ["band", "key"]).where("id <> leader")
-    return met.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst")).distinct()
+    met = live.join(leader, ["band", "key"]).where("id <> leader").select("id", "leader").distinct()
+    other = items.withColumnsRenamed({c: f"p{c}" for c in items.columns})
+    near = met.join(items, "id").join(other, F.col("leader") == F.col("pid")).where(may_be_similar(similarity))
+    return near.select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst")).distinct()
 
 
 def bucket_links(buckets: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
@@ -307,7 +312,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py() or b"", shingle).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "words"])
+            found = [shingle_set(t.as_py() or b"", shingle).tobytes() for t in b.column(1)]
+            same = [xxhash.xxh64_intdigest(x, SEED) for x in found]
+            rows = pa.record_batch([b.column(0), pa.array(found, pa.binary())], ["doc_id", "words"])
+            # a repeated id stands for each of its texts
+            yield rows.filter(pa.array(np.array(same, np.uint64).view(np.int64) == b.column(2).to_numpy()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,10 +331,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
-        # a repeated id keeps one of its texts for the comparison
-        words = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
-        words = durable(words, "copies-words")
+        ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+        wanted = sized(one.join(ids, "id").select(F.col("id").alias("doc_id"), "digest"), "copies-wanted")
+        words = durable(texts.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(sets, "doc_id long, words binary"), "copies-words")
         sided = pairs.join(words.select(F.col("doc_id").alias("src"), F.col("words").alias("a")), "src").join(words.select(F.col("doc_id").alias("dst"), F.col("words").alias("b")), "dst")
         return durable(sided.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long"), "copies-links")
 
@@ -333,11 +341,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     same = each.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "n", "keys", "parity")])
     one = durable(same, "copies-distinct")
     buckets = one.select("id", F.posexplode("keys").alias("band", "key"))
-    pairs = durable(leader_pairs(buckets), "copies-pairs")
+    parity = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
+    pairs = durable(leader_pairs(buckets, one.select("id", "n", *parity), similarity), "copies-pairs")
     sure = verified(pairs)
     group = durable(components(one.select("id"), sure), "copies-groups")
     items = one.join(group, "id")
-    sketched = items.select("id", "component", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
+    sketched = items.select("id", "component", "n", *parity)
     rest = bucket_links(buckets, sketched, similarity)
     n, both = bit_counts(one)
     if n > 1:
@@ -351,4 +360,4 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id. Rows with a null doc_id stay. All columns stay."""
     copies = similar_groups(docs, shingle, similarity).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(durable(copies, "simhash-copies"), docs["doc_id"].cast("long") == F.col("_copy"), "left_anti")
+    return docs.join(sized(copies, "simhash-copies"), docs["doc_id"].cast("long") == F.col("_copy"), "left_anti")
