@@ -69,6 +69,16 @@ def matches(text: Column, ctx: Column, ordinal: int, rule: Rule) -> Column:
     return F.when(F.rlike(text, gate) | F.rlike(ctx, gate), rows) if rule.gate else rows
 
 
+NO_MATCHES = "cast(array() as array<struct<rule_ord:int,rule:string,type:string,text:string,start:int,end:int,confidence:double,checksum_validated:boolean>>)"
+
+
+def all_matches(text: Column, ctx: Column, rules: Sequence[str] | None = None, registry: "Detectors | None" = None) -> Column:
+    """One array of the accepted matches of all chosen rules, in the order of the rules, then of the text."""
+    chosen = [BY_NAME[n] for n in rules] if rules else [(i + 1, r) for i, r in enumerate(RULES)]
+    arrays = [matches(text, ctx, i, r) for i, r in chosen] + (registry.columns(text, ctx) if registry else [])
+    return F.flatten(F.array(*[F.coalesce(a, F.expr(NO_MATCHES)) for a in arrays]))
+
+
 def detect_pii(df: DataFrame, keys: Sequence[str], text: str = "text", context: str | None = None, rules: Sequence[str] | None = None, registry: "Detectors | None" = None) -> DataFrame:
     """(keys.., rule_ord, rule, type, text, start, end, confidence, checksum_validated, source, decision): a row for each match.
 
@@ -76,11 +86,7 @@ def detect_pii(df: DataFrame, keys: Sequence[str], text: str = "text", context:
     """
     ctx = F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
     base = df.select(*keys, plain(F.col(text)).alias("_text"), ctx.alias("_ctx"))
-    chosen = [BY_NAME[n] for n in rules] if rules else [(i + 1, r) for i, r in enumerate(RULES)]
-    arrays = [matches(F.col("_text"), F.col("_ctx"), i, r) for i, r in chosen] + (registry.columns(F.col("_text"), F.col("_ctx")) if registry else [])
-    none = F.expr("cast(array() as array<struct<rule_ord:int,rule:string,type:string,text:string,start:int,end:int,confidence:double,checksum_validated:boolean>>)")
-    # one step per family keeps each generated row small and the plan flat
-    found = base.select(*keys, F.inline(F.flatten(F.array(*[F.coalesce(a, none) for a in arrays]))))
+    found = base.select(*keys, F.inline(all_matches(F.col("_text"), F.col("_ctx"), rules, registry)))
     return found.withColumn("source", F.lit("dom")).withColumn("decision", decide(F.col("confidence")))
 
 

@@ -9,14 +9,16 @@ KEEP_TURNS, RENDERED = 30, 3
 
 
 def outcomes(turns: DataFrame) -> DataFrame:
-    """turns(session_id, turn_seq, action_type, page_url) with the outcome of each from what the next one shows."""
+    """turns(session_id, turn_seq, action_type, page_url, optionally outcome) with the outcome of each that has a next turn.
+
+    A stored outcome stays. Else another URL on the next turn, where both are there, is a navigation; then the action's type decides.
+    """
     w = Window.partitionBy("session_id").orderBy("turn_seq")
-    nxt = F.lead("page_url").over(w)
-    moved = nxt.isNotNull() & ~nxt.eqNullSafe(F.col("page_url"))
-    return turns.withColumn(
-        "outcome",
-        F.when(F.lead("turn_seq").over(w).isNull(), F.lit(None).cast("string")).when(moved, "navigation_success").when(F.col("action_type") == "type", "executed_and_sent").when(F.col("action_type") == "click", "clicked_successfully").otherwise("executed_successfully"),
-    )
+    some = lambda c: F.when(c != "", c)
+    here, there = some(F.col("page_url")), some(F.lead("page_url").over(w))
+    stored = some(F.col("outcome")) if "outcome" in turns.columns else F.lit(None).cast("string")
+    guess = F.when(here != there, "navigation_success").when(F.col("action_type") == "type", "executed_and_sent").when(F.col("action_type") == "click", "clicked_successfully").otherwise("executed_successfully")
+    return turns.withColumn("outcome", F.coalesce(stored, F.when(F.lead("turn_seq").over(w).isNotNull(), guess)))
 
 
 def last_turns(turns: DataFrame, n: int = KEEP_TURNS) -> DataFrame:

@@ -8,26 +8,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dialect
+from .rules import has
 
-#: What is a heading or a field label, not a value.
-HEADINGS = r"(?i)^(?:name|email|phone|mobile|address|date|status|action|total|amount|id|type|details?|description)s?:?\z"
-SURE_ID, SURE_NAME, SPREAD = 0.80, 0.88, 0.95
+#: Texts that are a heading, words of a field label, and the types whose values are identifiers.
+HEADINGS = (
+    "first name", "firstname", "last name", "lastname", "full name", "fullname", "name", "student", "update", "successful", "unsuccessful", "initiated", "shipped", "upi", "payment", "home", "dashboard",
+    "result", "search", "tokens", "token", "side", "ocr", "validation", "pipeline", "english", "hindi", "document", "today", "yesterday", "video", "photo",
+)
+LABEL_WORDS = (
+    "aadhaar", "aadhar", "pan", "ssn", "ifsc", "cvv", "cvc", "salary", "permanent", "account", "number", "security", "code", "branch", "bank", "date", "birth", "card", "payment", "mob", "mobile", "phone",
+    "contact", "email", "address", "order", "invoice", "vid", "dob",
+)
+IDENTIFIER_TYPES = ("username", "password", "aadhaar", "pan")
+ID_COLUMN, NAME_COLUMN = r"roll|student\s*id|enroll|reg\s*no", r"first\s*name|last\s*name|full\s*name|student\s*name"
+ID_FIELD = "roll|student|user|login|enroll|reg|account"
+SURE, SURE_SEEN, SPREAD = 0.80, 0.88, 0.95
 
 
-def confirmed(candidates: DataFrame, fields: DataFrame) -> DataFrame:
-    """(page_id, kind, value): identifiers and names that are certain, from candidates(page_id, type, source, text, confidence) and typed fields(page_id, type, value)."""
-    names = F.col("type") == "name"
-    sure = (names & (F.col("confidence") >= SURE_NAME)) | (~names & (F.col("confidence") >= SURE_ID))
-    kind = F.when(names, "name").otherwise("identifier").alias("kind")
-    a = candidates.where(sure).select("page_id", kind, F.trim("text").alias("value"))
-    b = fields.select("page_id", kind, F.trim("value").alias("value"))
-    return a.unionByName(b).where((F.length("value") >= 3) & ~F.rlike("value", F.lit(HEADINGS))).distinct()
+def is_label(value: Column) -> Column:
+    """A heading as a whole (with any spaces between its words), or a text with a word of a field label."""
+    return F.regexp_replace(F.lower(value), r"\s+", "").isin(*[h.replace(" ", "") for h in HEADINGS]) | has(value, "|".join(LABEL_WORDS))
+
+
+def identifier_like(value: Column) -> Column:
+    return (F.length(value) >= 4) & ~F.contains(value, F.lit(" ")) & F.rlike(value, F.lit("[0-9]"))
+
+
+def confirmed(candidates: DataFrame, elements: DataFrame) -> DataFrame:
+    """(page_id, kind, value): the identifiers and names that a page is sure of.
+
+    candidates: page_id, type, source, text, original_value, confidence. Of the page's elements those of SURE: types of IDENTIFIER_TYPES
+    with a digit and no space, and names; of recognised text (source ocr) names of SURE_SEEN. elements: page_id, tag, is_header, label, name, id,
+    placeholder, text, value, is_sensitive: values of sensitive or identifier fields, and cells under identifier and name columns.
+    """
+    full = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    as_rows = lambda df, *pairs: df.select("page_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.when(test, v).alias("value")) for k, v, test in pairs]))).where("value is not null")
+    text, given = full("text"), F.trim(F.coalesce(F.when(full("original_value") != "", F.col("original_value")), F.when(full("text") != "[MASKED VALUE]", F.col("text")), F.lit("")))
+    page, name = F.col("source") != "ocr", (F.col("type") == "name") & (F.length(text) >= 3) & ~is_label(text)
+    a = as_rows(
+        candidates, ("identifier", given, page & (F.col("confidence") >= SURE) & F.col("type").isin(*IDENTIFIER_TYPES) & identifier_like(given)),
+        ("name", text, name & F.when(page, F.col("confidence") >= SURE).otherwise(F.col("confidence") >= SURE_SEEN)),
+    )
+    value, label = full("value"), full("label")
+    place = F.coalesce(*[F.when(full(c) != "", full(c)) for c in ("label", "name", "id", "placeholder")], F.lit(""))
+    field = F.coalesce("is_sensitive", F.lit(False)) | F.rlike(place, F.lit(f"(?i){ID_FIELD}"))
+    body = elements.where("not coalesce(is_header, false) and coalesce(tag, '') <> 'th'")
+    b = as_rows(
+        body, ("identifier", value, field & identifier_like(value)),
+        ("identifier", text, F.rlike(label, F.lit(f"(?i){ID_COLUMN}")) & F.length(text).between(6, 25) & F.rlike(text, F.lit("[0-9]")) & ~F.rlike(text, F.lit("(?i)roll"))),
+        ("name", text, F.rlike(label, F.lit(f"(?i){NAME_COLUMN}")) & F.length(text).between(2, 40) & ~is_label(text)),
+    )
+    return a.unionByName(b).distinct()
 
 
 def spread(values: DataFrame, elements: DataFrame, candidates: DataFrame) -> DataFrame:
     """(page_id, elem_idx, kind, value, confidence): further elements of a page whose text holds a confirmed value and has no candidate of that text yet."""
     known = candidates.select("page_id", "elem_idx", F.col("text").alias("value")).distinct()
-    met = elements.join(values.withColumnRenamed("page_id", "_p"), (F.col("page_id") == F.col("_p")) & F.contains(F.col("text"), F.col("value")))
+    own = elements.select("page_id", "elem_idx", "text")
+    met = own.join(values.withColumnRenamed("page_id", "_p"), (F.col("page_id") == F.col("_p")) & F.contains(F.col("text"), F.col("value")))
     return met.select("page_id", "elem_idx", "kind", "value").join(known, ["page_id", "elem_idx", "value"], "left_anti").withColumn("confidence", F.lit(SPREAD))
 
 
@@ -36,13 +74,13 @@ def _within(region: Column, b: Column, slack: int) -> Column:
 
 
 def document_shields(regions: DataFrame, candidates: DataFrame, slack: int = 15) -> DataFrame:
-    """Regions that hold an identity number and no shield yet, each as one shield candidate."""
-    c = candidates.select(F.col("page_id").alias("_p"), F.col("bbox").alias("_b"), F.col("type").alias("_t"), F.coalesce("reason", F.lit("")).alias("_r"))
-    met = regions.join(c, (F.col("page_id") == F.col("_p")) & _within(F.col("bbox"), F.col("_b"), slack))
-    kinds = met.groupBy("page_id", "region_idx").agg(
-        F.first("bbox").alias("bbox"), F.bool_or(F.col("_t") == "aadhaar").alias("aadhaar"), F.bool_or(F.col("_t") == "pan").alias("pan"), F.bool_or((F.col("_t") == "identity_document") | F.startswith("_r", F.lit("document_shield:"))).alias("shielded")
-    )
-    which = F.when(F.col("pan"), "pan").when(F.col("aadhaar"), "aadhaar")
+    """Regions of 80 by 50 or more that hold an identity number (by type, or named in the reason) and no shield yet, each as one shield candidate."""
+    c = candidates.select(F.col("page_id").alias("_p"), F.col("bbox").alias("_b"), F.coalesce("type", F.lit("")).alias("_t"), F.coalesce("reason", F.lit("")).alias("_r"))
+    large = regions.where("bbox.width >= 80 and bbox.height >= 50")
+    met = large.join(c, (F.col("page_id") == F.col("_p")) & _within(F.col("bbox"), F.col("_b"), slack))
+    holds = lambda kind: F.bool_or((F.col("_t") == kind) | F.contains("_r", F.lit(kind))).alias(kind)
+    kinds = met.groupBy("page_id", "region_idx").agg(F.first("bbox").alias("bbox"), holds("aadhaar"), holds("pan"), F.bool_or((F.col("_t") == "identity_document") | F.startswith("_r", F.lit("document_shield:"))).alias("shielded"))
+    which = F.when(F.col("aadhaar"), "aadhaar_card").when(F.col("pan"), "pan_card")
     return kinds.where(which.isNotNull() & ~F.col("shielded")).select("page_id", "region_idx", "bbox", F.lit("identity_document").alias("type"), F.lit(1.0).alias("confidence"), F.concat(F.lit("document_shield:"), which).alias("reason"))
 
 
@@ -56,25 +94,66 @@ def avatar_shields(regions: DataFrame, candidates: DataFrame, slack: int = 5) ->
     return free.select("page_id", "region_idx", "bbox", F.lit("face").alias("type"), F.coalesce("avatar_confidence", F.lit(0.85)).alias("confidence"), F.lit("avatar_shield").alias("reason"))
 
 
-#: Document shields in order: id, number shape, authority words, document words, full title.
-DOCUMENTS = (
-    ("pan", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", r"income\s*tax\s*department|govt\.?\s*of\s*india", r"permanent\s*account|father|birth|signature", r"permanent\s*account\s*number\s*card"),
-    ("aadhaar", r"\b[2-9]\d{3}\s?\d{4}\s?\d{4}\b", r"unique\s*identification|aadhaar|uidai", r"enrol?ment|mera\s*aadhaar", r"aadhaar"),
-    ("voter_id", r"\b[A-Z]{3}[0-9]{7}\b", r"election\s*commission", r"elector|voter|photo\s*identity", r"elector(?:'s)?\s*photo\s*identity\s*card"),
-    ("passport", r"\b[A-Z][0-9]{7}\b", r"republic\s*of|passport\s*office", r"passport", r"P<IND"),
-    ("driving_licence", r"\b[A-Z]{2}[0-9]{2}\s?[0-9]{11}\b", r"transport\s*department|licen[cs]ing\s*authority", r"driving\s*licen[cs]e|valid(?:ity)?", r"driving\s*licen[cs]e"),
-)
-
-
-def document_kind(text: Column, width: Column, height: Column) -> Column:
-    """The first kind of identity document that a region's text shows; null for regions below 80 by 50."""
-    see = lambda p, flags="(?i)": F.rlike(text, F.lit(flags + dialect(p)))
-    tests = []
-    for name, number, authority, words, title in DOCUMENTS:
-        n, a, w, t = see(number, ""), see(authority), see(words), see(title)
-        test = {"pan": (n & (a | w)) | (a & w) | t, "aadhaar": n | a | w, "voter_id": (n & (a | w)) | (a & w) | t, "passport": (a & w) | t, "driving_licence": (a & w) | t}[name]
-        tests.append(F.when(test, name))
-    return F.when((width >= 80) & (height >= 50), F.coalesce(*tests))
+#: What shows an identity document, by kind: the number's shape, who issues it, what it calls itself, a title that settles it, other hints. Names have the letter confusions of recognised text.
+INDIA = r"of\s*ind[li1|]a"
+DOCUMENTS = {
+    "pan": {
+        "number": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
+        "issuer": rf"inco?me\s*tax\s*dep|आयकर\s*विभाग|govt\.?\s*{INDIA}[^\n\r]*?(?:tax|pan|income|nsdl|utiitsl)|\b(?:nsdl|utiitsl|protean)\b",
+        "name": r"permanent\s*account\s*number|स्थायी\s*लेखा\s*संख्या|\bpan\s*(?:card|no|number)\b",
+        "title": r"permanent\s*account\s*number|स्थायी\s*लेखा\s*संख्या",
+        "hint": "father|birth|signature|permanent",
+    },
+    "aadhaar": {
+        "number": r"\b[2-9]\d{3}\s?\d{4}\s?\d{4}\b|\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b",
+        "issuer": rf"uni?que\s*identifi?cation\s*auth?ori?ty|भारतीय\s*विशिष्ट\s*पहचान|uidai|u1dai|uldai|gove?rn?me?nt\s*{INDIA}|govt\.?\s*{INDIA}|भारत\s*सरकार",
+        "name": r"\b(?:aadhaar|aadhar|आधार)\b|\b(?:vid|virtual\s*id)\b|helpdesk\s*:\s*1947|\b1947\b|enrol(?:l)?ment\s*(?:no|number)|नामांकन\s*संख्या",
+        "title": r"uidai|u1dai|uldai|mera\s*aadhaar|मेरा\s*आधार|meri\s*pehchan|मेरी\s*पहचान",
+        "hint": "dob|birth|male|female|gender|address|s/o|d/o|w/o|enrol",
+    },
+    "voter_id": {
+        "number": r"\b[A-Z]{3}[0-9]{7}\b",
+        "issuer": rf"election\s*commission\s*{INDIA}|भारत\s*निर्वाचन\s*आयोग",
+        "name": r"elector\s*photo\s*identity\s*card|मतदाता\s*फोटो\s*पहचान\s*पत्र|\b(?:epic\s*no|voter\s*id|elector\s*name)\b",
+        "title": r"elector\s*photo\s*identity",
+    },
+    "passport": {
+        "issuer": rf"republic\s*{INDIA}|भारत\s*गणराज्य|ministry\s*of\s*external\s*affairs|विदेश\s*मंत्रालय",
+        "name": r"\b(?:passport|पासपोर्ट)\b|type\s*<\s*p|p\s*<\s*ind|country\s*code\s*ind|passport\s*no|पासपोर्ट\s*संख्या",
+        "title": r"p\s*<\s*ind",
+    },
+    "driving_licence": {
+        "issuer": rf"union\s*{INDIA}|transport\s*dep|motor\s*vehicles|state\s*transport|regional\s*transport|\brto\b",
+        "name": r"driving\s*licen[cs]e|ड्राइविंग\s*लाइसेंस|\b(?:dl\s*no|form\s*7|authorisation\s*to\s*drive)\b",
+        "title": r"driving\s*licen[cs]e",
+    },
+}
+
+
+def document_kind(text: Column, width: Column, height: Column, found: Column | None = None) -> Column:
+    """The first kind of identity document that a region's text shows; null for regions below 80 by 50.
+
+    found: the types of the detector's matches in the region (array of strings); a match of a kind counts as its number.
+    """
+    body = F.coalesce(text, F.lit(""))
+    kinds = F.coalesce(found, F.expr("cast(array() as array<string>)")) if found is not None else F.expr("cast(array() as array<string>)")
+
+    def see(kind: str, part: str) -> Column:
+        pattern = DOCUMENTS[kind].get(part)
+        return F.rlike(body, F.lit(("" if part == "number" else "(?i)") + dialect(pattern))) if pattern else F.lit(False)
+
+    shows = {}
+    for kind in DOCUMENTS:
+        number = F.array_contains(kinds, kind) | see(kind, "number")
+        issuer, name, title, hint = (see(kind, part) for part in ("issuer", "name", "title", "hint"))
+        shows[kind] = (issuer & name) | title
+        if kind == "pan":
+            shows[kind] |= number & (issuer | name | hint)
+        elif kind == "aadhaar":
+            shows[kind] = number | title | name | (issuer & hint)
+        elif kind == "voter_id":
+            shows[kind] |= number & (issuer | name)
+    return F.when((width >= 80) & (height >= 50), F.coalesce(*[F.when(test, kind) for kind, test in shows.items()]))
 
 
 def labels(elements: DataFrame) -> DataFrame:

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import overlaps
 from ..functions.text import plain, replace_spans
-from .detect import detect_pii
+from .detect import all_matches
+from .rules import REDACT
 
 MARK = "[REDACTED]"
 
 
 def redact_text(df: DataFrame, key: str, text: str = "text", mode: str = "compat", rules: list[str] | None = None) -> DataFrame:
-    """(key, sanitized, n_redacted): every text with its REDACT spans replaced."""
-    found = detect_pii(df, [key], text, rules=rules).where("decision = 'REDACT'")
-    each = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rule_ord", F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"))
-    clean = plain(F.col(text))
-    out = df.select(key, clean.alias("_t")).join(each, key, "left")
-    return out.select(key, F.when(F.col("spans").isNotNull(), replace_spans(F.col("_t"), F.col("spans"), MARK, mode)).otherwise(F.col("_t")).alias("sanitized"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_redacted"))
+    """(key, sanitized, n_redacted): every row's text with its own REDACT spans replaced; no shuffle, and rows may share a key."""
+    clean = df.select(key, plain(F.col(text)).alias("_t"))
+    gone = F.transform(F.filter(all_matches(F.col("_t"), F.lit(""), rules), lambda x: x["confidence"] >= REDACT), lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))
+    out = clean.select(key, "_t", gone.alias("_s"))
+    return out.select(key, F.when(F.size("_s") > 0, replace_spans(F.col("_t"), F.col("_s"), MARK, mode)).otherwise(F.col("_t")).alias("sanitized"), F.size("_s").alias("n_redacted"))
 
 
 def interaction(tag: Column, kind: Column, role: Column) -> Column:
