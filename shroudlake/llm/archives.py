@@ -3,13 +3,15 @@
 An ARC file starts with a version block, ``filedesc://``, whose second line names the version; its
 third line is the layout of the header lines. Version 1 headers have five fields (URL, IP,
 date, type, length), version 2 ten (result code, checksum, location, offset and file name besides). A record's body
-has the declared length. Each becomes a WARC/1.0 record with an identifier derived from its URL,
-date and digest, the date in ISO form, its type, and SHA-1 digests; a body equal to that of another record becomes a
-revisit of it. Every WARC record is a gzip member of its own.
+has the declared length. Each becomes a WARC/1.0 record with an identifier derived from its key (page_id)
+and payload digest, the date in ISO form, its type, and SHA-1 digests; a body equal to that of another record becomes a
+revisit of it, and refers to the identifier that follows from that record's key and the same digest. Every WARC record
+is a gzip member of its own.
 
 Defined cases: a null body is empty; a null URL is written as ``urn:null``; a record whose header
-or length cannot be read raises ValueError; the table's nulls in page_id are left out; repeated
-page_ids each get a record; other columns are ignored.
+or length cannot be read raises ValueError; a row with a null page_id gets a record too, which is never revisited and revisits
+the largest page_id of its payload if there is one; repeated page_ids each get a record, those of the largest with equal payloads all as
+responses, under one identifier as they are equal; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir, small_batches
+from .common import durable, shared_dir, sized, small_batches, until_exit
 
 #: The header layouts of the two versions.
 LAYOUT = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -34,6 +36,8 @@ SEGMENT_BYTES = 8 << 20
 #: Bodies from this size on can be revisits.
 LEAST_REVISIT = 1000
 DATE = "20200101000000"
+#: The key of a row without a page_id.
+NO_KEY = "null"
 
 
 def arc_head(version: int, name: str) -> bytes:
@@ -94,18 +98,22 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>"
 
 
+def identity(key: str, digest: str) -> str:
+    return f"{key}#{digest}"
+
+
 def to_warc(fields: dict, key: str, refers_to: str | None = None) -> bytes:
     """The WARC record of an ARC record: a response, or a revisit of ``refers_to`` with the HTTP headers only."""
     http, payload = split_http(fields["body"])
     block = http if refers_to is not None else http + payload
-    kind = "revisit" if refers_to is not None else "response"
+    kind, digest = "revisit" if refers_to is not None else "response", hashlib.sha1(payload).hexdigest()
     lines = [
-        "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {iso(fields['Archive-date'])}", f"WARC-Target-URI: {fields['URL']}",
-        f"WARC-IP-Address: {fields['IP-address']}", f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
+        "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(identity(key, digest))}", f"WARC-Date: {iso(fields['Archive-date'])}", f"WARC-Target-URI: {fields['URL']}",
+        f"WARC-IP-Address: {fields['IP-address']}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
         f"WARC-Source-Key: {key}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Key: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(identity(refers_to, digest))}", f"WARC-Refers-To-Key: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -116,10 +124,16 @@ def gz(data: bytes) -> bytes:
 
 def read_warc(data: bytes) -> Iterator[dict]:
     """The records of a WARC file of gzip members: headers by name, and block."""
-    while data:
-        d = zlib.decompressobj(31)
-        raw, data = d.decompress(data) + d.flush(), d.unused_data
-        at = 0
+    view, place = memoryview(data), 0
+    while place < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            if place >= len(view):
+                raise ValueError("a gzip member is cut short")
+            parts.append(d.decompress(view[place : place + (1 << 14)]))
+            place += 1 << 14
+        place = min(place, len(view)) - len(d.unused_data)
+        raw, at = b"".join(parts), 0
         while at < len(raw):
             stop = raw.index(b"\r\n\r\n", at)
             head = raw[at:stop].decode().split("\r\n")
@@ -139,16 +153,26 @@ def opener(folder: str):
     return pafs.FileSystem.from_uri(folder)
 
 
+def with_responses(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, response): response is the largest page_id of the same payload, where several rows have it and it is long enough.
+
+    The payloads that recur are looked up by broadcast if they are few; else rows are exchanged by digest, rows without one by a number of their own.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
+    digest = F.unhex(F.sha1("html"))
+    keyed = rows.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", digest.alias("digest"))
+    largest = keyed.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL").select("digest", "response")
+    alone = F.concat(F.lit(b"-"), F.xxhash64("page_id", "url").cast("string").cast("binary"))
+    return rows.withColumn("digest", F.when(F.octet_length("html") >= LEAST_REVISIT, digest).otherwise(alone)).join(sized(largest, "warc-copies"), "digest", "left").select("page_id", "url", "html", "response")
+
+
 def convert(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Writes pages(page_id, url, html) as ARC segments, version 1 and 2 in turn, converts each and puts the WARC files into ``folder``; returns (path, n_records).
 
-    File names come from the segment's content, so a task that runs again writes the same files.
+    File names are a hash of the segment's content, so a task that runs again writes the same files.
     """
     small_batches(pages.sparkSession)
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    keyed = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(f"size >= {LEAST_REVISIT}")
-    largest = keyed.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
-    joined = rows.withColumn("digest", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha1("html"))).join(largest, "digest", "left").select("page_id", "url", "html", "response")
+    joined = with_responses(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = opener(folder)
@@ -157,7 +181,7 @@ def convert(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) -
         def store(part: list[tuple]) -> pa.RecordBatch:
             nonlocal turn
             version, turn = 1 + turn % 2, turn + 1
-            name = f"segment-{part[0][0]}-{len(part)}-{hashlib.sha1(repr([(p, len(h)) for p, _, h, _ in part]).encode()).hexdigest()[:16]}"
+            name = f"segment-{hashlib.sha1(repr([(p, u, hashlib.sha1(h).digest(), to) for p, u, h, to in part]).encode()).hexdigest()}"
             arc = io.BytesIO()
             arc.write(arc_head(version, f"{name}.arc"))
             for _, url, html, _ in part:
@@ -165,7 +189,7 @@ def convert(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) -
                 arc.write(arc_record(version, url, head + html, f"{name}.arc", arc.tell()))
             out = io.BytesIO()
             for (page, _, _, response), fields in zip(part, read_arc(arc.getvalue()), strict=True):
-                out.write(gz(to_warc(fields, str(page), None if response is None or response == page else str(response))))
+                out.write(gz(to_warc(fields, NO_KEY if page is None else str(page), None if response is None or response == page else str(response))))
             temp, done = f"{top}/{name}.{uuid.uuid4().hex}.tmp", f"{top}/{name}.warc.gz"
             with fs.open_output_stream(temp) as f:
                 f.write(out.getvalue())
@@ -204,7 +228,8 @@ def read_back(files: DataFrame, folder: str) -> DataFrame:
                         raise ValueError(f"payload of {r['WARC-Record-ID']} does not have its digest")
                     size = len(payload) if kind == "response" else int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
                     to = r.get("WARC-Refers-To-Key")
-                    rows.append((int(r["WARC-Source-Key"]), size, digest, kind, None if to is None else int(to)))
+                    own = r["WARC-Source-Key"]
+                    rows.append((None if own == NO_KEY else int(own), size, digest, kind, None if to is None else int(to)))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
@@ -218,14 +243,15 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    until_exit(spark, folder)
     files = durable(convert(pages, folder), "warc-files")
     return read_back(files.repartition(2 * spark.sparkContext.defaultParallelism), folder)
 
 
 SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
-m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS r FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN r = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN r <> page_id THEN r END AS refers_to FROM m
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS r FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN r IS NULL OR r IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN r IS DISTINCT FROM page_id THEN r END AS refers_to FROM m
 """
