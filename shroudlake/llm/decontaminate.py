@@ -3,18 +3,18 @@
 A seed is a fixed mask over SPAN token places; the places it skips may differ between a document
 and a benchmark item and the seed still hits. Hashes of the kept places of every benchmark
 position and every document position are joined; around each hit the aligned tokens are
-compared, and a hit counts if enough of them agree. Items shorter than SPAN but of SHORTEST
-tokens or more are sought as a whole, all places kept.
+compared, and a hit counts if enough of them agree. Items shorter than SPAN are sought as a whole, all places kept:
+those of SHORTEST tokens or more anywhere in a text, shorter ones, which any text may hold by chance, as a whole text.
 
 Most positions are sorted out before any row is made for them: the benchmark's seed hashes, and its
 pairs of neighbouring tokens (each seed keeps its last two places), are hash sets of the plan if there
 are at most LITERALS of each, and only positions that pass become rows; the join then decides.
-Without these sets more positions become rows; the result is the same.
+Without these sets more positions become rows; the result is the same. A row carries the tokens around its position, not the text.
 
 The benchmark's seeds are broadcast only if there are at most BROADCAST_ROWS of them (about 40
 bytes each); beyond that the seeds of both sides are exchanged by hash.
 
-Defined cases: null and empty texts and items of fewer than SHORTEST tokens match nothing; repeated
+Defined cases: null and empty texts and items match nothing; repeated
 rows and items each count; rows with a null doc_id or item_id are left out; empty tables give
 no pairs; other columns are ignored. Tokens are lower-cased runs of letters and digits.
 """
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, sized
 
 #: Seeds over 12 tokens, 8 of them kept.
 SEEDS = ("111011010111", "110110111011", "101111001111")
@@ -67,31 +67,34 @@ def members(hashes: DataFrame) -> str | None:
 
 
 def candidates(texts: DataFrame, masks: list[str], index: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, toks, at, h) of the positions that pass the filters. texts has doc_id and toks."""
+    """(doc_id, at, base, near, h) of the positions that pass the filters; near has the tokens from position base on that a hit looks at. texts has doc_id and toks."""
     pair = "zip_with(toks, slice(toks, 2, size(toks)), (a, b) -> xxhash64(a, b))"
     seeds, pairs = members(index.select("h")), members(items.select(F.explode(F.expr(pair)).alias("h")))
     tests = []
     for n in sorted({len(m) for m in masks}):
         hashes = ", ".join(f"xxhash64('{m}', " + ", ".join(f"get(toks, i + {p})" for p in kept(m)) + ")" for m in masks if len(m) == n)
         own = f"exists(array({hashes}), h -> h in {seeds})" if seeds else "true"
-        last = f"get(pairs, i + {n - 2}) in {pairs}" if pairs else "true"
-        tests.append(f"(i + {n} <= size(toks) AND {last} AND {own})")
+        last = f"get(pairs, i + {n - 2}) in {pairs}" if pairs and n > 1 else "true"
+        tests.append(f"({'i = 0 AND size(toks) =' if n < SHORTEST else f'i + {n} <='} {n if n < SHORTEST else 'size(toks)'} AND {last} AND {own})")
     shortest = min(map(len, masks))
     some = f"filter(sequence(0, size(toks) - {shortest}), i -> {' OR '.join(tests)})"
     # explode of one element: a step that the optimiser does not merge, so a text is cut into tokens once
     once = lambda df, *cols: df.select("doc_id", F.explode(F.array(F.struct(*cols))).alias("r")).select("doc_id", "r.*")
     long_enough = once(texts, F.col("toks")).where(F.size("toks") >= shortest)
     at = once(once(long_enough, F.col("toks"), F.expr(pair).alias("pairs")), F.col("toks"), F.expr(some).alias("some")).where("size(some) > 0")
-    at = durable(at, "benchmark-hits")  # few documents; the literals stay out of the plans that follow
-    rows = at.select("doc_id", "toks", F.explode("some").alias("at"))
-    return rows.select("doc_id", "toks", "at", F.explode(F.array(*[seed_hash(m, F.col("toks"), F.col("at")) for m in masks])).alias("h")).where("h is not null")
+    spot = f"transform(some, i -> struct(i AS at, size(toks) AS n, greatest(i - {AROUND}, 0) AS base, slice(toks, greatest(i - {AROUND}, 0) + 1, {SPAN + 2 * AROUND}) AS near))"
+    rows = at.select("doc_id", F.explode(F.expr(spot)).alias("r")).select("doc_id", "r.*")
+    rows = durable(rows, "benchmark-hits")  # few positions; the literals stay out of the plans that follow
+    own = lambda m: seed_hash(m, F.col("near"), F.col("at") - F.col("base"))
+    hashed = [F.when(F.col("n") == len(m), own(m)) if len(m) < SHORTEST else own(m) for m in masks]
+    return rows.select("doc_id", "at", "base", "near", F.explode(F.array(*hashed)).alias("h")).where("h is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, n_hits, agreement): the documents that hold benchmark text, each with the items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens("text").alias("toks")).where(f"item_id is not null and size(toks) >= {SHORTEST}")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens("text").alias("toks")).where("item_id is not null and size(toks) >= 1")
     items = durable(items, "benchmark-items")
-    lengths = [r[0] for r in items.where(F.size("toks") < SPAN).select(F.size("toks")).distinct().collect()]  # at most SPAN - SHORTEST
+    lengths = [r[0] for r in items.where(F.size("toks") < SPAN).select(F.size("toks")).distinct().collect()]  # fewer than SPAN
     long_items = seeded(items.where(F.size("toks") >= SPAN), list(SEEDS), "item_id")
     sides = [long_items, *[seeded(items.where(F.size("toks") == n), ["1" * n], "item_id") for n in sorted(lengths)]]
     index = durable(reduce(DataFrame.unionByName, sides).select("item_id", F.col("at").alias("j"), "h"), "benchmark-seeds")
@@ -103,12 +106,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> Dat
     hits = probes.join(F.broadcast(index) if small else index, "h").join(F.broadcast(named) if small else named, "item_id")
     low = F.greatest(F.lit(0), F.col("j") - AROUND)
     high = F.least(F.size("item"), F.col("j") + SPAN + AROUND)
-    same = F.size(F.filter(F.sequence(low, high - 1), lambda p: (p + F.col("at") - F.col("j") >= 0) & (F.get("toks", p + F.col("at") - F.col("j")) == F.get("item", p))))
+    place = lambda p: p + F.col("at") - F.col("j") - F.col("base")
+    same = F.size(F.filter(F.sequence(low, high - 1), lambda p: (place(p) >= 0) & (F.get("near", place(p)) == F.get("item", p))))
     scored = hits.select("doc_id", "item_id", (same / (high - low)).alias("agreement"))
     return scored.where(F.col("agreement") >= agree).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.round(F.max("agreement"), 6).alias("agreement"))
 
 
+def sql() -> str:
+    """overlaps() as DuckDB SQL over documents and benchmark."""
+    cut = f"list_filter(regexp_split_to_array(lower(text), '{BREAKS}'), lambda w: w <> '')"
+    masks = ", ".join(f"('{m}', {kept(m)})" for m in SEEDS)
+    seeds = lambda t, key, pos: f"SELECT {key}, {pos}, m, list_transform(k, lambda p: toks[{pos} + p + 1]) AS h FROM (SELECT {key}, toks, unnest(range(len(toks) - {SPAN - 1})) AS {pos} FROM {t} WHERE len(toks) >= {SPAN}), masks"
+    return f"""
+WITH masks(m, k) AS (VALUES {masks}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {cut} AS toks FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS s, * FROM (SELECT item_id, {cut} AS toks FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(toks) >= 1),
+lengths AS (SELECT DISTINCT len(toks) AS n FROM i WHERE len(toks) < {SPAN}),
+idx AS ({seeds("i", "s", "j")} UNION ALL SELECT s, 0, len(toks)::VARCHAR, toks FROM i WHERE len(toks) < {SPAN}),
+probes AS ({seeds("d", "r", "pos")}
+  UNION ALL SELECT r, pos, n::VARCHAR, toks[pos + 1 : pos + n] FROM (SELECT r, toks, n, unnest(range(len(toks) - n + 1)) AS pos FROM d, lengths WHERE n >= {SHORTEST} AND len(toks) >= n)
+  UNION ALL SELECT r, 0, n::VARCHAR, toks FROM d JOIN lengths ON len(toks) = n WHERE n < {SHORTEST}),
+hits AS (SELECT doc_id, item_id, pos, j, d.toks AS toks, i.toks AS item, greatest(0, j - {AROUND}) AS low, least(len(i.toks), j + {SPAN + AROUND}) AS high
+  FROM probes JOIN idx USING (m, h) JOIN d USING (r) JOIN i USING (s)),
+scored AS (SELECT doc_id, item_id, len(list_filter(range(low, high), lambda p: p + pos - j >= 0 AND toks[p + pos - j + 1] = item[p + 1])) / (high - low) AS agreement FROM hits)
+SELECT doc_id, item_id, count(*) AS n_hits, round(max(agreement), 6) AS agreement FROM scored WHERE agreement >= {AGREE} GROUP BY doc_id, item_id
+"""
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold benchmark text; all columns stay."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    found = sized(overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "benchmark-leaks")
     return docs.join(found, docs["doc_id"].cast("long") == F.col("_leak"), "left_anti")

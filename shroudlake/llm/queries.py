@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +68,8 @@ def queries() -> dict[str, Query]:
         op1_wrapper_text, op2_ftrl_toxicity, op3_suffix_repeats, op4_raked_mixture, op5_arc_to_warc,
         op6_quality_rules, op7_spaced_seeds, op8_simhash_groups, op9_pii_tagger, op10_importance_resampling,
     )
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_raked_mixture": mixing.sql(), "op5_arc_to_warc": archives.SQL}
+    return {"op4_raked_mixture": mixing.sql(), "op5_arc_to_warc": archives.SQL, "op7_spaced_seeds": decontaminate.sql()}
