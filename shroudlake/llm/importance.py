@@ -11,7 +11,7 @@ The k-th largest key is found by counting keys in 4096 bins and narrowing to one
 sorts all keys. Ties at the k-th key are ordered by a hash of doc_id, then doc_id.
 
 Defined cases: a null or empty text has log weight 0; rows with a null doc_id are scored and never
-sampled; repeated ids are drawn together up to the limit; without good labels all weights are 0;
+sampled; rows that share an id share their noise and count singly, so exactly k rows are kept; without good labels all weights are 0;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, ascii_lower, durable, labelled, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, utf8, words
+from .common import NON_ALNUM, ascii_lower, durable, labelled, mix, pair_hash, run_hash, sample_labels, sized, small_batches, spans_of, utf8, words
 
 BUCKETS = 10_000
 #: Labelled rows that the target model reads at most.
@@ -118,17 +118,18 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, row
         share = 1.0 if share is None else float(share)
     raw = counts(docs, buckets)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    keyed = durable(weigh(docs, log_ratio(target, raw)).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "importance")
-    keys = keyed.where("doc_id is not null").select("doc_id", F.col("gumbel_key").alias("key"))
+    keyed = weigh(docs, log_ratio(target, raw)).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    # written once, with a number for each row, so rows that share an id and a key can be told apart
+    keyed = durable(keyed.withColumn("row", F.monotonically_increasing_id()), "importance")
+    keys = keyed.where("doc_id is not null").select("doc_id", "row", F.col("gumbel_key").alias("key"))
     n = keys.count()
     k = round(share * n)
+    shown = lambda kept: keyed.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))
     if not 0 < k < n:
-        return keyed.withColumn("kept", F.col("doc_id").isNotNull() & F.lit(k > 0))
+        return shown(F.col("doc_id").isNotNull() & F.lit(k > 0))
     lo, hi, above = kth_bin(keys, k)
     # the rest of the k come from one narrow bin
-    edge = keys.where((F.col("key") >= lo) & (F.col("key") < hi)).orderBy(F.desc("key"), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(k - above)
-    last = edge.groupBy("doc_id").agg(F.count("*").alias("draws"))
-    inside = (F.col("gumbel_key") >= lo) & (F.col("gumbel_key") < hi)
-    return keyed.join(last, "doc_id", "left").select(
-        "doc_id", "n_grams", "log_weight", "gumbel_key", F.coalesce((F.col("gumbel_key") >= hi) | (inside & F.col("draws").isNotNull()), F.lit(False)).alias("kept")
-    ).withColumn("kept", F.col("kept") & F.col("doc_id").isNotNull())
+    edge = keys.where((F.col("key") >= lo) & (F.col("key") < hi)).orderBy(F.desc("key"), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "row").limit(k - above)
+    drawn = sized(edge.select("row", F.lit(True).alias("drawn")), "importance-edge")
+    keyed = keyed.join(drawn, "row", "left")
+    return shown(F.col("doc_id").isNotNull() & ((F.col("gumbel_key") >= hi) | F.coalesce("drawn", F.lit(False))))
