@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import TAGS, Tagger, char_ids
-from .common import small_batches, trim, utf8
+from .common import durable, small_batches, trim, utf8
 
 KINDS = TAGS[1:]
 #: The base patterns of the contract.
@@ -151,14 +152,22 @@ def fit(docs: DataFrame, windows: int = WINDOWS) -> Tagger | None:
     """From at most ``windows`` windows around base spans, the first of each kind by a hash of window and document."""
     small_batches(docs.sparkSession)
 
+    most = windows // len(KINDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, list[tuple]] = {k: [] for k in KINDS}
         for batch in batches:
-            rows = [x for t in marked(batch.column(0)) if t for x in examples(t, base_spans(t))]
-            if rows:
-                yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["w", "s", "e", "k"])
-
-    found = docs.select("text").mapInArrow(run, "w string, s long, e long, k string")
-    each = [found.where(F.col("k") == k).orderBy(F.xxhash64("w"), "w", "s").limit(windows // len(KINDS)) for k in KINDS]
+            for text in filter(None, marked(batch.column(0))):
+                for w, s, e, k in examples(text, base_spans(text)):
+                    best[k].append((xxhash.xxh64_intdigest(w.encode(), 9) >> 1, w, s, e, k))
+            best = {k: sorted(set(rows))[:most] for k, rows in best.items()}  # a window that recurs counts once
+        rows = [r for k in KINDS for r in best[k]]
+        if rows:
+            yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["h", "w", "s", "e", "k"])
+
+    # one scan; each task sends its first of each kind
+    found = durable(docs.select("text").mapInArrow(run, "h long, w string, s long, e long, k string"), "pii-windows").distinct()
+    each = [found.where(F.col("k") == k).orderBy("h", "w", "s").limit(most) for k in KINDS]
     union = each[0]
     for x in each[1:]:
         union = union.unionByName(x)
