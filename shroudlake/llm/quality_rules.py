@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, byte_class, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, trim, utf8, words
+from .common import MUL_A, MUL_B, WHITE, byte_class, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, trim, utf8, words
 
 BITS = 18
 #: Labelled rows that fitting reads at most.
@@ -60,22 +60,32 @@ def counted(b: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def characters(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, document) of each character: its UTF-8 bytes as one number."""
+    at = np.flatnonzero(~CONTINUED[b])
+    size = np.diff(np.append(at, len(b)))
+    code = b[at].astype(np.uint64)
+    for k in range(1, 4):
+        long = np.flatnonzero(size > k)
+        code[long] = code[long] << np.uint64(8) | b[at[long] + k]
+    return code, np.searchsorted(off, at, "right") - 1
+
+
 def grams(b: np.ndarray, off: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(document, index) of the word n-grams (1, 2), and of the character n-grams (3 and 4 bytes)."""
+    """(document, index) of the word n-grams (1, 2), and of the character n-grams (3 and 4 characters)."""
     s, e, d = words(b, off)
     h = run_hash(b, s, e)
     one = d[:-1] == d[1:]
     w = np.concatenate([mix(h), pair_hash(h[:-1], h[1:], 1)[one]])
     wd = np.concatenate([d, d[:-1][one]])
-    x = b.astype(np.uint64)
-    m = max(0, len(b) - 3)
-    c4 = x[:m] | x[1 : m + 1] << np.uint64(8) | x[2 : m + 2] << np.uint64(16) | x[3 : m + 3] << np.uint64(24)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    in4 = doc[:m] == doc[3 : m + 3]
-    c3 = (c4 & np.uint64(0xFFFFFF)) | np.uint64(1 << 32)
+    x, xd = characters(b, off)
+    x = x * MUL_A
+    in3, in4 = np.flatnonzero(xd[:-2] == xd[2:]), np.flatnonzero(xd[:-3] == xd[3:])
+    x3 = (x[in3] * MUL_B + x[in3 + 1]) * MUL_B + x[in3 + 2]
+    x4 = ((x[in4] * MUL_B + x[in4 + 1]) * MUL_B + x[in4 + 2]) * MUL_B + x[in4 + 3]
     shift = np.uint64(64 - bits)
-    c = np.concatenate([mix(c4[in4]), mix(c3[in4])])
-    return [(wd, (w >> shift).astype(np.int64)), (np.concatenate([doc[:m][in4]] * 2), (c >> shift).astype(np.int64))]
+    c = np.concatenate([mix(x3), mix(x4 + np.uint64(1))])
+    return [(wd, (w >> shift).astype(np.int64)), (np.concatenate([xd[in3], xd[in4]]), (c >> shift).astype(np.int64))]
 
 
 @dataclass
