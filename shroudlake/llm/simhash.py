@@ -5,7 +5,7 @@ linked when they differ in at most ``radius`` bits. The 64 bits are grouped by t
 correlation into parts; a dynamic program gives each part its own threshold (-1: not probed)
 so that the thresholds sum to radius - parts + 1 and the estimated work is least. Every
 fingerprint is indexed under each probed part's value and probed with all values within that
-part's threshold; candidates are verified on all 64 bits.
+part's threshold; candidates are verified on all 64 bits. All links come from this index.
 
 Defined cases: a null or empty text has fingerprint zero; repeated rows and equal texts share a
 fingerprint and hence a component; rows with a null doc_id keep a null component_id; an empty
@@ -150,59 +150,115 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
+def part_key(mask: int) -> Column:
+    return F.col("fp").bitwiseAND(F.lit(signed(mask)))
+
+
+def indexed(items: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """items (with fp) under each part's value: part, key and the columns of items."""
+    each = F.array(*[F.struct(F.lit(k).alias("part"), part_key(mask).alias("key")) for k, (mask, _) in enumerate(parts)])
+    return items.select(F.inline(each), *items.columns)
+
+
+def within(a: str, b: str, radius: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
+#: Pairs that buckets may hold for each fingerprint before leaders thin them out, and rounds of leaders at most.
+PAIRS, ROUNDS = 64, 12
+
+
+def leader_links(named: DataFrame, radius: int, turn: int) -> DataFrame:
+    """(src, dst): the members of each bucket of several components that are within ``radius`` bits of one of its two leaders, which a hash picks. named: (part, key, fp, component)."""
+    order = F.xxhash64("fp", F.lit(turn))
+    led = named.groupBy("part", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.array(F.max_by("fp", order), F.min_by("fp", order)).alias("leaders")).where("a <> b")
+    met = named.join(led.select("part", "key", F.explode("leaders").alias("leader")), ["part", "key"]).where((F.col("fp") != F.col("leader")) & within("fp", "leader", radius))
+    return met.select(F.least("fp", "leader").alias("src"), F.greatest("fp", "leader").alias("dst")).distinct()
+
+
 def close_links(fps: DataFrame, radius: int) -> DataFrame:
     """(src, dst): links between distinct fingerprints (column fp, unique) that give the components of all pairs within ``radius``.
 
-    First, fingerprints within two bits of each other meet at a common neighbour: each is put
-    under itself and its 64 one-bit neighbours, and each meeting point links its members to the
-    smallest. A meeting point has 65 possible members, however large a group of copies is, so
-    links stay linear. The pairs at larger distance come from the planned parts (far_links()); pairs that
-    are already in one component are not made again.
+    All come from the planned parts: the pairs of each bucket are made and verified. Where the buckets hold more than PAIRS pairs for each
+    fingerprint, as large groups of near copies make them, each bucket's members are first linked to its leaders, in rounds while that helps: a group
+    becomes a component by links in proportion to its size, and only pairs of different components are made after that.
     """
     n, both = bit_counts(fps)
-    near = [signed(x) for x in (0, *[1 << b for b in range(BITS)])]
-    meets = fps.select("fp", F.explode(F.transform(F.lit(near), lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
-    # members of a meeting point differ from it by one bit or none, so their set is a bit mask and a flag
-    met = meets.groupBy("at").agg(F.bit_or(F.col("at").bitwiseXOR(F.col("fp"))).alias("mask"), F.max(F.col("at") == F.col("fp")).alias("itself"))
-    met = met.where(F.bit_count("mask") + F.col("itself").cast("int") >= 2)
-    others = F.transform(F.filter(F.lit(near[1:]), lambda m: F.col("mask").bitwiseAND(m) != 0), lambda m: F.col("at").bitwiseXOR(m))
-    members = F.concat(others, F.when(F.col("itself"), F.array("at")).otherwise(F.expr("cast(array() as array<bigint>)")))
-    star = met.select(F.array_min(members).alias("src"), F.explode(members).alias("dst")).where("src < dst").distinct()
     if n < 2:
-        return star
-    base = durable(components(fps.select(F.col("fp").alias("id")), star).withColumnRenamed("id", "fp"), "simhash-base")
-    far = far_links(base.select(F.col("fp").alias("id"), "fp", "component"), plan(n, both, radius), radius)
-    return star.unionByName(far)
-
-
-def far_links(items: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+        return fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
+    parts = plan(n, both, radius)
+    index = durable(indexed(fps.select("fp"), parts), "simhash-index")
+    group, links = fps.select("fp", F.col("fp").alias("component")), None
+    work = index.groupBy("part", "key").agg(F.count("*").alias("m")).agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0]
+    for turn in range(ROUNDS):
+        if work <= PAIRS * n:
+            break
+        new = durable(leader_links(index.join(group, "fp"), radius, turn), "simhash-links")
+        links = new if links is None else links.unionByName(new)
+        group = durable(components(fps.select(F.col("fp").alias("id")), links).withColumnRenamed("id", "fp"), "simhash-base")
+        sizes = index.join(group, "fp").groupBy("part", "key", "component").agg(F.count("*").cast("double").alias("m")).groupBy("part", "key").agg(F.sum("m").alias("m"), F.max("m").alias("major"))
+        before, work = work, sizes.agg(F.sum((F.col("m") - F.col("major")) * F.col("m"))).first()[0]
+        if work > 0.9 * before:
+            break
+    far = far_links(group.select(F.col("fp").alias("id"), "fp", "component"), parts, radius, grouped=links is not None)
+    return far if links is None else links.unionByName(far)
+
+
+#: Members from which on a bucket is split by further parts.
+LARGE = 256
+
+
+def splits(mask: int, radius: int) -> list[int]:
+    """radius + 1 masks over the bits outside ``mask``: two fingerprints within ``radius`` bits agree on one of them."""
+    rest = [b for b in range(BITS) if not mask >> b & 1]
+    return [sum(1 << b for b in rest[k :: radius + 1]) for k in range(radius + 1)]
+
+
+def far_links(items: DataFrame, parts: list[tuple[int, int]], radius: int, grouped: bool = True) -> DataFrame:
     """(src, dst): the pairs of items (id, fp, component) of different components whose fingerprints are within ``radius`` bits.
 
-    Unflipped probes meet their own bucket: one of any two components is not the bucket's largest, so only members outside
-    the largest probe. Flipped probes go to another bucket, from the smaller key to the larger: a probe of that bucket's largest
+    Without groups (grouped false) each item is a component of its own, and each pair of a bucket is made once. Members of a bucket of LARGE and more meet in the smaller buckets that radius + 1 further parts of their other bits make; one
+    of these they share. Unflipped probes meet their own bucket: one of any two components is not the bucket's largest, so only members
+    outside the largest probe. Flipped probes go to another bucket, from the smaller key to the larger: a probe of that bucket's largest
     component meets the members outside it, every other probe meets all members.
     """
-    index = probes = None
+    index = indexed(items, parts)
+    large = sized(index.groupBy("part", "key").agg(F.count("*").alias("m")).where(f"m >= {LARGE}").select("part", "key", F.lit(True).alias("large")), "simhash-large")
+    subs = F.array(*[F.array(*[F.lit(signed(x)) for x in splits(mask, radius)]) for mask, _ in parts])
+    small = F.array(F.struct(F.lit(-1).alias("q"), F.lit(0).cast("long").alias("sub")))
+    spread = F.transform(F.get(subs, F.col("part")), lambda x, i: F.struct(i.alias("q"), F.col("fp").bitwiseAND(x).alias("sub")))
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        return rows.join(large, ["part", "key"], "left").select("part", "key", F.inline(F.when(F.col("large"), spread).otherwise(small)), "id", "fp", "component")
+
+    probes = None
     for k, (mask, t) in enumerate(parts):
-        key = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-        x = items.select(F.lit(k).alias("part"), key.alias("key"), "id", "fp", "component")
-        index = x if index is None else index.unionByName(x)
         other = flips(mask, t)[1:]
         if other:
+            key = part_key(mask)
             moved = F.filter(F.transform(F.lit([signed(f) for f in other]), lambda f: key.bitwiseXOR(f)), lambda v: v > key)  # noqa: B023
             y = items.select(F.lit(k).alias("part"), F.explode(moved).alias("key"), "id", "fp", "component")
             probes = y if probes is None else probes.unionByName(y)
-    sizes = index.groupBy("part", "key", "component").agg(F.count("*").alias("m"))
-    major = sizes.groupBy("part", "key").agg(F.max_by("component", F.struct("m", "component")).alias("major"))
+    at = ["part", "key", "q", "sub"]
+    index = durable(bucketed(index), "simhash-buckets")
+    if not grouped:
+        plain = index.drop("component")
+        far = lambda sent: sent.drop("component").withColumnsRenamed({"id": "pid", "fp": "pfp"}).join(plain, at).where(within("pfp", "fp", radius))
+        met = far(index).where("pid < id")
+        met = met if probes is None else met.unionByName(far(bucketed(probes)).where("pid <> id"))
+        return met.select(F.least("pid", "id").alias("src"), F.greatest("pid", "id").alias("dst")).distinct()
+    sizes = index.groupBy(*at, "component").agg(F.count("*").alias("m"))
+    major = durable(sizes.groupBy(*at).agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("kinds")), "simhash-major")
     named = {"id": "pid", "fp": "pfp", "component": "pcomp"}
-    outside = index.join(major, ["part", "key"]).where("component <> major").drop("major")
-    met = outside.withColumnsRenamed(named).join(index, ["part", "key"])
+    outside = durable(index.join(major.where("kinds > 1"), at).where("component <> major").drop("major", "kinds"), "simhash-outside")
+    close = (F.col("pcomp") != F.col("component")) & within("pfp", "fp", radius)
+    met = outside.withColumnsRenamed(named).join(index, at).where(close)
     if probes is not None:
-        sent = probes.join(major, ["part", "key"]).withColumnsRenamed(named)
-        met = met.unionByName(sent.where("pcomp <> major").drop("major").join(index, ["part", "key"]))
-        met = met.unionByName(sent.where("pcomp = major").drop("major").join(outside, ["part", "key"]))
-    far = met.where("pcomp <> component").where(F.bit_count(F.col("pfp").bitwiseXOR(F.col("fp"))) <= radius)
-    return far.select(F.least("pid", "id").alias("src"), F.greatest("pid", "id").alias("dst")).distinct()
+        sent = bucketed(probes).join(major, at).withColumnsRenamed(named)
+        own = outside.withColumn("outside", F.lit(True))
+        met = met.unionByName(sent.where("pcomp <> major").drop("major", "kinds").join(index, at).where(close))
+        met = met.unionByName(sent.where("pcomp = major").drop("major", "kinds").join(own, at).where(close).drop("outside"))
+    return met.select(F.least("pid", "id").alias("src"), F.greatest("pid", "id").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
