@@ -123,8 +123,8 @@ def contact_task(task: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def search_query(task: Column) -> Column:
-    """What a search task looks for; null for messages to contacts.
+def search_query(task: Column, named: Column | None = None) -> Column:
+    """What a search task looks for; null for messages to contacts. named: contact_task() of the task, where it is at hand.
 
     After the verb comes a quoted query, or one that a second action follows, or the rest; the site and politeness at its end go.
     """
@@ -135,7 +135,7 @@ def search_query(task: Column) -> Column:
     quoted = after(QUOTED, lambda q: F.trim(polite(q)))
     bare = lambda q: F.trim(polite(F.regexp_replace(q, where, "")))
     compound, simple = after(r"(.+?)\s+and\s+(?:play|watch|click|open|select)", bare), after(r"(.+)\z", bare)
-    return F.when(contact_task(task).isNull(), F.coalesce(quoted, compound, simple))
+    return F.when((contact_task(task) if named is None else named).isNull(), F.coalesce(quoted, compound, simple))
 
 
 def shown_date(value: Column, today: Column) -> Column:

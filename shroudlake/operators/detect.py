@@ -36,8 +36,8 @@ def negative_prefix(text: Column, ctx: Column, start: Column) -> Column:
     return F.rlike(cut(text, start - 50, start), pattern) | ((ctx != "") & F.rlike(strip(ctx), pattern))
 
 
-def matches(text: Column, ctx: Column, ordinal: int, rule: Rule) -> Column:
-    """array<struct> of a rule's accepted matches; null where the cheap gate shows that there are none."""
+def matches(text: Column, ctx: Column, low: Column, ordinal: int, rule: Rule) -> Column:
+    """array<struct> of a rule's accepted matches; null where the cheap gate shows that there are none. low: the text, lower-cased once for all rules."""
     pattern = dialect(rule.pattern)
     found = spans(text, pattern)
     if rule.group:
@@ -65,17 +65,28 @@ def matches(text: Column, ctx: Column, ordinal: int, rule: Rule) -> Column:
             score(x).alias("confidence"), F.lit(rule.checksum).alias("checksum_validated"),
         ),
     )
-    gate = F.lit(rule.gate)
-    return F.when(F.rlike(text, gate) | F.rlike(ctx, gate), rows) if rule.gate else rows
+    tests = []
+    if rule.words:
+        tests.append(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in rule.words]))
+    if rule.gate:
+        tests.append(F.rlike(text, F.lit(rule.gate)) | F.rlike(ctx, F.lit(rule.gate)))
+    return F.when(reduce(lambda a, b: a & b, tests), rows) if tests else rows
 
 
 NO_MATCHES = "cast(array() as array<struct<rule_ord:int,rule:string,type:string,text:string,start:int,end:int,confidence:double,checksum_validated:boolean>>)"
 
 
-def all_matches(text: Column, ctx: Column, rules: Sequence[str] | None = None, registry: "Detectors | None" = None) -> Column:
-    """One array of the accepted matches of all chosen rules, in the order of the rules, then of the text."""
+def readable(df: DataFrame, keys: Sequence[str | Column], text: str, context: str | None = None) -> DataFrame:
+    """(keys.., _text, _ctx, _low): what all_matches() reads; _low is context and text lower-cased."""
+    ctx = F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
+    return df.select(*keys, plain(F.col(text)).alias("_text"), ctx.alias("_ctx")).select("*", F.lower(F.concat("_ctx", F.lit("\n"), "_text")).alias("_low"))
+
+
+def all_matches(rules: Sequence[str] | None = None, registry: "Detectors | None" = None) -> Column:
+    """One array of the accepted matches of all chosen rules in a row of readable(), in the order of the rules, then of the text."""
+    text, ctx, low = F.col("_text"), F.col("_ctx"), F.col("_low")
     chosen = [BY_NAME[n] for n in rules] if rules else [(i + 1, r) for i, r in enumerate(RULES)]
-    arrays = [matches(text, ctx, i, r) for i, r in chosen] + (registry.columns(text, ctx) if registry else [])
+    arrays = [matches(text, ctx, low, i, r) for i, r in chosen] + (registry.columns(text, ctx) if registry else [])
     return F.flatten(F.array(*[F.coalesce(a, F.expr(NO_MATCHES)) for a in arrays]))
 
 
@@ -84,9 +95,8 @@ def detect_pii(df: DataFrame, keys: Sequence[str], text: str = "text", context:
 
     Overlapping matches of different rules all stay. No shuffle, one pass.
     """
-    ctx = F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
-    base = df.select(*keys, plain(F.col(text)).alias("_text"), ctx.alias("_ctx"))
-    found = base.select(*keys, F.inline(all_matches(F.col("_text"), F.col("_ctx"), rules, registry)))
+    base = readable(df, keys, text, context)
+    found = base.select(*base.columns[:-3], F.inline(all_matches(rules, registry)))
     return found.withColumn("source", F.lit("dom")).withColumn("decision", decide(F.col("confidence")))
 
 

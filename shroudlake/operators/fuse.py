@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box
+from .detect import clamp_confidence
 from .rules import REDACT, REVIEW
 
 #: Fixed values.
@@ -77,7 +78,7 @@ def fuse(candidates: DataFrame) -> DataFrame:
     """
     flat = candidates.select(
         "page_id", "cand_seq", F.coalesce("type", F.lit("other")).alias("type"), F.coalesce("sources", F.array(F.lit("dom"))).alias("sources"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("tokens", F.expr("cast(array() as array<string>)")).alias("tokens"), F.col("confidence").cast("double").alias("confidence"), F.coalesce("reason", F.lit("")).alias("reason"), "bbox.x", "bbox.y", "bbox.width", "bbox.height",
+        F.coalesce("tokens", F.expr("cast(array() as array<string>)")).alias("tokens"), clamp_confidence(F.col("confidence")).alias("confidence"), F.coalesce("reason", F.lit("")).alias("reason"), "bbox.x", "bbox.y", "bbox.width", "bbox.height",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

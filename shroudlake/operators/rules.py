@@ -56,6 +56,7 @@ class Rule:
     group: bool = False  # the value is the pattern's first group
     checksum: bool = False
     gate: str = ""  # a cheap pattern that a text (or context) with matches has
+    words: tuple[str, ...] = ()  # one of these a text (or context) with matches holds, lower-cased
 
 
 #: Given names that count alone, and given names that need none; both can be replaced by the caller.
@@ -124,25 +125,25 @@ RULES = (
     Rule("jwt_token", "apiToken", 0.95, r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", gate="eyJ"),
     Rule("api_key", "apiToken", 0.95, r"(?i)\b(?:sk_live|pk_live|bearer|ghp|gho|glpat|xoxb|xoxp)_[a-zA-Z0-9_\-]{16,}\b", gate="_"),
     Rule("ip_address", "ip", 0.85, r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", lambda m, c: ~has(c, MONEY) & ~F.rlike(m, F.lit(r"^(?:0|10|13)\.|\.0\z|^255\.255\.255\.255\z")) & has(c, NETWORK), gate=r"\d\.\d"),
-    Rule("ipv6_address", "ip", 0.85, r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,7}:[0-9a-fA-F]{0,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*\b", _ipv6, gate=r"[0-9a-fA-F]:"),
+    Rule("ipv6_address", "ip", 0.85, r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,7}:[0-9a-fA-F]{0,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*\b", _ipv6, gate=r"[0-9a-fA-F]:[0-9a-fA-F:]"),
     Rule("dob", "dob", 0.90, r"\b(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19|20)\d{2}\b", lambda m, c: has(c, "birth|dob|born|birthday|age") | F.contains(c, F.lit("जन्म")), gate=r"\d[/.-]\d"),
     Rule("ifsc_code", "financial", 0.85, r"\b[A-Z]{4}0[A-Z0-9]{6}\b", gate=r"[A-Z]{4}0"),
-    Rule("gstin_pan", "pan", 0.95, r"(?i)\b[0-9]{2}[\s\-]?[A-Za-z]{5}[0-9]{4}[A-Za-z][1-9A-Za-z][A-Za-z0-9][0-9A-Za-z]\b", gate=r"[A-Za-z]{5}\d{4}"),
-    Rule("gstin_labeled", "pan", 0.95, r"(?i)(?:gst(?:in)?(?:\s*no\.?)?|pan(?:\s*no\.?)?)\s*[:\-=_.\s]{1,15}([0-9]{2}[\s\-]?[A-Za-z]{5}[0-9]{4}[A-Za-z][1-9A-Za-z][A-Za-z0-9][0-9A-Za-z]|[A-Za-z]{5}[0-9]{4}[A-Za-z])", group=True, gate=r"[A-Za-z]{5}\d{4}"),
-    Rule("imei_labeled", "device_id", 0.95, r"(?i)(?:imei(?:[^\S\r\n]*no\.?)?|device[^\S\r\n]*id|serial(?:[^\S\r\n]*no\.?)?|sr(?:[^\S\r\n]*no\.?)?)[^\S\r\n]*[.\-_=~*:\t ]{1,30}([0-9OIlSB\t .\-]{14,22})", lambda m, c: F.length(digits(F.translate(m, "OIlSB", "01158"))).between(14, 17), group=True, gate="(?i)imei|device|serial|sr"),
+    Rule("gstin_pan", "pan", 0.95, r"(?i)\b[0-9]{2}[\s\-]?[A-Za-z]{5}[0-9]{4}[A-Za-z][1-9A-Za-z][A-Za-z0-9][0-9A-Za-z]\b", gate=r"\d{4}"),
+    Rule("gstin_labeled", "pan", 0.95, r"(?i)(?:gst(?:in)?(?:\s*no\.?)?|pan(?:\s*no\.?)?)\s*[:\-=_.\s]{1,15}([0-9]{2}[\s\-]?[A-Za-z]{5}[0-9]{4}[A-Za-z][1-9A-Za-z][A-Za-z0-9][0-9A-Za-z]|[A-Za-z]{5}[0-9]{4}[A-Za-z])", group=True, gate=r"\d{4}"),
+    Rule("imei_labeled", "device_id", 0.95, r"(?i)(?:imei(?:[^\S\r\n]*no\.?)?|device[^\S\r\n]*id|serial(?:[^\S\r\n]*no\.?)?|sr(?:[^\S\r\n]*no\.?)?)[^\S\r\n]*[.\-_=~*:\t ]{1,30}([0-9OIlSB\t .\-]{14,22})", lambda m, c: F.length(digits(F.translate(m, "OIlSB", "01158"))).between(14, 17), group=True, gate=r"[0-9OIlSB]{2}", words=("imei", "device", "serial", "sr")),
     Rule("imei_number", "device_id", 0.90, r"\b[0-9]{15}\b", lambda m, c: ~has(c, "amount|rate|price|total|tax") & luhn(m), checksum=True, gate=r"\d{15}"),
     Rule("phone_labeled", "phone", 0.95, r"(?i)(?:mob(?:ile)?(?:[^\S\r\n]*no\.?)?|phone(?:[^\S\r\n]*no\.?)?|contact(?:[^\S\r\n]*no\.?)?|tel(?:[^\S\r\n]*no\.?)?|m\.)[^\S\r\n]*[.\-_=~*:\t ]{1,50}([6-9][0-9\t .\-]{8,15}[0-9])", lambda m, c: F.length(digits(m)).between(10, 12), group=True, gate=r"[6-9]\d"),
-    Rule("name_labeled", "name", 0.92, r"(?i)\b(?:name|customer(?:[^\S\r\n]*name)?|client\s*name|patient(?:[^\S\r\n]*name)?|buyer(?:[^\S\r\n]*name)?|holder(?:[^\S\r\n]*name)?|m/s|shri|smt|mr\.)(?:\s*[:=_~*]\s*|\s{2,}|\t+)([a-zA-Zऀ-ॿ][a-zA-Z0-9ऀ-ॿ.'\-]+(?:[^\S\r\n]+[a-zA-Z0-9ऀ-ॿ.'\-]+){0,3})", _labelled_name, group=True, gate=r"(?i)name|customer|patient|buyer|holder|m/s|shri|smt|mr\."),
-    Rule("aadhaar_name_dob", "name", 0.92, rf"(?i)(?:^|\n)\s*({WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*(?:\n\s*(?:{WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*)?(?=\n\s*(?:Date\s*of\s*Birth|DOB|जन्म\s*तिथि))", lambda m, c: (F.length(strip(m)) >= 3) & ~any_in(m, "government|india|mera|aadhaar|meri|pehchan|unique|authority|male|transgender|purush|mahila"), group=True, gate=r"(?i)birth|dob|तिथि"),
-    Rule("relative_guardian_name", "name", 0.92, rf"(?i)\b(?:S/O|D/O|W/O|C/O|Care\s+of|Son\s+of|Daughter\s+of|Wife\s+of)\s*[:\-]?\s*({WORDS}(?:[^\S\r\n]+{WORDS}){{1,3}})", lambda m, c: (F.length(strip(m)) >= 3) & ~F.rlike(strip(m), F.lit("(?i)^(?:address|post|dist|village|state|pin|road|street|house)")), group=True, gate=r"(?i)[sdwc]/o|\bof\b|ter\s+of"),
-    Rule("address_labeled", "location", 0.88, r"(?i)(?<!email\s)(?<!e-mail\s)\b(?:Address|पता)\s*[:\-]\s*([^\n\r]{10,120}(?:\n[^\n\r]{10,120}){0,3})", lambda m, c: ~F.rlike(strip(m), F.lit(r"^[\w.-]+@[\w.-]+\.\w+\z|^http|^www\.")) & (F.length(strip(m)) >= 10), group=True, gate="(?i)address|पता"),
-    Rule("hindi_name", "name", 0.90, rf"\b(?:{SCRIPT_NAMES})\b", gate=r"[ऀ-ॿ]"),
-    Rule("signature_labeled", "signature", 0.90, r"(?i)(?:customer\s*signature|auth(?:orized)?\s*sign(?:atory)?|for\s+[a-zA-Z\s]{3,30}\s*signature)\b", gate="(?i)sign"),
-    Rule("indian_name", "name", 0.90, rf"\b(?:{GIVEN_NAMES})(?:[^\S\r\n]+[A-Z][a-z]+)?\b", lambda m, c: ~one_of(strip(m), NAME_STOPS) & (F.length(strip(m)) >= 3), gate=GIVEN_NAMES),
-    Rule("common_name", "name", 0.88, rf"\b(?:{COMMON_NAMES})(?:[^\S\r\n]+[A-Z][a-z]+)?\b", gate=COMMON_NAMES),
+    Rule("name_labeled", "name", 0.92, r"(?i)\b(?:name|customer(?:[^\S\r\n]*name)?|client\s*name|patient(?:[^\S\r\n]*name)?|buyer(?:[^\S\r\n]*name)?|holder(?:[^\S\r\n]*name)?|m/s|shri|smt|mr\.)(?:\s*[:=_~*]\s*|\s{2,}|\t+)([a-zA-Zऀ-ॿ][a-zA-Z0-9ऀ-ॿ.'\-]+(?:[^\S\r\n]+[a-zA-Z0-9ऀ-ॿ.'\-]+){0,3})", _labelled_name, group=True, words=("name", "customer", "patient", "buyer", "holder", "m/s", "shri", "smt", "mr.")),
+    Rule("aadhaar_name_dob", "name", 0.92, rf"(?i)(?:^|\n)\s*({WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*(?:\n\s*(?:{WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*)?(?=\n\s*(?:Date\s*of\s*Birth|DOB|जन्म\s*तिथि))", lambda m, c: (F.length(strip(m)) >= 3) & ~any_in(m, "government|india|mera|aadhaar|meri|pehchan|unique|authority|male|transgender|purush|mahila"), group=True, words=("birth", "dob", "तिथि")),
+    Rule("relative_guardian_name", "name", 0.92, rf"(?i)\b(?:S/O|D/O|W/O|C/O|Care\s+of|Son\s+of|Daughter\s+of|Wife\s+of)\s*[:\-]?\s*({WORDS}(?:[^\S\r\n]+{WORDS}){{1,3}})", lambda m, c: (F.length(strip(m)) >= 3) & ~F.rlike(strip(m), F.lit("(?i)^(?:address|post|dist|village|state|pin|road|street|house)")), group=True, gate=r"(?i)[sdwc]/o|(?:care|son|ter|wife)\s+of", words=("/o", "care", "son", "daughter", "wife")),
+    Rule("address_labeled", "location", 0.88, r"(?i)(?<!email\s)(?<!e-mail\s)\b(?:Address|पता)\s*[:\-]\s*([^\n\r]{10,120}(?:\n[^\n\r]{10,120}){0,3})", lambda m, c: ~F.rlike(strip(m), F.lit(r"^[\w.-]+@[\w.-]+\.\w+\z|^http|^www\.")) & (F.length(strip(m)) >= 10), group=True, words=("address", "पता")),
+    Rule("hindi_name", "name", 0.90, rf"\b(?:{SCRIPT_NAMES})\b", words=tuple(SCRIPT_NAMES.split("|"))),
+    Rule("signature_labeled", "signature", 0.90, r"(?i)(?:customer\s*signature|auth(?:orized)?\s*sign(?:atory)?|for\s+[a-zA-Z\s]{3,30}\s*signature)\b", words=("sign",)),
+    Rule("indian_name", "name", 0.90, rf"\b(?:{GIVEN_NAMES})(?:[^\S\r\n]+[A-Z][a-z]+)?\b", lambda m, c: ~one_of(strip(m), NAME_STOPS) & (F.length(strip(m)) >= 3), words=tuple(GIVEN_NAMES.lower().split("|"))),
+    Rule("common_name", "name", 0.88, rf"\b(?:{COMMON_NAMES})(?:[^\S\r\n]+[A-Z][a-z]+)?\b", words=tuple(COMMON_NAMES.lower().split("|"))),
     Rule("student_roll_no", "username", 0.85, r"\b[1-9]\d{7,13}\b", _roll, gate=r"\d{8}"),
     Rule("admission_reg_code", "username", 0.85, r"\b\d{2}-\d{4,6}\b", lambda m, c: has(c, "roll|reg|student|challen|challan|enroll|admission|ymca"), gate=r"\d-\d"),
-    Rule("person_name_context", "name", 0.85, r"\b[A-Z][a-zA-Z.'\-]{1,25}(?:[^\S\r\n]+[A-Z][a-zA-Z.'\-]{1,25}){0,2}\b", _name_near_label, gate=rf"(?i){NAME_LABEL}"),
-    Rule("identifier_context", "username", 0.85, r"\b[A-Za-z0-9/\-]{5,30}\b", lambda m, c: has(c, ID_LABEL) & F.rlike(m, F.lit(r"\d")), gate=rf"(?i){ID_LABEL}"),
+    Rule("person_name_context", "name", 0.85, r"\b[A-Z][a-zA-Z.'\-]{1,25}(?:[^\S\r\n]+[A-Z][a-zA-Z.'\-]{1,25}){0,2}\b", _name_near_label, words=("name", "candidate", "holder", "patient", "applicant")),
+    Rule("identifier_context", "username", 0.85, r"\b[A-Za-z0-9/\-]{5,30}\b", lambda m, c: has(c, ID_LABEL) & F.rlike(m, F.lit(r"\d")), gate=rf"(?i){ID_LABEL}", words=("roll", "enrollment", "student", "user", "acc", "reg", "hall", "admission")),
 )
 BY_NAME = {r.name: (i + 1, r) for i, r in enumerate(RULES)}

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlaps
-from ..functions.text import plain, replace_spans
-from .detect import all_matches
+from ..functions.text import replace_spans
+from .detect import all_matches, readable
 from .rules import REDACT
 
 MARK = "[REDACTED]"
@@ -15,10 +15,10 @@ MARK = "[REDACTED]"
 
 def redact_text(df: DataFrame, key: str, text: str = "text", mode: str = "compat", rules: list[str] | None = None) -> DataFrame:
     """(key, sanitized, n_redacted): every row's text with its own REDACT spans replaced; no shuffle, and rows may share a key."""
-    clean = df.select(key, plain(F.col(text)).alias("_t"))
-    gone = F.transform(F.filter(all_matches(F.col("_t"), F.lit(""), rules), lambda x: x["confidence"] >= REDACT), lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))
-    out = clean.select(key, "_t", gone.alias("_s"))
-    return out.select(key, F.when(F.size("_s") > 0, replace_spans(F.col("_t"), F.col("_s"), MARK, mode)).otherwise(F.col("_t")).alias("sanitized"), F.size("_s").alias("n_redacted"))
+    clean = readable(df, [key], text)
+    gone = F.transform(F.filter(all_matches(rules), lambda x: x["confidence"] >= REDACT), lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))
+    out = clean.select(key, "_text", gone.alias("_s"))
+    return out.select(key, F.when(F.size("_s") > 0, replace_spans(F.col("_text"), F.col("_s"), MARK, mode)).otherwise(F.col("_text")).alias("sanitized"), F.size("_s").alias("n_redacted"))
 
 
 def interaction(tag: Column, kind: Column, role: Column) -> Column:

@@ -99,7 +99,7 @@ def fused_detections(spark: SparkSession, d: str) -> DataFrame:
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     c = _table(spark, d, "conversations")
-    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_seq"), F.when(F.col("role") == "user", "type").when(F.col("role") == "assistant", "click").otherwise("wait").alias("action_type"), F.substring("text", 1, 80).alias("action_value"), F.concat(F.lit("/"), F.col("turn") % 3).alias("page_url"))
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_seq"), F.when(F.col("role") == "user", "type").when(F.col("role") == "assistant", "click").otherwise("wait").alias("action_type"), F.col("text").alias("action_value"), F.concat(F.lit("/"), F.col("turn") % 3).alias("page_url"))
 
 
 def turn_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -125,12 +125,12 @@ def latest_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_elements(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.elements(_table(spark, d, "pages")).select("page_id", "elem_idx", "tag", "text", F.col("attrs")["href"].alias("href"), F.col("attrs")["id"].alias("id"), F.expr("cast(null as string)").alias("role"), F.expr(f"cast(null as {geo.BOX})").alias("bbox"), F.lit("open the first article").alias("task"))
+    e = tables.elements(_table(spark, d, "pages")).select("page_id", "elem_idx", "tag", "text", F.col("attrs")["href"].alias("href"), F.col("attrs")["id"].alias("id"), F.expr("cast(null as string)").alias("role"), geo.box(F.col("elem_idx") % 5 * 250, F.col("elem_idx") * 12 % 800, F.lit(200), F.lit(24)).alias("bbox"), F.when(F.col("page_id") % 3 == 0, "search for the series").when(F.col("page_id") % 3 == 1, "type a message to kim").otherwise("open the first article").alias("task"))
     return rank.ranked(e).select("page_id", F.col("elem_idx").cast("long").alias("elem_idx"), "tag", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def search_tasks(spark: SparkSession, d: str) -> DataFrame:
-    c = _table(spark, d, "conversations").where("role = 'user'").withColumn("task", F.concat(F.lit("search for "), F.substring_index(F.regexp_replace("text", r"[^A-Za-z ]", ""), " ", 2), F.lit(" and play it")))
+    c = _table(spark, d, "conversations").where("role = 'user'").withColumn("task", F.concat(F.lit("search for "), F.coalesce("text", F.lit(""))))
     return c.select("conv_id", "turn", agent.search_query(F.col("task")).alias("query"))
 
 
@@ -154,7 +154,7 @@ def _spans_sql(pattern: str, alias: str) -> str:
 
 
 _BOXES = "b AS (SELECT l_orderkey AS page_id, l_linenumber::BIGINT AS n, l_partkey % 1100 AS x, l_suppkey % 700 AS y, 20 + l_linenumber * 4 AS w, 12 + l_partkey % 40 AS h, l_quantity / 50 AS c FROM lineitem)"
-_TURNS = "t AS (SELECT conv_id AS session_id, turn AS turn_seq, CASE role WHEN 'user' THEN 'type' WHEN 'assistant' THEN 'click' ELSE 'wait' END AS a, substr(text, 1, 80) AS v, '/' || (turn % 3)::VARCHAR AS u FROM conversations)"
+_TURNS = "t AS (SELECT conv_id AS session_id, turn AS turn_seq, CASE role WHEN 'user' THEN 'type' WHEN 'assistant' THEN 'click' ELSE 'wait' END AS a, text AS v, '/' || (turn % 3)::VARCHAR AS u FROM conversations)"
 
 
 def oracle_sql() -> dict[str, str]:

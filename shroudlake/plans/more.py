@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import places
 from ..functions.text import dialect, first_keyword, mask_typed, padded_id
-from ..operators import agent, detect, fuse, history, lookup, messages, propagate, regions, sanitize
+from ..operators import agent, chain, detect, fuse, history, lookup, messages, page, propagate, regions, run, sanitize
 from ..sources import tables
 from . import rules_sql
 
@@ -22,7 +22,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def rule_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Every match of the rules over whole documents, but for the four whose patterns look around."""
+    """Every match of the rules over whole documents."""
     found = detect.detect_pii(_table(spark, d, "documents"), ["doc_id"], rules=list(rules_sql.NAMES))
     return found.select("doc_id", "rule", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), F.round("confidence", 4).alias("confidence"), "decision")
 
@@ -34,11 +34,12 @@ SAMPLES = (
     "born 05/11/1990, due 31.12.2020", "due 05/11/1990", "bank HDFC0AN12", "27ABCDEN4F1Z5 gst", "GSTIN : 27ABCPE1234F1Z5", "IMEI no.: 356938035643809", "serial 356938035643809 N", "amount 356938035643809", "Mobile No. : 98765N21", "Contact: +9N", "Name: Kim Lee N", "Name : invoice N", "customer name   Ann Bee",
     "S/O Ram Kumar of N", "C/O address N", "राहुल शर्मा N", "Customer Signature N", "for Kim Traders Signature", "Rahul Verma and Priya N", "Amit will come", "John Smith, Mary N", "roll no 1234N678", "order 1234N678", "10000000000", "reg 12-N5", "12-N5 alone", "student name Kim Lee", "First Name Dashboard Ann Lee N",
     "user id kimN/22", "kimN no label", "account no AB-N", "visa 5500 0055 5555 5559 credit", "aadhaar 2341 2341 2346 uidai", "Phone: 99N12345 call",
+    "dial +44 20 7946 N or (+1-743-555-N) x+91 80 2345 N", "pay kimN@okbank or kim.N@upi now, a@b.org", "head\nRahul Verma N\nKim Lee\nDate of Birth: 1.1.1990", "Kim Lee\nDOB 05/11/1990", "Address: 12 High Street N, Town", "email address: 12 High Street N", "Address - www.example.com/N page",
 )
 
 
 def rule_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Every match of those rules in made-up texts, for each of which a rule has a case."""
+    """Every match of the rules in made-up texts, of which each rule has one that it takes or all but takes."""
     c = _table(spark, d, "customer").select("c_custkey", F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("number"))
     rows = c.select("*", F.posexplode(F.lit(list(SAMPLES))).alias("k", "form"))
     texts = rows.select((F.col("c_custkey") * 100 + F.col("k")).alias("doc_id"), F.regexp_replace("form", r"N(?=[^a-z]|$)", F.col("number")).alias("text"))
@@ -389,11 +390,108 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     return tables.joined_chunks(c).select("request_id", "raw")
 
 
+#: Markup of a page with a number N, and for each element in order: tag, whether it shows, what stands before it, whether it is a container.
+MARKUP = (
+    "<div id=a><h1>Page N</h1><p>Order: <b>N</b></p><div hidden><p>gone</p></div><dl><dt>Term</dt><dd>value</dd></dl><ul aria-hidden=true><li>x</li></ul>"
+    "<span style='opacity:0.01'>faint</span><label>Name</label><input type=text><header><img class='user-avatar' src=u.png></header></div>"
+)
+SHOWN = (
+    ("div", True, "", True), ("h1", True, "", False), ("p", True, "Page N", False), ("b", True, "Order:", False), ("div", False, "Page NOrder: N", True), ("p", False, "", False), ("dl", True, "Page NOrder: Ngone", False), ("dt", True, "", False),
+    ("dd", True, "Term", False), ("ul", False, "Page NOrder: NgoneTermvalue", True), ("li", False, "", False), ("span", False, "Page NOrder: NgoneTermvaluex", False), ("label", True, "Page NOrder: NgoneTermvaluexfaint", False),
+    ("input", True, "Page NOrder: NgoneTermvaluexfaintName", False), ("header", True, "Page NOrder: NgoneTermvaluexfaintName", False), ("img", True, "", False),
+)
+
+
+def _markup(spark: SparkSession, d: str) -> DataFrame:
+    n = _table(spark, d, "nation")
+    return tables.elements(n.select(F.col("n_nationkey").cast("long").alias("page_id"), F.replace(F.lit(MARKUP), F.lit("N"), F.col("n_nationkey").cast("string")).alias("html")))
+
+
+def shown_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of made-up pages: which can be seen, what stands before them, which are containers."""
+    e = _markup(spark, d)
+    return e.select("page_id", F.col("elem_idx").cast("long").alias("elem_idx"), "tag", (~F.col("hidden")).alias("shown"), "prev_text", page.structural(F.col("tag"), F.col("block_child")).alias("container"))
+
+
+def context_words(spark: SparkSession, d: str) -> DataFrame:
+    """What names elements of those pages that are no form fields and can be seen."""
+    return page.context_labels(page.visible(_markup(spark, d))).select("page_id", F.col("elem_idx").cast("long").alias("elem_idx"), "context")
+
+
+def avatar_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of those pages laid out in a column, with the avatars among them."""
+    e = _markup(spark, d).withColumns({"bbox": geo.box(F.lit(900), F.col("elem_idx") * 10, F.lit(40), F.lit(40)), "css_w": F.lit(1280)})
+    r = page.pixel_regions(page.avatars(page.near_names(e)))
+    return r.select("page_id", "region_id", "tag", "src", "is_avatar", "avatar_confidence", "avatar_reason", "area")
+
+
+def _laid_out(spark: SparkSession, d: str) -> DataFrame:
+    """Five elements for each customer: a mail in a text, a plain text, a password field, an avatar, a heading."""
+    c = _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"))
+    none = F.lit(None).cast("string")
+    one = lambda i, tag, text, value=none, kind=none, avatar=False, head=False: F.struct(
+        F.lit(i).alias("elem_idx"), F.lit(tag).alias("tag"), text.alias("text"), value.alias("value"), kind.alias("input_type"), F.lit(avatar).alias("is_avatar"), F.lit(head).alias("is_header"), geo.box(F.lit(10), F.lit(60 * i), F.lit(300), F.lit(30)).alias("bbox")
+    )
+    mail = F.concat(F.lit("mail to kim"), F.col("page_id"), F.lit("@example.com"))
+    rows = F.array(one(0, "h1", mail, head=True), one(1, "p", mail), one(2, "p", F.lit("plain words of no one")), one(3, "input", none, F.concat(F.lit("pw"), F.col("page_id")), F.lit("password")), one(4, "img", none, avatar=True))
+    out = c.select("page_id", F.inline(rows))
+    return out.withColumns({
+        **{n: none for n in ("autocomplete", "name", "id", "class_name", "label", "placeholder", "alt", "href", "role")}, "block_child": F.lit(False), "is_sensitive": F.lit(False), "avatar_confidence": F.lit(0.98),
+        "tokens": F.expr("cast(null as array<struct<id:string,text:string,start:int,end:int,bbox:struct<x:int,y:int,width:int,height:int>,boxes:array<struct<x:int,y:int,width:int,height:int>>>>)"),
+    })
+
+
+def sanitized_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Those elements after the whole run."""
+    return run.sanitize_pages(_laid_out(spark, d)).elements.select("page_id", F.col("elem_idx").cast("long").alias("elem_idx"), "tag", "text", "value")
+
+
+def run_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The run's detections of each page, counted."""
+    s = run.sanitize_pages(_laid_out(spark, d)).summaries
+    return s.select("page_id", "total", F.col("by_type")["email"].alias("emails"), F.col("by_type")["password"].alias("passwords"), F.col("by_type")["face"].alias("faces"))
+
+
+#: Elements of four kinds of page: (page, id, tag, role, label, placeholder, text, href, value, x, y).
+PAGES = (
+    ("shop", "q", "input", "", "", "Search", "", "", "", 300, 10), ("shop", "go", "button", "", "Search", "", "", "", "", 500, 10), ("shop", "vid", "a", "", "2M views", "", "", "/watch?v=1", "", 300, 200), ("shop", "side", "a", "", "Home", "", "", "", "", 10, 50),
+    ("chat", "cs", "input", "", "", "Search or start new chat", "", "", "", 100, 50), ("chat", "row1", "div", "listitem", "Kim Lee", "", "", "", "", 100, 200), ("chat", "box", "div", "textbox", "", "Type a message", "", "", "", 600, 700),
+    ("trip", "orig", "input", "", "", "From station", "", "", "", 100, 100), ("trip", "desti", "input", "", "", "To station", "", "", "", 300, 100), ("trip", "st", "button", "", "", "", "Search Trains", "", "", 500, 100),
+    ("full", "orig", "input", "", "", "From station", "", "", "Ayr", 100, 100), ("full", "desti", "input", "", "", "To station", "", "", "Ems", 300, 100), ("full", "st", "button", "", "", "", "Search Trains", "", "", 500, 100),
+    ("form", "other", "select", "", "Country", "", "", "", "", 100, 100), ("form", "sem", "select", "", "Semester", "", "", "", "", 100, 200), ("form", "ok", "button", "", "OK", "", "", "", "", 100, 300),
+)
+_KIM, _SAID = 'type: "kim" in search', "type: box is here [outcome: executed_and_sent]"
+#: Proposed actions and what they become: (page, task, earlier actions, type, target, value, new type, new target, new value).
+ACTIONS = (
+    ("shop", "search shoes", (), "click", "go", None, "type", "q", "shoes"), ("shop", "search shoes and play the first video", (), "click", "vid", None, "click", "vid", None), ("shop", "search shoes", (), "done", None, None, "type", "q", "shoes"),
+    ("shop", "search shoes", ("type: shoes",), "done", None, None, "done", None, None), ("shop", "search shoes and play the first", ("type: shoes",), "done", None, None, "click", "vid", None), ("shop", "search shoes", (), "type", "go", None, "type", "q", "shoes"),
+    ("chat", "message Kim that box is here", (), "done", None, None, "type", "cs", "Kim"), ("chat", "message Kim that box is here", (_KIM,), "done", None, None, "click", "row1", None), ("chat", "message Kim that box is here", (_KIM, "click: row"), "click", "cs", None, "type", "box", "box is here"),
+    ("chat", "message Kim that box is here", (_KIM, "click: row", _SAID), "click", "box", None, "done", None, None), ("trip", "book a train", (), "click", "st", None, "wait", None, None), ("trip", "book a train", ("fill_form: stations",), "ask_user", None, None, "click", "st", None),
+    ("full", "book a train", (), "done", None, None, "click", "st", None), ("form", "select the 4th semester", (), "click", "ok", None, "select", "sem", "4th semester"), ("form", "select the 4th semester", ("select: x",), "click", "ok", None, "click", "ok", None),
+    ("shop", "open the page", (), "click", "q", "x", "type", "q", "x"), ("none", "open the page", (), "click", "q", None, "click", "q", None),
+)
+
+
+def normalized_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Proposed actions on made-up pages after all passes; a request for each nation and case."""
+    n = _table(spark, d, "nation").select("n_nationkey")
+    one = lambda i, a: F.struct(
+        F.lit(i).alias("k"), F.lit(a[0]).alias("page"), F.lit(a[1]).alias("task"), (F.lit(list(a[2])) if a[2] else F.expr("cast(array() as array<string>)")).alias("prior_actions"), F.lit(a[3]).alias("action_type"),
+        F.lit(a[4]).cast("string").alias("target"), F.lit(a[5]).cast("string").alias("value"), F.lit("").alias("reasoning"),
+    )
+    acts = n.select("n_nationkey", F.inline(F.array(*[one(i, a) for i, a in enumerate(ACTIONS)]))).withColumn("request_id", F.col("n_nationkey").cast("long") * 100 + F.col("k"))
+    made = F.array(*[F.struct(F.lit(i).alias("elem_idx"), *[F.lit(v).alias(c) for v, c in zip(e[:9], ("page", "element_id", "tag", "role", "label", "placeholder", "text", "href", "value"))], geo.box(F.lit(e[9]), F.lit(e[10]), F.lit(80), F.lit(20)).alias("bbox")) for i, e in enumerate(PAGES)])
+    none = F.lit(None).cast("string")
+    elements = acts.select("request_id", F.col("page").alias("_page")).select("*", F.inline(made)).where("page = _page").drop("page", "_page")
+    elements = elements.withColumns({**{c: none for c in ("input_type", "name", "class_name", "widget_type")}, **{c: F.lit(False) for c in ("is_sidebar", "is_search_result", "is_playlist", "is_audio_record", "is_status", "is_content_editable")}})
+    return chain.normalized(acts, elements).select("request_id", "action_type", "target", "value")
+
+
 def queries() -> dict[str, Query]:
     found = (
         rule_spans, rule_samples, shown_dates, message_tasks, search_phrases, journeys, drafts, composed_lines, closed_pages, vault_values, feedback_errors, loop_replay, step_guidance, outcome_rules, patched_turns, responses, back_filled_answers,
         readable_regions, checked_redactions, face_boxes, part_boxes, picture_sizes, joined_boxes, detection_summary, shields, spread_values, document_kinds, sanitized_elements, reason_keys, text_helpers, field_types, column_headers,
-        option_choices, element_targets, earlier_steps, stream_chunks,
+        option_choices, element_targets, earlier_steps, stream_chunks, shown_elements, context_words, avatar_regions, sanitized_pages, run_summaries, normalized_actions,
     )
     return {f.__name__: f for f in found}
 
@@ -427,12 +525,14 @@ def oracle_sql() -> dict[str, str]:
     contacts = _values([(i, who, said) for i, (_, who, said) in enumerate(TASKS)], "k, who, said")
     drafts_v = _values([(i, e, w, th) for i, (_, _, e, w, th) in enumerate(DRAFTS)], "k, echo, words, theme")
     kinds_v = _values([(i, kind) for i, (_, _, kind) in enumerate(DOCUMENT_TEXTS)], "k, kind")
+    shown_v = _values([(i, tag, shown, before, container) for i, (tag, shown, before, container) in enumerate(SHOWN)], "k, tag, shown, before, container")
     unit = "greatest(0.0, least(1.0, {}))"
     face = lambda i, score, x1, y1, x2, y2: f"SELECT page_id, n, {i} AS i, {score} AS confidence, x, y, w, h, {unit.format(x1)} AS x1, {unit.format(y1)} AS y1, {unit.format(x2)} AS x2, {unit.format(y2)} AS y2 FROM b"
     reasons = _values(
         [("pan_card", 0, "document_shield:pan_card"), ("", 1, "phone"), ("", 2, "ocr_regex:ssn"), ("", 3, "regex:ip_address"), ("", 5, "own words"), ("", 7, "phone"), ("", 8, "holder_name"), ("", 9, "face")], "z, k, about"
     )
     return {
+        "pii_summary": rules_sql.summary_sql(),
         "rule_spans": rules_sql.all_rules_sql(),
         "rule_samples": rules_sql.all_rules_sql(
             f"SELECT c_custkey * 100 + k AS doc_id, regexp_replace(form, 'N([^a-z]|$)', lpad((c_custkey % 10000)::VARCHAR, 4, '0') || '\\1', 'g') AS t FROM customer, {_values(list(enumerate(SAMPLES)), 'k, form')}"
@@ -491,5 +591,11 @@ def oracle_sql() -> dict[str, str]:
         "option_choices": "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 END::BIGINT AS chosen, 'abc ' || c_name AS suggested FROM customer",
         "element_targets": "SELECT o_orderkey AS request_id, CASE o_custkey % 3 WHEN 0 THEN (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 2) WHEN 1 THEN (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) END::BIGINT AS elem_idx FROM orders",
         "earlier_steps": "SELECT n_nationkey, k < 4 AS searched, k IN (1, 2, 3) AS clicked, k = 2 AS sent, k <> 3 AS typed FROM (SELECT n_nationkey, n_nationkey % 5 AS k FROM nation)",
+        "shown_elements": f"SELECT n_nationkey::BIGINT AS page_id, k::BIGINT AS elem_idx, tag, shown, replace(before, 'N', n_nationkey::VARCHAR) AS prev_text, container FROM nation, {shown_v}",
+        "context_words": f"SELECT n_nationkey::BIGINT AS page_id, k::BIGINT AS elem_idx, CASE WHEN tag <> 'input' THEN replace(before, 'N', n_nationkey::VARCHAR) END AS context FROM nation, {shown_v} WHERE shown",
+        "avatar_regions": "SELECT n_nationkey::BIGINT AS page_id, 'region_1' AS region_id, 'img' AS tag, 'u.png' AS src, true AS is_avatar, 0.98::DOUBLE AS avatar_confidence, 'avatar_keywords' AS avatar_reason, 1600::BIGINT AS area FROM nation",
+        "sanitized_pages": "SELECT c_custkey::BIGINT AS page_id, k::BIGINT AS elem_idx, CASE k WHEN 0 THEN 'h1' WHEN 3 THEN 'input' WHEN 4 THEN 'img' ELSE 'p' END AS tag, CASE k WHEN 0 THEN 'mail to kim' || c_custkey || '@example.com' WHEN 1 THEN '[REDACTED]' WHEN 2 THEN 'plain words of no one' END AS text, CASE WHEN k = 3 THEN '[REDACTED]' END AS value FROM customer, range(5) r(k)",
+        "run_summaries": "SELECT c_custkey::BIGINT AS page_id, 3::BIGINT AS total, 1::BIGINT AS emails, 1::BIGINT AS passwords, 1::BIGINT AS faces FROM customer",
+        "normalized_actions": f"SELECT n_nationkey::BIGINT * 100 + k AS request_id, action_type, target, value FROM nation, {_values([(i, *a[6:]) for i, a in enumerate(ACTIONS)], 'k, action_type, target, value')}",
         "stream_chunks": "SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS raw FROM conversations GROUP BY conv_id",
     }

@@ -1,4 +1,4 @@
-"""The rules as DuckDB SQL, built from the rule table: an independent evaluation of every rule that needs no look-around."""
+"""The rules as DuckDB SQL, built from the rule table: an independent evaluation of every rule. Where a pattern looks around, which the SQL engine's patterns cannot, the SQL matches what it looks at and tests or cuts it off after."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from ..functions.checksum import _dihedral
 from ..functions.text import BLANK, WHITE
 from ..operators import rules as r
 
-#: Rules whose patterns need look-around, which the SQL engine's patterns do not have.
-WITHOUT = ("phone_e164", "upi_id", "aadhaar_name_dob", "address_labeled")
-NAMES = tuple(x.name for x in r.RULES if x.name not in WITHOUT)
+NAMES = tuple(x.name for x in r.RULES)
 
 
 def pattern(p: str) -> str:
@@ -75,6 +73,9 @@ CLEAN = f"(CASE WHEN regexp_matches({stripped('m')}, '{pattern(LABEL_END)}') AND
 LABEL_AT = pattern(rf"^((?s:.)*?)\b{r.NAME_LABEL}\b")
 #: Each rule's test of its match m and the text c around it.
 CHECKS = {
+    "upi_id": "regexp_matches(m, '^[^@]*@(?:[a-zA-Z]{3,20})\\z') AND NOT regexp_matches(substr(t, e + 1, 2), '^\\.[a-zA-Z]')",
+    "aadhaar_name_dob": f"length({stripped('m')}) >= 3 AND NOT {any_in('m', 'government|india|mera|aadhaar|meri|pehchan|unique|authority|male|transgender|purush|mahila')}",
+    "address_labeled": f"NOT regexp_matches({cut('ms - 7', 'ms')}, '(?i)(?:email|e-mail)[{WHITE}]\\z') AND NOT regexp_matches({stripped('m')}, '^[\\w.-]+@[\\w.-]+\\.\\w+\\z|^http|^www\\.') AND length({stripped('m')}) >= 10",
     "credit_card": f"NOT {has('c', r'imei|device|serial|sr\s*no')} AND {luhn('m')}",
     "aadhaar": verhoeff("m"),
     "aadhaar_vid": f"length({digits('m')}) = 16 AND {has('c', r'vid|virtual\s*id|aadhaar|aadhar|government|india|unique')}",
@@ -107,9 +108,12 @@ def spans(p: str, alias: str) -> str:
 
 def rule_sql(x: r.Rule, k: int) -> str:
     """CTEs rule_k: (doc_id, rule, s, e, confidence) of a rule's accepted matches."""
-    p, a = pattern(x.pattern), f"w{k}"
-    inner = f"regexp_extract(m, '{p}', 1)"
-    value = f"SELECT doc_id, t, CASE WHEN {inner} <> '' THEN s + strpos(m, {inner}) - 1 ELSE s END AS s, CASE WHEN {inner} <> '' THEN {inner} ELSE m END AS m FROM {a}" if x.group else f"SELECT doc_id, t, s, m FROM {a}"
+    seen = x.pattern.replace(r"(?<!email\s)(?<!e-mail\s)", "").replace(r"(?!\.[a-zA-Z])", "").replace(r"(?<=\s|\b|\()", r"[\s(0-9A-Za-z_]").replace("(?=", "(?:")
+    p, a = pattern(seen), f"w{k}"
+    inner = f"regexp_extract(m, '{pattern(x.pattern.replace(r'(?<!email\s)(?<!e-mail\s)', '').split('(?=')[0])}', 1)"
+    # of a number with a plus sign the character before is no part
+    ahead = "CASE WHEN substr(m, 1, 1) = '+' THEN 0 ELSE 1 END" if x.name == "phone_e164" else "0"
+    value = f"SELECT doc_id, t, s AS ms, CASE WHEN {inner} <> '' THEN s + strpos(m, {inner}) - 1 ELSE s END AS s, CASE WHEN {inner} <> '' THEN {inner} ELSE m END AS m FROM {a}" if x.group else f"SELECT doc_id, t, s AS ms, s + {ahead} AS s, substr(m, 1 + {ahead}) AS m FROM {a}"
     guard = f"NOT regexp_matches({cut('s - 50', 's')}, '{pattern(r.NEGATIVE)}')" if x.type in r.GUARDED else "true"
     near = any_in(cut("s - 100", "e + 100"), r.KEYWORDS[x.type]) if x.type in r.KEYWORDS else "false"
     score = "1.0" if x.checksum else f"least(1.0, {x.base} + CASE WHEN {near} THEN {r.BOOST} ELSE 0 END)"
@@ -131,3 +135,9 @@ def all_rules_sql(texts: str = DOCUMENTS) -> str:
         f"WITH b AS ({texts}),\n{parts},\nu AS ({union})\n"
         f"SELECT doc_id, rule, s::BIGINT AS span_start, e::BIGINT AS span_end, round(confidence, 4) AS confidence, CASE WHEN confidence >= {r.REDACT} THEN 'REDACT' WHEN confidence >= {r.REVIEW} THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM u"
     )
+
+
+def summary_sql() -> str:
+    """The rules' matches over documents by type and decision."""
+    kinds = ", ".join(f"('{x.name}', '{x.type}')" for x in r.RULES)
+    return f"SELECT type, decision, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM ({all_rules_sql()}) JOIN (VALUES {kinds}) k(rule, type) USING (rule) GROUP BY type, decision"

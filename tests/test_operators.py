@@ -1,6 +1,8 @@
 """Golden rows of geometry, fusion, ranking, responses and history; SQL twins on the smallest tables."""
 
 import datetime
+import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from shroudlake.functions import geometry as geo
-from shroudlake.operators import agent, fuse, history, propagate, rank
+from shroudlake.operators import agent, fuse, history, messages, propagate, rank, regions, sanitize
 
 DATA = "/root/testdata/sf0.001"
 FULL = "page_id long, cand_seq long, type string, sources array<string>, text string, tokens array<string>, confidence double, reason string, bbox struct<x:int,y:int,width:int,height:int>"
@@ -91,8 +93,8 @@ def test_spread_and_shields(spark):
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if not n.startswith("op")])
 def test_sql_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations", "events", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for path in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     want = con.execute(__spark_entry__.oracle_sql()[name])
     cols = sorted(c[0] for c in want.description)
     order = [[c[0] for c in want.description].index(c) for c in cols]
@@ -103,4 +105,41 @@ def test_sql_twins(spark, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() >= 0
+    got = {(r.type, r.decision): r.n_spans for r in __spark_entry__.entry(spark).collect()}
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    assert sum(n for (kind, _), n in got.items() if kind == "email") == sum(len(re.findall(r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b", t, re.ASCII)) for t in texts) > 0
+
+
+def test_redaction_of_rows_that_share_a_key(spark):
+    rows = [(1, "mail a.b@example.com now"), (1, "nothing personal is in this second row"), (None, "x@y.org"), (2, None), (3, "")]
+    got = [tuple(r) for r in sanitize.redact_text(spark.createDataFrame(rows, "id int, text string"), "id", rules=["email"]).collect()]
+    assert sorted(got, key=str) == sorted([(1, "mail [REDACTED] now", 1), (1, "nothing personal is in this second row", 0), (None, "[REDACTED]", 1), (2, "", 0), (3, "", 0)], key=str)
+
+
+def test_fusion_of_missing_confidence(spark):
+    assert fused(spark, cand(1, (0, 0, 100, 20), conf=None))[0][:2] == ("REVIEW", 0.5)
+
+
+def test_faces_merge_into_the_first_they_overlap(spark):
+    made = "found array<struct<bbox:struct<x:int,y:int,width:int,height:int>,confidence:double>>, all array<struct<bbox:struct<x:int,y:int,width:int,height:int>,confidence:double>>"
+    row = ([((0, 0, 10, 10), 0.5), ((50, 0, 10, 10), 0.6)], [((1, 0, 10, 10), 0.9), ((100, 0, 5, 5), 0.7), ((51, 0, 10, 10), 0.2)])
+    got = spark.createDataFrame([row], made).select(regions.merged_faces(F.col("found"), F.col("all")).alias("f")).first().f
+    assert [(tuple(x.bbox), x.confidence) for x in got] == [((0, 0, 11, 10), 0.9), ((50, 0, 11, 10), 0.6), ((100, 0, 5, 5), 0.7)]
+
+
+def test_targets_answers_and_lines(spark):
+    elements = spark.createDataFrame([(1, 0, "btn-9", "s1"), (1, 1, "in-2", "btn-9")], "request_id int, elem_idx int, element_id string, stamped_id string")
+    actions = spark.createDataFrame([(1, "btn-9"), (1, "#in-2"), (1, "in-1"), (2, "btn-9"), (1, None)], "request_id int, target string")
+    assert sorted(((r.request_id, r.target, r.elem_idx) for r in messages.targets(actions, elements).collect()), key=str) == sorted([(1, "btn-9", 0), (1, "#in-2", 1), (1, "in-1", 1), (2, "btn-9", None), (1, None, None)], key=str)
+    replies = spark.createDataFrame([(1, "yes"), (3, "no")], "request_id int, reply string")
+    assert [tuple(r) for r in messages.answered(replies, spark.createDataFrame([(1, "t"), (1, "t")], "request_id int, task string")).collect()] == [(1, "yes", "t")]
+    e = spark.createDataFrame([(1, 2, "b", "p", None, "x" * 99, None, None, None, []), (1, 1, "a", "input", "textbox", "", "who", "", None, ["1", "2"])], "page_id int, rank int, element_id string, tag string, role string, text string, label string, placeholder string, value string, options array<string>")
+    assert messages.element_lines(e).first().lines == f'[a] input role=textbox label="who" options=[1, 2]\n[b] p text="{"x" * 60}"'
+
+
+def test_words_met_and_summaries(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    words = F.array(F.lit("big"), F.lit("box"), F.lit("box"), F.lit("far"))
+    assert [one(messages.words_met(words, F.lit(t))) for t in ("a big box", "a box", "")] == [True, False, False]
+    r = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "page_id int, reason string")
+    assert regions.by_reason(r).first().by_type == {"a": 2, "b": 1}
