@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the
 columns of documents; the last adds the mixture's columns. run() writes each stage as Parquet to the shared folder and
 reads it again, so a lost executor costs one stage at most.
+
+Defined cases: null and empty texts fail the quality rules; as input of a later stage they are one group of near-duplicates (the smallest id
+stays), hold no benchmark text and no personal data, and are sampled by their cell's probability. Rows with a null doc_id are judged by the quality rules, are never
+near-duplicates or leaks, are masked, and are never sampled. Repeated rows share their fate but in the near-duplicate stage, which keeps all rows of the id that
+stays. Null languages and sources are a category of their own. Texts of any length are read whole. An empty table stays empty.
 """
 
 from __future__ import annotations
