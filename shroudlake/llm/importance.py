@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, ascii_lower, durable, labelled, mix, pair_hash, run_hash, sample_labels, sized, small_batches, spans_of, utf8, words
+from .common import NON_ALNUM, ascii_lower, durable, labelled, mix, pair_hash, run_hash, sample_labels, sized, small_batches, spans_of, tidy, utf8, words
 
 BUCKETS = 10_000
 #: Labelled rows that the target model reads at most.
@@ -55,7 +55,7 @@ def counts(texts: DataFrame, buckets: int) -> np.ndarray:
         yield pa.record_batch([pa.array(live), pa.array(total[live])], ["bucket", "n"])
 
     out = np.zeros(buckets)
-    for r in texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -81,7 +81,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 n[i:j], w[i:j] = np.bincount(d, minlength=j - i), np.bincount(d, r[g], j - i)
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(w)], ["doc_id", "n_grams", "log_weight"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_grams long, log_weight double")
 
 
 def kth_bin(keys: DataFrame, k: int, bins: int = 4096, rounds: int = 5) -> tuple[float, float, int]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import TAGS, Tagger, char_ids
-from .common import durable, small_batches, trim, utf8
+from .common import durable, small_batches, tidy, trim, utf8
 
 KINDS = TAGS[1:]
 #: The base patterns of the contract.
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, windows: int = WINDOWS) -> Tagger | None:
             yield pa.record_batch([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["h", "w", "s", "e", "k"])
 
     # one scan; each task sends its first of each kind
-    found = durable(docs.select("text").mapInArrow(run, "h long, w string, s long, e long, k string"), "pii-windows").distinct()
+    found = durable(docs.select("text").mapInArrow(tidy(run), "h long, w string, s long, e long, k string"), "pii-windows").distinct()
     each = [found.where(F.col("k") == k).orderBy("h", "w", "s").limit(most) for k in KINDS]
     union = each[0]
     for x in each[1:]:
@@ -275,7 +275,7 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 spans[i] = joined(in_order(bs + ms))
             yield pa.record_batch([batch.column(0), *[pa.array(num[k]) for k in KINDS], pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(num["added"])], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), OUT)
 
 
 def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -307,5 +307,5 @@ def mask(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                     new[i] = mask_text(texts[i], bs + ms)
             yield batch.set_column(at_text, "text", pa.array(new, batch.schema.field(at_text).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MUL_A, MUL_B, WHITE, byte_class, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, trim, utf8, words
+from .common import MUL_A, MUL_B, WHITE, byte_class, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, tidy, trim, utf8, words
 
 BITS = 18
 #: Labelled rows that fitting reads at most.
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS)
                 share.append(np.concatenate(x).astype(np.float32).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(idx, pa.binary()), pa.array(share, pa.binary())], ["doc_id", "y", "i", "x"])
 
-    got = texts.mapInArrow(run, "doc_id long, y int, i binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
+    got = texts.mapInArrow(tidy(run), "doc_id long, y int, i binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
     y = got.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32), 10.0)
@@ -197,7 +197,7 @@ def judge(docs: DataFrame, model: Model, keep: float = KEEP, bits: int = BITS) -
             got = verdicts(batch.column(1), sent.value, keep, bits)
             yield pa.record_batch([batch.column(0), *map(pa.array, got.values())], ["doc_id", *got])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), OUT)
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = KEEP, bits: int = BITS) -> DataFrame:
@@ -210,4 +210,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = KEEP, bits: int = BIT
         for batch in batches:
             yield batch.filter(pa.array(verdicts(batch.column(at), sent.value, threshold, bits)["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, sized, small_batches
+from .common import durable, mix, sized, small_batches, tidy
 from .components import components
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = [majority(shingle_hashes(t.as_py() or b"", shingle)) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -80,7 +80,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.record_batch([pa.array(range(BITS), pa.int32()), pa.array([n] * BITS), pa.array(both.astype(np.int64).tolist())], ["bit", "n", "row"])
 
-    rows = fps.select("fp").mapInArrow(run, "bit int, n long, row array<long>").select("bit", "n", *[F.col("row")[i].alias(f"c{i}") for i in range(BITS)])
+    rows = fps.select("fp").mapInArrow(tidy(run), "bit int, n long, row array<long>").select("bit", "n", *[F.col("row")[i].alias(f"c{i}") for i in range(BITS)])
     got = rows.groupBy("bit").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(BITS)]).orderBy("bit").collect()
     return (int(got[0]["n"]), np.array([[float(r[f"c{i}"]) for i in range(BITS)] for r in got])) if got else (0, np.zeros((BITS, BITS)))
 
@@ -389,11 +389,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
         wanted = sized(one.join(ids, "id").select(F.col("id").alias("doc_id"), "digest"), "copies-wanted")
-        words = durable(texts.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(sets, "doc_id long, words binary"), "copies-words")
+        words = durable(texts.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(tidy(sets), "doc_id long, words binary"), "copies-words")
         sided = pairs.join(words.select(F.col("doc_id").alias("src"), F.col("words").alias("a")), "src").join(words.select(F.col("doc_id").alias("dst"), F.col("words").alias("b")), "dst")
-        return durable(sided.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long"), "copies-links")
+        return durable(sided.select("src", "dst", "a", "b").mapInArrow(tidy(compare), "src long, dst long"), "copies-links")
 
-    each = durable(texts.mapInArrow(sketch, "doc_id long, fp long, digest long, n long, keys array<long>, parity array<long>"), "copies-sketch")
+    each = durable(texts.mapInArrow(tidy(sketch), "doc_id long, fp long, digest long, n long, keys array<long>, parity array<long>"), "copies-sketch")
     same = each.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "n", "keys", "parity")])
     one = durable(same, "copies-distinct")
     buckets = one.select("id", F.posexplode("keys").alias("band", "key"))

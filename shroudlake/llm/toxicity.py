@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MUL_A, NON_ALNUM, ascii_lower, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, trim, utf8, words
+from .common import MUL_A, NON_ALNUM, ascii_lower, mix, pair_hash, run_hash, sample_labels, small_batches, spans_of, tidy, trim, utf8, words
 
 BITS = 20
 #: Labelled rows that fitting reads at most.
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS)
                 out.append(np.unique(idx).astype(np.int32).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
-    got = texts.mapInArrow(run, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    got = texts.mapInArrow(tidy(run), "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     y = got.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99))
@@ -123,4 +123,4 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
                 np.add.at(logit, i + (once >> bits), dense[once & ((1 << bits) - 1)])
             yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(run), "doc_id long, score double")

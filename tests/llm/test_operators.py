@@ -52,15 +52,26 @@ def test_repeats_match_brute_force(spark):
 
 
 def test_repeats_hot_anchor_and_null_ids(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_GROUPS", 2)
+    monkeypatch.setattr(repeats, "HOT_SEGMENTS", 2)
     line = "this very line is in all of the documents of this table, word for word, always\n"
     texts = [line + f"own text number {i} " * 3 for i in range(30)]
+    texts += [line[k : k + 52] + f"{i}{i * 7}" + line[k:] for i in range(8) for k in (0, 5, 11)]  # one anchor, many segments
     got = repeats.remove_repeats(docs_of(spark, texts), group_bytes=300)
     assert sorted(map(tuple, got.collect())) == brute_repeats(list(enumerate(texts, 1)))
     free = spark.createDataFrame([(None, line), (1, line)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in repeats.remove_repeats(free).collect()) == [(0, 0), (1, 0)]
 
 
+def test_repeats_of_random_pieces_and_long_texts(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    pieces = ["".join(r.choice(list("abcé \n"), int(r.integers(20, 120)))) for _ in range(12)]
+    texts = ["".join(pieces[k][int(r.integers(0, 9)) :] for k in r.integers(0, 12, int(r.integers(1, 9)))) for _ in range(60)]
+    texts += ["".join(r.choice(list("abcdefgh "), 2_200_000)), texts[3]]
+    texts += [texts[-2][1_048_000:1_049_000] + "!" + texts[-2][-300:]]
+    got = repeats.remove_repeats(docs_of(spark, texts), group_bytes=3000)
+    assert sorted(map(tuple, got.collect())) == brute_repeats(list(enumerate(texts, 1)))
+
+
 def test_simhash_matches_brute_force(spark, documents):
     texts = [r.text for r in documents.orderBy("doc_id").limit(80).collect()] + [None, "", "one", "one two", "One two"]
     got = {r.doc_id: r for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
@@ -94,10 +105,35 @@ def test_pigeonhole_plan_is_complete():
             assert any(((x ^ y) & mask).bit_count() <= t for mask, t in parts)
 
 
-def test_simhash_links_are_complete_at_thresholds_of_one(spark, monkeypatch):
-    masks = [(1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43]
-    monkeypatch.setattr(simhash, "plan", lambda *_: list(zip(masks, (1, 0, 0))))
-    # x and y differ by one bit in each part, and most of x's bucket is of y's component and most of y's of x's
+def reached(prints, radius=3):
+    """print -> the least that is reachable, by plain search."""
+    root, x = {}, np.array(sorted(prints), np.int64)
+    for p in x:
+        if int(p) in root:
+            continue
+        todo, root[int(p)] = [p], int(p)
+        while todo:
+            for q in x[np.bitwise_count(x ^ todo.pop()) <= radius]:
+                if int(q) not in root:
+                    root[int(q)] = int(p)
+                    todo.append(q)
+    return root
+
+
+PLANS = {"one": ((22, 1), (21, 0), (21, 0)), "half": ((32, 1), (32, 1)), "four": ((16, 0), (16, 0), (16, 0), (16, 0))}
+
+
+@pytest.mark.parametrize("name", PLANS)
+@pytest.mark.parametrize("pairs", [1, 1 << 30])  # with and without leaders
+def test_simhash_links_are_complete(spark, monkeypatch, name, pairs):
+    parts, at = [], 0
+    for width, t in PLANS[name]:
+        parts.append((((1 << width) - 1) << at, t))
+        at += width
+    monkeypatch.setattr(simhash, "plan", lambda *_: parts)
+    monkeypatch.setattr(simhash, "LARGE", 8)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    # x and y differ by one bit in each part of the first plan, and most of x's bucket is of y's component and most of y's of x's
     x, y = 0, 1 | 1 << 22 | 1 << 43
 
     def arm(v, at):
@@ -105,18 +141,21 @@ def test_simhash_links_are_complete_at_thresholds_of_one(spark, monkeypatch):
         return [*steps, *[steps[-1] ^ 1 ^ 1 << at + 4 + k for k in range(6)], steps[-1] ^ 1]
 
     r = np.random.default_rng(8)
+    change = lambda v, k: v ^ sum(1 << int(b) for b in r.choice(62, k, replace=False))
     more = [int(v) for v in r.integers(0, 1 << 62, 30)]
-    more += [v ^ sum(1 << int(b) for b in r.choice(62, int(r.integers(1, 5)), replace=False)) for v in more for _ in range(3)]
+    more += [change(v, int(r.integers(1, 5))) for v in more for _ in range(3)]
+    dense = int(r.integers(0, 1 << 62))  # a group around a text that is not in it
+    more += [change(dense, int(r.integers(2, 6))) for _ in range(150)]
     prints = sorted({*arm(x, 30), *arm(y, 50), *more})
     fps = spark.createDataFrame([(p,) for p in prints], "fp long")
     got = {c.id: c.component for c in simhash.components(fps.select(F.col("fp").alias("id")), simhash.close_links(fps, 3)).collect()}
-    root = {p: p for p in prints}
-    for _ in range(8):
-        for a in prints:
-            for b in prints:
-                if (a ^ b).bit_count() <= 3:
-                    root[a] = root[b] = min(root[a], root[b])
-    assert got == root and got[y] == 0
+    assert got == reached(prints) and got[y] == 0
+
+
+def test_simhash_of_null_ids_and_repeated_rows(spark):
+    df = docs_of(spark, ["a b c d", None, "a b c d"]).union(docs_of(spark, ["a b c d"]).withColumn("doc_id", F.lit(None).cast("long"))).union(docs_of(spark, [""], start=2))
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (3, 1), (None, None), (2, 2)], key=str)
 
 
 def test_near_copy_stage_at_four_fifths(spark):
@@ -176,16 +215,41 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_edge_cases(spark):
+    r = np.random.default_rng(13)
+    item, short = [f"b{x}" for x in r.integers(0, 9999, 40)], "only three words"
+    long = " ".join(["filler"] * 60_000 + item + ["filler"] * 60_000)
+    texts = [long, short, f"{short} and more", short.upper() + "!", " ".join(item[:11]), ""]
+    df = docs_of(spark, texts).withColumns({"toks": F.lit(1), "item_id": F.lit(2), "h": F.lit(3)})
+    df = df.union(df.where("doc_id = 2")).union(df.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, short), (None, short), (3, "")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.n_hits for x in decontaminate.overlaps(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 2)} and got[2, 2] == 2 * got[4, 2]
+    assert decontaminate.overlaps(df.limit(0), bench).count() == 0 and decontaminate.clean(df, bench).columns == df.columns
+
+
 def test_archive_round_trip(spark):
     big, other = "<p>" + "é" * 700, "<p>" + "y" * 1200
     rows = [(1, "http://a/ b", big), (2, None, big), (3, "http://c", "s"), (4, "http://d", "s"), (5, "http://e", None), (6, "http://f", other), (None, "x", big)]
-    got = {r.page_id: r for r in archives.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {k: (v.record_type, v.refers_to) for k, v in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
-    for page, _, html in rows[:-1]:
+    made = "page_id long, url string, html string"
+    got = {r.page_id: r for r in archives.round_trip(spark.createDataFrame(rows, made)).collect()}
+    # a row without a page_id has a record too
+    assert {k: (v.record_type, v.refers_to) for k, v in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("revisit", 2)}
+    for page, _, html in rows:
         body = (html or "").encode()
         assert (got[page].payload_bytes, got[page].payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
 
 
+def test_archive_of_nulls_copies_and_nothing(spark):
+    big, made = "z" * 5000, "page_id long, url string, html string, digest string, response long"
+    rows = [(None, "a", big, "x", 1), (None, None, big, "x", 1), (7, "b", "q" * 3000, "x", 1), (7, "c", "q" * 3000, "x", 1), (3, "d", "q" * 3000, "x", 1), (7, "e", "other", "x", 1), (8, "f", "long " * 400_000, "x", 1)]
+    got = archives.round_trip(spark.createDataFrame(rows, made)).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == sorted(
+        [(0, 5000, "response", 0)] * 2 + [(7, 3000, "response", 0)] * 2 + [(3, 3000, "revisit", 7), (7, 5, "response", 0), (8, 2_000_000, "response", 0)]
+    )
+    assert archives.round_trip(spark.createDataFrame([], made)).count() == 0
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_headers_by_version(version):
     data = archives.arc_head(version, "f.arc") + archives.arc_record(version, "http://x/a b", b"HTTP/1.1 200 OK\r\n\r\nbody\n\nmore", "f.arc", 0)
@@ -216,6 +280,27 @@ def test_steady_texts_are_whole_and_on_distinct_pages(spark):
     assert all(got[30 + i] == f"text {i}" for i in range(4))
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+
+
+def test_marks_do_not_outweigh_the_text(spark):
+    pages = ["<body class='has-sidebar'><article><p>one</p></article>", "<body class='no-header'><p>two</p>", "<article class='post search-result'><p>three</p></article>", "<div class='search-page'><p>four is long</p></div><div class='ad'>buy</div>"]
+    got = texts_of(spark, [(i, f"http://m{i}/", p) for i, p in enumerate(pages)] + [(9, "http://n/", None)])
+    assert got == {0: "one", 1: "two", 2: "three", 3: "four is long", 9: ""}
+
+
+def test_the_wrapper_finds_menus_without_telling_names(spark):
+    words = lambda i, k: " ".join(f"w{i * 37 + j}" for j in range(k))
+    page = lambda i: f"<div><ul><li>Start</li><li>All series</li><li>Imprint</li></ul></div><h2>{words(i, 3)}</h2>" + "".join(f"<p>{words(i + 50 * j, 20)}</p>" for j in range(1 + i % 3)) + "<p>All rights stay with us</p><div><a href='/x'>see " + words(i, 4) + "</a></div>"
+    rows = [(i, f"http://a/{i}", page(i)) for i in range(6)]
+    want = {i: "\n".join([words(i, 3), *[words(i + 50 * j, 20) for j in range(1 + i % 3)]]) for i in range(6)}
+    assert texts_of(spark, rows) == want
+    # without the host's other pages there is nothing to tell the menu by
+    assert "Imprint" in texts_of(spark, rows[:1])[0]
+    assert texts_of(spark, [*rows, *rows]) == want and texts_of(spark, rows[:0]) == {}
+
+
 def test_wrappers_fold_and_align():
     a = wrappers.stream(wrappers.tokenise("<ul><li>a</li><li>b</li></ul><p>x</p>"))
     b = wrappers.stream(wrappers.tokenise("<ul><li>a</li></ul><h2>new</h2><p>y</p>"))
@@ -278,10 +363,30 @@ def test_importance_share_is_of_all_labels(spark):
     assert importance.resample(df, labels, rows=7).where("kept").count() == 25
 
 
+def test_importance_keeps_exactly_k_of_repeated_rows(spark):
+    df = docs_of(spark, [None, "", "a b c"] * 3 + ["a b c"] * 20).union(docs_of(spark, ["x y"] * 6).withColumn("doc_id", F.lit(4).cast("long"))).union(docs_of(spark, ["n"]).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(9, 1), (10, 0)], "doc_id long, quality int")
+    for share in (0.0, 0.1, 0.43, 0.9, 1.0):
+        out = importance.resample(df, labels, share=share).collect()
+        assert len(out) == 36 and sum(r.kept for r in out) == round(share * 35) and not any(r.kept for r in out if r.doc_id is None)
+
+
+def test_mixing_of_small_sources_and_nothing(spark):
+    rows = [(i, "w " * 500, "en", "large", None, 0, "x") for i in range(2000)] + [(5000, "w w", "xx", "tiny", None, 0, "x")]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, DOC)).collect()}
+    assert got[5000].source_group == "tiny" and got[5000].lang_group == "xx" and got[5000].probability == 1.0
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame(rows[:3], DOC), targets={"source_group": {"absent": 0.5}})
+    empty = docs_of(spark, [])
+    assert mixing.mix(empty).count() == 0 and mixing.sample(empty).columns == [*empty.columns, "topic", "n_tokens", "probability"]
+    clash = docs_of(spark, ["a b"]).withColumns({"topic": F.lit("own"), "sampled": F.lit(0), "share": F.lit(1), "probability": F.lit("p")})
+    assert mixing.sample(clash).first().topic == "prose"
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, "w " * (5 + i % 7), "en" if i % 3 else "fr", f"s{i % 4}", None, 0, "x") for i in range(1, 2001)] + [(None, None, None, None, None, 0, "x")]
     df = spark.createDataFrame(rows, DOC)
-    got = mixing.mix(df, rounds=20, targets={"source_group": {"s0": 0.1, "s1": 0.2, "s2": 0.3, "s3": 0.4}}).collect()
+    got = mixing.mix(df, targets={"source_group": {"s0": 0.1, "s1": 0.2, "s2": 0.3, "s3": 0.4}}).collect()
     mass = collections.Counter()
     for r in got:
         mass[r.source_group] += r.n_tokens * r.probability
@@ -317,6 +422,71 @@ def test_base_spans_and_masking(spark):
     assert pii.mask(docs_of(spark, [t]), None).first().text.startswith("mail [EMAIL], ip")
 
 
+def brute_base(text):
+    """The four patterns run plainly: (kind, start, end) in order."""
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9](?:[\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        doubled = [x * 2 - 9 * (x * 2 > 9) if i % 2 else x for i, x in enumerate(reversed(d))]
+        out += [("card", m)] if 12 <= len(d) <= 19 and sum(doubled) % 10 == 0 else []
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    kinds = ("email", "ip", "card", "phone")
+    return sorted(((k, m.start(), m.end()) for k, m in out), key=lambda x: (x[1], kinds.index(x[0])))
+
+
+def test_base_spans_match_plain_patterns(spark, documents):
+    extra = ["999.1.1.1 1.2.3.4.5 0001.0.0.255", "4111-1111-1111-1111 4111111111111111 12345", "+1 (743) 555.3824 +12 +123456789012345678", "a@b a@b.c.d@e.f", "é 10.0.0.1 😀 x@y.zz", "7" * 5000, None, ""]
+    texts = [r.text for r in documents.collect()] + extra
+    for r in pii.find(docs_of(spark, texts), None).collect():
+        want = brute_base(texts[r.doc_id - 1] or "")
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in want), r.doc_id
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in want) for x in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    assert pii.find(docs_of(spark, []), None).count() == 0
+
+
+def test_importance_matches_brute_force(spark):
+    r = np.random.default_rng(14)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 40, int(r.integers(0, 60)))) for _ in range(60)] + [None, "", "é w1 \u2003 W1"]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 40)], "doc_id long, quality int")
+    bucket = lambda t: importance.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 50)[1]
+    count = lambda some: sum((np.bincount(bucket(t or ""), minlength=50) for t in some), np.zeros(50))
+    p, q = count(texts[i - 1] for i in range(1, 40) if i % 3 == 0) + 1, count(texts) + 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    out = {x.doc_id: x for x in importance.resample(docs_of(spark, texts), labels, buckets=50).collect()}
+    for i, t in enumerate(texts, 1):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        assert out[i].n_grams == max(0, 2 * n - 1) and abs(out[i].log_weight - ratio[bucket(t or "")].sum()) < 1e-9
+    best = sorted(out.values(), key=lambda x: -x.gumbel_key)[: round(len(texts) / 3)]
+    assert {x.doc_id for x in out.values() if x.kept} == {x.doc_id for x in best}
+
+
+def test_quality_verdict_matches_plain_sums(spark):
+    r = np.random.default_rng(15)
+    model = quality_rules.Model(r.normal(size=1 << 18).astype(np.float32), r.normal(size=1 << 18).astype(np.float32), 0.2, 1.5, -0.1)
+    texts = [" ".join("".join(r.choice(list("abcé漢"), 4)) for _ in range(int(n))) for n in r.integers(0, 120, 20)] + [None, "", "x", "é" * 300]
+    got = {x.doc_id: x for x in quality_rules.judge(docs_of(spark, texts), model).collect()}
+    for i, t in enumerate(texts, 1):
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        (_, w), (_, c) = quality_rules.grams(b, np.array([0, len(b)]), 18)
+        n_words = len((t or "").split())
+        assert len(w) == max(0, 2 * n_words - 1) and len(c) == max(0, len(t or "") - 2) + max(0, len(t or "") - 3)
+        z = 0.2 + (model.word[w].mean(dtype=float) if len(w) else 0) + (model.char[c].mean(dtype=float) if len(c) else 0)
+        assert abs(got[i].probability - 1 / (1 + np.exp(-(1.5 * z - 0.1)))) < 1e-6
+        assert got[i].kept == (not got[i].base_failed and got[i].probability >= quality_rules.KEEP)
+    odd = docs_of(spark, ["a b"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert quality_rules.judge(odd, model).first().doc_id is None and quality_rules.judge(docs_of(spark, []), model).count() == 0
+
+
+def test_toxicity_of_repeated_rows_and_nothing(spark):
+    model = toxicity.fit(docs_of(spark, ["vile words here", "fine words there"] * 30), spark.createDataFrame([(i, i % 2) for i in range(1, 61)], "doc_id long, toxic int"))
+    df = docs_of(spark, ["vile words here"] * 3 + [None, "", "vile " * 300_000])
+    scores = [x.score for x in toxicity.score(df, model).orderBy("doc_id").collect()]
+    assert len(set(scores[:3])) == 1 and scores[3] == scores[4] and scores[0] > 0.5 and 0 <= scores[5] <= 1
+    assert toxicity.score(docs_of(spark, []), model).count() == 0
+
+
 def test_tagger_finds_other_forms(spark):
     r = np.random.default_rng(6)
     word = lambda: "".join(r.choice(list("abcdefghij"), 5))
