@@ -115,6 +115,18 @@ def drop_bracketed(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"(?is)\[STEP GUIDANCE[^\]]*\]", ""), r"(?s)\[[^\]]*\]", ""))
 
 
+def shown_task(task: Column) -> Column:
+    """A task as a screen shows it: guidance and bracketed text off, white space as single spaces; the first 50 characters if nothing is left."""
+    bare = strip(F.regexp_replace(F.regexp_replace(task, r"(?is)\[(?:STEP GUIDANCE|VERIFY TASK COMPLETION|outcome|pos|REDACTED)[^\]]*\]", ""), r"(?s)\[.*?\]", ""))
+    flat = F.regexp_replace(bare, f"[{WHITE}]+", " ")
+    return F.when(F.coalesce(task, F.lit("")) == "", "").when(flat != "", flat).otherwise(F.substring(task, 1, 50))
+
+
+def without_guidance(value: Column) -> Column:
+    """A value without guidance that leaked into it; other brackets stay."""
+    return strip(F.regexp_replace(value, r"(?i)\[(?:STEP GUIDANCE|VERIFY TASK COMPLETION)[^\]]*\]", ""))
+
+
 def tokens(text: Column, prefix: str = "dom_") -> Column:
     """array<struct<id, text, start, end>> of the words of a text joined by single spaces."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")

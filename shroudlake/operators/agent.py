@@ -151,9 +151,32 @@ def shown_date(value: Column, today: Column) -> Column:
     )
 
 
-def resolve_vault(ref: Column, vault: Column) -> Column:
-    """The value a reference ``local.key`` names in a map; anything else as it is."""
-    return F.when(F.startswith(ref, F.lit("local.")), F.element_at(vault, F.substring(ref, 7, 1 << 20))).otherwise(ref)
+def resolve_vault(ref: Column, vault: Column, strict: bool = False) -> Column:
+    """The value a reference ``local.key`` names in a map; anything else as it is. An unknown key gives null, or an error where strict."""
+    key = F.substring(ref, 7, 1 << 20)
+    value = F.element_at(vault, key)
+    if strict:
+        value = F.when(F.coalesce(F.array_contains(F.map_keys(vault), key), F.lit(False)), value).otherwise(F.raise_error(F.concat(F.lit("no such vault key: "), key)))
+    return F.when(F.startswith(ref, F.lit("local.")), value).otherwise(ref)
+
+
+def vault_with(vault: Column, key: Column, value: Column) -> Column:
+    """The vault with an entry set."""
+    rest = F.map_filter(F.coalesce(vault, F.expr("cast(map() as map<string,string>)")), lambda k, _: k != key)
+    return F.map_concat(rest, F.create_map(key, value))
+
+
+def vault_keys(vault: Column) -> Column:
+    """The keys whose entry has a value, sorted."""
+    return F.array_sort(F.map_keys(F.map_filter(vault, lambda _, v: F.coalesce(F.trim(v) != "", F.lit(False)))))
+
+
+def valid_action(action: Column) -> Column:
+    """Whether an action as JSON has the exact form: a type of ACTIONS, a scroll direction of up or down, and no other fields."""
+    keys = F.json_object_keys(action)
+    known = F.forall(keys, lambda k: k.isin("type", "targetElementId", "value", "scrollDirection"))
+    way = F.get_json_object(action, "$.scrollDirection")
+    return F.coalesce(known & F.get_json_object(action, "$.type").isin(*ACTIONS) & (way.isNull() | way.isin("up", "down")), F.lit(False))
 
 
 def feedback_error(name: Column, email: Column, url: Column, description: Column) -> Column:

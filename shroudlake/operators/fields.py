@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bottom, right, union
+from ..functions.geometry import bottom, box, right, rounded, union
 from .detect import detect_pii
 from .rank import says
 
@@ -65,6 +65,19 @@ def merged_lines(boxes: Column) -> Column:
     return F.aggregate(order, F.slice(order, 1, 0), put)
 
 
+def placed_words(words: DataFrame, pad: int = 30) -> DataFrame:
+    """Words as recognition returns them, brought back to the picture: words(page_id, region_idx, line_index, word_index, text, confidence 0..100 or null, x0, y0, x1, y1, scale, region_x, region_y).
+
+    A crop was padded by ``pad`` and scaled by scale; weak and empty words go, confidence becomes a share.
+    """
+    back = lambda c: F.col(c) / F.col("scale")
+    good = words.where("(confidence is null or confidence > 5) and trim(text) <> ''")
+    at = lambda c, off: F.col(off) + rounded((F.col(c) - pad) / F.col("scale"))
+    size = lambda a, b: F.greatest(F.lit(1), rounded(back(b) - back(a)))
+    b = box(at("x0", "region_x"), at("y0", "region_y"), size("x0", "x1"), size("y0", "y1"))
+    return good.select("page_id", "region_idx", "line_index", "word_index", F.trim("text").alias("text"), (F.coalesce("confidence", F.lit(80)) / 100).alias("confidence"), b.alias("bbox"))
+
+
 def read_words(words: DataFrame) -> DataFrame:
     """(page_id, region_idx, line_index, text, confidence): recognised words with a line number put together; weak words go."""
     good = words.where("confidence > 0.05 and trim(text) <> ''")

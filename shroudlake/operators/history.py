@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .agent import search_query
+
 KEEP_TURNS, RENDERED = 30, 3
 
 
@@ -43,6 +45,27 @@ def breakers(steps: DataFrame) -> DataFrame:
     return steps.withColumn("already_sent", (F.col("action_type") == "type") & (F.coalesce(sent, F.lit(0)) > 0)).withColumn("repeated_click", (F.col("action_type") == "click") & (F.coalesce(clicked, F.lit(0)) > 0))
 
 
+def guarded(steps: DataFrame) -> DataFrame:
+    """breakers() with the actions that the loop's guards make: guard_type and guard_value.
+
+    steps: also task and exec_success. A done at the first step of a task that only searches goes on (continue); a text that was typed with success before becomes
+    done; a click on an element clicked before, in a search task in which nothing was typed with success, becomes the typing of the query.
+    """
+    before = lambda *k: Window.partitionBy("loop_id", *k).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    ok = F.coalesce("exec_success", F.lit(False))
+    seen = lambda test, *k: F.coalesce(F.max(test).over(before(*k)), F.lit(False))
+    typed, clicked = F.col("action_type") == "type", F.col("action_type") == "click"
+    searches = F.rlike("task", F.lit(r"(?i)\b(search|find|look\s*up)\b"))
+    plays = F.rlike("task", F.lit(r"(?i)\b(play|watch|video|song|episode|listen)\b"))
+    out = steps.withColumns({"_sent": seen(typed & ok, "value"), "_clicked": seen(clicked, "target"), "_typed": seen(typed & ok)})
+    kind = (
+        F.when((F.col("action_type") == "done") & searches & ~plays & (F.col("step") == 0), "continue").when(typed & F.col("_sent") & (F.col("step") > 0), "done")
+        .when(clicked & F.col("_clicked") & ~F.col("_typed") & searches & F.col("target").isNotNull() & (F.col("step") > 0), "type").otherwise(F.col("action_type"))
+    )
+    out = out.withColumn("guard_type", kind)
+    return out.withColumn("guard_value", F.when((F.col("guard_type") == "type") & clicked, search_query(F.col("task"))).otherwise(F.col("value"))).drop("_sent", "_clicked", "_typed")
+
+
 def replay(steps: DataFrame, max_steps: int = 5, least: float = 0.45) -> DataFrame:
     """The steps a loop runs, and why it ends: the first of done, ask_user, clarification, low confidence, failure, cancelled, or the limit."""
     c = lambda n: F.coalesce(n, F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dialect, plain, spans, strip
@@ -18,6 +18,11 @@ NO_PERSON = (
     "tokens token english hindi side ocr validation pipeline issue"
 ).split()
 LOOSE = "today|yesterday|tomorrow|mon|tue|wed|thu|fri|sat|sun|am|pm|of|at|by|in|on|to|for|from|with|and|or"
+#: Words of a screen's controls, also inside hyphened names.
+CONTROLS = "you|me|we|us|download|delete|menu|close|attach|emoji|more|details|view|edit|save|send|cancel|reply|star|starred|chats|calls|status|settings|profile|group|back|next|previous|chevron|arrow"
+#: Elements whose text names nobody.
+QUIET_TAGS, QUIET_ROLES, QUIET_CLASSES = ("button", "nav", "toolbar", "svg", "path"), ("button", "toolbar", "navigation"), "media-viewer|filmstrip|carousel|nav|button|thumb"
+LONGEST_CHUNK, MODEL_ITEMS, LEAST_SCORE = 512, 6, 0.60
 
 
 def person_name(text: Column) -> Column:
@@ -26,10 +31,28 @@ def person_name(text: Column) -> Column:
     letters = F.length(F.regexp_replace(t, "[^a-zA-Z]", ""))
     return (
         F.length(t).between(3, 50) & ~F.exists(F.split(F.lower(t), r"\s+"), lambda w: w.isin(NO_PERSON)) & ~F.rlike(t, F.lit(r"[0-9<>{}\[\]/\\_+=*&^%$#@!~?]"))
-        & ~has(t, LOOSE) & F.rlike(t, F.lit("(?i)[aeiouy]")) & (letters >= F.length(t) * 0.7)
+        & ~has(t, LOOSE) & ~has(t, CONTROLS) & F.rlike(t, F.lit("(?i)[aeiouy]")) & (letters >= F.length(t) * 0.7)
     )
 
 
+def name_items(elements: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(page_id, item_idx, source, elem_idx, text, bbox): the texts that names are sought in, numbered by page: of elements, then of recognised lines.
+
+    elements: page_id, elem_idx, tag, role, class_name, is_container, text, bbox; controls and containers are left out. lines: page_id, line_index, text, bbox. Texts of three characters or less go.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    quiet = low("tag").isin(*QUIET_TAGS) | low("role").isin(*QUIET_ROLES) | F.rlike(low("class_name"), F.lit(QUIET_CLASSES)) | F.coalesce("is_container", F.lit(False))
+    own = elements.where(~quiet).select("page_id", F.lit("dom").alias("source"), F.col("elem_idx").cast("long").alias("elem_idx"), "text", "bbox")
+    both = own if lines is None else own.unionByName(lines.select("page_id", F.lit("ocr").alias("source"), F.col("line_index").cast("long").alias("elem_idx"), "text", "bbox"))
+    w = Window.partitionBy("page_id").orderBy("source", "elem_idx")
+    return both.where(F.length(strip(F.col("text"))) > 3).withColumn("item_idx", F.row_number().over(w).cast("long"))
+
+
+def model_items(items: DataFrame) -> DataFrame:
+    """Of name_items() what a model reads: the first MODEL_ITEMS of a page, but for texts longer than LONGEST_CHUNK."""
+    return items.where((F.col("item_idx") <= MODEL_ITEMS) & (F.length(strip(F.col("text"))) <= LONGEST_CHUNK))
+
+
 #: Fixed values: (reason, type, confidence, pattern, group).
 RULES = (
     ("name_honorific", "name", 0.85, r"\b(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Shri|Smt\.?)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}\b", 0),
@@ -65,7 +88,7 @@ def model_entities(found: DataFrame) -> DataFrame:
     """Model output (item_id, entity_group, word, score) as typed entities; weak ones go, organisations stay weak."""
     kind = F.when(F.col("entity_group") == "PER", "name").when(F.col("entity_group") == "LOC", "location").when(F.col("entity_group") == "ORG", "organization")
     conf = F.when(F.col("entity_group") == "ORG", F.least(F.col("score") * 0.35, F.lit(0.40))).otherwise(F.col("score"))
-    return found.where("score >= 0.60").select("item_id", kind.alias("type"), F.col("word").alias("text"), conf.alias("confidence")).where("type is not null")
+    return found.where(f"score >= {LEAST_SCORE}").select("item_id", kind.alias("type"), F.col("word").alias("text"), conf.alias("confidence")).where("type is not null")
 
 
 def merged_entities(model: DataFrame, heuristic: DataFrame, page: str = "page_id") -> DataFrame:

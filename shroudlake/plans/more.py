@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import places
-from ..functions.text import dialect, first_keyword, mask_typed, padded_id
-from ..operators import agent, chain, detect, fuse, history, lookup, messages, page, propagate, regions, run, sanitize
+from ..functions.text import first_keyword, mask_typed, padded_id, shown_task, without_guidance
+from ..operators import agent, chain, detect, fields, fuse, history, lookup, messages, names, page, propagate, regions, run, sanitize
 from ..sources import tables
 from . import rules_sql
 
@@ -487,11 +487,91 @@ def normalized_actions(spark: SparkSession, d: str) -> DataFrame:
     return chain.normalized(acts, elements).select("request_id", "action_type", "target", "value")
 
 
+#: Texts and whether they can be a person's name.
+NAME_CASES = (
+    ("Meera Shah", True), ("Jo", False), ("Dr Brown", False), ("Room 12", False), ("Anne-Marie Lee", True), ("Ann and Bob", False), ("Sky View", False), ("Mon Ami", False), ("Brrr Grr", False), ("A... B... C...", False), ("Kim (Lee)", False), ("a@b", False),
+)
+
+
+def name_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts can be names; a row for each nation and case."""
+    rows = _table(spark, d, "nation").select("n_nationkey", F.posexplode(F.lit([t for t, _ in NAME_CASES])).alias("k", "text"))
+    return rows.select("n_nationkey", F.col("k").cast("long").alias("k"), names.person_name(F.col("text")).alias("name"))
+
+
+def found_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Names, places and organisations in made-up texts, next to what a model found."""
+    c = _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"))
+    text = F.when(F.col("page_id") % 3 == 0, "Dr. Ravi Kumar lives at 12 Green Street near Mumbai").when(F.col("page_id") % 3 == 1, "Name: Meera Shah").otherwise("Acme Solutions")
+    rules = names.heuristic_entities(c.withColumn("text", text), ["page_id"])
+    model = c.where("page_id % 2 = 0").select("page_id", F.lit("name").alias("type"), F.lit("Ravi Kumar").alias("text"), F.lit(0.9).alias("confidence"))
+    return names.merged_entities(model, rules).select("page_id", "type", "text", "confidence")
+
+
+def model_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of pages that a model for names would read."""
+    b = _boxed(spark, d)
+    e = b.select(
+        "page_id", (F.col("n") * 1_000_000 + F.col("k")).alias("elem_idx"), F.when(F.col("k") % 4 == 0, "BUTTON").otherwise("p").alias("tag"), F.lit(None).cast("string").alias("role"), F.when(F.col("k") % 7 == 0, "top-nav").alias("class_name"), F.lit(False).alias("is_container"),
+        F.when(F.col("k") % 11 == 0, F.repeat(F.lit("long "), F.lit(200))).when(F.col("k") % 5 == 0, " ab ").otherwise("some words").alias("text"), "bbox",
+    )
+    return names.model_items(names.name_items(e)).select("page_id", "elem_idx", "item_idx")
+
+
+def placed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised words back in the picture."""
+    b = _boxed(spark, d)
+    k = F.col("k")
+    w = b.select(
+        "page_id", F.col("n").alias("region_idx"), F.lit(0).alias("line_index"), k.alias("word_index"), F.when(k % 9 == 0, " ").otherwise(" word ").alias("text"), F.when(k % 8 > 0, k % 100).alias("confidence"), (k % 300).alias("x0"), (k % 200).alias("y0"),
+        (k % 300 + 40).alias("x1"), (k % 200 + 15).alias("y1"), F.lit(2.0).alias("scale"), F.lit(100).alias("region_x"), F.lit(50).alias("region_y"),
+    )
+    got = fields.placed_words(w)
+    return got.select("page_id", F.col("region_idx"), F.col("word_index"), "text", "confidence", *[F.col("bbox")[c].cast("long").alias(c) for c in ("x", "y", "width", "height")])
+
+
+def region_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Words of regions read as lines, and the lines of a page under headers."""
+    c = _table(spark, d, "conversations")
+    w = c.select(F.col("conv_id").alias("page_id"), (F.col("turn") % 2).alias("region_idx"), F.lit(0).alias("line_index"), F.col("turn").alias("word_index"), F.col("turn").alias("word_idx"), F.concat(F.lit(" w"), F.col("turn")).alias("text"), F.when(F.col("turn") == 3, 0.01).otherwise(0.5).alias("confidence"))
+    return fields.region_text(fields.read_words(w)).select("page_id", "raw_text")
+
+
+def clean_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks as they are shown, and values without guidance."""
+    c = _table(spark, d, "customer").select("c_custkey", "c_name")
+    k = F.col("c_custkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("open  "), "c_name", F.lit(" [STEP GUIDANCE: look] now"))).when(k == 1, F.lit("[only this]")).otherwise(F.concat(F.lit("[pos top] go "), "c_name"))
+    return c.select("c_custkey", shown_task(raw).alias("shown"), without_guidance(raw).alias("value"))
+
+
+def guarded_steps(spark: SparkSession, d: str) -> DataFrame:
+    """What a loop's guards make of its actions."""
+    e = _table(spark, d, "events")
+    w = F.expr("row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1")
+    kind = F.when(F.col("event_id") % 5 == 0, "done").when(F.col("event_id") % 2 == 0, "type").otherwise("click")
+    s = e.select(
+        F.col("user_id").alias("loop_id"), w.cast("long").alias("step"), kind.alias("action_type"), F.concat(F.lit("v"), F.col("event_id") % 3).alias("value"), F.concat(F.lit("t"), F.col("event_id") % 4).alias("target"), (F.col("event_id") % 3 == 0).alias("exec_success"),
+        F.when(F.col("user_id") % 2 == 0, "search for red shoes").otherwise("play a song").alias("task"),
+    )
+    return history.guarded(s).select("loop_id", "step", "guard_type", "guard_value")
+
+
+def strict_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Which actions have the exact form, and what a vault holds."""
+    c = _table(spark, d, "customer").select("c_custkey", "c_name")
+    k = F.col("c_custkey") % 4
+    a = F.when(k == 0, '{"type": "click", "targetElementId": "b"}').when(k == 1, '{"type": "fly"}').when(k == 2, '{"type": "scroll", "scrollDirection": "left"}').otherwise('{"type": "wait", "extra": 1}')
+    vault = agent.vault_with(F.create_map(F.lit("fullName"), F.col("c_name"), F.lit("city"), F.lit(" ")), F.lit("phone"), F.when(k < 2, F.lit("1")))
+    return c.select("c_custkey", agent.valid_action(a).alias("valid"), F.array_join(agent.vault_keys(vault), ",").alias("keys"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         rule_spans, rule_samples, shown_dates, message_tasks, search_phrases, journeys, drafts, composed_lines, closed_pages, vault_values, feedback_errors, loop_replay, step_guidance, outcome_rules, patched_turns, responses, back_filled_answers,
         readable_regions, checked_redactions, face_boxes, part_boxes, picture_sizes, joined_boxes, detection_summary, shields, spread_values, document_kinds, sanitized_elements, reason_keys, text_helpers, field_types, column_headers,
-        option_choices, element_targets, earlier_steps, stream_chunks, shown_elements, context_words, avatar_regions, sanitized_pages, run_summaries, normalized_actions,
+        option_choices, element_targets, earlier_steps, stream_chunks, shown_elements, context_words, avatar_regions, sanitized_pages, run_summaries, normalized_actions, name_texts, found_entities,
+        model_texts, placed_words, region_texts, clean_texts, guarded_steps, strict_actions,
     )
     return {f.__name__: f for f in found}
 
@@ -597,5 +677,17 @@ def oracle_sql() -> dict[str, str]:
         "sanitized_pages": "SELECT c_custkey::BIGINT AS page_id, k::BIGINT AS elem_idx, CASE k WHEN 0 THEN 'h1' WHEN 3 THEN 'input' WHEN 4 THEN 'img' ELSE 'p' END AS tag, CASE k WHEN 0 THEN 'mail to kim' || c_custkey || '@example.com' WHEN 1 THEN '[REDACTED]' WHEN 2 THEN 'plain words of no one' END AS text, CASE WHEN k = 3 THEN '[REDACTED]' END AS value FROM customer, range(5) r(k)",
         "run_summaries": "SELECT c_custkey::BIGINT AS page_id, 3::BIGINT AS total, 1::BIGINT AS emails, 1::BIGINT AS passwords, 1::BIGINT AS faces FROM customer",
         "normalized_actions": f"SELECT n_nationkey::BIGINT * 100 + k AS request_id, action_type, target, value FROM nation, {_values([(i, *a[6:]) for i, a in enumerate(ACTIONS)], 'k, action_type, target, value')}",
+        "name_texts": f"SELECT n_nationkey, k::BIGINT AS k, name FROM nation, {_values([(i, ok) for i, (_, ok) in enumerate(NAME_CASES)], 'k, name')}",
+        "found_entities": "WITH c AS (SELECT c_custkey::BIGINT AS page_id FROM customer) SELECT page_id, 'name' AS type, 'Ravi Kumar' AS text, 0.9::DOUBLE AS confidence FROM c WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'name', 'Dr. Ravi Kumar', 0.85 FROM c WHERE page_id % 3 = 0 AND page_id % 2 = 1 "
+        "UNION ALL SELECT page_id, 'location', '12 Green Street', 0.8 FROM c WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'location', 'Mumbai', 0.78 FROM c WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'name', 'Meera Shah', 0.85 FROM c WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'organization', 'Acme Solutions', 0.25 FROM c WHERE page_id % 3 = 2",
+        "model_texts": f"WITH {_B}, e AS (SELECT page_id, n * 1000000 + k AS elem_idx, CASE WHEN k % 11 = 0 THEN 1000 WHEN k % 5 = 0 THEN 2 ELSE 10 END AS size FROM b WHERE k % 4 <> 0 AND k % 7 <> 0), i AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) AS item_idx FROM e WHERE size > 3) SELECT page_id, elem_idx, item_idx FROM i WHERE item_idx <= 6 AND size <= 512",
+        "placed_words": f"WITH {_B} SELECT page_id, n AS region_idx, k AS word_index, 'word' AS text, (CASE WHEN k % 8 > 0 THEN k % 100 ELSE 80 END / 100)::DOUBLE AS confidence, (100 + floor((k % 300 - 30) / 2.0 + 0.5))::BIGINT AS x, (50 + floor((k % 200 - 30) / 2.0 + 0.5))::BIGINT AS y, 20::BIGINT AS width, 8::BIGINT AS height FROM b WHERE k % 9 <> 0 AND (k % 8 = 0 OR k % 100 > 5)",
+        "region_texts": "WITH w AS (SELECT conv_id AS page_id, turn % 2 AS r, string_agg('w' || turn, ' ' ORDER BY turn) AS t FROM conversations WHERE turn <> 3 GROUP BY ALL) SELECT page_id, string_agg('[region ' || r || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS raw_text FROM w GROUP BY page_id",
+        "clean_texts": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'open ' || c_name || ' now' WHEN 1 THEN '[only this]' ELSE 'go ' || c_name END AS shown, CASE c_custkey % 3 WHEN 0 THEN 'open  ' || c_name || '  now' WHEN 1 THEN '[only this]' ELSE '[pos top] go ' || c_name END AS value FROM customer",
+        "guarded_steps": "WITH s AS (SELECT user_id AS loop_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, CASE WHEN event_id % 5 = 0 THEN 'done' WHEN event_id % 2 = 0 THEN 'type' ELSE 'click' END AS a, 'v' || (event_id % 3) AS v, 't' || (event_id % 4) AS t, event_id % 3 = 0 AS ok, user_id % 2 = 0 AS search FROM events), "
+        "g AS (SELECT s.*, EXISTS (SELECT 1 FROM s p WHERE p.loop_id = s.loop_id AND p.step < s.step AND p.a = 'type' AND p.v = s.v AND p.ok) AS sent, EXISTS (SELECT 1 FROM s p WHERE p.loop_id = s.loop_id AND p.step < s.step AND p.a = 'click' AND p.t = s.t) AS clicked, "
+        "EXISTS (SELECT 1 FROM s p WHERE p.loop_id = s.loop_id AND p.step < s.step AND p.a = 'type' AND p.ok) AS typed FROM s), r AS (SELECT *, CASE WHEN a = 'done' AND search AND step = 0 THEN 'continue' WHEN a = 'type' AND sent THEN 'done' WHEN a = 'click' AND clicked AND NOT typed AND search THEN 'type' ELSE a END AS guard_type FROM g) "
+        "SELECT loop_id, step, guard_type, CASE WHEN guard_type = 'type' AND a = 'click' THEN 'red shoes' ELSE v END AS guard_value FROM r",
+        "strict_actions": "SELECT c_custkey, c_custkey % 4 = 0 AS valid, CASE WHEN c_custkey % 4 < 2 THEN 'fullName,phone' ELSE 'fullName' END AS keys FROM customer",
         "stream_chunks": "SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS raw FROM conversations GROUP BY conv_id",
     }
