@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut, dialect, plain, spans, strip
@@ -28,7 +28,7 @@ def boost(text: Column, ctx: Column, start: Column, end: Column, kind: str) -> C
         return F.lit(0.0)
     combined = F.when(ctx != "", F.concat_ws(" ", ctx, text)).otherwise(text)
     near = F.lower(cut(combined, start - 100, end + 100))
-    return F.when(reduce(lambda a, b: a | b, [F.contains(near, F.lit(w)) for w in KEYWORDS[kind].split("|")]), BOOST).otherwise(0.0)
+    return F.when(reduce(lambda a, b: a | b, [F.contains(near, F.lit(w)) for w in KEYWORDS[kind]]), BOOST).otherwise(0.0)
 
 
 def negative_prefix(text: Column, ctx: Column, start: Column) -> Column:
@@ -100,6 +100,26 @@ def detect_pii(df: DataFrame, keys: Sequence[str], text: str = "text", context:
     return found.withColumn("source", F.lit("dom")).withColumn("decision", decide(F.col("confidence")))
 
 
+#: A word, and the surname that may follow a given name.
+NAME_WORD, SURNAME = r"\b[A-Za-zऀ-ॿ]+", r"^[^\S\r\n]+[A-Z][a-z]+\b"
+
+
+def dictionary_names(df: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """Rows as of detect_pii() for the names of a dictionary(name, rule, confidence) of any size: a word that is one of its names, with the surname after it.
+
+    The words are joined with the dictionary, so it is not part of the plan. Of overlapping matches the first counts. keys must tell the rows of df apart.
+    """
+    base = df.select(*keys, plain(F.col(text)).alias("_text"))
+    words = base.select(*keys, "_text", F.inline(spans(F.col("_text"), dialect(NAME_WORD))).alias("s", "e", "m"))
+    met = words.join(dictionary.select(F.col("name").alias("m"), "rule", "confidence"), "m")
+    more = F.regexp_extract(cut(F.col("_text"), F.col("e"), F.col("e") + 60), dialect(SURNAME), 0)
+    found = met.select(*keys, "rule", "confidence", F.col("s").alias("start"), (F.col("e") + F.length(more)).alias("end"), F.concat("m", more).alias("text"))
+    # a name that is the surname of the match before it is part of that one
+    before = Window.partitionBy(*keys).orderBy("start")
+    free = found.withColumn("_last", F.lag("end").over(before)).where("_last is null or start >= _last").drop("_last")
+    return free.select(*keys, F.lit(0).alias("rule_ord"), "rule", F.lit("name").alias("type"), "text", "start", "end", F.col("confidence").cast("double").alias("confidence"), F.lit(False).alias("checksum_validated"), F.lit("dom").alias("source"), decide(F.col("confidence")).alias("decision"))
+
+
 class Detectors:
     """Detectors by name: functions of (text, context) columns that give the match array; built from expressions or pandas UDFs."""
 

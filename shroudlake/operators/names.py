@@ -12,11 +12,12 @@ from .rules import COMMON_NAMES, GIVEN_NAMES, has
 
 #: Words that no person is called, and those that a name must not hold as a word.
 NO_PERSON = (
-    "you me i we us they them he she him her it my your our their today yesterday tomorrow now am pm date time previous next back forward download delete star starred reply search menu close attach emoji more details view edit save send cancel ok yes no "
-    "audio video photo document camera contact poll status chats calls settings profile group online offline typing recording unread read delivered sent home dashboard report update payment amount rate total bill invoice order particulars model battery charger "
-    "tax gst cgst sgst igst subtotal item items qty price signature sign customer shri smt mr mrs dr opp road complex arrow chevron left right up down share options zoom rotate fullscreen gallery filmstrip thumbnail valid validity efficiency hackathon card slip "
-    "tokens token english hindi side ocr validation pipeline issue"
-).split()
+    "you", "me", "i", "we", "us", "they", "them", "he", "she", "him", "her", "it", "my", "your", "our", "their", "today", "yesterday", "tomorrow", "now", "am", "pm", "date", "time", "previous", "next", "back", "forward", "download", "delete", "star", "starred", "reply", "search", "menu", "close",
+    "attach", "emoji", "more", "details", "view", "edit", "save", "send", "cancel", "ok", "yes", "no", "audio", "video", "photo", "document", "camera", "contact", "poll", "status", "chats", "calls", "settings", "profile", "group", "online", "offline", "typing", "recording", "unread", "read",
+    "delivered", "sent", "home", "dashboard", "report", "update", "payment", "amount", "rate", "total", "bill", "invoice", "order", "particulars", "model", "battery", "charger", "tax", "gst", "cgst", "sgst", "igst", "subtotal", "item", "items", "qty", "price", "signature", "sign", "customer",
+    "shri", "smt", "mr", "mrs", "dr", "opp", "road", "complex", "arrow", "chevron", "left", "right", "up", "down", "share", "options", "zoom", "rotate", "fullscreen", "gallery", "filmstrip", "thumbnail", "valid", "validity", "efficiency", "hackathon", "card", "slip", "tokens", "token", "english",
+    "hindi", "side", "ocr", "validation", "pipeline", "issue",
+)
 LOOSE = "today|yesterday|tomorrow|mon|tue|wed|thu|fri|sat|sun|am|pm|of|at|by|in|on|to|for|from|with|and|or"
 #: Words of a screen's controls, also inside hyphened names.
 CONTROLS = "you|me|we|us|download|delete|menu|close|attach|emoji|more|details|view|edit|save|send|cancel|reply|star|starred|chats|calls|status|settings|profile|group|back|next|previous|chevron|arrow"
@@ -30,7 +31,7 @@ def person_name(text: Column) -> Column:
     t = strip(F.coalesce(text, F.lit("")))
     letters = F.length(F.regexp_replace(t, "[^a-zA-Z]", ""))
     return (
-        F.length(t).between(3, 50) & ~F.exists(F.split(F.lower(t), r"\s+"), lambda w: w.isin(NO_PERSON)) & ~F.rlike(t, F.lit(r"[0-9<>{}\[\]/\\_+=*&^%$#@!~?]"))
+        F.length(t).between(3, 50) & ~F.exists(F.split(F.lower(t), r"\s+"), lambda w: w.isin(*NO_PERSON)) & ~F.rlike(t, F.lit(r"[0-9<>{}\[\]/\\_+=*&^%$#@!~?]"))
         & ~has(t, LOOSE) & ~has(t, CONTROLS) & F.rlike(t, F.lit("(?i)[aeiouy]")) & (letters >= F.length(t) * 0.7)
     )
 

@@ -14,21 +14,21 @@ from ..functions.text import dialect, strip
 
 #: Types that a negative prefix suppresses, and the prefix.
 GUARDED = ("phone", "creditCard", "aadhaar", "financial", "username", "device_id")
-NEGATIVE = r"(?i)(?:(?:order|invoice|tracking)\s*(?:id|#|no|num)?|product\s*(?:code|id|#)?|item\s*(?:code|id|#|no)?|sku\s*(?:#|no)?|pin\s*(?:code)?|(?:postal|zip)\s*(?:code)?)\s*[:#\-]?\s*\Z"
+NEGATIVE = r"(?i)(?:order\s*(?:id|#|no|num)?|invoice\s*(?:id|#|no|num)?|tracking\s*(?:id|#|no|num)?|product\s*(?:code|id|#)?|item\s*(?:code|id|#|no)?|sku\s*(?:#|no)?|pin\s*(?:code)?|pincode|postal\s*(?:code)?|zip\s*(?:code)?)\s*[:#\-]?\s*\Z"
 #: Words near a match that raise its confidence, by type.
 KEYWORDS = {
-    "email": "email|e-mail|mail|contact|reach",
-    "phone": "phone|mobile|cell|tel|telephone|contact|call|whatsapp|number",
-    "creditCard": "card|credit|debit|visa|master|amex|payment|cc|cvv|cardholder",
-    "aadhaar": "aadhaar|aadhar|uid|uidai|identity|government id",
-    "pan": "pan|permanent account|income tax|tax|itr|pan card|nsdl|uti",
-    "financial": "ifsc|account|bank|routing|branch|swift|upi|paytm|gpay|phonepe",
-    "ssn": "ssn|social security|tax id",
-    "dob": "birth|dob|born|birthday|age|date of birth",
-    "apiToken": "token|api key|bearer|auth|secret|jwt|credentials",
-    "ip": "ip|address|server|host|gateway",
-    "name": "name|firstname|first name|lastname|last name|fullname|full name|student|candidate|applicant|patient|holder",
-    "username": "rollno|roll no|roll|enrollment|student id|userid|user id|username|login|account no|reg no",
+    "email": ("email", "e-mail", "mail", "contact", "reach",),
+    "phone": ("phone", "mobile", "cell", "tel", "telephone", "contact", "call", "whatsapp", "number",),
+    "creditCard": ("card", "credit", "debit", "visa", "master", "amex", "payment", "cc", "cvv", "cardholder",),
+    "aadhaar": ("aadhaar", "aadhar", "uid", "uidai", "identity", "government id",),
+    "pan": ("pan", "permanent account", "income tax", "tax", "itr", "pan card", "nsdl", "uti",),
+    "financial": ("ifsc", "account", "bank", "routing", "branch", "swift", "upi", "paytm", "gpay", "phonepe",),
+    "ssn": ("ssn", "social security", "tax id",),
+    "dob": ("birth", "dob", "born", "birthday", "age", "date of birth",),
+    "apiToken": ("token", "api key", "bearer", "auth", "secret", "jwt", "credentials",),
+    "ip": ("ip", "address", "server", "host", "gateway",),
+    "name": ("name", "firstname", "first name", "lastname", "last name", "fullname", "full name", "student", "candidate", "applicant", "patient", "holder",),
+    "username": ("rollno", "roll no", "roll", "enrollment", "student id", "userid", "user id", "username", "login", "account no", "reg no",),
 }
 BOOST, REDACT, REVIEW = 0.25, 0.70, 0.40
 
@@ -38,12 +38,12 @@ def has(text: Column, words: str) -> Column:
     return F.rlike(text, F.lit(dialect(rf"(?i)\b(?:{words})\b")))
 
 
-def one_of(text: Column, words: str) -> Column:
-    return F.lower(text).isin(words.split("|"))
+def one_of(text: Column, words: tuple[str, ...]) -> Column:
+    return F.lower(text).isin(*words)
 
 
-def any_in(text: Column, words: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words.split("|")])
+def any_in(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words])
 
 
 @dataclass(frozen=True)
@@ -66,20 +66,29 @@ SCRIPT_NAMES = "राहुल|प्रिया|अमित|अंजलि|
 WORDS = r"[A-Za-zऀ-ॿ]{2,25}"
 #: What is no name after a label, near a label, or in a name's place.
 LABEL_STOPS = (
-    "particulars|address|date|invoice|bill|model|amount|rate|total|signature|sign|item|description|qty|status|gateway|home|no|mob|mobile|phone|imei|battery|charger|tax|gst|gstin|communication|communications|enterprises|store|shop|pvt|ltd|agency|"
-    "email|username|user|password|login|signup|submit|search|cancel|reset|or|and|not|id|account|number|code|aadhaar|aadhar|pan|ssn|cvv|cvc|ifsc|salary|income|dob|bday|attribute|badge|input|field|button|form|class|type|value|permanent|routing|swift|pin|otp|card|security|"
-    "side|ocr|validation|pipeline|token|tokens|synthetic|record|official|slip|data|document|citizen|identity|resident|general|bilingual|english|hindi"
-)
-NAME_STOPS = "may|will|bill|can|about|for|with|and|or|to|in|on|at|by|from|date|time|rate|total|amount|qty|tax|gst|name|customer|phone|email|address|model|particulars|number|user|username|password|login|mobile|status|view|edit|save|close|details|more|all|home"
+    "particulars", "address", "date", "invoice", "bill", "model", "amount", "rate", "total", "signature", "sign", "item", "description", "qty", "status", "gateway", "home", "no", "mob", "mobile", "phone", "imei", "battery", "charger", "tax", "gst", "gstin", "communication", "communications",
+    "enterprises", "store", "shop", "pvt", "ltd", "agency", "email", "username", "user", "password", "login", "signup", "submit", "search", "cancel", "reset", "or", "and", "not", "id", "account", "number", "code", "aadhaar", "aadhar", "pan", "ssn", "cvv", "cvc", "ifsc", "salary", "income", "dob",
+    "bday", "attribute", "badge", "input", "field", "button", "form", "class", "type", "value", "permanent", "routing", "swift", "pin", "otp", "card", "security", "side", "ocr", "validation", "pipeline", "token", "tokens", "synthetic", "record", "official", "slip", "data", "document", "citizen",
+    "identity", "resident", "general", "bilingual", "english", "hindi",
+)
+NAME_STOPS = (
+    "may", "will", "bill", "can", "about", "for", "with", "and", "or", "to", "in", "on", "at", "by", "from", "date", "time", "rate", "total", "amount", "qty", "tax", "gst", "name", "customer", "phone", "email", "address", "model", "particulars", "number", "user", "username", "password", "login",
+    "mobile", "status", "view", "edit", "save", "close", "details", "more", "all", "home",
+)
 FIELD_WORDS = (
-    "aadhaar|aadhar|pan|ssn|ifsc|cvv|cvc|salary|income|permanent|account|number|security|code|branch|bank|date|birth|card|payment|credit|debit|contact|emergency|billing|identity|financial|attribute|expected|redact|keep|review|section|"
-    "token|email|address|verhoeff|valid|synthetic|record|official|slip|citizen|resident|bilingual|english|hindi|side|ocr|dob|gender|male"
-)
-FIELD_LABELS = "firstname|first name|lastname|last name|fullname|full name|name|username|mob|mob no|mobile|mobile no|phone|phone no|imei|imei no|gst|gstin"
+    "aadhaar", "aadhar", "pan", "ssn", "ifsc", "cvv", "cvc", "salary", "income", "permanent", "account", "number", "security", "code", "branch", "bank", "date", "birth", "card", "payment", "credit", "debit", "contact", "emergency", "billing", "identity", "financial", "attribute", "expected",
+    "redact", "keep", "review", "section", "token", "tokens", "email", "address", "verhoeff", "valid", "verhoeff-valid", "synthetic", "record", "official", "slip", "citizen", "resident", "bilingual", "english", "hindi", "side", "ocr", "validation", "dob", "gender", "male", "female",
+)
+FIELD_LABELS = (
+    "firstname", "first name", "lastname", "last name", "fullname", "full name", "name", "username", "mob", "mob no", "mobile", "mobile no", "phone", "phone no", "contact", "imei", "imei no", "gst", "gstin",
+)
 SCREEN_WORDS = (
-    "Home|Dashboard|Result|Update|Amount|Status|Search|Order|Gateway|Mode|Next|Previous|Show|Entries|RollNo|ChallenNo|Successful|Unsuccessful|Initiated|Shipped|Pending|UPI|NetBanking|Main|YMCA|Order_id|Order_status|Model|Particulars|Rate|Qty|"
-    "Battery|Charger|Smart Phone|Invoice|Bill|Tax|All|Kind|Accessories|Samsung|Nokia|Oppo|Vivo|MI|Apple|HTC|Lenovo|Xiaomi|Micromax|Lava|OnePlus|Realme"
-)
+    "Home", "Dashboard", "Result", "Update", "Payment", "Amount", "Status", "Search", "Order", "Gateway", "Mode", "Next", "Previous", "Show", "Entries", "RollNo", "ChallenNo", "Successful", "Unsuccessful", "Initiated", "Shipped", "Pending", "UPI", "NetBanking", "Main", "YMCA", "Payment Gateway",
+    "Order_id", "Order_status", "Model", "Particulars", "Rate", "Qty", "Battery", "Charger", "Smart Phone", "Invoice", "Bill", "Tax", "Date", "All", "Kind", "Accessories", "Samsung", "Nokia", "Oppo", "Vivo", "MI", "Apple", "HTC", "Lenovo", "Xiaomi", "Micromax", "Lava", "OnePlus", "Realme", "Tokens",
+    "Token", "Email", "Address", "Email Address", "Verhoeff", "Valid", "Verhoeff-valid", "Side", "OCR", "Validation", "Male", "Female",
+)
+#: Words of an identity card that are no name, and labels of names and identifiers.
+ID_CARD_WORDS = ("government", "india", "mera", "aadhaar", "meri", "pehchan", "unique", "authority", "male", "transgender", "purush", "mahila")
 NAME_LABEL = r"(?:name|first\s*name|last\s*name|full\s*name|student\s*name|candidate|holder|patient|emp\s*name|employee\s*name|applicant)"
 ID_LABEL = r"roll\s*no|roll|enrollment|student\s*id|user\s*id|username|account\s*no|acc\s*no|reg\s*no|registration\s*no|hall\s*ticket|admission\s*no"
 #: Words that deny or confirm a network address.
@@ -102,7 +111,7 @@ def _name_near_label(m: Column, ctx: Column) -> Column:
     clean, low = strip(m), F.lower(ctx)
     label = F.regexp_instr(low, F.lit(dialect(rf"\b{NAME_LABEL}\b"))) - 1
     at = F.instr(low, F.lower(clean)) - 1
-    return ~one_of(clean, FIELD_LABELS) & ~any_in(clean, FIELD_WORDS) & (label >= 0) & (at >= 0) & (at >= label - 10) & ~clean.isin(SCREEN_WORDS.split("|"))
+    return ~one_of(clean, FIELD_LABELS) & ~any_in(clean, FIELD_WORDS) & (label >= 0) & (at >= 0) & (at >= label - 10) & ~clean.isin(*SCREEN_WORDS)
 
 
 def _ipv6(m: Column, _: Column) -> Column:
@@ -134,7 +143,7 @@ RULES = (
     Rule("imei_number", "device_id", 0.90, r"\b[0-9]{15}\b", lambda m, c: ~has(c, "amount|rate|price|total|tax") & luhn(m), checksum=True, gate=r"\d{15}"),
     Rule("phone_labeled", "phone", 0.95, r"(?i)(?:mob(?:ile)?(?:[^\S\r\n]*no\.?)?|phone(?:[^\S\r\n]*no\.?)?|contact(?:[^\S\r\n]*no\.?)?|tel(?:[^\S\r\n]*no\.?)?|m\.)[^\S\r\n]*[.\-_=~*:\t ]{1,50}([6-9][0-9\t .\-]{8,15}[0-9])", lambda m, c: F.length(digits(m)).between(10, 12), group=True, gate=r"[6-9]\d"),
     Rule("name_labeled", "name", 0.92, r"(?i)\b(?:name|customer(?:[^\S\r\n]*name)?|client\s*name|patient(?:[^\S\r\n]*name)?|buyer(?:[^\S\r\n]*name)?|holder(?:[^\S\r\n]*name)?|m/s|shri|smt|mr\.)(?:\s*[:=_~*]\s*|\s{2,}|\t+)([a-zA-Zऀ-ॿ][a-zA-Z0-9ऀ-ॿ.'\-]+(?:[^\S\r\n]+[a-zA-Z0-9ऀ-ॿ.'\-]+){0,3})", _labelled_name, group=True, words=("name", "customer", "patient", "buyer", "holder", "m/s", "shri", "smt", "mr.")),
-    Rule("aadhaar_name_dob", "name", 0.92, rf"(?i)(?:^|\n)\s*({WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*(?:\n\s*(?:{WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*)?(?=\n\s*(?:Date\s*of\s*Birth|DOB|जन्म\s*तिथि))", lambda m, c: (F.length(strip(m)) >= 3) & ~any_in(m, "government|india|mera|aadhaar|meri|pehchan|unique|authority|male|transgender|purush|mahila"), group=True, words=("birth", "dob", "तिथि")),
+    Rule("aadhaar_name_dob", "name", 0.92, rf"(?i)(?:^|\n)\s*({WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*(?:\n\s*(?:{WORDS}(?:[^\S\r\n]+{WORDS}){{0,3}})\s*)?(?=\n\s*(?:Date\s*of\s*Birth|DOB|जन्म\s*तिथि))", lambda m, c: (F.length(strip(m)) >= 3) & ~any_in(m, ID_CARD_WORDS), group=True, words=("birth", "dob", "तिथि")),
     Rule("relative_guardian_name", "name", 0.92, rf"(?i)\b(?:S/O|D/O|W/O|C/O|Care\s+of|Son\s+of|Daughter\s+of|Wife\s+of)\s*[:\-]?\s*({WORDS}(?:[^\S\r\n]+{WORDS}){{1,3}})", lambda m, c: (F.length(strip(m)) >= 3) & ~F.rlike(strip(m), F.lit("(?i)^(?:address|post|dist|village|state|pin|road|street|house)")), group=True, gate=r"(?i)[sdwc]/o|(?:care|son|ter|wife)\s+of", words=("/o", "care", "son", "daughter", "wife")),
     Rule("address_labeled", "location", 0.88, r"(?i)(?<!email\s)(?<!e-mail\s)\b(?:Address|पता)\s*[:\-]\s*([^\n\r]{10,120}(?:\n[^\n\r]{10,120}){0,3})", lambda m, c: ~F.rlike(strip(m), F.lit(r"^[\w.-]+@[\w.-]+\.\w+\z|^http|^www\.")) & (F.length(strip(m)) >= 10), group=True, words=("address", "पता")),
     Rule("hindi_name", "name", 0.90, rf"\b(?:{SCRIPT_NAMES})\b", words=tuple(SCRIPT_NAMES.split("|"))),

@@ -161,7 +161,7 @@ def oracle_sql() -> dict[str, str]:
     email = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
     docs = "b AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), '') AS t FROM documents)"
     near = "lower(substr(t, greatest(s - 100, 0)::BIGINT + 1, (least(s + length(m) + 100, length(t)) - greatest(s - 100, 0))::BIGINT))"
-    hit = lambda words: " OR ".join(f"contains({near}, '{w}')" for w in words.split("|"))
+    hit = lambda words: " OR ".join(f"contains({near}, '{w}')" for w in words)
     rule = lambda a, name, base, words, where="true": f"SELECT doc_id, '{name}' AS rule, m, s, least(1.0, {base} + CASE WHEN {hit(words)} THEN 0.25 ELSE 0 END) AS c FROM {a} WHERE {where}"
     from ..operators.rules import KEYWORDS
 

@@ -508,6 +508,13 @@ def found_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.merged_entities(model, rules).select("page_id", "type", "text", "confidence")
 
 
+def dictionary_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of a dictionary table in made-up texts."""
+    c = _table(spark, d, "customer").select("c_custkey", F.concat(F.lit("for Kim"), F.lit(" and Ann Bell, not kim; row "), F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, " Kim Ann").otherwise("")).alias("text"))
+    names_ = _table(spark, d, "nation").limit(1).select(F.inline(F.array(F.struct(F.lit("Kim").alias("name"), F.lit("given").alias("rule"), F.lit(0.9).alias("confidence")), F.struct(F.lit("Ann").alias("name"), F.lit("common").alias("rule"), F.lit(0.5).alias("confidence")))))
+    return detect.dictionary_names(c, ["c_custkey"], names_).select("c_custkey", "rule", "text", F.col("start").cast("long").alias("at"), "decision")
+
+
 def model_texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts of pages that a model for names would read."""
     b = _boxed(spark, d)
@@ -570,7 +577,7 @@ def queries() -> dict[str, Query]:
     found = (
         rule_spans, rule_samples, shown_dates, message_tasks, search_phrases, journeys, drafts, composed_lines, closed_pages, vault_values, feedback_errors, loop_replay, step_guidance, outcome_rules, patched_turns, responses, back_filled_answers,
         readable_regions, checked_redactions, face_boxes, part_boxes, picture_sizes, joined_boxes, detection_summary, shields, spread_values, document_kinds, sanitized_elements, reason_keys, text_helpers, field_types, column_headers,
-        option_choices, element_targets, earlier_steps, stream_chunks, shown_elements, context_words, avatar_regions, sanitized_pages, run_summaries, normalized_actions, name_texts, found_entities,
+        option_choices, element_targets, earlier_steps, stream_chunks, shown_elements, context_words, avatar_regions, sanitized_pages, run_summaries, normalized_actions, name_texts, found_entities, dictionary_names,
         model_texts, placed_words, region_texts, clean_texts, guarded_steps, strict_actions,
     )
     return {f.__name__: f for f in found}
@@ -680,6 +687,7 @@ def oracle_sql() -> dict[str, str]:
         "name_texts": f"SELECT n_nationkey, k::BIGINT AS k, name FROM nation, {_values([(i, ok) for i, (_, ok) in enumerate(NAME_CASES)], 'k, name')}",
         "found_entities": "WITH c AS (SELECT c_custkey::BIGINT AS page_id FROM customer) SELECT page_id, 'name' AS type, 'Ravi Kumar' AS text, 0.9::DOUBLE AS confidence FROM c WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'name', 'Dr. Ravi Kumar', 0.85 FROM c WHERE page_id % 3 = 0 AND page_id % 2 = 1 "
         "UNION ALL SELECT page_id, 'location', '12 Green Street', 0.8 FROM c WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'location', 'Mumbai', 0.78 FROM c WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'name', 'Meera Shah', 0.85 FROM c WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'organization', 'Acme Solutions', 0.25 FROM c WHERE page_id % 3 = 2",
+        "dictionary_names": "SELECT c_custkey, 'given' AS rule, 'Kim' AS text, 4::BIGINT AS at, 'REDACT' AS decision FROM customer UNION ALL SELECT c_custkey, 'common', 'Ann Bell', 12, 'REVIEW' FROM customer UNION ALL SELECT c_custkey, 'given', 'Kim Ann', 36 + length(c_custkey::VARCHAR), 'REDACT' FROM customer WHERE c_custkey % 2 = 0",
         "model_texts": f"WITH {_B}, e AS (SELECT page_id, n * 1000000 + k AS elem_idx, CASE WHEN k % 11 = 0 THEN 1000 WHEN k % 5 = 0 THEN 2 ELSE 10 END AS size FROM b WHERE k % 4 <> 0 AND k % 7 <> 0), i AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) AS item_idx FROM e WHERE size > 3) SELECT page_id, elem_idx, item_idx FROM i WHERE item_idx <= 6 AND size <= 512",
         "placed_words": f"WITH {_B} SELECT page_id, n AS region_idx, k AS word_index, 'word' AS text, (CASE WHEN k % 8 > 0 THEN k % 100 ELSE 80 END / 100)::DOUBLE AS confidence, (100 + floor((k % 300 - 30) / 2.0 + 0.5))::BIGINT AS x, (50 + floor((k % 200 - 30) / 2.0 + 0.5))::BIGINT AS y, 20::BIGINT AS width, 8::BIGINT AS height FROM b WHERE k % 9 <> 0 AND (k % 8 = 0 OR k % 100 > 5)",
         "region_texts": "WITH w AS (SELECT conv_id AS page_id, turn % 2 AS r, string_agg('w' || turn, ' ' ORDER BY turn) AS t FROM conversations WHERE turn <> 3 GROUP BY ALL) SELECT page_id, string_agg('[region ' || r || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS raw_text FROM w GROUP BY page_id",

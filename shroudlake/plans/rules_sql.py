@@ -60,12 +60,12 @@ def stripped(text: str) -> str:
     return f"regexp_replace(regexp_replace({text}, '^[{WHITE}]+', ''), '[{WHITE}]+\\z', '')"
 
 
-def one_of(text: str, words: str) -> str:
-    return f"lower({text}) IN ({', '.join(repr(w) for w in words.split('|'))})"
+def one_of(text: str, words: tuple[str, ...]) -> str:
+    return f"lower({text}) IN ({', '.join(map(repr, words))})"
 
 
-def any_in(text: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains(lower({text}), '{w}')" for w in words.split("|")) + ")"
+def any_in(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + ")"
 
 
 LABEL_END = r"(?i)^((?s:.)*?)\b(?:email|mobile|phone|contact|aadhaar|aadhar|pan|address|date|id|code|order|invoice|vid|dob)\b"
@@ -74,7 +74,7 @@ LABEL_AT = pattern(rf"^((?s:.)*?)\b{r.NAME_LABEL}\b")
 #: Each rule's test of its match m and the text c around it.
 CHECKS = {
     "upi_id": "regexp_matches(m, '^[^@]*@(?:[a-zA-Z]{3,20})\\z') AND NOT regexp_matches(substr(t, e + 1, 2), '^\\.[a-zA-Z]')",
-    "aadhaar_name_dob": f"length({stripped('m')}) >= 3 AND NOT {any_in('m', 'government|india|mera|aadhaar|meri|pehchan|unique|authority|male|transgender|purush|mahila')}",
+    "aadhaar_name_dob": f"length({stripped('m')}) >= 3 AND NOT {any_in('m', r.ID_CARD_WORDS)}",
     "address_labeled": f"NOT regexp_matches({cut('ms - 7', 'ms')}, '(?i)(?:email|e-mail)[{WHITE}]\\z') AND NOT regexp_matches({stripped('m')}, '^[\\w.-]+@[\\w.-]+\\.\\w+\\z|^http|^www\\.') AND length({stripped('m')}) >= 10",
     "credit_card": f"NOT {has('c', r'imei|device|serial|sr\s*no')} AND {luhn('m')}",
     "aadhaar": verhoeff("m"),
@@ -93,7 +93,7 @@ CHECKS = {
     "student_roll_no": f"NOT regexp_matches(m, '^10+\\z') AND m <> '50000000' AND NOT {has('c', 'order|invoice|product|tracking|pin|pincode|postal|zip|item|sku|bill')} AND ({has('c', r'roll\s*no|roll|enroll|student|reg\s*no|reg|user|account|hall|admission|id')} OR length(m) BETWEEN 10 AND 12)",
     "admission_reg_code": has("c", "roll|reg|student|challen|challan|enroll|admission|ymca"),
     "person_name_context": f"NOT {one_of(stripped('m'), r.FIELD_LABELS)} AND NOT {any_in(stripped('m'), r.FIELD_WORDS)} AND regexp_matches(lower(c), '{LABEL_AT}') AND strpos(lower(c), lower({stripped('m')})) >= 1 "
-    f"AND strpos(lower(c), lower({stripped('m')})) - 1 >= length(regexp_extract(lower(c), '{LABEL_AT}', 1)) - 10 AND {stripped('m')} NOT IN ({', '.join(repr(w) for w in r.SCREEN_WORDS.split('|'))})",
+    f"AND strpos(lower(c), lower({stripped('m')})) - 1 >= length(regexp_extract(lower(c), '{LABEL_AT}', 1)) - 10 AND {stripped('m')} NOT IN ({', '.join(map(repr, r.SCREEN_WORDS))})",
     "identifier_context": f"{has('c', r.ID_LABEL)} AND regexp_matches(m, '[0-9]')",
 }
 
