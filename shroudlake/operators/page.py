@@ -108,3 +108,26 @@ def pixel_regions(elements: DataFrame) -> DataFrame:
 def headed_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(page_id, elem_idx, header) for context_labels(): cells(page_id, elem_idx, table_id, col_idx, x, width) under headers(table_id, th_idx, x, width, text)."""
     return table_headers(cells, headers).select("page_id", "elem_idx", "header")
+
+
+#: Choices that are kept: suggestions of a search field, options of a list.
+SUGGESTIONS, OPTIONS = 10, 20
+
+
+def with_widgets(elements: DataFrame, widgets: DataFrame) -> DataFrame:
+    """elements with widget_type, form_control, travel_role, suggestions and options of the composite widgets whose inner field they are; fields that only widgets know follow as rows of their own.
+
+    elements: page_id, element_id, name, input_type. widgets: page_id, element_id, widget_type, form_control, suggestions (array of texts), options (array of struct index, value, text).
+    """
+    w = widgets.dropDuplicates(["page_id", "element_id"])
+    control = F.lower(F.coalesce("form_control", F.lit("")))
+    role = F.when(F.contains(control, F.lit("from")) | F.contains(control, F.lit("origin")), "origin").when(F.contains(control, F.lit("to")) | F.contains(control, F.lit("destination")), "destination")
+    some = lambda c, n: F.when(F.size(c) > 0, F.slice(c, 1, n))
+    texts = F.filter(F.transform("suggestions", lambda t: F.trim(t)), lambda t: t != "")
+    ready = w.select(
+        "page_id", "element_id", "widget_type", F.nullif(control, F.lit("")).alias("form_control"), role.alias("travel_role"), F.when(F.col("widget_type") == "autocomplete", some(texts, SUGGESTIONS)).alias("suggestions"),
+        F.when(F.col("widget_type") == "dropdown", some(F.filter("options", lambda o: F.trim(o["text"]) != ""), OPTIONS)).alias("options"),
+    )
+    out = elements.join(ready, ["page_id", "element_id"], "full")
+    kind = F.when(F.col("options").isNotNull(), "custom-select").when(F.col("widget_type") == "datepicker", F.coalesce(F.nullif("input_type", F.lit("")), F.lit("date"))).otherwise(F.col("input_type"))
+    return out.withColumns({"name": F.coalesce(F.nullif("name", F.lit("")), F.col("form_control")), "input_type": kind})

@@ -76,6 +76,11 @@ def merged_faces(found: Column, full: Column) -> Column:
     return F.aggregate(F.filter(full, lambda f: f["bbox"].isNotNull()), found, put)
 
 
+def all_black(pixels: Column) -> Column:
+    """Whether pixels (array of struct r, g, b, a) are all opaque black; none are."""
+    return F.forall(pixels, lambda p: (p["r"] == 0) & (p["g"] == 0) & (p["b"] == 0) & (p["a"] == 255))
+
+
 def grown(b: Column, width: Column, height: Column) -> Column:
     """A redaction box a quarter larger, half of that to each side, within the picture."""
     x = F.greatest(F.lit(0), rounded(b["x"] - b["width"] * (EXPANSION / 2)))

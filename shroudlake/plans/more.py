@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import places
 from ..functions.text import first_keyword, mask_typed, padded_id, shown_task, without_guidance
-from ..operators import agent, chain, detect, fields, fuse, history, lookup, messages, names, page, propagate, regions, run, sanitize
+from ..operators import agent, chain, detect, fields, fuse, history, lookup, messages, names, page, propagate, reading, regions, run, sanitize
 from ..sources import tables
 from . import rules_sql
 
@@ -515,6 +515,31 @@ def dictionary_names(spark: SparkSession, d: str) -> DataFrame:
     return detect.dictionary_names(c, ["c_custkey"], names_).select("c_custkey", "rule", "text", F.col("start").cast("long").alias("at"), "decision")
 
 
+#: Words of a made-up invoice: (text, x, y, width); N stands for a number.
+INVOICE = (
+    ("Tax", 10, 10, 30), ("Invoice", 45, 12, 60), ("Name", 10, 100, 40), (":", 52, 101, 4), ("Date", 300, 100, 40), ("Mob", 10, 130, 30), ("No", 45, 131, 20), ("total", 10, 300, 40), ("mail", 10, 330, 40), ("kN@example.com", 60, 331, 150), ("Signature", 320, 470, 70),
+)
+
+
+def _invoice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), F.lit(0).cast("long").alias("region_idx"))
+    made = F.array(*[F.struct(F.lit(i).alias("word_idx"), F.lit(t).alias("form"), geo.box(F.lit(x), F.lit(y), F.lit(w), F.lit(14)).alias("bbox")) for i, (t, x, y, w) in enumerate(INVOICE)])
+    text = F.when(F.col("word_idx") == 9, F.concat(F.lit("k"), F.col("page_id"), F.lit("@example.com"))).otherwise(F.col("form"))
+    return c.select("*", F.inline(made)).withColumns({"text": text, "confidence": F.lit(0.9)}).drop("form"), c.withColumn("bbox", geo.box(F.lit(0), F.lit(0), F.lit(400), F.lit(500)))
+
+
+def read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of those words by where they stand."""
+    words, _ = _invoice(spark, d)
+    return reading.line_texts(reading.region_lines(words)).select("page_id", F.col("line_index").cast("long").alias("line_index"), "text", F.col("bbox")["x"].cast("long").alias("x"), F.col("bbox")["width"].cast("long").alias("width"))
+
+
+def region_findings(spark: SparkSession, d: str) -> DataFrame:
+    """What those words hold: a mail, the fields for name and phone, the signature, and the usual place of the device's number."""
+    got = reading.region_findings(*_invoice(spark, d))
+    return got.select("page_id", "type", "reason", "confidence", *[F.col("bbox")[c].cast("long").alias(c) for c in ("x", "y", "width", "height")])
+
+
 def model_texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts of pages that a model for names would read."""
     b = _boxed(spark, d)
@@ -577,7 +602,7 @@ def queries() -> dict[str, Query]:
     found = (
         rule_spans, rule_samples, shown_dates, message_tasks, search_phrases, journeys, drafts, composed_lines, closed_pages, vault_values, feedback_errors, loop_replay, step_guidance, outcome_rules, patched_turns, responses, back_filled_answers,
         readable_regions, checked_redactions, face_boxes, part_boxes, picture_sizes, joined_boxes, detection_summary, shields, spread_values, document_kinds, sanitized_elements, reason_keys, text_helpers, field_types, column_headers,
-        option_choices, element_targets, earlier_steps, stream_chunks, shown_elements, context_words, avatar_regions, sanitized_pages, run_summaries, normalized_actions, name_texts, found_entities, dictionary_names,
+        option_choices, element_targets, earlier_steps, stream_chunks, shown_elements, context_words, avatar_regions, sanitized_pages, run_summaries, normalized_actions, name_texts, found_entities, dictionary_names, read_lines, region_findings,
         model_texts, placed_words, region_texts, clean_texts, guarded_steps, strict_actions,
     )
     return {f.__name__: f for f in found}
@@ -688,6 +713,9 @@ def oracle_sql() -> dict[str, str]:
         "found_entities": "WITH c AS (SELECT c_custkey::BIGINT AS page_id FROM customer) SELECT page_id, 'name' AS type, 'Ravi Kumar' AS text, 0.9::DOUBLE AS confidence FROM c WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'name', 'Dr. Ravi Kumar', 0.85 FROM c WHERE page_id % 3 = 0 AND page_id % 2 = 1 "
         "UNION ALL SELECT page_id, 'location', '12 Green Street', 0.8 FROM c WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'location', 'Mumbai', 0.78 FROM c WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'name', 'Meera Shah', 0.85 FROM c WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'organization', 'Acme Solutions', 0.25 FROM c WHERE page_id % 3 = 2",
         "dictionary_names": "SELECT c_custkey, 'given' AS rule, 'Kim' AS text, 4::BIGINT AS at, 'REDACT' AS decision FROM customer UNION ALL SELECT c_custkey, 'common', 'Ann Bell', 12, 'REVIEW' FROM customer UNION ALL SELECT c_custkey, 'given', 'Kim Ann', 36 + length(c_custkey::VARCHAR), 'REDACT' FROM customer WHERE c_custkey % 2 = 0",
+        "read_lines": f"SELECT c_custkey::BIGINT AS page_id, k::BIGINT AS line_index, replace(t, 'N@', c_custkey || '@') AS text, x::BIGINT AS x, w::BIGINT AS width FROM customer, {_values([(0, 'Tax Invoice', 10, 95), (1, 'Name : Date', 10, 330), (2, 'Mob No', 10, 55), (3, 'total', 10, 40), (4, 'mail kN@example.com', 10, 200), (5, 'Signature', 320, 70)], 'k, t, x, w')}",
+        "region_findings": "WITH c AS (SELECT c_custkey::BIGINT AS page_id FROM customer) SELECT page_id, type, reason, confidence::DOUBLE AS confidence, x::BIGINT AS x, y::BIGINT AS y, w::BIGINT AS width, h::BIGINT AS height FROM c, (VALUES ('email', 'ocr_regex:email', 1.0, 60, 331, 150, 14), "
+        "('name', 'form_field_anchor:name', 0.98, 60, 97, 160, 26), ('phone', 'form_field_anchor:phone', 0.98, 69, 127, 180, 26), ('device_id', 'form_field_anchor:imei_slot', 0.96, 112, 235, 200, 28), ('signature', 'form_field_anchor:signature', 0.95, 290, 420, 104, 58)) v(type, reason, confidence, x, y, w, h)",
         "model_texts": f"WITH {_B}, e AS (SELECT page_id, n * 1000000 + k AS elem_idx, CASE WHEN k % 11 = 0 THEN 1000 WHEN k % 5 = 0 THEN 2 ELSE 10 END AS size FROM b WHERE k % 4 <> 0 AND k % 7 <> 0), i AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) AS item_idx FROM e WHERE size > 3) SELECT page_id, elem_idx, item_idx FROM i WHERE item_idx <= 6 AND size <= 512",
         "placed_words": f"WITH {_B} SELECT page_id, n AS region_idx, k AS word_index, 'word' AS text, (CASE WHEN k % 8 > 0 THEN k % 100 ELSE 80 END / 100)::DOUBLE AS confidence, (100 + floor((k % 300 - 30) / 2.0 + 0.5))::BIGINT AS x, (50 + floor((k % 200 - 30) / 2.0 + 0.5))::BIGINT AS y, 20::BIGINT AS width, 8::BIGINT AS height FROM b WHERE k % 9 <> 0 AND (k % 8 = 0 OR k % 100 > 5)",
         "region_texts": "WITH w AS (SELECT conv_id AS page_id, turn % 2 AS r, string_agg('w' || turn, ' ' ORDER BY turn) AS t FROM conversations WHERE turn <> 3 GROUP BY ALL) SELECT page_id, string_agg('[region ' || r || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS raw_text FROM w GROUP BY page_id",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from shroudlake.functions import geometry as geo
-from shroudlake.operators import agent, fuse, history, messages, propagate, rank, regions, sanitize
+from shroudlake.operators import agent, fuse, history, messages, page, propagate, rank, regions, registry, sanitize
+from shroudlake.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 FULL = "page_id long, cand_seq long, type string, sources array<string>, text string, tokens array<string>, confidence double, reason string, bbox struct<x:int,y:int,width:int,height:int>"
@@ -133,8 +134,45 @@ def test_targets_answers_and_lines(spark):
     assert sorted(((r.request_id, r.target, r.elem_idx) for r in messages.targets(actions, elements).collect()), key=str) == sorted([(1, "btn-9", 0), (1, "#in-2", 1), (1, "in-1", 1), (2, "btn-9", None), (1, None, None)], key=str)
     replies = spark.createDataFrame([(1, "yes"), (3, "no")], "request_id int, reply string")
     assert [tuple(r) for r in messages.answered(replies, spark.createDataFrame([(1, "t"), (1, "t")], "request_id int, task string")).collect()] == [(1, "yes", "t")]
-    e = spark.createDataFrame([(1, 2, "b", "p", None, "x" * 99, None, None, None, []), (1, 1, "a", "input", "textbox", "", "who", "", None, ["1", "2"])], "page_id int, rank int, element_id string, tag string, role string, text string, label string, placeholder string, value string, options array<string>")
-    assert messages.element_lines(e).first().lines == f'[a] input role=textbox label="who" options=[1, 2]\n[b] p text="{"x" * 60}"'
+    cols = "page_id int, rank int, element_id string, pos string, tag string, id string, input_type string, role string, label string, placeholder string, value string, href string, text string, options array<string>"
+    e = spark.createDataFrame([(1, 2, "b", None, "p", None, None, None, None, None, None, None, "x" * 99, []), (1, 1, "a", "top-left", "input", "q", "text", "textbox", "who", "", None, None, "", ["1", "2"])], cols)
+    want = '- elementId: "a" [pos: top-left] | <input id="q" type="text" role="textbox" label="who" options=[1, 2]></input>\n- elementId: "b" | <p> text="' + "x" * 60 + '..."</p>'
+    assert messages.element_lines(e).first().lines == want
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    prior = F.array(*[F.lit(f"act {i}") for i in range(5)])
+    assert one(messages.prompt(F.lit("go [x]"), F.lit("l"), prior, F.lit(""))) == "Task:\ngo\n\nEarlier actions:\nact 2\nact 3\nact 4\n\nElements:\nl"
+    assert one(messages.prompt(F.lit(None), F.lit(""), F.lit(None).cast("array<string>"), F.lit("search"))) == "Advice:\nsearch\n\nElements:\n(No DOM elements available)"
+
+
+def test_widgets_enrich_or_follow(spark):
+    e = spark.createDataFrame([(1, "a", "", "text"), (1, "b", "n", None)], "page_id int, element_id string, name string, input_type string")
+    w = spark.createDataFrame([(1, "a", "autocomplete", "journeyFrom", [" x ", ""], None), (1, "c", "dropdown", None, None, [(0, "v", "t"), (1, "v", " ")])], "page_id int, element_id string, widget_type string, form_control string, suggestions array<string>, options array<struct<index:int,value:string,text:string>>")
+    got = {r.element_id: r for r in page.with_widgets(e, w).collect()}
+    assert (got["a"].name, got["a"].travel_role, got["a"].suggestions, got["a"].input_type) == ("journeyfrom", "origin", ["x"], "text")
+    assert got["b"].widget_type is None and got["c"].input_type == "custom-select" and [o.text for o in got["c"].options] == ["t"]
+
+
+def test_models_registry(spark):
+    def squares(loaded, batch):
+        if (batch["width"] == 13).any():
+            raise RuntimeError("no")
+        own = batch[batch["width"] == batch["height"]]
+        return own[["page_id", "region_idx", "x", "y", "width", "height"]].assign(type="face", confidence=loaded)
+
+    regions_ = spark.createDataFrame([(1, 1, 0, 0, 20, 20), (1, 2, 0, 0, 30, 20), (2, 1, 5, 5, 9, 9)], "page_id long, region_idx long, x int, y int, width int, height int")
+    models = registry.Models().register(registry.Model("squares", ("face",), squares, load=lambda: 0.7, wants=lambda _: F.col("width") > 10)).register(registry.Model("bad", ("face",), lambda _, b: 1 / 0))
+    assert [(r.page_id, r.region_idx, r.type, r.confidence, r.model) for r in models.run(regions_, "face").collect()] == [(1, 1, "face", 0.7, "squares")]
+    assert models.able("face") == ["squares", "bad"] and models.run(regions_, "text").count() == 0
+    with pytest.raises(ValueError):
+        models.register(registry.Model("", (), squares))
+
+
+def test_pixels_and_pictures(spark, tmp_path):
+    px = spark.createDataFrame([([(0, 0, 0, 255)],), ([(0, 0, 0, 255), (0, 1, 0, 255)],), ([],)], "p array<struct<r:int,g:int,b:int,a:int>>")
+    assert [r.v for r in px.select(regions.all_black(F.col("p")).alias("v")).collect()] == [True, False, True]
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"))
+    (tmp_path / "b.png").write_bytes(b"none")
+    assert [(r.width, r.height) for r in tables.screenshots(spark, str(tmp_path)).collect()] == [(640, 480)]
 
 
 def test_words_met_and_summaries(spark):
