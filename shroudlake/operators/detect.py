@@ -97,7 +97,7 @@ def detect_pii(df: DataFrame, keys: Sequence[str], text: str = "text", context:
     """
     base = readable(df, keys, text, context)
     found = base.select(*base.columns[:-3], F.inline(all_matches(rules, registry)))
-    return found.withColumn("source", F.lit("dom")).withColumn("decision", decide(F.col("confidence")))
+    return found.withColumns({"source": F.lit("dom"), "decision": decide(F.col("confidence"))})
 
 
 #: A word, and the surname that may follow a given name.
