@@ -202,7 +202,7 @@ def back_filled_answers(spark: SparkSession, d: str) -> DataFrame:
 def _boxed(spark: SparkSession, d: str) -> DataFrame:
     li = _table(spark, d, "lineitem")
     b = geo.box(F.col("l_partkey") % 1100, F.col("l_suppkey") % 700, F.lit(20) + F.col("l_partkey") % 400, F.lit(12) + F.col("l_suppkey") % 200)
-    return li.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("long").alias("n"), b.alias("bbox"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("k"))
+    return li.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("long").alias("n"), b.alias("bbox"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"))
 
 
 def readable_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +310,7 @@ def sanitized_elements(spark: SparkSession, d: str) -> DataFrame:
     """Elements whose boxes a redaction overlaps, and sensitive fields."""
     b = _boxed(spark, d)
     e = b.select(
-        "page_id", (F.col("n") * 1_000_000 + F.col("k")).alias("elem_idx"), F.when(F.col("k") % 3 == 0, "input").when(F.col("k") % 3 == 1, "button").otherwise("div").alias("tag"), F.lit(None).cast("string").alias("role"), F.when(F.col("k") % 6 == 0, "password").otherwise("text").alias("input_type"),
+        "page_id", ((F.col("n") * 1_000_000 + F.col("k")) * 100_000 + F.col("s")).alias("elem_idx"), F.when(F.col("k") % 3 == 0, "input").when(F.col("k") % 3 == 1, "button").otherwise("div").alias("tag"), F.lit(None).cast("string").alias("role"), F.when(F.col("k") % 6 == 0, "password").otherwise("text").alias("input_type"),
         F.col("flag").alias("text"), F.lit("label").alias("label"), F.when(F.col("k") % 2 == 0, F.col("flag")).otherwise("").alias("value"), F.lit("").alias("placeholder"), F.lit(None).cast("string").alias("alt"), F.lit(None).cast("string").alias("href"), "bbox", (F.col("k") % 4 == 0).alias("is_sensitive"),
     )
     r = b.where("n = 2").select("page_id", geo.box(F.col("bbox.x"), F.col("bbox.y"), F.lit(500), F.lit(300)).alias("bbox"))
@@ -616,7 +616,7 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(str(x) if isinstance(x, int) and not isinstance(x, bool) else _quoted(x) for x in r) + ')' for r in rows)}) v({names})"
 
 
-_B = "b AS (SELECT l_orderkey AS page_id, l_linenumber::BIGINT AS n, l_partkey % 1100 AS x, l_suppkey % 700 AS y, 20 + l_partkey % 400 AS w, 12 + l_suppkey % 200 AS h, l_returnflag AS flag, l_partkey AS k FROM lineitem)"
+_B = "b AS (SELECT l_orderkey AS page_id, l_linenumber::BIGINT AS n, l_partkey % 1100 AS x, l_suppkey % 700 AS y, 20 + l_partkey % 400 AS w, 12 + l_suppkey % 200 AS h, l_returnflag AS flag, l_partkey AS k, l_suppkey AS sk FROM lineitem)"
 _STEPS = (
     "s AS (SELECT user_id AS loop_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, CASE WHEN event_id % 7 = 0 THEN 'done' WHEN event_id % 11 = 0 THEN 'ask_user' WHEN event_id % 2 = 0 THEN 'type' ELSE 'click' END AS action_type, "
     "event_id % 10 AS c, event_id % 13 <> 0 AS ok, event_id % 17 = 0 AS stop FROM events)"
@@ -694,7 +694,7 @@ def oracle_sql() -> dict[str, str]:
         "UNION SELECT page_id, 'name', 'row id' || k || ' Kim ' || k FROM o WHERE k % 5 = 1 AND length('row id' || k || ' Kim ' || k) <= 40) SELECT o.page_id, k + 1000000 AS elem_idx, kind, value FROM o JOIN v ON o.page_id = v.page_id AND contains('row id' || k || ' Kim ' || k, value)",
         "document_kinds": f"SELECT n_nationkey, k::BIGINT AS k, CASE WHEN n_nationkey % 2 = 0 THEN kind END AS kind FROM nation, {kinds_v}",
         "sanitized_elements": f"WITH {_B}, r AS (SELECT page_id, x, y FROM b WHERE n = 2), e AS (SELECT b.*, EXISTS (SELECT 1 FROM r WHERE r.page_id = b.page_id AND b.x < r.x + 500 AND b.x + b.w > r.x AND b.y < r.y + 300 AND b.y + b.h > r.y) AS hit FROM b) "
-        "SELECT page_id, n * 1000000 + k AS elem_idx, CASE WHEN hit THEN '[REDACTED]' ELSE flag END AS text, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN CASE WHEN hit OR k % 4 = 0 OR k % 6 = 0 THEN '[REDACTED]' ELSE flag END END AS value, "
+        "SELECT page_id, (n * 1000000 + k) * 100000 + sk AS elem_idx, CASE WHEN hit THEN '[REDACTED]' ELSE flag END AS text, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN CASE WHEN hit OR k % 4 = 0 OR k % 6 = 0 THEN '[REDACTED]' ELSE flag END END AS value, "
         "CASE WHEN k % 3 = 0 THEN 'type' WHEN k % 3 = 1 THEN 'click' ELSE 'read' END AS interaction_type, CASE WHEN k % 3 = 0 THEN k % 2 = 0 END AS has_value FROM e",
         "reason_keys": f"SELECT n_nationkey, k::BIGINT AS k, about FROM nation, {reasons} UNION ALL SELECT n_nationkey, 4, CASE n_nationkey % 3 WHEN 0 THEN 'checksum' WHEN 1 THEN 'checksum_verhoeff' ELSE 'checksum_luhn' END FROM nation UNION ALL SELECT n_nationkey, 6, CASE n_nationkey % 3 WHEN 0 THEN 'face' ELSE 'personal_data' END FROM nation",
         "text_helpers": "SELECT c_custkey, '[REDACTED: NAME] is a [REDACTED: ROLE], [REDACTED: NAME]' AS masked, 'e_' || CASE WHEN length(c_custkey::VARCHAR) >= 4 THEN c_custkey::VARCHAR ELSE lpad(c_custkey::VARCHAR, 4, '0') END AS id, CASE WHEN c_custkey % 2 = 0 THEN 'credit_card' ELSE 'user_name' END AS word FROM customer",
