@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, importance, mixing, pii, quality_rules, repeats, simhash, toxicity, wrappers
+from . import archives, decontaminate, importance, licenses, mixing, pii, quality_rules, repeats, simhash, spelling, toxicity, translog, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,10 +63,23 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("expressions", "notices")
+
+
+def op12_transaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translog.reassemble(translog.document_log(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_wrapper_text, op2_ftrl_toxicity, op3_suffix_repeats, op4_raked_mixture, op5_arc_to_warc,
         op6_quality_rules, op7_spaced_seeds, op8_simhash_groups, op9_pii_tagger, op10_importance_resampling,
+        op11_license_scan, op12_transaction_log, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
