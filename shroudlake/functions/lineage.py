@@ -5,20 +5,23 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names, so it is made once and its plan ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. In local mode, where all is one machine, a folder of our own if it is unset; on a cluster that is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='shroudlake-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
-    In local mode, where all is one machine, a folder of our own if it is unset; on a cluster that is an error.
-    """
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder, so it is made once and its plan ends there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            found = f"file://{tempfile.mkdtemp(prefix='shroudlake-')}"
-        sc.setCheckpointDir(found)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import settled
 from ..functions.text import drop_bracketed
-from .agent import contact_task, search_query
 from .messages import creative, earlier, echo, message_text, searched_before
 from .rank import says
+from .wording import contact_task, search_query
 
 #: Columns of page elements that the passes read.
 ELEMENT = "request_id, elem_idx, element_id, tag, role, input_type, label, placeholder, text, name, href, value, class_name, widget_type, bbox, is_sidebar, is_search_result, is_playlist, is_audio_record, is_status, is_content_editable"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .agent import search_query
+from .wording import search_query
 
 KEEP_TURNS, RENDERED = 30, 3
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.checksum import luhn
 from ..functions.text import escape_html, plain, spans, tokens
-from ..operators import agent, detect, fuse, history, rank, sanitize
+from ..operators import detect, fuse, history, rank, sanitize, wording
 from ..sources import tables
 from ..streaming import state
 from . import more
@@ -137,7 +137,7 @@ def ranked_elements(spark: SparkSession, d: str) -> DataFrame:
 
 def search_tasks(spark: SparkSession, d: str) -> DataFrame:
     c = _table(spark, d, "conversations").where("role = 'user'").withColumn("task", F.concat(F.lit("search for "), F.coalesce("text", F.lit(""))))
-    return c.select("conv_id", "turn", agent.search_query(F.col("task")).alias("query"))
+    return c.select("conv_id", "turn", wording.search_query(F.col("task")).alias("query"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

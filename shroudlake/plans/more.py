@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import places
 from ..functions.text import first_keyword, mask_typed, padded_id, shown_task, without_guidance
-from ..operators import agent, chain, detect, fields, fuse, history, lookup, messages, names, page, propagate, reading, regions, run, sanitize
+from ..operators import agent, chain, detect, fields, fuse, history, lookup, messages, names, page, propagate, reading, regions, run, sanitize, wording
 from ..sources import tables
 from . import rules_sql
 
@@ -67,7 +67,7 @@ def message_tasks(spark: SparkSession, d: str) -> DataFrame:
     c = _table(spark, d, "customer").select("c_custkey", F.concat(F.lit("kim"), F.col("c_custkey")).alias("who"), F.concat(F.lit("order "), F.col("c_custkey"), F.lit(" is ready")).alias("said"))
     rows = c.select("*", F.posexplode(F.lit([t for t, _, _ in TASKS])).alias("k", "form"))
     task = F.replace(F.replace("form", F.lit("N"), F.col("who")), F.lit("B"), F.col("said"))
-    got = agent.contact_task(task)
+    got = wording.contact_task(task)
     return rows.select("c_custkey", F.col("k").cast("long").alias("k"), got["contact"].alias("contact"), got["body"].alias("body"))
 
 
@@ -81,14 +81,14 @@ def search_phrases(spark: SparkSession, d: str) -> DataFrame:
     """What made-up search tasks look for."""
     p = _table(spark, d, "part").select("p_partkey", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9 ]", "")).alias("q"))
     rows = p.select("*", F.posexplode(F.lit(list(SEARCHES))).alias("k", "form"))
-    return rows.select("p_partkey", F.col("k").cast("long").alias("k"), agent.search_query(F.replace("form", F.lit("Q"), F.col("q"))).alias("query"))
+    return rows.select("p_partkey", F.col("k").cast("long").alias("k"), wording.search_query(F.replace("form", F.lit("Q"), F.col("q"))).alias("query"))
 
 
 def journeys(spark: SparkSession, d: str) -> DataFrame:
     """Stations and dates of made-up travel tasks."""
     n = _table(spark, d, "nation").select("n_nationkey", F.regexp_replace("n_name", "[^A-Za-z0-9]", "").alias("a"), F.concat(F.lit("Town"), F.col("n_nationkey")).alias("b"))
     task = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("book a ticket from "), "a", F.lit(" to "), "b", F.lit(" on 12/05/2025"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("train from "), "a", F.lit(" on tomorrow"))).otherwise(F.concat(F.lit("get to "), "b"))
-    return n.select("n_nationkey", messages.journey(task)["from_station"].alias("a"), messages.journey(task)["to_station"].alias("b"), messages.journey(task)["date"].alias("day"))
+    return n.select("n_nationkey", wording.journey(task)["from_station"].alias("a"), wording.journey(task)["to_station"].alias("b"), wording.journey(task)["date"].alias("day"))
 
 
 #: (task, draft, whether the draft only repeats the task, the words to send, the theme)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from shroudlake.functions import geometry as geo
-from shroudlake.operators import agent, fuse, history, messages, page, propagate, rank, regions, registry, sanitize
+from shroudlake.operators import agent, fuse, history, messages, page, propagate, rank, regions, registry, sanitize, wording
 from shroudlake.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -67,10 +67,10 @@ def test_responses(spark):
 
 def test_tasks(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
-    assert one(agent.search_query(F.lit("search watches on flipkart"))) == "watches"
-    assert one(agent.search_query(F.lit("search stylish watches for me"))) == "stylish watches"
-    assert one(agent.search_query(F.lit('search "Khat" and play first video'))) == "Khat"
-    who = one(agent.contact_task(F.lit("tell Parth Bhaiya that meeting is cancelled")))
+    assert one(wording.search_query(F.lit("search watches on flipkart"))) == "watches"
+    assert one(wording.search_query(F.lit("search stylish watches for me"))) == "stylish watches"
+    assert one(wording.search_query(F.lit('search "Khat" and play first video'))) == "Khat"
+    who = one(wording.contact_task(F.lit("tell Parth Bhaiya that meeting is cancelled")))
     assert (who.contact, who.body) == ("Parth Bhaiya", "meeting is cancelled")
     day = F.lit(datetime.date(2025, 1, 31))
     assert [one(agent.shown_date(F.lit(x), day)) for x in ("2025-1-5", "5/1/2025", "31.02.2025", "next week", "tomorrow")] == ["05/01/2025", "05/01/2025", "31/02/2025", "next week", "01/02/2025"]
