@@ -77,8 +77,21 @@ def replay(steps: DataFrame, max_steps: int = 5, least: float = 0.45) -> DataFra
     return steps.withColumn("stop_reason", why).withColumn("_over", F.max(F.col("stop_reason").isNotNull()).over(w)).where(~F.coalesce("_over", F.lit(False))).drop("_over")
 
 
+#: What the message of an execution says when a text was sent, and when the user has filled a form.
+SENT, FILLED = "and sent message", "filled"
+
+
 def guidance_flags(steps: DataFrame) -> DataFrame:
-    """Running flags of what earlier steps of a loop did: search typed, contact clicked, message sent."""
+    """steps(loop_id, step, action_type, exec_success, message) with what the earlier steps of the loop did.
+
+    clicked: something with success; contact_clicked: something at all; guided: the user was asked or waited for; filled: that, and the message says so; searched: something typed that was not sent as a message; sent: a message;
+    previous_action: the type of the step before.
+    """
     w = Window.partitionBy("loop_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    flag = lambda test: F.coalesce(F.max(test).over(w), F.lit(False))
-    return steps.withColumns({"searched": flag(F.col("action_type") == "type"), "clicked": flag(F.col("action_type") == "click"), "previous_action": F.lag("action_type").over(Window.partitionBy("loop_id").orderBy("step"))})
+    flag = lambda test: F.coalesce(F.max(F.coalesce(test, F.lit(False))).over(w), F.lit(False))
+    kind, said = F.col("action_type"), F.coalesce("message", F.lit(""))
+    asked = kind.isin("wait", "ask_user")
+    return steps.withColumns({
+        "clicked": flag((kind == "click") & F.col("exec_success")), "contact_clicked": flag(kind == "click"), "guided": flag(asked), "filled": flag(asked & F.contains(said, F.lit(FILLED))),
+        "searched": flag((kind == "type") & ~F.contains(said, F.lit(SENT))), "sent": flag((kind == "type") & F.contains(said, F.lit(SENT))), "previous_action": F.lag("action_type").over(Window.partitionBy("loop_id").orderBy("step")),
+    })

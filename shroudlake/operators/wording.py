@@ -33,6 +33,11 @@ NO_NAMES = (
 MARKS = "\"'“”"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 class Pieces:
     """A task in pieces. Readers take columns of places and give columns of places or texts."""
 
@@ -49,7 +54,7 @@ class Pieces:
             inner.all = held
             return read(inner, F.size(held))
 
-        return F.transform(F.array(self.all), body)[0]
+        return let(self.all, body)
 
     def word(self, at: Column) -> Column:
         return F.coalesce(F.get(self.all, at)["word"], F.lit(""))
@@ -62,7 +67,7 @@ class Pieces:
 
     def after(self, at: Column, *words: str) -> Column:
         """The place after a piece that is one of the words, else the place itself."""
-        return F.when(self.word(at).isin(*words), at + 1).otherwise(at)
+        return at + F.when(self.word(at).isin(*words), 1).otherwise(0)
 
     def text(self, start: Column, end: Column) -> Column:
         """The pieces from start up to end as they stand; null if there is nothing."""
@@ -95,7 +100,7 @@ def contact_name(name: Column) -> Column:
 
 
 def _pair(contact: Column, body: Column) -> Column:
-    return F.when(contact.isNotNull() & body.isNotNull(), F.struct(contact.alias("contact"), body.alias("body")))
+    return let(F.struct(contact.alias("contact"), body.alias("body")), lambda x: F.when(x["contact"].isNotNull() & x["body"].isNotNull(), x))
 
 
 def _recipients(p: Pieces, n: Column) -> list[Callable[[Column], Column]]:
@@ -109,21 +114,26 @@ def _recipients(p: Pieces, n: Column) -> list[Callable[[Column], Column]]:
     def found_first(i: Column) -> Column:
         """Look a contact up, and then write to them."""
         who = F.when(p.word(i) == "find", i + 1).when(p.word(i) == "search", p.after(p.after(i + 1, "for"), "contact"))
-        link = p.first(who + 1, lambda k: (p.word(k) == "and") & verb(k + 1))
-        said = p.after(p.after(link + 2, *PRONOUNS), *SAYING)
-        return F.when(who.isNotNull() & link.isNotNull(), _pair(unquoted(p.text(who, link)), rest(said)))
+
+        def met(at: Column) -> Column:
+            said = lambda k: p.after(p.after(k + 2, *PRONOUNS), *SAYING)
+            return let(p.first(at + 1, lambda k: (p.word(k) == "and") & verb(k + 1)), lambda link: F.when(link.isNotNull(), _pair(unquoted(p.text(at, link)), let(said(link), rest))))
+
+        return F.when(p.word(i).isin("find", "search"), let(who, met))
 
     def addressed(i: Column) -> Column:
         """Send a message to someone, saying something."""
-        thing = p.after(i + 1, "a")
-        link = p.first(thing + 3, lambda k: one_of(k, *SAYING))
-        return F.when((p.word(i) == "send") & (p.word(thing) == "message") & (p.word(thing + 1) == "to") & link.isNotNull(), _pair(unquoted(p.text(thing + 2, link)), rest(link + 1)))
+
+        def met(thing: Column) -> Column:
+            link = F.when((p.word(thing) == "message") & (p.word(thing + 1) == "to"), p.first(thing + 3, lambda k: one_of(k, *SAYING)))
+            return let(link, lambda k: F.when(k.isNotNull(), _pair(unquoted(p.text(thing + 2, k)), rest(k + 1))))
+
+        return F.when(p.word(i) == "send", let(p.after(i + 1, "a"), met))
 
     def in_quotes(i: Column) -> Column:
         """The recipient in quotation marks; what joins it to the message is left out only where it is whole."""
         said = i + 2
-        thing = p.after(p.after(said, "a"), *QUOTED_THINGS)
-        body = F.when(one_of(thing, *SAYING, "say", "to"), rest(thing + 1)).otherwise(rest(p.after(said, "a", *SAYING)))
+        body = let(p.after(p.after(said, "a"), *QUOTED_THINGS), lambda thing: F.when(one_of(thing, *SAYING, "say", "to"), rest(thing + 1)).otherwise(rest(p.after(said, "a", *SAYING))))
         return F.when(verb(i) & p.quoted(i + 1), _pair(unquoted(p.raw(i + 1)), F.coalesce(body, rest(said))))
 
     def two_names(i: Column) -> Column:
@@ -133,8 +143,8 @@ def _recipients(p: Pieces, n: Column) -> list[Callable[[Column], Column]]:
 
     def named_thing(i: Column) -> Column:
         """One name, and then what is sent, or what it says."""
-        said, thing = i + 2, p.after(i + 2, "a")
-        body = F.when(one_of(said, *SAYING), rest(said + 1)).when(one_of(thing, *THINGS), F.coalesce(rest(p.after(thing + 1, *SAYING)), rest(thing + 1)))
+        said = i + 2
+        body = F.when(one_of(said, *SAYING), rest(said + 1)).otherwise(let(p.after(said, "a"), lambda thing: F.when(one_of(thing, *THINGS), F.coalesce(rest(p.after(thing + 1, *SAYING)), rest(thing + 1)))))
         return F.when(verb(i) & plain(i + 1), _pair(p.raw(i + 1), body))
 
     def some_thing(i: Column) -> Column:
@@ -158,7 +168,8 @@ def contact_task(task: Column) -> Column:
         tries = F.array(*[p.first_reading(reader) for reader in _recipients(p, n)])
         return F.get(F.filter(tries, lambda x: x.isNotNull() & contact_name(x["contact"])), F.lit(0))
 
-    return Pieces(task).over(read)
+    # most texts hold no verb of sending at all
+    return F.when(F.rlike(F.coalesce(task, F.lit("")), F.lit(rf"(?i)(?:{'|'.join(SEND)})")), Pieces(task).over(read))
 
 
 def search_query(task: Column, named: Column | None = None) -> Column:
@@ -172,24 +183,30 @@ def search_query(task: Column, named: Column | None = None) -> Column:
         last = lambda i, k: F.lower(F.regexp_replace(p.raw(i - k), r"\W+\z", ""))
 
         def bare(start: Column, end: Column) -> Column:
-            site = (end - start > 2) & last(end, 2).isin("on", "in") & (last(end, 1).isin(*SITES) | F.rlike(p.raw(end - 1), F.lit(r"^\w+\.\w+\z")))
-            end = F.when(site, end - 2).otherwise(end)
-            polite = F.when((end - start > 1) & (p.word(end - 1) == "please"), end - 1).when((end - start > 2) & (p.word(end - 2) == "for") & p.word(end - 1).isin("me", "us"), end - 2)
-            return p.text(start, F.coalesce(polite, end))
+            def without_site(k: Column) -> Column:
+                site = (k - start > 2) & last(k, 2).isin("on", "in") & (last(k, 1).isin(*SITES) | F.rlike(p.raw(k - 1), F.lit(r"^\w+\.\w+\z")))
+                return k - F.when(site, 2).otherwise(0)
+
+            def without_please(k: Column) -> Column:
+                return k - F.when((k - start > 1) & (p.word(k - 1) == "please"), 1).when((k - start > 2) & (p.word(k - 2) == "for") & p.word(k - 1).isin("me", "us"), 2).otherwise(0)
+
+            return let(let(end, without_site), lambda k: p.text(start, without_please(k)))
 
         def compound(i: Column) -> Column:
-            start = asked(i)
-            link = p.first(start + 1, lambda k: (p.word(k) == "and") & F.exists(F.array(*[F.lit(w) for w in LOOK]), lambda w: F.startswith(p.word(k + 1), w)))
-            return F.when(start.isNotNull() & link.isNotNull(), bare(start, link))
+            def met(start: Column) -> Column:
+                link = p.first(start + 1, lambda k: (p.word(k) == "and") & F.rlike(p.word(k + 1), F.lit(f"^(?:{'|'.join(LOOK)})")))
+                return let(link, lambda k: F.when(k.isNotNull(), bare(start, k)))
+
+            return let(asked(i), lambda start: F.when(start.isNotNull(), met(start)))
 
         def in_quotes(i: Column) -> Column:
-            content = F.trim(F.regexp_replace(p.raw(asked(i)), f"[{MARKS}]", ""))
-            return F.when(asked(i).isNotNull() & p.quoted(asked(i)), F.trim(F.regexp_replace(content, r"(?i)\s+(?:for\s+(?:me|us)|please)\z", "")))
+            content = lambda at: F.trim(F.regexp_replace(p.raw(at), f"[{MARKS}]", ""))
+            return let(asked(i), lambda at: F.when(p.quoted(at), F.trim(F.regexp_replace(content(at), r"(?i)\s+(?:for\s+(?:me|us)|please)\z", ""))))
 
-        simple = lambda i: F.when(asked(i).isNotNull(), bare(asked(i), n))
+        simple = lambda i: let(asked(i), lambda start: F.when(start.isNotNull(), bare(start, n)))
         return F.coalesce(*[p.first_reading(reader) for reader in (in_quotes, compound, simple)])
 
-    query = Pieces(task).over(read)
+    query = F.when(F.rlike(F.coalesce(task, F.lit("")), F.lit(r"(?i)search|find|look\s*up")), Pieces(task).over(read))
     return F.when((contact_task(task) if named is None else named).isNull(), query)
 
 
@@ -199,7 +216,7 @@ def told_text(task: Column) -> Column:
     def read(p: Pieces, n: Column) -> Column:
         def said(start: Column, end: Column) -> Column:
             """Up to where it says how to send it."""
-            return p.text(start, F.least(end, p.first(start + 1, lambda k: (p.word(k) == "and") & F.exists(F.array(*[F.lit(w) for w in SUBMIT]), lambda w: F.startswith(p.word(k + 1), w)), n)))
+            return p.text(start, F.least(end, p.first(start + 1, lambda k: (p.word(k) == "and") & F.rlike(p.word(k + 1), F.lit(f"^(?:{'|'.join(SUBMIT)})")), n)))
 
         def content(i: Column) -> Column:
             text = F.trim(F.regexp_replace(p.raw(i), f"[{MARKS}]", ""))

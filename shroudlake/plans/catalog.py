@@ -13,7 +13,7 @@ from ..functions.text import escape_html, plain, spans, tokens
 from ..operators import detect, fuse, history, rank, sanitize, wording
 from ..sources import tables
 from ..streaming import state
-from . import more
+from . import flows, more
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -145,7 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pii_summary, pii_core, card_runs, text_redaction, text_redaction_compat, escaped_text, text_tokens, page_elements, page_tags, box_pairs, mapped_boxes,
         decisions, fused_detections, turn_outcomes, last_turns, prior_actions, loop_breakers, latest_events, ranked_elements, search_tasks,
     )
-    return {f.__name__: f for f in found} | more.queries()
+    return {f.__name__: f for f in found} | more.queries() | flows.queries()
 
 
 _MARKED = "regexp_replace(t, '{p}', concat(chr(1), '\\0', chr(2)), 'g')"
@@ -176,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
         rule("n", "ssn", 0.85, KEYWORDS["ssn"], "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')"),
     ))
     digit = "(substr(m, 17 - i, 1)::INT * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)"
-    return more.oracle_sql() | {
+    return more.oracle_sql() | flows.oracle_sql() | {
         "pii_core": f"WITH {docs}, {_spans_sql(email, 'e')}, {_spans_sql(r'\b[A-Z]{5}[0-9]{4}[A-Z]\b', 'p')}, {_spans_sql(r'\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', 'n')}, r AS ({core}) "
         "SELECT doc_id, rule, m AS match_text, s AS span_start, s + length(m) AS span_end, round(c::DOUBLE, 4) AS confidence, CASE WHEN c >= 0.7 THEN 'REDACT' WHEN c >= 0.4 THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM r",
         "card_runs": f"WITH {docs}, {_spans_sql('[0-9]{16}', 'r')} SELECT doc_id, s AS span_start, m AS run, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN {digit} > 9 THEN {digit} - 9 ELSE {digit} END)) % 10 = 0 AS valid FROM r",

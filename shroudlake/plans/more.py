@@ -151,12 +151,12 @@ def loop_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def step_guidance(spark: SparkSession, d: str) -> DataFrame:
-    """Running flags of loops, and the advice they lead to."""
-    s = history.guidance_flags(_steps(spark, d).where("step < 6"))
+    """Running flags of loops, and the advice they lead to, where no message is kept."""
+    steps = _steps(spark, d).where("step < 6")
     k = F.col("loop_id") % 5
     task = F.when(k == 0, "log in to the portal").when(k == 1, "book a train").when(k == 2, "search for kim and greet").when(k == 3, "find shoes").otherwise("scroll down")
-    key = messages.guidance(task, F.col("clicked"), F.lit(False), F.col("searched"), F.lit(False), F.col("previous_action"))
-    return s.select("loop_id", "step", "searched", "clicked", "previous_action", key.alias("advice"))
+    s = history.guidance_flags(steps.withColumns({"task": task, "message": F.lit(None).cast("string")}))
+    return s.select("loop_id", "step", "searched", "clicked", "contact_clicked", "previous_action", messages.guidance(s).alias("advice"))
 
 
 def outcome_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -660,9 +660,10 @@ def oracle_sql() -> dict[str, str]:
         "feedback_errors": "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'description missing' WHEN 1 THEN 'description too short' WHEN 2 THEN 'description too long' WHEN 3 THEN 'name too long' WHEN 4 THEN 'email invalid' END AS error FROM customer",
         "loop_replay": f"WITH {_STEPS}, r AS (SELECT *, CASE WHEN stop THEN 'cancelled' WHEN action_type IN ('done', 'ask_user') THEN action_type WHEN c < 4.5 THEN 'low_confidence' WHEN NOT ok THEN 'error' WHEN step >= 4 THEN 'max_steps' END AS stop_reason FROM s), "
         "f AS (SELECT loop_id, min(step) AS last FROM r WHERE stop_reason IS NOT NULL GROUP BY loop_id) SELECT r.loop_id, step, action_type, stop_reason FROM r LEFT JOIN f USING (loop_id) WHERE last IS NULL OR step <= last",
-        "step_guidance": f"WITH {_STEPS}, f AS (SELECT loop_id, step, coalesce(max(action_type = 'type') OVER w, false) AS searched, coalesce(max(action_type = 'click') OVER w, false) AS clicked, lag(action_type) OVER (PARTITION BY loop_id ORDER BY step) AS previous_action "
-        "FROM s WHERE step < 6 WINDOW w AS (PARTITION BY loop_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT *, CASE loop_id % 5 WHEN 0 THEN CASE WHEN clicked THEN 'login:check' ELSE 'login:ask' END WHEN 1 THEN CASE WHEN clicked THEN 'travel:check' ELSE 'travel:ask' END "
-        "WHEN 2 THEN CASE WHEN clicked THEN 'contact:write' WHEN searched THEN 'contact:open' ELSE 'contact:look' END WHEN 3 THEN 'search' ELSE 'other' END AS advice FROM f",
+        "step_guidance": f"WITH {_STEPS}, f AS (SELECT loop_id, step, coalesce(bool_or(action_type = 'type') OVER w, false) AS searched, coalesce(bool_or(action_type = 'click' AND ok) OVER w, false) AS clicked, coalesce(bool_or(action_type = 'click') OVER w, false) AS contact_clicked, "
+        "coalesce(bool_or(action_type = 'ask_user') OVER w, false) AS guided, lag(action_type) OVER (PARTITION BY loop_id ORDER BY step) AS previous_action FROM s WHERE step < 6 WINDOW w AS (PARTITION BY loop_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+        "SELECT * EXCLUDE (guided), CASE loop_id % 5 WHEN 0 THEN CASE WHEN clicked THEN 'login:check' WHEN guided THEN 'login:filled' ELSE 'login:ask' END WHEN 1 THEN CASE WHEN clicked THEN 'travel:check' ELSE 'travel:ask' END "
+        "WHEN 2 THEN CASE WHEN contact_clicked THEN 'contact:write' WHEN searched OR coalesce(previous_action = 'type', false) THEN 'contact:open' ELSE 'contact:look' END WHEN 3 THEN 'search' ELSE 'other' END AS advice FROM f",
         "outcome_rules": "WITH t AS (SELECT conv_id AS session_id, turn AS turn_seq, CASE WHEN role = 'user' THEN 'type' ELSE 'click' END AS a, CASE (conv_id + turn) % 4 WHEN 2 THEN '/a' WHEN 3 THEN '/b' END AS u, CASE WHEN turn % 5 = 0 THEN 'failed' END AS o FROM conversations), "
         "n AS (SELECT *, lead(u) OVER w AS nu, lead(turn_seq) OVER w AS nt FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn_seq)) SELECT session_id, turn_seq, CASE WHEN o IS NOT NULL THEN o WHEN nt IS NULL THEN NULL WHEN nu <> u THEN 'navigation_success' WHEN a = 'type' THEN 'executed_and_sent' ELSE 'clicked_successfully' END AS outcome FROM n",
         "patched_turns": "SELECT conv_id AS session_id, turn AS turn_seq, CASE WHEN conv_id % 3 = 0 OR turn < max(turn) OVER (PARTITION BY conv_id) THEN 'old' WHEN conv_id % 3 = 2 THEN 'failed' WHEN role = 'user' THEN 'executed_and_sent' ELSE 'clicked_successfully' END AS outcome FROM conversations",

@@ -37,20 +37,20 @@ class Loop(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next long, turns int, over boolean, waits boolean, typed boolean, deadline long")
-        self.sent = handle.getMapState("sent", "value string", "n int")
-        self.clicked = handle.getMapState("clicked", "target string", "n int")
+        self.at = handle.getValueState("at", "next long, turns int, over boolean, waits boolean, typed boolean, deadline long, sent array<string>, clicked array<string>, n_early int")
         self.early = handle.getMapState("early", "seq long", SIGNAL)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        state = list(self.at.get() if self.at.exists() else (0, 0, False, False, False, None))
+        state = list(self.at.get() or (0, 0, False, False, False, None, [], [], 0))
         if state[2]:
             return
         before, fresh = state[5], {}
         for r in rows:
             if r.seq is not None and r.seq >= state[0]:
                 fresh.setdefault(r.seq, tuple(r["micros" if c == "at long" else c.split(" ")[0]] for c in SIGNAL.split(", ")))
-        if self.early.exists():
+        held = set()
+        if state[8]:
+            held = {k[0] for k, _ in self.early.iterator()}
             fresh = {k[0]: tuple(v) for k, v in self.early.iterator()} | fresh
         took = set()
         while not state[2] and state[0] in fresh:
@@ -65,13 +65,15 @@ class Loop(StatefulProcessor):
             base = _ms(signal[1]) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
             state[5] = base + self.limits[bool(state[3])]
         if state[2]:
-            for kept in (self.sent, self.clicked, self.early):
-                kept.clear()
+            if held:
+                self.early.clear()
+            state[6:] = [], [], 0
         else:
-            for seq, signal in fresh.items():
-                self.early.updateValue((seq,), signal)
-            for seq in took:
+            for seq in fresh.keys() - held:
+                self.early.updateValue((seq,), fresh[seq])
+            for seq in took & held:
                 self.early.removeKey((seq,))
+            state[8] = len(fresh)
         if before is not None and (state[2] or state[5] != before):
             self.handle.deleteTimer(before)
         if not state[2] and state[5] is not None and state[5] != before:
@@ -82,8 +84,9 @@ class Loop(StatefulProcessor):
         state = list(self.at.get())
         if not state[2] and state[5] is not None and expiredTimerInfo.getExpiryTimeInMs() >= state[5]:
             yield self._ended(key, state, "timed_out")
-            for kept in (self.sent, self.clicked, self.early):
-                kept.clear()
+            if state[8]:
+                self.early.clear()
+            state[6:] = [], [], 0
             self.at.update(tuple(state))
 
     def _ended(self, key: Any, state: list, why: str) -> Row:
@@ -108,9 +111,9 @@ class Loop(StatefulProcessor):
             first = state[1] == 0
             if action is None or action == "done":
                 guard = "continue" if searches and not plays and first else "done"
-            elif action == "type" and not first and value is not None and self.sent.containsKey((value,)):
+            elif action == "type" and not first and value is not None and value in state[6]:
                 guard = "done"
-            elif action == "click" and not first and target is not None and self.clicked.containsKey((target,)) and not state[4] and searches and query:
+            elif action == "click" and not first and target is not None and target in state[7] and not state[4] and searches and query:
                 guard, text = "type", query
             if guard == "done":
                 why = "done"
@@ -128,9 +131,9 @@ class Loop(StatefulProcessor):
                 if why is None and guard == "type":
                     state[4] = state[4] or bool(worked)
                     if worked and text is not None:
-                        self.sent.updateValue((text,), (1,))
+                        state[6] = [*state[6], text]
                 elif why is None and guard == "click" and target is not None:
-                    self.clicked.updateValue((target,), (1,))
+                    state[7] = [*state[7], target]
             state[1] += 1
             if why is None and state[1] >= self.max_steps:
                 why = "max_steps"

@@ -67,7 +67,7 @@ def replayed(df: DataFrame, by: str, slices: int = 4) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    x = F.col(by).cast("double")
+    x = (F.col(by).cast("timestamp") if df.schema[by].dataType.typeName().startswith("timestamp") else F.col(by)).cast("double")
     low, high = df.agg(F.min(x), F.max(x)).first()
     width = ((high or 0) - (low or 0)) / slices or 1.0
     part = F.coalesce(F.least(F.floor((x - F.lit(low or 0.0)) / F.lit(width)), F.lit(slices - 1)), F.lit(0))
