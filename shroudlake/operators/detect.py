@@ -1,10 +1,11 @@
-"""Rule-based detection of personal data in text columns, without Python on the executors."""
+"""Rule-based detection of personal data in text columns, without Python on the executors but for detectors that are plain functions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,20 +121,63 @@ def dictionary_names(df: DataFrame, keys: Sequence[str], dictionary: DataFrame,
     return free.select(*keys, F.lit(0).alias("rule_ord"), "rule", F.lit("name").alias("type"), "text", "start", "end", F.col("confidence").cast("double").alias("confidence"), F.lit(False).alias("checksum_validated"), F.lit("dom").alias("source"), decide(F.col("confidence")).alias("decision"))
 
 
+MATCH = "struct<detector:string,type:string,text:string,start:int,end:int,confidence:double,warning:string>"
+
+
+def isolated(name: str, detect: Callable[[str, str], Iterable[dict]]) -> Callable[[Column, Column], Column]:
+    """A plain function of (text, context) as a column of arrays of MATCH. What it raises over a text becomes a row with a warning, and so does a match without a type or a place in the text; other texts and detectors go on."""
+
+    def one(text: str | None, ctx: str | None) -> list[dict]:
+        row = {"detector": name, "type": None, "text": None, "start": None, "end": None, "confidence": None, "warning": None}
+        try:
+            found = []
+            for m in detect(text or "", ctx or "") or ():
+                start, end = int(m["start"]), int(m["end"])
+                if not m.get("type") or not 0 <= start < end <= len(text or ""):
+                    found.append(row | {"warning": f"not a match: {str(m)[:200]}"})
+                else:
+                    found.append(row | {"type": str(m["type"]), "text": (text or "")[start:end], "start": start, "end": end, "confidence": float(m.get("confidence", 0.5))})
+        except Exception as e:  # noqa: BLE001  a detector's failure is not the job's
+            return [row | {"warning": f"{type(e).__name__}: {str(e)[:200]}"}]
+        return found
+
+    def run(texts: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series([one(t, c) for t, c in zip(texts, contexts)])
+
+    return lambda text, ctx: F.pandas_udf(run, f"array<{MATCH}>")(text, ctx)
+
+
 class Detectors:
-    """Detectors by name: functions of (text, context) columns that give the match array; built from expressions or pandas UDFs."""
+    """Detectors by name: functions of (text, context) columns that give the match array, built from expressions or pandas UDFs; or plain functions of a text and its context that give dictionaries (type, start, end, confidence)."""
 
     def __init__(self) -> None:
         self.found: dict[str, Callable[[Column, Column], Column]] = {}
+        self.plain: dict[str, Callable[[Column, Column], Column]] = {}
 
     def add(self, name: str, detect: Callable[[Column, Column], Column] | None) -> "Detectors":
         if name and callable(detect):
             self.found[name] = detect
         return self
 
+    def add_function(self, name: str, detect: Callable[[str, str], Iterable[dict]] | None) -> "Detectors":
+        if name and callable(detect):
+            self.plain[name] = isolated(name, detect)
+        return self
+
     def columns(self, text: Column, ctx: Column) -> list[Column]:
         return [f(text, ctx) for f in self.found.values()]
 
+    def run(self, df: DataFrame, keys: Sequence[str], text: str = "text", context: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(matches, warnings): keys.. and detector, type, text, start, end, confidence, decision of the rules (as built_in) and of each plain function; and keys.., detector, warning of what failed."""
+        rules = detect_pii(df, keys, text, context, registry=self).select(*keys, F.lit("built_in").alias("detector"), "type", "text", "start", "end", "confidence", "decision")
+        if not self.plain:
+            return rules, df.select(*keys, F.lit("").alias("detector"), F.lit("").alias("warning")).where("false")
+        ctx = F.col(context) if context else F.lit("")
+        body = plain(F.col(text))
+        each = df.select(*keys, F.inline(F.concat(*[f(body, ctx) for f in self.plain.values()])))
+        good = each.where("warning is null").select(*keys, "detector", "type", "text", "start", "end", clamp_confidence(F.col("confidence")).alias("confidence"), decide(clamp_confidence(F.col("confidence"))).alias("decision"))
+        return rules.unionByName(good), each.where("warning is not null").select(*keys, "detector", "warning")
+
 
 def summarize(found: DataFrame, key: str) -> DataFrame:
     """(type, decision, n_spans, n_docs)."""

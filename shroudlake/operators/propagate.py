@@ -61,12 +61,35 @@ def confirmed(candidates: DataFrame, elements: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+#: Code points of the pieces by which values are sought.
+PIECE = 4
+
+
+def pieces(text: Column, size: Column) -> Column:
+    """The distinct stretches of a text of so many code points."""
+    last = F.length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size))))
+
+
+def holders(values: DataFrame, elements: DataFrame) -> DataFrame:
+    """(page_id, elem_idx, kind, value): the elements(page_id, elem_idx, text) of each page whose text holds a value of values(page_id, kind, value).
+
+    Texts are cut into all their stretches of PIECE code points (of fewer where a page has shorter values), a value stands under one of its own, the one with the least hash; the two are joined, and
+    what meets is looked at. So a page with many values and many elements costs as much as its texts are long, not each value against each element. Empty values are held by nothing.
+    """
+    size = F.least(F.length("value"), F.lit(PIECE))
+    v = values.where(F.length("value") > 0).select("page_id", "kind", "value", size.alias("_q")).distinct()
+    v = v.withColumn("_piece", F.array_min(F.transform(pieces(F.col("value"), F.col("_q")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    cut = elements.select("page_id", "elem_idx", "text").join(v.select("page_id", "_q").distinct(), "page_id")
+    parts = cut.select("page_id", "elem_idx", "_q", F.explode(pieces(F.col("text"), F.col("_q"))).alias("_piece"))
+    met = parts.join(v, ["page_id", "_q", "_piece"]).select("page_id", "elem_idx", "kind", "value")
+    return met.join(elements.select("page_id", "elem_idx", "text"), ["page_id", "elem_idx"]).where(F.contains("text", F.col("value"))).select("page_id", "elem_idx", "kind", "value")
+
+
 def spread(values: DataFrame, elements: DataFrame, candidates: DataFrame) -> DataFrame:
     """(page_id, elem_idx, kind, value, confidence): further elements of a page whose text holds a confirmed value and has no candidate of that text yet."""
     known = candidates.select("page_id", "elem_idx", F.col("text").alias("value")).distinct()
-    own = elements.select("page_id", "elem_idx", "text")
-    met = own.join(values.withColumnRenamed("page_id", "_p"), (F.col("page_id") == F.col("_p")) & F.contains(F.col("text"), F.col("value")))
-    return met.select("page_id", "elem_idx", "kind", "value").join(known, ["page_id", "elem_idx", "value"], "left_anti").withColumn("confidence", F.lit(SPREAD))
+    return holders(values, elements).join(known, ["page_id", "elem_idx", "value"], "left_anti").withColumn("confidence", F.lit(SPREAD))
 
 
 def _within(region: Column, b: Column, slack: int) -> Column:

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..functions.lineage import shared_folder
-from ..operators import history, messages, selectors
+from ..operators import history, messages, selectors, whole
 from ..sources import styles
 from ..streaming import loops, sinks
 
@@ -100,12 +101,53 @@ def step_advice(spark: SparkSession, d: str) -> DataFrame:
     return s.select("loop_id", "step", "clicked", "contact_clicked", "guided", "filled", "searched", "sent", messages.guidance(s).alias("advice"))
 
 
+#: A document laid out as a page: its lines as paragraphs below one another, each line's words once more in a picture, a portrait, and faces in both.
+LINE, TOP, PICTURE, PORTRAIT = 30, 200, (50, 40, 900, 120), (1100, 20, 60, 60)
+
+
+def _whole_page(spark: SparkSession, d: str) -> whole.Whole:
+    box = lambda *b: geo.box(*[x if not isinstance(x, int) else F.lit(x) for x in b])
+    docs = _table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("page_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["page_id"])
+    none = F.lit(None).cast("string")
+    tokens = F.expr("cast(null as array<struct<id:string,text:string,start:int,end:int,bbox:struct<x:int,y:int,width:int,height:int>,boxes:array<struct<x:int,y:int,width:int,height:int>>>>)")
+    lines = docs.select("page_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    elements = lines.select("page_id", F.col("k").alias("elem_idx"), F.lit("p").alias("tag"), F.col("line").alias("text"), box(10, F.col("k") * LINE + TOP, 600, 20).alias("bbox")).withColumns({
+        **{n: none for n in ("input_type", "autocomplete", "name", "id", "class_name", "label", "value", "placeholder", "alt", "href", "role")}, **{n: F.lit(False) for n in ("block_child", "is_header", "is_avatar", "is_sensitive")},
+        "avatar_confidence": F.lit(None).cast("double"), "tokens": tokens,
+    })
+    views = docs.select("page_id", F.lit(1280).alias("css_w"), F.lit(800).alias("css_h"), F.when(F.col("page_id") % 2 == 0, 2560).otherwise(1280).alias("shot_w"), F.when(F.col("page_id") % 4 == 0, 800).when(F.col("page_id") % 2 == 0, 1600).otherwise(800).alias("shot_h"))
+    region = lambda i, tag, b, avatar: F.struct(F.lit(i).cast("long").alias("region_idx"), F.lit(tag).alias("tag"), box(*b).alias("bbox"), F.lit(b[2] * b[3]).cast("long").alias("area"), F.lit(avatar).alias("is_avatar"), F.lit(0.98).alias("avatar_confidence"))
+    regions = docs.select("page_id", F.inline(F.array(region(1, "CANVAS", PICTURE, False), region(2, "IMG", PORTRAIT, True))))
+    # the first line with an at sign, as words in the picture
+    said = lines.where(F.contains("line", F.lit("@"))).groupBy("page_id").agg(F.min_by("line", "k").alias("line"))
+    words = said.select("page_id", F.posexplode(F.filter(F.split("line", r"\s+"), lambda w: w != "")).alias("word_idx", "text")).select(
+        "page_id", F.lit(1).cast("long").alias("region_idx"), F.col("word_idx").cast("long").alias("word_idx"), "text", F.lit(0.9).alias("confidence"), box(F.col("word_idx") * 60 + 60, 60, 55, 16).alias("bbox"),
+    )
+    score = ((F.col("page_id") % 10) / 10).cast("float")
+    quarter = F.lit([0.25, 0.25, 0.75, 0.75]).cast("array<float>")
+    faces = docs.select("page_id", F.explode(F.lit([1, 0])).alias("r"), F.array(F.lit(0.0).cast("float"), score).alias("scores"), quarter.alias("boxes")).select("page_id", F.when(F.col("r") == 1, 2).cast("long").alias("region_idx"), F.when(F.col("r") == 1, F.col("scores")).otherwise(F.array(F.lit(0.0), F.lit(0.1)).cast("array<float>")).alias("scores"), "boxes")
+    return whole.whole_run(elements, views, regions, words, faces)
+
+
+def whole_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents laid out as pages, after the whole run: mail addresses in paragraphs and pictures, and faces or the shields of portraits, with their boxes in the picture."""
+    c = _whole_page(spark, d).candidates.where("source in ('vision', 'avatar_shield') or (type = 'email' and source in ('dom', 'ocr'))")
+    rows = c.select("page_id", "source", "type", F.col("elem_idx").cast("long").alias("elem_idx"), *[F.col("bbox")[k].cast("long").alias(k) for k in ("x", "y", "width", "height")])
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
-    found = (streamed_loops, streamed_upserts, streamed_replies, assembled_texts, page_looks, selected_elements, step_advice)
+    found = (streamed_loops, streamed_upserts, streamed_replies, assembled_texts, page_looks, selected_elements, step_advice, whole_pages)
     return {f.__name__: f for f in found}
 
 
+#: Fixed value: the shape of a mail address.
+EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
+
+
 def oracle_sql() -> dict[str, str]:
+    from . import catalog  # which takes this module's queries in
+
     loop = f"event_id // {LENGTH} AS loop_id, event_id % {LENGTH}"
     search = "k IN (0, 1)"
     n = lambda part, tag: f"len(regexp_extract_all({part}, '<{tag}[ >]'))"
@@ -139,6 +181,21 @@ WITH t AS (SELECT page_id, html, unnest(regexp_extract_all(html, '<([a-zA-Z][a-z
 SELECT page_id, lower(tag) AS tag, count(*) AS n, CASE WHEN lower(tag) IN ('head', 'meta', 'title', 'style', 'script', 'footer', 'div') THEN count(*) WHEN lower(tag) IN ('li', 'a') AND count(*) >= 2 THEN 1 ELSE 0 END AS n_hidden FROM t GROUP BY page_id, lower(tag)""",
         "selected_elements": f"""
 SELECT page_id, k AS key, n FROM (SELECT page_id, unnest([0, 1, 2, 3, 4]::BIGINT[]) AS k, unnest([{n(nav, 'a')}, CASE WHEN {n(nav, 'li')} >= 2 THEN 1 ELSE 0 END, {n(art, 'p')}, 1, greatest({n(nav, 'li')} - 1, 0) + 1]::BIGINT[]) AS n FROM pages) WHERE n > 0""",
+        "whole_pages": f"""
+WITH docs AS (SELECT DISTINCT ON (doc_id) doc_id AS page_id, coalesce(text, '') AS text, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS sx, CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END AS sy FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT page_id, sx, sy, lines[i] AS line, i - 1 AS k FROM (SELECT *, str_split(text, chr(10)) AS lines FROM docs), unnest(range(1, len(lines) + 1)) AS r(i)),
+said AS (SELECT page_id, arg_min(line, k) AS line FROM l WHERE contains(line, '@') GROUP BY page_id),
+w AS (SELECT page_id, parts[i] AS word, i - 1 AS j FROM (SELECT page_id, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS parts FROM said), unnest(range(1, len(parts) + 1)) AS r(i)),
+b AS (SELECT page_id * 1000000 + k AS doc_id, line AS t FROM l WHERE contains(line, '@') AND length(trim(line)) >= 3 UNION ALL SELECT -1 - page_id * 1000000 - j, word FROM w WHERE contains(word, '@')),
+{catalog._spans_sql(EMAIL, "e")},
+dom AS (SELECT page_id, k, sx, sy, x0 + floor(s * per + 0.5) AS x, least((k * {LINE} + {TOP}) * sy, 800 * sy - 1) AS y, x0, greatest(20, floor(length(m) * per + 0.5)) AS w
+  FROM (SELECT l.*, s, m, 10 * sx AS x0, 600.0 * sx / length(line) AS per FROM e JOIN l ON e.doc_id = l.page_id * 1000000 + l.k)),
+ocr AS (SELECT page_id, j * 60 + 60 + floor(s * per + 0.5) AS x, j * 60 + 115 AS edge, greatest(2, floor((s + length(m)) * per - s * per + 0.5)) AS w FROM (SELECT w.*, s, m, 55.0 / length(word) AS per FROM e JOIN w ON e.doc_id = -1 - w.page_id * 1000000 - w.j)),
+face AS (SELECT page_id, page_id % 10 >= 5 AS seen, 1100 * sx AS x, 20 * sy AS y, 60 * sx AS w, 60 * sy AS h, floor(30 * sx * 0.15 + 0.5) AS px, floor(30 * sy * 0.20 + 0.5) AS py FROM docs),
+c AS (SELECT page_id, 'dom' AS source, 'email' AS type, k AS elem_idx, x, y, least(w, x0 + 600 * sx - x) AS width, greatest(1, least(20 * sy, 800 * sy - y)) AS height FROM dom
+UNION ALL SELECT page_id, 'ocr', 'email', NULL, x, 60, greatest(1, least(w, edge - x)), 16 FROM ocr
+UNION ALL SELECT page_id, CASE WHEN seen THEN 'vision' ELSE 'avatar_shield' END, 'face', NULL, CASE WHEN seen THEN x + w / 4 - px ELSE x END, CASE WHEN seen THEN y + h / 4 - py ELSE y END, CASE WHEN seen THEN w / 2 + 2 * px ELSE w END, CASE WHEN seen THEN h / 2 + 2 * py ELSE h END FROM face)
+SELECT page_id, source, type, elem_idx::BIGINT AS elem_idx, x::BIGINT AS x, y::BIGINT AS y, width::BIGINT AS width, height::BIGINT AS height, count(*) AS n FROM c GROUP BY ALL""",
         "step_advice": f"""
 WITH s AS (SELECT {loop} AS step, CASE event_type WHEN 'click' THEN 'click' WHEN 'error' THEN 'ask_user' WHEN 'view' THEN 'type' ELSE 'wait' END AS a, event_id % 4 <> 0 AS ok, event_id % 3 AS m, (event_id // {LENGTH}) % 4 AS k FROM events),
 f AS (SELECT *, coalesce(bool_or(a = 'click' AND ok) OVER w, false) AS clicked, coalesce(bool_or(a = 'click') OVER w, false) AS contact_clicked, coalesce(bool_or(a IN ('wait', 'ask_user')) OVER w, false) AS guided, coalesce(bool_or(a IN ('wait', 'ask_user') AND m = 1) OVER w, false) AS filled,
