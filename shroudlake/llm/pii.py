@@ -5,7 +5,7 @@ kind's check. The tagger is trained in numpy on spans labelled by the base patte
 sample of windows (``windows``) and on rewritings of them (other separators, spelt-out at and dot). A tagged span holds a
 digit, an at sign or a spelt-out one by definition, so texts are read in windows around those
 marks; everything else is outside by that rule. Windows overlap by half; each character takes its tag
-from the window in which it lies furthest from an edge, and spans are formed on the whole text.
+from the window in which it lies furthest from an edge, and spans are formed on the whole text; a mail address is taken to the ends of its name and host, however far these reach.
 An added span must pass its kind's check and not overlap a base span.
 
 Defined cases: null and empty texts have no spans; equal texts have equal spans; offsets are code
@@ -31,6 +31,7 @@ from .common import durable, small_batches, tidy, trim, utf8
 KINDS = TAGS[1:]
 #: The base patterns of the contract.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+HOST = re.compile(r"[A-Za-z0-9-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -107,11 +108,12 @@ def windows_of(text: str) -> list[tuple[int, int]]:
 
 def examples(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
     """(window, start, end, kind) around each base span that shares its window with no other."""
-    out = []
-    for k, s, e in spans:
+    out, reach = [], -1  # where the spans before end at most
+    for n, (k, s, e) in enumerate(spans):  # by start
         a, b = max(0, s - 30), min(len(text), e + 30)
-        if e - s <= 36 and not any(o != (k, s, e) and o[1] < b and o[2] > a for o in spans):
+        if e - s <= 36 and reach <= a and (n + 1 == len(spans) or spans[n + 1][1] >= b):
             out.append((text[a:b], s - a, e - a, k))
+        reach = max(reach, e)
     return out
 
 
@@ -242,6 +244,11 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger
                     s += 1
                 while e > s and texts[i][e - 1] in " \t\n.,;:":
                     e -= 1
+                if kind == "email" and s < e:  # a window may begin or end inside the name or the host
+                    while s > 0 and LOCAL.match(texts[i][s - 1]):
+                        s -= 1
+                    while e < len(texts[i]) and HOST.match(texts[i][e]):
+                        e += 1
                 if e > s and accepted(kind, texts[i][s:e]) and not any(x[1] < e and x[2] > s for x in base[i]):
                     out[i].append((kind, s, e))
                 run = []

@@ -498,3 +498,60 @@ def test_tagger_finds_other_forms(spark):
     assert sum(bool(f) for f in found) >= 14
     quiet = [" ".join(word() for _ in range(40)) + " 1234 in 2019" for _ in range(20)]
     assert not any(pii.added_spans(quiet, [[] for _ in quiet], tagger))
+
+
+def test_decontamination_recall(spark):
+    r = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items, texts, want, k = [], [], set(), 0
+    for size in (6, 8, 12, 16, 24, 40):
+        for share in (0.1, 0.2):
+            for _ in range(30):
+                k += 1
+                item = [str(x) for x in r.choice(vocabulary, size)]
+                same = r.random(size) >= share
+                text = [x if s else "other" for x, s in zip(item, same)]
+                items.append((k, " ".join(item)))
+                texts.append(" ".join([*r.choice(vocabulary, 30), *text, *r.choice(vocabulary, 30)]))
+                region = min(size, decontaminate.REGION)
+                if max(same[i : i + region].mean() for i in range(size - region + 1)) >= decontaminate.AGREE:
+                    want.add((size, share, k))
+    got = {x.doc_id for x in decontaminate.overlaps(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).where("doc_id = item_id").collect()}
+    for size in (6, 8, 12, 16, 24, 40):
+        for share in (0.1, 0.2):
+            own = {x for s, p, x in want if (s, p) == (size, share)}
+            assert len(own & got) >= 0.9 * len(own), (size, share)
+
+
+def test_decontamination_finds_any_single_substitution(spark):
+    bench = spark.createDataFrame([(n, " ".join(f"t{n}x{i}" for i in range(n))) for n in (4, 5, 6, 7, 8, 12, 13)], "item_id long, text string")
+    texts, want = [], set()
+    for n in (4, 5, 6, 7, 8, 12, 13):
+        for gone in [None, *range(n)]:
+            texts.append("before " + " ".join("else" if i == gone else f"t{n}x{i}" for i in range(n)) + " after")
+            if gone is None or n >= 6:
+                want.add((len(texts), n))
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs_of(spark, texts), bench).collect()} == want
+
+
+class Marks:
+    """Stands for a tagger that finds the host of an address and the last letters of its name."""
+
+    def decode(self, ids):
+        host, out = bilstm_crf.char_ids(" at example dot co"), np.zeros(ids.shape, np.int64)
+        for row, tags in zip(ids, out):
+            for at in range(5, len(row) - len(host) + 1):
+                if (row[at : at + len(host)] == host).all():
+                    tags[at - 5 : at + len(host)] = bilstm_crf.TAGS.index("email")
+        return out
+
+
+def test_addresses_are_taken_whole():
+    name = "a_very_long_local_part_of_more_than_forty_characters"
+    texts = [f"write to {name} at example dot com today", f"{name * 4} at example dot com", "kim.lee at example dot com-pany now"]
+    found = pii.added_spans(texts, [[], [], []], Marks())
+    assert [[t[s:e] for _, s, e in own] for t, own in zip(texts, found)] == [[f"{name} at example dot com"], [f"{name * 4} at example dot com"], ["kim.lee at example dot com-pany"]]
+    many = " ".join(f"u{i}@mail{i}.example.com" for i in range(20_000))
+    assert len(pii.examples(many, pii.base_spans(many))) == 0
+    apart = "x" * 70
+    assert [w for w, *_ in pii.examples(f"a@b.org {apart} c@d.org {apart}", pii.base_spans(f"a@b.org {apart} c@d.org {apart}"))] == [f"a@b.org {apart}"[:37], f"{apart} c@d.org {apart}"[41:][:67]]
