@@ -194,3 +194,13 @@ def run_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def pair_hash(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(a * MUL_B + (b ^ np.uint64(salt * 0x9E3779B1 + 1)))
+
+
+#: DuckDB SQL: a CTE crc(tab) with the checksum's 256 entries, made by its rule.
+SQL_CRC = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab)"
+
+
+def sql_crc(text: str) -> str:
+    """The checksum of a text's UTF-8 bytes, where crc(tab) is joined."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::UBIGINT)"
+    return f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {data}), lambda a, b: xor(a >> 8, tab[((xor(a, b)) & 255)::BIGINT + 1])))"

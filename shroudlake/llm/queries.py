@@ -85,4 +85,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_raked_mixture": mixing.sql(), "op5_arc_to_warc": archives.SQL, "op7_spaced_seeds": decontaminate.sql()}
+    return {"op4_raked_mixture": mixing.sql(), "op5_arc_to_warc": archives.SQL, "op7_spaced_seeds": decontaminate.sql(), "op12_transaction_log": translog.sql(), "op13_spelling_variants": spelling.sql()}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, tidy
+from .common import SQL_CRC, durable, small_batches, sql_crc, tidy
 
 #: What a run of letters is, A-Z in lower case, and the share of runs that lose a letter.
 RUN = re.compile("[a-zÀ-ÿ]+")
@@ -139,3 +139,22 @@ def grouped(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, ratio: int = RATIO) -> DataFrame:
     """grouped() over the words of docs(doc_id, text)."""
     return grouped(word_counts(docs, least_length, least_count), ratio)
+
+
+def sql() -> str:
+    """variants() as DuckDB SQL over documents: near words by what is left when one place is taken out."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE {SQL_CRC},
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[a-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL) GROUP BY doc_id, run),
+hashed AS (SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE {sql_crc("doc_id::VARCHAR || ':' || run")} END AS h FROM runs, crc),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % {EVERY} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed) WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+holes AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, range(1000000) AS r(i) WHERE i < length(word)),
+near AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT holes.word, words.word, words.n FROM holes JOIN words ON rest = words.word UNION SELECT words.word, holes.word, holes.n FROM holes JOIN words ON rest = words.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word),
+named AS (SELECT word, min(near) AS form, top FROM near JOIN best USING (word) WHERE near_n = top GROUP BY word, top),
+forms AS (SELECT words.word, words.n, CASE WHEN top >= {RATIO} * words.n THEN form END AS form, CASE WHEN top >= {RATIO} * words.n THEN top END AS form_n FROM words LEFT JOIN named USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT chain.word, forms.form, k + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, forms.n AS n, coalesce(n_near, 0) AS n_near, form_n FROM forms JOIN roots USING (word) LEFT JOIN best USING (word)"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, tidy
+from .common import SQL_CRC, durable, sql_crc, tidy
 
 CHANGE, SAVEPOINT, ROLLBACK, COMMIT, ABORT = range(5)
 #: Commits of an epoch, and keys that documents write to.
@@ -159,3 +159,22 @@ def reassemble(log: DataFrame, commits_per_epoch: int = EPOCH) -> DataFrame:
     gone = undone(found).select("kind", F.col("pos").alias("id"), F.col("by").alias("n"), F.col("key").alias("value"))
     kept = states(versions(found, commits_per_epoch), -(-commits // commits_per_epoch))
     return gone.unionByName(kept.select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), "n", "value"))
+
+
+def sql() -> str:
+    """reassemble(document_log()) as DuckDB SQL over documents and labels, by windows over whole streams."""
+    return f"""
+WITH {SQL_CRC},
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+d AS (SELECT doc_id AS pos, coalesce('=' || source, '') AS tx, text, {sql_crc("doc_id::VARCHAR")} AS h FROM documents, crc WHERE doc_id IS NOT NULL),
+k AS (SELECT *, CASE WHEN h % 17 <= 1 THEN {COMMIT} WHEN h % 17 = 2 THEN {ABORT} WHEN h % 17 <= 4 THEN {SAVEPOINT} WHEN h % 17 <= 6 THEN {ROLLBACK} ELSE {CHANGE} END AS kind, ((h // 100) % {KEYS})::BIGINT AS key FROM d),
+l AS (SELECT k.pos, tx, kind, key, CASE WHEN kind = {CHANGE} AND toxic.doc_id IS NULL AND text IS NOT NULL THEN {sql_crc("key::VARCHAR || ':' || text")}::BIGINT END AS crc FROM crc, k LEFT JOIN toxic ON k.pos = toxic.doc_id),
+v AS (SELECT *, count(*) FILTER (WHERE kind IN ({SAVEPOINT}, {COMMIT}, {ABORT})) OVER (PARTITION BY tx ORDER BY pos ROWS UNBOUNDED PRECEDING) AS level, CASE WHEN kind = {COMMIT} THEN row_number() OVER (PARTITION BY kind ORDER BY pos, tx) END AS rank FROM l),
+f AS (SELECT *, min(CASE WHEN kind = {ROLLBACK} THEN pos END) OVER (PARTITION BY tx, level ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rolled,
+  min(CASE WHEN kind IN ({COMMIT}, {ABORT}) THEN {{'pos': pos, 'rank': rank}} END) OVER (PARTITION BY tx ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ending FROM v),
+c AS (SELECT *, ending.pos AS ended, ending.rank AS place FROM f WHERE kind = {CHANGE}),
+last AS (SELECT key, (place - 1) // {EPOCH} + 1 AS epoch, max({{'rank': place, 'pos': pos, 'there': (crc IS NOT NULL)::INT, 'crc': coalesce(crc, 0)}}) AS x FROM c WHERE rolled IS NULL AND place IS NOT NULL GROUP BY ALL),
+moved AS (SELECT epoch, x.there - coalesce(lag(x.there) OVER w, 0) AS n, x.crc - coalesce(lag(x.crc) OVER w, 0) AS value FROM last WINDOW w AS (PARTITION BY key ORDER BY epoch)),
+epochs AS (SELECT unnest(range(1, (max(rank) - 1) // {EPOCH} + 2)) AS epoch FROM v)
+SELECT CASE WHEN rolled IS NOT NULL THEN 'rollback' ELSE 'abort' END AS kind, pos AS id, coalesce(rolled, ended) AS n, key AS value FROM c WHERE rolled IS NOT NULL OR place IS NULL
+UNION ALL SELECT 'state', epoch, (sum(coalesce(sum(n), 0)) OVER (ORDER BY epoch))::BIGINT, (sum(coalesce(sum(value), 0)) OVER (ORDER BY epoch))::BIGINT FROM epochs LEFT JOIN moved USING (epoch) GROUP BY epoch"""
