@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_bracketed
+from ..functions.text import drop_bracketed, strip
 
 #: The words of requests.
 SEND = ("send", "message", "tell", "text")
@@ -43,7 +43,7 @@ class Pieces:
 
     def __init__(self, task: Column) -> None:
         raw = F.regexp_extract_all(F.trim(drop_bracketed(F.coalesce(task, F.lit("")))), F.lit(rf"[{MARKS}][^{MARKS}]+[{MARKS}]\s*|\S+\s*"), F.lit(0))
-        told = F.transform(raw, lambda x: F.struct(x.alias("raw"), F.lower(F.regexp_replace(F.trim(x), r"^\W+|\s+\z", "")).alias("word"), F.rlike(x, F.lit(rf"^[{MARKS}][^{MARKS}]+[{MARKS}]\s*\z")).alias("quoted")))
+        told = F.transform(raw, lambda x: F.struct(x.alias("raw"), F.lower(F.regexp_replace(x, r"^\W+|\s+\z", "")).alias("word"), F.rlike(x, F.lit(rf"^[{MARKS}][^{MARKS}]+[{MARKS}]\s*\z")).alias("quoted")))
         self.all = told
 
     def over(self, read: Callable[[Pieces, Column], Column]) -> Column:
@@ -60,7 +60,7 @@ class Pieces:
         return F.coalesce(F.get(self.all, at)["word"], F.lit(""))
 
     def raw(self, at: Column) -> Column:
-        return F.coalesce(F.trim(F.get(self.all, at)["raw"]), F.lit(""))
+        return F.coalesce(strip(F.get(self.all, at)["raw"]), F.lit(""))
 
     def quoted(self, at: Column) -> Column:
         return F.coalesce(F.get(self.all, at)["quoted"], F.lit(False))
@@ -71,7 +71,7 @@ class Pieces:
 
     def text(self, start: Column, end: Column) -> Column:
         """The pieces from start up to end as they stand; null if there is nothing."""
-        own = F.trim(F.array_join(F.transform(F.slice(self.all, start + 1, F.greatest(end - start, F.lit(0))), lambda x: x["raw"]), ""))
+        own = strip(F.array_join(F.transform(F.slice(self.all, start + 1, F.greatest(end - start, F.lit(0))), lambda x: x["raw"]), ""))
         return F.nullif(own, F.lit(""))
 
     def places(self, start: Column | int = 0) -> Column:

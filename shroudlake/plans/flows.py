@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.lineage import shared_folder
-from ..operators import history, messages, selectors, whole
+from ..operators import history, messages, selectors, whole, wording
 from ..sources import styles
 from ..streaming import loops, sinks
+from . import rules_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,8 +137,27 @@ def whole_pages(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations with their texts and the first two words of each."""
+    w = F.split(F.trim("text"), " ")
+    return _table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text", F.get(w, F.lit(0)).alias("a"), F.coalesce(F.get(w, F.lit(1)), F.lit("")).alias("b"))
+
+
+def spoken_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Whom a task names and what it says: each turn's first word is told the turn's whole text."""
+    got = wording.contact_task(F.concat(F.lit("please tell "), F.col("a"), F.lit(" that "), F.col("text")))
+    return _words(spark, d).select("conv_id", "turn", got["contact"].alias("contact"), F.md5(got["body"]).alias("body"))
+
+
+def booked_journeys(spark: SparkSession, d: str) -> DataFrame:
+    """Journeys between places named after the first words of each turn."""
+    task = F.concat(F.lit("book a seat from K"), F.col("a"), F.lit(" to K"), F.col("b"), F.lit(" on "), F.col("turn") % 28 + 1, F.lit("/05/2025"))
+    got = wording.journey(task)
+    return _words(spark, d).select("conv_id", "turn", *[got[c].alias(c) for c in ("from_station", "to_station", "date")])
+
+
 def queries() -> dict[str, Query]:
-    found = (streamed_loops, streamed_upserts, streamed_replies, assembled_texts, page_looks, selected_elements, step_advice, whole_pages)
+    found = (streamed_loops, streamed_upserts, streamed_replies, assembled_texts, page_looks, selected_elements, step_advice, whole_pages, spoken_tasks, booked_journeys)
     return {f.__name__: f for f in found}
 
 
@@ -148,6 +168,11 @@ EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
 def oracle_sql() -> dict[str, str]:
     from . import catalog  # which takes this module's queries in
 
+    names = ", ".join(f"'{n}'" for n in wording.NO_NAMES)
+    words = "w AS (SELECT conv_id, turn, text, split_part(trim(text), ' ', 1) AS a, split_part(trim(text), ' ', 2) AS b FROM conversations WHERE text IS NOT NULL)"
+    bare = lambda t: rf"regexp_replace(regexp_replace(regexp_replace({t}, '\[[^\]]*\]', '', 'g'), '^\s+', ''), '\s+$', '')"
+    boxes = "b AS (SELECT l_orderkey AS page_id, l_linenumber::BIGINT AS n, l_partkey % 1100 AS x, l_suppkey % 700 AS y, 20 + l_linenumber * 4 AS w, 12 + l_partkey % 40 AS h, l_quantity / 50 AS c FROM lineitem)"
+    put = lambda what, new: f"list_transform({what}, lambda v, q: CASE WHEN hit AND q = i THEN {new} ELSE v END)"
     loop = f"event_id // {LENGTH} AS loop_id, event_id % {LENGTH}"
     search = "k IN (0, 1)"
     n = lambda part, tag: f"len(regexp_extract_all({part}, '<{tag}[ >]'))"
@@ -181,6 +206,31 @@ WITH t AS (SELECT page_id, html, unnest(regexp_extract_all(html, '<([a-zA-Z][a-z
 SELECT page_id, lower(tag) AS tag, count(*) AS n, CASE WHEN lower(tag) IN ('head', 'meta', 'title', 'style', 'script', 'footer', 'div') THEN count(*) WHEN lower(tag) IN ('li', 'a') AND count(*) >= 2 THEN 1 ELSE 0 END AS n_hidden FROM t GROUP BY page_id, lower(tag)""",
         "selected_elements": f"""
 SELECT page_id, k AS key, n FROM (SELECT page_id, unnest([0, 1, 2, 3, 4]::BIGINT[]) AS k, unnest([{n(nav, 'a')}, CASE WHEN {n(nav, 'li')} >= 2 THEN 1 ELSE 0 END, {n(art, 'p')}, 1, greatest({n(nav, 'li')} - 1, 0) + 1]::BIGINT[]) AS n FROM pages) WHERE n > 0""",
+        "search_tasks": f"SELECT conv_id, turn, nullif({bare("coalesce(text, '')")}, '') AS query FROM conversations WHERE role = 'user'",
+        "spoken_tasks": f"""
+WITH {words} SELECT conv_id, turn, CASE WHEN named THEN a END AS contact, CASE WHEN named THEN md5({bare("text")}) END AS body
+FROM (SELECT *, regexp_full_match(a, '[A-Za-z0-9_]+') AND NOT regexp_full_match(lower(a), '[0-9]+(st|nd|rd|th)?') AND lower(a) NOT IN ({names}) AND {bare("text")} <> '' AS named FROM w)""",
+        "booked_journeys": f"""
+WITH {words}, k AS (SELECT *, 'K' || a AS x, 'K' || b AS y FROM w)
+SELECT conv_id, turn, CASE WHEN regexp_full_match(x, '[A-Za-z0-9/]+') THEN x END AS from_station, CASE WHEN regexp_full_match(y, '[A-Za-z0-9/]+') THEN y END AS to_station, (turn % 28 + 1) || '/05/2025' AS date FROM k""",
+        "text_redaction_compat": f"""
+WITH r AS ({rules_sql.all_rules_sql()}), o AS (SELECT unnest([{", ".join(f"'{n}'" for n in rules_sql.NAMES)}]) AS rule, unnest(range({len(rules_sql.NAMES)})) AS k),
+s AS (SELECT doc_id, list({{'t': '', 's': span_start, 'e': span_end}} ORDER BY span_start DESC, k, span_end) AS spans FROM r JOIN o USING (rule) WHERE decision = 'REDACT' GROUP BY doc_id),
+t AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), '') AS t FROM documents)
+SELECT doc_id, CASE WHEN spans IS NULL THEN t ELSE list_reduce(list_prepend({{'t': t, 's': 0::BIGINT, 'e': 0::BIGINT}}, spans), lambda a, x: {{'t': substr(a.t, 1, x.s) || '[REDACTED]' || substr(a.t, x.e + 1), 's': 0::BIGINT, 'e': 0::BIGINT}}).t END AS sanitized,
+  coalesce(len(spans), 0)::INT AS n_redacted FROM t LEFT JOIN s USING (doc_id)""",
+        "fused_detections": f"""
+WITH RECURSIVE {boxes},
+s AS (SELECT page_id, list({{'n': n, 'c': c, 'x1': x, 'y1': y, 'x2': x + w, 'y2': y + h, 'src': CASE WHEN n % 3 = 0 THEN 'ocr' ELSE 'dom' END}} ORDER BY c DESC, n) AS o FROM (SELECT * REPLACE (CASE WHEN c = 0 THEN 0.5 ELSE least(1.0, c) END AS c) FROM b) GROUP BY page_id),
+r AS (SELECT page_id, o, o AS g, len(o) AS m, 0 AS k, list_transform(o, lambda v: false) AS used, list_transform(o, lambda v: [v.src]) AS src, list_transform(o, lambda v: 1) AS members FROM s
+UNION ALL
+SELECT page_id, o, {put("g", "{'n': v.n, 'c': CASE WHEN len(joint) > 1 THEN least(1.0, greatest(v.c, t.c) + 0.15) ELSE greatest(v.c, t.c) END, 'x1': least(v.x1, t.x1), 'y1': least(v.y1, t.y1), 'x2': greatest(v.x2, t.x2), 'y2': greatest(v.y2, t.y2), 'src': v.src}")}, m, k + 1,
+  list_transform(used, lambda v, q: v OR (hit AND q = j)), {put("src", "joint")}, {put("members", "v + 1")}
+FROM (SELECT *, a.x2 IS NOT NULL AND j > i AND NOT used[i] AND NOT used[j] AND w > 0 AND h > 0 AND (w * h > 0.40 * (ar + br - w * h) OR (w * h = least(ar, br) AND least(ar, br) >= 0.5 * greatest(ar, br))) AS hit
+  FROM (SELECT *, least(a.x2, t.x2) - greatest(a.x1, t.x1) AS w, least(a.y2, t.y2) - greatest(a.y1, t.y1) AS h, (a.x2 - a.x1) * (a.y2 - a.y1) AS ar, (t.x2 - t.x1) * (t.y2 - t.y1) AS br, list_sort(list_distinct(list_append(src[i], t.src))) AS joint
+    FROM (SELECT *, g[i] AS a, o[j] AS t FROM (SELECT *, k // m + 1 AS i, k % m + 1 AS j FROM r WHERE k < m * m))))),
+e AS (SELECT page_id, unnest(g) AS g, unnest(used) AS used, unnest(members) AS n_members FROM r WHERE k = m * m)
+SELECT page_id, g.n AS cand_seq, CASE WHEN g.n % 2 = 0 THEN 'email' ELSE 'phone' END AS type, round(g.c, 6) AS confidence, CASE WHEN g.c >= 0.70 THEN 'REDACT' WHEN g.c >= 0.40 THEN 'REVIEW' ELSE 'KEEP' END AS decision, n_members::BIGINT AS n_members FROM e WHERE NOT used""",
         "whole_pages": f"""
 WITH docs AS (SELECT DISTINCT ON (doc_id) doc_id AS page_id, coalesce(text, '') AS text, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS sx, CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END AS sy FROM documents WHERE doc_id IS NOT NULL),
 l AS (SELECT page_id, sx, sy, lines[i] AS line, i - 1 AS k FROM (SELECT *, str_split(text, chr(10)) AS lines FROM docs), unnest(range(1, len(lines) + 1)) AS r(i)),
