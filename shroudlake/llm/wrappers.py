@@ -22,14 +22,17 @@ Pages of a host with equal html are one: each of c copies counts 1 / c.
 
 Defined cases: null or empty html gives an empty text; a null URL counts as host ''; repeated rows
 each get their text; rows with a null page_id are extracted too; an empty table gives an empty result;
-other columns are ignored; very long pages are read whole, and align by a table of the length of the folded stream times the wrapper's.
+other columns are ignored; very long pages are read whole; up to TABLE cells
+they align by a table of the length of the folded stream times the wrapper's, beyond it between items that both have once. A quotation mark that is never closed is a character of its tag.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as htmllib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +44,10 @@ from .common import durable, sized, small_batches
 
 #: Elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select object canvas button".split())
+#: Of these what may stand within a line of text, which goes on after it.
+WITHIN = frozenset("script style template svg select object canvas button".split())
+INLINE = frozenset("math mi mn mo mrow msup msub msubsup mfrac msqrt mroot mtext mspace mover munder munderover mstyle semantics annotation a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 FURNITURE = frozenset("nav header footer aside form script style textarea title head noscript template iframe svg math select object canvas button dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option p".split())
@@ -55,12 +60,15 @@ MARKS = re.compile(
 TALK = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond)(?:$|[\s_-])", re.IGNORECASE)
 UNMARKED = frozenset(("html", "body", "article", "main"))
 STEADY, SHARE, RARE, LINKS, MAIN_SHARE, MOST, NEARLY, LOSS = 3, 0.5, 0.005, 0.6, 0.3, 0.5, 0.95, 0.8
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.DOTALL)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 HEADING = re.compile(r"/h[1-6]$")
 
 
+#: Cells of an alignment's table at most; longer sequences are aligned between items that each has once, or else by walking, looking so far ahead.
+TABLE, REACH = 4_000_000, 200
+
 Block = tuple[str, str, int]
 
 
@@ -152,7 +160,8 @@ def tokenise(page: str) -> list[Block]:
             if name in ("br", "hr"):
                 flush()
             continue
-        flush()
+        if name not in WITHIN:
+            flush()
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at) if not m[3].endswith("/") else None
             at = end.end() if end else (at if m[3].endswith("/") else n)
@@ -221,6 +230,41 @@ def meet(a: list, b: list, pages: bool = True) -> list:
     return [a[0], align(a[1], b[1]) if pages else [meet(x, y, False) for x, y in zip(a[1], b[1])]]
 
 
+def anchored(w: list, s: list) -> list[tuple[int, int]]:
+    """common() of sequences too long for a table: the longest run of items that are once in each, in one order, and what agrees between them; without such items, the places met by walking both at once."""
+    once = lambda x: {k for k, n in Counter(x).items() if n == 1}
+    both = once(w) & once(s)
+    at = {x: j for j, x in enumerate(s) if x in both}
+    tails, back, order = [], {}, [(i, at[x]) for i, x in enumerate(w) if x in both]
+    for i, j in order:
+        k = bisect.bisect_left(tails, j, key=lambda t: t[1])
+        back[i, j] = tails[k - 1] if k else None
+        tails[k:k + 1] = [(i, j)]
+    chain, x = [], tails[-1] if tails else None
+    while x:
+        chain.append(x)
+        x = back[x]
+    if not chain:
+        out, j = [], 0
+        later: dict = {}
+        for q, x in enumerate(s):
+            later.setdefault(x, []).append(q)
+        for i, x in enumerate(w):
+            spots = later.get(x, ())
+            k = bisect.bisect_left(spots, j)
+            if k < len(spots) and spots[k] - j <= REACH:
+                out.append((i, spots[k]))
+                j = spots[k] + 1
+        return out
+    out, i, j = [], 0, 0
+    for x, y in [*reversed(chain), (len(w), len(s))]:
+        out += [(i + a, j + b) for a, b in common(w[i:x], s[j:y])]
+        if x < len(w):
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return out
+
+
 def common(sw: list, ss: list) -> list[tuple[int, int]]:
     """The places at which two sequences agree, by longest common subsequence; equal ends are taken first."""
     n, m, head = len(sw), len(ss), 0
@@ -231,7 +275,9 @@ def common(sw: list, ss: list) -> list[tuple[int, int]]:
         tail += 1
     pairs = [(k, k) for k in range(head)]
     w, s = sw[head : n - tail], ss[head : m - tail]
-    if w and s:
+    if len(w) * len(s) > TABLE:
+        pairs += [(head + i, head + j) for i, j in anchored(w, s)]
+    elif w and s:
         best = [[0] * (len(s) + 1) for _ in range(len(w) + 1)]
         for i in reversed(range(len(w))):
             row, nxt, x = best[i], best[i + 1], w[i]
@@ -357,6 +403,9 @@ class Rules:
         met: dict[int, list] = {}
         match(self.wrapper, stream(blocks), met)
         own = [i for i, (p, t, _) in enumerate(blocks) if t and not furniture(p, self.exempt)]
+        if not own:  # marks alone never empty a page: what is marked, but for readers' talk and lists of links, is all there is
+            marked = {e for p, t, _ in blocks for e in prefixes(p) if flag_of(e) == "~"}
+            own = [i for i, (p, t, links) in enumerate(blocks) if t and links < LINKS * len(t) and not furniture(p, self.exempt | marked)]
         if self.main and any(in_main(blocks[i][0]) for i in own):
             own = [i for i in own if in_main(blocks[i][0])]
         else:

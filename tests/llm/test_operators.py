@@ -555,3 +555,34 @@ def test_addresses_are_taken_whole():
     assert len(pii.examples(many, pii.base_spans(many))) == 0
     apart = "x" * 70
     assert [w for w, *_ in pii.examples(f"a@b.org {apart} c@d.org {apart}", pii.base_spans(f"a@b.org {apart} c@d.org {apart}"))] == [f"a@b.org {apart}"[:37], f"{apart} c@d.org {apart}"[41:][:67]]
+
+
+def test_pages_that_break_simple_readers(spark):
+    import time
+
+    began = time.time()
+    rows = [(1, "<p>start</p>" + "<a " * 700_000 + "'"), (2, "<p title='x>one</p><p>two</p>"), (3, "<p>before <math><mi>x</mi></math> mid <svg><text>gone</text></svg> <button>gone</button> after</p>"), (4, "<div>" * 2000 + "deep")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, h in rows], "page_id long, url string, html string")).collect()}
+    assert got == {1: "start", 2: "one\ntwo", 3: "before x mid after", 4: "deep"} and time.time() - began < 60
+
+
+def test_marks_do_not_empty_a_page(spark):
+    words = "some words of an article that goes on for a while and says a lot of things. " * 5
+    pages = [(k, "http://x.org/", f"<div class='entry'><p>{words}{k}</p></div>") for k in range(4)] + [(9, "http://x.org/9", f"<div class='widget-text'><p>{words}own</p></div><div class='comments'><p>talk</p></div>")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[9] == f"{words}own" and got[1] == f"{words}1"
+
+
+def test_long_streams_are_aligned_between_anchors():
+    r = np.random.default_rng(4)
+    a = [("t", int(x)) for x in r.integers(0, 50, 3000)]
+    b = [x for x in a if r.random() > 0.05]
+    a[500:500], b[900:900] = [("t", f"own{i}") for i in range(900)], [("t", f"other{i}") for i in range(700)]
+    for k in range(0, 2400, 60):
+        a[k] = ("t", f"once{k}")
+        b[min(len(b) - 1, k)] = ("t", f"once{k}")
+    pairs = wrappers.anchored(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:])) and len(pairs) > 500
+    same = [("t", int(x)) for x in r.integers(0, 3, 4000)]
+    walked = wrappers.anchored(same, same[5:])
+    assert all(same[i] == same[5 + j] for i, j in walked) and len(walked) > 1000
