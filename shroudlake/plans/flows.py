@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.lineage import shared_folder
-from ..operators import history, messages, selectors, whole, wording
+from ..operators import fuse, history, messages, selectors, whole, wording
 from ..sources import styles
 from ..streaming import loops, sinks
 from . import rules_sql
@@ -60,7 +60,8 @@ def streamed_replies(spark: SparkSession, d: str) -> DataFrame:
     replies = sinks.replayed(e, "ts").where("event_type <> 'click'").select((F.col("event_id") - F.col("event_id") % 3 - 1).alias("request_id"), F.col("event_type").alias("reply"), F.col("ts").cast("timestamp").alias("replied_at"))
     met = sinks.drained(loops.answered(asked, replies, "10 minutes", "1 hour"), "replies")
     # those that the last watermark cannot rule out yet are still kept
-    end = e.agg(F.max(F.col("ts").cast("timestamp")).alias("end"))
+    at = lambda test: F.max(F.when(F.expr(test), F.col("ts").cast("timestamp")))
+    end = e.agg(F.least(at("event_type = 'click'"), at("event_type <> 'click'")).alias("end"))
     return met.join(F.broadcast(end)).where("replied_at is not null or asked_at < end - interval 120 minutes").select("request_id", "task", "reply", F.unix_micros("replied_at").alias("replied_us"), "outcome")
 
 
@@ -137,6 +138,15 @@ def whole_pages(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
+def kept_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page that are left after suppression, the surest first."""
+    b = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("long").alias("n"), "l_quantity", "l_partkey", "l_suppkey")
+    box = [(F.col("l_partkey") % 60).cast("int").alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y"), (F.col("n") * 9 + 40).cast("int").alias("width"), (F.col("l_partkey") % 30 + 30).cast("int").alias("height")]
+    own = b.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("n", F.struct((F.col("l_quantity") * 10 + F.col("n")).alias("score"), *box, "n").alias("b")))).alias("all"))
+    left = own.select("page_id", F.inline(fuse.suppress(F.transform("all", lambda x: x["b"]))))
+    return left.select("page_id", "n", F.col("width").cast("long").alias("width"))
+
+
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """Turns of conversations with their texts and the first two words of each."""
     w = F.split(F.trim("text"), " ")
@@ -157,7 +167,7 @@ def booked_journeys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (streamed_loops, streamed_upserts, streamed_replies, assembled_texts, page_looks, selected_elements, step_advice, whole_pages, spoken_tasks, booked_journeys)
+    found = (streamed_loops, streamed_upserts, streamed_replies, assembled_texts, page_looks, selected_elements, step_advice, whole_pages, spoken_tasks, booked_journeys, kept_boxes)
     return {f.__name__: f for f in found}
 
 
@@ -199,7 +209,7 @@ UNION ALL SELECT loop_id, seq + 1, NULL, NULL, 'timed_out', deadline * 1000 FROM
         "streamed_replies": """
 WITH a AS (SELECT event_id AS request_id, props AS task, ts AS asked FROM events WHERE event_type = 'click'), b AS (SELECT event_id - event_id % 3 - 1 AS request_id, event_type AS reply, ts AS replied FROM events WHERE event_type <> 'click')
 SELECT a.request_id, task, reply, epoch_us(replied) AS replied_us, CASE WHEN replied IS NULL THEN 'timeout' ELSE 'answered' END AS outcome FROM a LEFT JOIN b ON a.request_id = b.request_id AND replied BETWEEN asked AND asked + INTERVAL 10 MINUTE
-WHERE replied IS NOT NULL OR asked < (SELECT max(ts) FROM events) - INTERVAL 120 MINUTE""",
+WHERE replied IS NOT NULL OR asked < (SELECT least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type <> 'click')) FROM events) - INTERVAL 120 MINUTE""",
         "assembled_texts": "SELECT conv_id, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS digest, count(*) AS n_chunks FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv_id HAVING max(turn) - min(turn) + 1 = count(*)",
         "page_looks": """
 WITH t AS (SELECT page_id, html, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
@@ -207,6 +217,11 @@ SELECT page_id, lower(tag) AS tag, count(*) AS n, CASE WHEN lower(tag) IN ('head
         "selected_elements": f"""
 SELECT page_id, k AS key, n FROM (SELECT page_id, unnest([0, 1, 2, 3, 4]::BIGINT[]) AS k, unnest([{n(nav, 'a')}, CASE WHEN {n(nav, 'li')} >= 2 THEN 1 ELSE 0 END, {n(art, 'p')}, 1, greatest({n(nav, 'li')} - 1, 0) + 1]::BIGINT[]) AS n FROM pages) WHERE n > 0""",
         "search_tasks": f"SELECT conv_id, turn, nullif({bare("coalesce(text, '')")}, '') AS query FROM conversations WHERE role = 'user'",
+        "kept_boxes": """
+WITH b AS (SELECT l_orderkey AS page_id, list([{'n': l_linenumber::BIGINT, 'x': l_partkey % 60, 'y': l_suppkey % 40, 'w': l_linenumber * 9 + 40, 'h': l_partkey % 30 + 30}] ORDER BY l_quantity * 10 + l_linenumber DESC, l_linenumber, l_partkey % 60, l_suppkey % 40, l_partkey % 30) AS o FROM lineitem GROUP BY l_orderkey),
+k AS (SELECT page_id, unnest(list_reduce(o, lambda kept, x: CASE WHEN len(list_filter(kept, lambda v: greatest(0, least(v.x + v.w, x[1].x + x[1].w) - greatest(v.x, x[1].x)) * greatest(0, least(v.y + v.h, x[1].y + x[1].h) - greatest(v.y, x[1].y)) * 1.0
+  / (v.w * v.h + x[1].w * x[1].h - greatest(0, least(v.x + v.w, x[1].x + x[1].w) - greatest(v.x, x[1].x)) * greatest(0, least(v.y + v.h, x[1].y + x[1].h) - greatest(v.y, x[1].y))) >= 0.30)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS g FROM b)
+SELECT page_id, g.n AS n, g.w::BIGINT AS width FROM k""",
         "spoken_tasks": f"""
 WITH {words} SELECT conv_id, turn, CASE WHEN named THEN a END AS contact, CASE WHEN named THEN md5({bare("text")}) END AS body
 FROM (SELECT *, regexp_full_match(a, '[A-Za-z0-9_]+') AND NOT regexp_full_match(lower(a), '[0-9]+(st|nd|rd|th)?') AND lower(a) NOT IN ({names}) AND {bare("text")} <> '' AS named FROM w)""",

@@ -250,7 +250,7 @@ def picture_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def joined_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """The box around each page's boxes, and what is left of them after suppression."""
+    """The box around each page's boxes."""
     b = _boxed(spark, d).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("n", "bbox"))).alias("all"))
     box = geo.enclosing(F.transform("all", lambda x: x["bbox"]))
     return b.select("page_id", *[box[c].cast("long").alias(c) for c in ("x", "y", "width", "height")])
@@ -511,7 +511,7 @@ def found_entities(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of a dictionary table in made-up texts."""
     c = _table(spark, d, "customer").select("c_custkey", F.concat(F.lit("for Kim"), F.lit(" and Ann Bell, not kim; row "), F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, " Kim Ann").otherwise("")).alias("text"))
-    names_ = _table(spark, d, "nation").limit(1).select(F.inline(F.array(F.struct(F.lit("Kim").alias("name"), F.lit("given").alias("rule"), F.lit(0.9).alias("confidence")), F.struct(F.lit("Ann").alias("name"), F.lit("common").alias("rule"), F.lit(0.5).alias("confidence")))))
+    names_ = spark.createDataFrame([("Kim", "given", 0.9), ("Ann", "common", 0.5)], "name string, rule string, confidence double")
     return detect.dictionary_names(c, ["c_custkey"], names_).select("c_custkey", "rule", "text", F.col("start").cast("long").alias("at"), "decision")
 
 

@@ -1,4 +1,4 @@
-"""The rules as DuckDB SQL, built from the rule table: an independent evaluation of every rule. Where a pattern looks around, which the SQL engine's patterns cannot, the SQL matches what it looks at and tests or cuts it off after."""
+"""The rules as DuckDB SQL, built from the rule table: patterns, types and base confidences are the table's own, so what it proves is the evaluation of every rule (spans, groups, guards, checksums, boosts), not the patterns. Where a pattern looks around, which the SQL engine's patterns cannot, the SQL matches what it looks at and tests or cuts it off after."""
 
 from __future__ import annotations
 
