@@ -82,18 +82,23 @@ def candidates(texts: DataFrame, masks: list[str], index: DataFrame, items: Data
     """(doc_id, at, base, near, h) of the positions that pass the filters; near has the tokens from position base on that a hit looks at. texts has doc_id and toks."""
     pair = "zip_with(toks, slice(toks, 2, size(toks)), (a, b) -> xxhash64(a, b))"
     seeds, pairs = members(index.select("h")), members(items.select(F.explode(F.expr(pair)).alias("h")))
-    tests = []
-    for n in sorted({len(m) for m in masks}):
-        hashes = ", ".join(f"xxhash64('{m}', " + ", ".join(f"get(toks, i + {p})" for p in kept(m)) + ")" for m in masks if len(m) == n)
-        own = f"exists(array({hashes}), h -> h in {seeds})" if seeds else "true"
-        last = f"get(pairs, i + {n - 2}) in {pairs}" if pairs and n > 1 else "true"
-        tests.append(f"({'i = 0 AND size(toks) =' if n < SHORTEST else f'i + {n} <='} {n if n < SHORTEST else 'size(toks)'} AND {last} AND {own})")
+
+    def probe(m: str) -> str:
+        """The mask's hash at place i, where it fits and its last two tokens are neighbours in the benchmark."""
+        n = len(m)
+        fits = f"i = 0 AND size(toks) = {n}" if n < SHORTEST else f"i + {n} <= size(toks)"
+        last = f" AND get(ok, i + {n - 2})" if pairs and n > 1 else ""
+        return f"CASE WHEN {fits}{last} THEN xxhash64('{m}', " + ", ".join(f"get(toks, i + {p})" for p in kept(m)) + ") END"
+
+    # each list of literals is in the plan once
+    known = f"transform({pair}, p -> p IN {pairs})" if pairs else "cast(null AS array<boolean>)"
     shortest = min(map(len, masks))
-    some = f"filter(sequence(0, size(toks) - {shortest}), i -> {' OR '.join(tests)})"
+    test = f"h IN {seeds}" if seeds else "h IS NOT NULL"
+    some = f"filter(sequence(0, size(toks) - {shortest}), i -> coalesce(exists(array({', '.join(map(probe, masks))}), h -> {test}), false))"
     # explode of one element: a step that the optimiser does not merge, so a text is cut into tokens once
     once = lambda df, *cols: df.select("doc_id", F.explode(F.array(F.struct(*cols))).alias("r")).select("doc_id", "r.*")
     long_enough = once(texts, F.col("toks")).where(F.size("toks") >= shortest)
-    at = once(once(long_enough, F.col("toks"), F.expr(pair).alias("pairs")), F.col("toks"), F.expr(some).alias("some")).where("size(some) > 0")
+    at = once(once(long_enough, F.col("toks"), F.expr(known).alias("ok")), F.col("toks"), F.expr(some).alias("some")).where("size(some) > 0")
     spot = f"transform(some, i -> struct(i AS at, size(toks) AS n, greatest(i - {BEFORE}, 0) AS base, slice(toks, greatest(i - {BEFORE}, 0) + 1, {NEAR}) AS near))"
     rows = at.select("doc_id", F.explode(F.expr(spot)).alias("r")).select("doc_id", "r.*")
     rows = durable(rows, "benchmark-hits")  # few positions; the literals stay out of the plans that follow
