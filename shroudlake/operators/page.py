@@ -16,6 +16,8 @@ AVATAR_WORDS = (
     r"\b(?:avatar|profile[-_]?(?:pic|img|photo|image|thumb|icon|badge|btn|view)|user[-_]?(?:pic|img|photo|icon|avatar|image|badge|btn|profile|thumb|detail|info|name)|account[-_]?(?:img|circle|icon|photo|avatar|btn)|"
     r"headshot|portrait|gravatar|member[-_]?(?:photo|img|pic)|author[-_]?(?:img|pic)|my[-_]?profile|logged[-_]?in[-_]?user)\b"
 )
+#: Fixed value: the share of the width from which a corner's radius makes an element round.
+ROUND_SHARE = 0.35
 USER_WORDS, ROUND, BAR = r"\b(?:user|profile|account|member|me|login|auth|logged)\b", r"\b(?:rounded-circle|circle|img-circle)\b", 160
 BAR_WORDS = r"\b(?:header|navbar|top-bar|user-menu|profile-menu|user-profile|user-info|account-menu|nav-right|header-right|user-avatar|profile-avatar)\b"
 
@@ -77,7 +79,8 @@ def near_names(elements: DataFrame) -> DataFrame:
 def avatars(elements: DataFrame) -> DataFrame:
     """elements (page_id, elem_idx, tag, attrs, meta, classes, bbox, css_w) with is_pixel, is_avatar, avatar_confidence and avatar_reason.
 
-    An avatar is small and is named like one; or it is small, about square, in a bar or the top right corner, and round, named for a user, or a picture in that corner.
+    An avatar is small and is named like one; or it is small, about square, in a bar or the top right corner, and round, named for a user, or a picture in that corner. Where elements have the looks of
+    styles.page_tree(), radius and background, round is also what its style makes round, and an element of that size and place with a picture behind it is a picture.
     """
     b, meta = F.col("bbox"), F.col("meta")
     ratio = b["width"] / F.when(b["height"] == 0, 1).otherwise(b["height"])
@@ -87,7 +90,13 @@ def avatars(elements: DataFrame) -> DataFrame:
     pixel = F.col("tag").isin(*PICTURES) | (F.coalesce(F.col("attrs")["role"], F.lit("")) == "img")
     named = small & F.rlike(meta, F.lit(AVATAR_WORDS))
     place = square & small & (corner | bar)
-    circle = place & F.rlike("classes", F.lit(ROUND))
+    round_ = F.rlike("classes", F.lit(ROUND))
+    if "radius" in elements.columns:
+        edge = F.coalesce("radius", F.lit(""))
+        round_ |= F.contains(edge, F.lit("50%")) | F.coalesce(F.regexp_extract(edge, r"^([0-9]+(?:\.[0-9]+)?)(?:px)?(?:\s|\z)", 1).try_cast("double") >= b["width"] * ROUND_SHARE, F.lit(False))
+    if "background" in elements.columns:
+        pixel |= square & small & F.contains(F.coalesce("background", F.lit("")), F.lit("url(")) & (F.rlike(meta, F.lit(AVATAR_WORDS)) | corner | bar)
+    circle = place & round_
     user = place & F.rlike(meta, F.lit(USER_WORDS))
     top = place & (F.col("tag") == "img") & corner
     reason = F.when(named, "avatar_keywords").when(circle, "circular_header_avatar").when(user, "header_user_avatar").when(top, "top_corner_profile_image")

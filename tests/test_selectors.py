@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shroudlake.operators import selectors
+from shroudlake.functions import geometry as geo
+from shroudlake.operators import page, selectors
 from shroudlake.sources import styles
 
 PAGE = """<html><head><style>/* c */ .gone { display: none } #keep.gone { display: block !important } p.dim { opacity: 0.01 } .veil { visibility: hidden } .veil .back { visibility: visible }
@@ -98,3 +100,12 @@ def test_targets_are_located(spark):
         "one": ("a/a", 1), "#one": ("a/a", 1), "tok9": ("button", 2), "tok-0": ("a/a", 3), "tok-1": ("button", 3), "btn-tok-2": ("input", 3), "tok-99": None, "div.k > select": ("select", 4), "#bar": ("a/a", 1), "nothing": None, None: None,
         "input[name='q']": ("input", 4),
     }
+
+
+def test_avatars_by_their_looks(spark):
+    html = "<style>.me { border-radius: 50% } .sq { border-radius: 4px } .big { border-radius: 20px } .bg { background: url(a.png) }</style><header><i class=me></i><i class=sq></i><i class=big></i><i class='bg sq'></i><u class=me></u></header>"
+    e = styles.page_tree(spark.createDataFrame([(1, html)], "page_id long, html string")).where("tag = 'i'")
+    far = F.when(F.col("elem_idx") % 2 == 0, 700).otherwise(900)
+    placed = e.withColumns({"bbox": geo.box(far, F.lit(20), F.lit(40), F.lit(40)), "css_w": F.lit(1280)})
+    got = {r["class"]: (r.is_avatar, r.avatar_reason, r.is_pixel) for r in page.avatars(page.near_names(placed)).select(F.col("attrs")["class"].alias("class"), "is_avatar", "avatar_reason", "is_pixel").collect()}
+    assert got == {"me": (True, "circular_header_avatar", True), "sq": (False, "", False), "big": (True, "circular_header_avatar", True), "bg sq": (False, "", True)}

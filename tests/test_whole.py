@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroudlake.operators import detect, propagate, regions, whole
+from shroudlake.operators import detect, names, propagate, regions, whole
 from shroudlake.sources import pictures
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
@@ -156,3 +156,19 @@ def test_redactions_are_checked_on_the_picture(spark):
             x, y = max(0, min(at[0], 99)), max(0, min(at[1], 79))
             assert flag == bool((image[y : y + max(0, min(at[3], 80 - y)), x : x + max(0, min(at[2], 100 - x))] == 0).all())
             at = pictures.grown((x, y, min(at[2], 100 - x), min(at[3], 80 - y)), 100, 80)
+
+
+def test_a_model_for_names_reads_in_lots(spark):
+    def load():
+        def model(texts):
+            if any("boom" in t for t in texts):
+                raise RuntimeError("broken")
+            return [[{"entity_group": g, "word": w, "score": s} for g, w, s in (("PER", "Ravi", 0.9), ("PER", "Kim", 0.5), ("ORG", "Acme", 0.9), ("MISC", "x", 0.9), ("LOC", "Pune", 0.7)) if w in t] for t in texts]
+
+        return model
+
+    texts = ["Ravi of Acme", "boom Ravi", "Kim lives in Pune", "nothing here", None, "Ravi " * 200]
+    elements = spark.createDataFrame([(k // 6 + 1, k, "p", None, None, False, texts[k % 6], (0, 0, 10, 10)) for k in range(12)], f"page_id long, elem_idx int, tag string, role string, class_name string, is_container boolean, text string, bbox {BOX}")
+    got = sorted(tuple(r) for r in names.read_by_model(names.name_items(elements), load, batch=3).collect())
+    one = [(1, "name", "Ravi", 0, 4, 0.9), (1, "organization", "Acme", 8, 12, 0.9 * 0.35), (3, "location", "Pune", 13, 17, 0.7)]
+    assert got == [(page, *x) for page in (1, 2) for x in one]
