@@ -109,3 +109,45 @@ def located(actions: DataFrame, tree: DataFrame, stamp: str = STAMP) -> DataFram
     inside = held.groupBy("request_id", "page_id", "target").agg(F.min("_in").alias("_in"))
     found = best.join(inside, ["request_id", "page_id", "target"], "left").select("request_id", "page_id", "target", F.coalesce("_in", "elem_idx").alias("elem_idx"), "way")
     return actions.join(found, ["request_id", "page_id", "target"], "left")
+
+
+FIELDS, BESIDE, CELL, LONGEST_LABEL = ("input", "select", "textarea"), ("label", "span", "p"), 80, 200
+
+
+def whole_texts(tree: DataFrame, some: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, elem_idx, whole): the text of elements(page_id, elem_idx, last_idx) with all that is inside them in page order, but for elements of some tags."""
+    parts = tree.where(~F.col("tag").isin(*without) & (F.col("text") != "")).select(F.col("page_id").alias("_p"), F.col("elem_idx").alias("_at"), F.col("text").alias("_t"))
+    met = some.join(parts, (F.col("page_id") == F.col("_p")) & (F.col("_at") >= F.col("elem_idx")) & (F.col("_at") <= F.col("last_idx")))
+    return met.groupBy("page_id", "elem_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"]), " ").alias("whole"))
+
+
+def field_labels(tree: DataFrame) -> DataFrame:
+    """(page_id, elem_idx, label) of the form fields of page_tree(): the text of the first label that is for its id, else of the label around it, its aria-label, the element that aria-labelledby names, the label, span or paragraph right
+    before it, or the cell before its own, if that is short; cut to 200 characters, empty if there is none. The first of these that is there counts, even if its text is empty, but for the last.
+    """
+    field = tree.where(F.col("tag").isin(*FIELDS)).select("page_id", "elem_idx", "parent_idx", "nth", F.col("attrs")["id"].alias("id"), F.col("attrs")["aria-label"].alias("aria"), F.col("attrs")["aria-labelledby"].alias("by"))
+    e = tree.select(F.col("page_id").alias("_p"), F.col("elem_idx").alias("_i"), F.col("last_idx").alias("_last"), F.col("parent_idx").alias("_up"), F.col("nth").alias("_nth"), "tag", F.col("attrs")["id"].alias("_id"), F.col("attrs")["for"].alias("_for"))
+    same = F.col("page_id") == F.col("_p")
+    inside = (F.col("_i") < F.col("elem_idx")) & (F.col("elem_idx") <= F.col("_last"))
+    one = lambda found, way, pick: found.groupBy("page_id", "elem_idx").agg(pick("_i").alias("_i")).withColumn("way", F.lit(way))
+    ways = [
+        one(field.where("id <> ''").join(e, same & (F.col("tag") == "label") & (F.col("_for") == F.col("id"))), 1, F.min),
+        one(field.join(e, same & (F.col("tag") == "label") & inside), 2, F.max),
+        one(field.where("by <> ''").join(e, same & (F.col("_id") == F.col("by"))), 4, F.min),
+        one(field.join(e, same & F.col("parent_idx").eqNullSafe(F.col("_up")) & (F.col("_nth") == F.col("nth") - 1) & F.col("tag").isin(*BESIDE)), 5, F.max),
+    ]
+    cells = one(field.join(e, same & (F.col("tag") == "td") & inside), 6, F.max).withColumnRenamed("_i", "_cell")
+    own = e.select("_p", F.col("_i").alias("_cell"), F.col("_up").alias("_row"), F.col("_nth").alias("_k"))
+    before = cells.join(own, (F.col("page_id") == F.col("_p")) & (own["_cell"] == cells["_cell"])).select("page_id", "elem_idx", "way", "_row", "_k")
+    ways.append(before.join(e, same & F.col("_row").eqNullSafe(F.col("_up")) & (F.col("_nth") == F.col("_k") - 1)).select("page_id", "elem_idx", "_i", "way"))
+    named = ways[0]
+    for w in ways[1:]:
+        named = named.unionByName(w)
+    spots = named.select("page_id", F.col("_i").alias("elem_idx"), "way").distinct().join(tree.select("page_id", "elem_idx", "last_idx"), ["page_id", "elem_idx"])
+    full = whole_texts(tree, spots.select("page_id", "elem_idx", "last_idx").distinct()).withColumnRenamed("elem_idx", "_i")
+    bare = whole_texts(tree, spots.where("way = 2").select("page_id", "elem_idx", "last_idx").distinct(), (*FIELDS, "option", "optgroup")).select("page_id", F.col("elem_idx").alias("_i"), F.col("whole").alias("_bare"))
+    text = named.join(full, ["page_id", "_i"], "left").join(bare, ["page_id", "_i"], "left")
+    text = text.select("page_id", "elem_idx", "way", F.trim(F.coalesce(F.when(F.col("way") == 2, F.col("_bare")).otherwise(F.col("whole")), F.lit(""))).alias("label"))
+    text = text.where((F.col("way") < 6) | F.length("label").between(1, CELL)).unionByName(field.where("aria <> ''").select("page_id", "elem_idx", F.lit(3).alias("way"), F.trim("aria").alias("label")))
+    best = text.groupBy("page_id", "elem_idx").agg(F.min_by("label", "way").alias("label"))
+    return field.select("page_id", "elem_idx").join(best, ["page_id", "elem_idx"], "left").withColumn("label", F.substring(F.coalesce("label", F.lit("")), 1, LONGEST_LABEL))

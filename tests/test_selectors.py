@@ -109,3 +109,13 @@ def test_avatars_by_their_looks(spark):
     placed = e.withColumns({"bbox": geo.box(far, F.lit(20), F.lit(40), F.lit(40)), "css_w": F.lit(1280)})
     got = {r["class"]: (r.is_avatar, r.avatar_reason, r.is_pixel) for r in page.avatars(page.near_names(placed)).select(F.col("attrs")["class"].alias("class"), "is_avatar", "avatar_reason", "is_pixel").collect()}
     assert got == {"me": (True, "circular_header_avatar", True), "sq": (False, "", False), "big": (True, "circular_header_avatar", True), "bg sq": (False, "", True)}
+
+
+def test_labels_of_fields(spark):
+    html = """<label for=a>First <b>name</b></label><input id=a name=a aria-label=other><label>Around <select name=b><option>x</option></select> it</label><input name=c aria-label=" Said "><i id=z>Named</i><input name=d aria-labelledby=z>
+<div><span>Before</span><input name=e></div><div><i>no</i><input name=f></div><table><tr><td>Cell <b>text</b></td><td><input name=g></td></tr><tr><th></th><td><textarea name=h></textarea></td></tr></table><input name=k aria-labelledby=none>"""
+    tree = styles.page_tree(spark.createDataFrame([(1, html), (2, "<input name=a id=a>")], "page_id long, html string"))
+    names = tree.select("page_id", "elem_idx", F.col("attrs")["name"].alias("name"))
+    got = {(r.page_id, r.name): r.label for r in selectors.field_labels(tree).join(names, ["page_id", "elem_idx"]).collect()}
+    want = {"a": "First name", "b": "Around it", "c": "Said", "d": "Named", "e": "Before", "f": "", "g": "Cell text", "h": "", "k": ""}
+    assert got == {(1, k): v for k, v in want.items()} | {(2, "a"): ""}
