@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shroudlake.operators import detect, names, propagate, regions, whole
-from shroudlake.plans import flows
-from shroudlake.sources import pictures
+from shroudlake.plans import catalog, flows
+from shroudlake.sources import pictures, tables
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
 TOKEN = f"array<struct<id:string,text:string,start:int,end:int,bbox:{BOX},boxes:array<{BOX}>>>"
@@ -179,3 +179,14 @@ def test_a_word_with_a_line_break_stays_one_name(spark, tmp_path):
     spark.createDataFrame([(1, 1, "user", "Ndes.\nTo hain the"), (1, 2, "user", "ab cd"), (2, 1, "user", "ab cd\nto")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {tuple(r) for r in flows.booked_journeys(spark, str(tmp_path)).collect()}
     assert got == {(1, 1, None, "Khain", "2/05/2025"), (1, 2, "Kab", "Kcd", "3/05/2025"), (2, 1, "Kab", None, "2/05/2025")}
+
+
+def test_references_without_a_semicolon(spark, tmp_path):
+    html = '<div><h1>a &amp;&amp;&amp</h1><p>x &copy; &#65 &#66; &</p><a href="?a=1&b=2">go</a></div>'
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    read = lambda loose: {r["tag"]: r["text"] for r in tables.elements(pages, loose).collect()}
+    assert read(True) == {"div": "", "h1": "a &&&", "p": "x \u00a9 A B &", "a": "go"}
+    assert read(False) == {"div": "", "h1": "a &&&amp", "p": "x \u00a9 &#65 B &", "a": "go"}
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["tag"]: r["text"] for r in catalog.page_elements(spark, str(tmp_path)).collect()}
+    assert got == read(False)
