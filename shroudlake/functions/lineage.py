@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def paired(left: DataFrame, right: DataFrame, on: Column | list[Column | str] | str, how: str = "inner") -> DataFrame:
+    """left.join(right), both by exchange. For tables that grow with the input: the planner takes rows that were made from arrays, or by Python, for as few as they were made from, and would send them through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder, so it is made once and its plan ends there."""
     sc = df.sparkSession.sparkContext

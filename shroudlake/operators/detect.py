@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import paired
 from ..functions.text import cut, dialect, plain, spans, strip
 from .rules import BOOST, BY_NAME, GUARDED, KEYWORDS, NEGATIVE, REDACT, REVIEW, RULES, Rule
 
@@ -101,6 +102,8 @@ def detect_pii(df: DataFrame, keys: Sequence[str], text: str = "text", context:
     return found.withColumns({"source": F.lit("dom"), "decision": decide(F.col("confidence"))})
 
 
+#: Names of a dictionary that is sent to all tasks.
+SMALL = 100_000
 #: A word, and the surname that may follow a given name.
 NAME_WORD, SURNAME = r"\b[A-Za-zऀ-ॿ]+", r"^[^\S\r\n]+[A-Z][a-z]+\b"
 
@@ -108,11 +111,12 @@ NAME_WORD, SURNAME = r"\b[A-Za-zऀ-ॿ]+", r"^[^\S\r\n]+[A-Z][a-z]+\b"
 def dictionary_names(df: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
     """Rows as of detect_pii() for the names of a dictionary(name, rule, confidence) of any size: a word that is one of its names, with the surname after it.
 
-    The words are joined with the dictionary, so it is not part of the plan. Of overlapping matches the first counts. keys must tell the rows of df apart.
+    The words are joined with the dictionary, so it is not part of the plan: one of at most SMALL names is sent to all tasks, a larger one exchanged, and the words are never sent whole. Of overlapping matches the first counts. keys must tell the rows of df apart.
     """
     base = df.select(*keys, plain(F.col(text)).alias("_text"))
     words = base.select(*keys, "_text", F.inline(spans(F.col("_text"), dialect(NAME_WORD))).alias("s", "e", "m"))
-    met = words.join(dictionary.select(F.col("name").alias("m"), "rule", "confidence"), "m")
+    known = dictionary.select(F.col("name").alias("m"), "rule", "confidence")
+    met = words.join(F.broadcast(known), "m") if known.limit(SMALL + 1).count() <= SMALL else paired(words, known, "m")
     more = F.regexp_extract(cut(F.col("_text"), F.col("e"), F.col("e") + 60), dialect(SURNAME), 0)
     found = met.select(*keys, "rule", "confidence", F.col("s").alias("start"), (F.col("e") + F.length(more)).alias("end"), F.concat("m", more).alias("text"))
     # a name that is the surname of the match before it is part of that one

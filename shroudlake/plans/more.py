@@ -21,6 +21,12 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table whose every row is costly to read: of one with fewer splits than a few times the cores, the rows dealt out, as a small file is one split however many rows it holds."""
+    rows, parts = _table(spark, d, name), 4 * spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
+
+
 def rule_spans(spark: SparkSession, d: str) -> DataFrame:
     """Every match of the rules over whole documents."""
     found = detect.detect_pii(_table(spark, d, "documents"), ["doc_id"], rules=list(rules_sql.NAMES))
@@ -40,7 +46,7 @@ SAMPLES = (
 
 def rule_samples(spark: SparkSession, d: str) -> DataFrame:
     """Every match of the rules in made-up texts, of which each rule has one that it takes or all but takes."""
-    c = _table(spark, d, "customer").select("c_custkey", F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("number"))
+    c = _dealt(spark, d, "customer").select("c_custkey", F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("number"))
     rows = c.select("*", F.posexplode(F.lit(list(SAMPLES))).alias("k", "form"))
     texts = rows.select((F.col("c_custkey") * 100 + F.col("k")).alias("doc_id"), F.regexp_replace("form", r"N(?=[^a-z]|$)", F.col("number")).alias("text"))
     found = detect.detect_pii(texts, ["doc_id"], rules=list(rules_sql.NAMES))
@@ -64,7 +70,7 @@ TASKS = (
 
 def message_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Whom made-up tasks name and what they say."""
-    c = _table(spark, d, "customer").select("c_custkey", F.concat(F.lit("kim"), F.col("c_custkey")).alias("who"), F.concat(F.lit("order "), F.col("c_custkey"), F.lit(" is ready")).alias("said"))
+    c = _dealt(spark, d, "customer").select("c_custkey", F.concat(F.lit("kim"), F.col("c_custkey")).alias("who"), F.concat(F.lit("order "), F.col("c_custkey"), F.lit(" is ready")).alias("said"))
     rows = c.select("*", F.posexplode(F.lit([t for t, _, _ in TASKS])).alias("k", "form"))
     task = F.replace(F.replace("form", F.lit("N"), F.col("who")), F.lit("B"), F.col("said"))
     got = wording.contact_task(task)
@@ -79,7 +85,7 @@ SEARCHES = (
 
 def search_phrases(spark: SparkSession, d: str) -> DataFrame:
     """What made-up search tasks look for."""
-    p = _table(spark, d, "part").select("p_partkey", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9 ]", "")).alias("q"))
+    p = _dealt(spark, d, "part").select("p_partkey", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9 ]", "")).alias("q"))
     rows = p.select("*", F.posexplode(F.lit(list(SEARCHES))).alias("k", "form"))
     return rows.select("p_partkey", F.col("k").cast("long").alias("k"), wording.search_query(F.replace("form", F.lit("Q"), F.col("q"))).alias("query"))
 
@@ -102,7 +108,7 @@ DRAFTS = (
 def drafts(spark: SparkSession, d: str) -> DataFrame:
     """Drafts that only repeat their task, the words a task wants sent, and its theme; a row for each customer and case."""
     made = F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.lit(t).alias("task"), F.lit(v).alias("draft")) for i, (t, v, *_) in enumerate(DRAFTS)])
-    rows = _table(spark, d, "customer").select("c_custkey", F.inline(made))
+    rows = _dealt(spark, d, "customer").select("c_custkey", F.inline(made))
     return rows.select("c_custkey", "k", messages.echo(F.col("draft"), F.col("task")).alias("echo"), messages.message_text(F.col("task")).alias("words"), messages.theme(F.col("task")).alias("theme"))
 
 
@@ -427,7 +433,7 @@ def avatar_regions(spark: SparkSession, d: str) -> DataFrame:
 
 def _laid_out(spark: SparkSession, d: str) -> DataFrame:
     """Five elements for each customer: a mail in a text, a plain text, a password field, an avatar, a heading."""
-    c = _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"))
+    c = _dealt(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"))
     none = F.lit(None).cast("string")
     one = lambda i, tag, text, value=none, kind=none, avatar=False, head=False: F.struct(
         F.lit(i).alias("elem_idx"), F.lit(tag).alias("tag"), text.alias("text"), value.alias("value"), kind.alias("input_type"), F.lit(avatar).alias("is_avatar"), F.lit(head).alias("is_header"), geo.box(F.lit(10), F.lit(60 * i), F.lit(300), F.lit(30)).alias("bbox")
@@ -510,7 +516,7 @@ def found_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def dictionary_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of a dictionary table in made-up texts."""
-    c = _table(spark, d, "customer").select("c_custkey", F.concat(F.lit("for Kim"), F.lit(" and Ann Bell, not kim; row "), F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, " Kim Ann").otherwise("")).alias("text"))
+    c = _dealt(spark, d, "customer").select("c_custkey", F.concat(F.lit("for Kim"), F.lit(" and Ann Bell, not kim; row "), F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, " Kim Ann").otherwise("")).alias("text"))
     names_ = spark.createDataFrame([("Kim", "given", 0.9), ("Ann", "common", 0.5)], "name string, rule string, confidence double")
     return detect.dictionary_names(c, ["c_custkey"], names_).select("c_custkey", "rule", "text", F.col("start").cast("long").alias("at"), "decision")
 
@@ -522,7 +528,7 @@ INVOICE = (
 
 
 def _invoice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = _table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), F.lit(0).cast("long").alias("region_idx"))
+    c = _dealt(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), F.lit(0).cast("long").alias("region_idx"))
     made = F.array(*[F.struct(F.lit(i).alias("word_idx"), F.lit(t).alias("form"), geo.box(F.lit(x), F.lit(y), F.lit(w), F.lit(14)).alias("bbox")) for i, (t, x, y, w) in enumerate(INVOICE)])
     text = F.when(F.col("word_idx") == 9, F.concat(F.lit("k"), F.col("page_id"), F.lit("@example.com"))).otherwise(F.col("form"))
     return c.select("*", F.inline(made)).withColumns({"text": text, "confidence": F.lit(0.9)}).drop("form"), c.withColumn("bbox", geo.box(F.lit(0), F.lit(0), F.lit(400), F.lit(500)))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from shroudlake.operators import lookup, names
+from shroudlake.functions.lineage import paired
+from shroudlake.operators import detect, lookup, names
 
 OPTION = "array<struct<index:int,value:string,text:string>>"
 
@@ -43,3 +44,21 @@ def test_table_headers(spark):
     cells = spark.createDataFrame([(1, 1, 0, 10, 20), (1, 2, 1, 500, 20)], "table_id int, cell_id int, col_idx int, x int, width int")
     heads = spark.createDataFrame([(1, 0, 0, 60, "Name"), (1, 1, 60, 60, "Date")], "table_id int, th_idx int, x int, width int, text string")
     assert {r.cell_id: r.header for r in lookup.table_headers(cells, heads).collect()} == {1: "Name", 2: "Date"}
+
+
+def test_a_dictionary_is_sent_and_the_words_never(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("id", "concat('for Kim', id % 2, ' and Ann Bell') as text")
+    known = spark.createDataFrame([("Ann", "common", 0.5)], "name string, rule string, confidence double")
+    few = detect.dictionary_names(rows, ["id"], known)
+    assert "BuildRight" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(detect, "SMALL", 0)
+    many = detect.dictionary_names(rows, ["id"], known)
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.text) for r in few.collect()} == {(r.id, r.text) for r in many.collect()} == {(i, "Ann Bell") for i in range(100)}
+
+
+def test_paired_tables_are_not_broadcast(spark):
+    small = spark.range(10).selectExpr("id", "id * 2 as v")
+    assert "BroadcastHashJoin" in spark.range(5).join(small, "id")._jdf.queryExecution().executedPlan().toString()
+    plan = paired(spark.range(5), small, "id")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 5
