@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bottom, box, right, rounded, union
+from ..functions.lineage import paired
 from .detect import detect_pii
 from .rank import says
 
@@ -43,7 +44,7 @@ def typed_fields(elements: DataFrame) -> DataFrame:
     inputs = elements.where(F.lower("tag").isin("input", "textarea", "select")).withColumn("_f", F.coalesce(override, given, word)).withColumn("_ctx", ctx)
     found = detect_pii(inputs.where("_f is null and length(trim(value)) >= 3").withColumn("_v", F.trim("value")), ["page_id", "elem_idx"], "_v", "_ctx")
     first = found.groupBy("page_id", "elem_idx").agg(F.min_by(F.struct("type", "confidence", F.concat(F.lit("value:"), F.col("rule")).alias("reason")), F.struct("rule_ord", "start")).alias("_m"))
-    out = inputs.join(first, ["page_id", "elem_idx"], "left").withColumn("_r", F.coalesce("_f", "_m")).where("_r is not null")
+    out = paired(inputs, first, ["page_id", "elem_idx"], "left").withColumn("_r", F.coalesce("_f", "_m")).where("_r is not null")
     return out.select("page_id", "elem_idx", "_r.*", F.when(c("value") != "", "[MASKED VALUE]").otherwise("").alias("text"), c("value").alias("original_value"))
 
 

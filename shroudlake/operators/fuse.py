@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box
+from ..functions.lineage import paired
 from .detect import clamp_confidence
 from .rules import REDACT, REVIEW
 
@@ -123,7 +124,7 @@ def summaries(found: DataFrame) -> DataFrame:
     """(page_id, total, by_type, by_source): sources count by their first."""
     n = found.groupBy("page_id").agg(F.count("*").alias("total"))
     by = lambda c, name: found.groupBy("page_id", c.alias("k")).count().groupBy("page_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "count")))).alias(name))
-    return n.join(by(F.col("type"), "by_type"), "page_id").join(by(F.get("sources", F.lit(0)), "by_source"), "page_id")
+    return paired(paired(n, by(F.col("type"), "by_type"), "page_id"), by(F.get("sources", F.lit(0)), "by_source"), "page_id")
 
 
 def suppress(boxes: Column, threshold: float = 0.30) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import paired
 from ..functions.text import dialect, plain, spans, strip
 from .rules import COMMON_NAMES, GIVEN_NAMES, has
 
@@ -143,7 +144,7 @@ def merged_entities(model: DataFrame, heuristic: DataFrame, page: str = "page_id
     """
     held = lambda a, b: F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
     m = model.select(F.col(page).alias("_p"), F.col("type").alias("_t"), F.col("text").alias("_x"))
-    free = heuristic.join(m, (F.col(page) == F.col("_p")) & (F.col("type") == F.col("_t")) & held(F.col("text"), F.col("_x")), "left_anti")
+    free = paired(heuristic, m, (F.col(page) == F.col("_p")) & (F.col("type") == F.col("_t")) & held(F.col("text"), F.col("_x")), "left_anti")
     first = free.groupBy(page, "type").agg(F.sort_array(F.collect_list(F.struct("rule_ord", "start", "text", "confidence"))).alias("all"))
     chosen = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: held(x["text"], y["text"])), acc).otherwise(F.concat(acc, F.array(x))))
     kept = first.select(page, "type", F.inline(chosen)).select(page, "type", "text", "confidence")

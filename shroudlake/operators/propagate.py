@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import paired
 from ..functions.text import dialect
 from .rules import has
 
@@ -80,16 +81,16 @@ def holders(values: DataFrame, elements: DataFrame) -> DataFrame:
     size = F.least(F.length("value"), F.lit(PIECE))
     v = values.where(F.length("value") > 0).select("page_id", "kind", "value", size.alias("_q")).distinct()
     v = v.withColumn("_piece", F.array_min(F.transform(pieces(F.col("value"), F.col("_q")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    cut = elements.select("page_id", "elem_idx", "text").join(v.select("page_id", "_q").distinct(), "page_id")
+    cut = paired(elements.select("page_id", "elem_idx", "text"), v.select("page_id", "_q").distinct(), "page_id")
     parts = cut.select("page_id", "elem_idx", "_q", F.explode(pieces(F.col("text"), F.col("_q"))).alias("_piece"))
-    met = parts.join(v, ["page_id", "_q", "_piece"]).select("page_id", "elem_idx", "kind", "value")
-    return met.join(elements.select("page_id", "elem_idx", "text"), ["page_id", "elem_idx"]).where(F.contains("text", F.col("value"))).select("page_id", "elem_idx", "kind", "value")
+    met = paired(parts, v, ["page_id", "_q", "_piece"]).select("page_id", "elem_idx", "kind", "value")
+    return paired(met, elements.select("page_id", "elem_idx", "text"), ["page_id", "elem_idx"]).where(F.contains("text", F.col("value"))).select("page_id", "elem_idx", "kind", "value")
 
 
 def spread(values: DataFrame, elements: DataFrame, candidates: DataFrame) -> DataFrame:
     """(page_id, elem_idx, kind, value, confidence): further elements of a page whose text holds a confirmed value and has no candidate of that text yet."""
     known = candidates.select("page_id", "elem_idx", F.col("text").alias("value")).distinct()
-    return holders(values, elements).join(known, ["page_id", "elem_idx", "value"], "left_anti").withColumn("confidence", F.lit(SPREAD))
+    return paired(holders(values, elements), known, ["page_id", "elem_idx", "value"], "left_anti").withColumn("confidence", F.lit(SPREAD))
 
 
 def _within(region: Column, b: Column, slack: int) -> Column:
@@ -100,7 +101,7 @@ def document_shields(regions: DataFrame, candidates: DataFrame, slack: int = 15)
     """Regions of 80 by 50 or more that hold an identity number (by type, or named in the reason) and no shield yet, each as one shield candidate."""
     c = candidates.select(F.col("page_id").alias("_p"), F.col("bbox").alias("_b"), F.coalesce("type", F.lit("")).alias("_t"), F.coalesce("reason", F.lit("")).alias("_r"))
     large = regions.where("bbox.width >= 80 and bbox.height >= 50")
-    met = large.join(c, (F.col("page_id") == F.col("_p")) & _within(F.col("bbox"), F.col("_b"), slack))
+    met = paired(large, c, (F.col("page_id") == F.col("_p")) & _within(F.col("bbox"), F.col("_b"), slack))
     holds = lambda kind: F.bool_or((F.col("_t") == kind) | F.contains("_r", F.lit(kind))).alias(kind)
     kinds = met.groupBy("page_id", "region_idx").agg(F.first("bbox").alias("bbox"), holds("aadhaar"), holds("pan"), F.bool_or((F.col("_t") == "identity_document") | F.startswith("_r", F.lit("document_shield:"))).alias("shielded"))
     which = F.when(F.col("aadhaar"), "aadhaar_card").when(F.col("pan"), "pan_card")
@@ -113,7 +114,7 @@ def avatar_shields(regions: DataFrame, candidates: DataFrame, slack: int = 5) ->
     x, y = F.col("bbox.x") + F.col("bbox.width") / 2, F.col("bbox.y") + F.col("bbox.height") / 2
     b = F.col("_b")
     inside = x.between(b["x"] - slack, b["x"] + b["width"] + slack) & y.between(b["y"] - slack, b["y"] + b["height"] + slack)
-    free = regions.where("is_avatar").join(c, (F.col("page_id") == F.col("_p")) & inside, "left_anti")
+    free = paired(regions.where("is_avatar"), c, (F.col("page_id") == F.col("_p")) & inside, "left_anti")
     return free.select("page_id", "region_idx", "bbox", F.lit("face").alias("type"), F.coalesce("avatar_confidence", F.lit(0.85)).alias("confidence"), F.lit("avatar_shield").alias("reason"))
 
 
@@ -185,7 +186,7 @@ def labels(elements: DataFrame) -> DataFrame:
     elements: page_id, elem_idx, tag, id, for_id, text, parent_text_label, aria_label, prev_text, prev_cell.
     """
     own = elements.where("tag = 'label' and for_id is not null").groupBy("page_id", "for_id").agg(F.min_by("text", "elem_idx").alias("_own")).withColumnRenamed("for_id", "_for")
-    out = elements.join(own.withColumnRenamed("page_id", "_p"), (F.col("page_id") == F.col("_p")) & (F.col("id") == F.col("_for")), "left")
+    out = paired(elements, own.withColumnRenamed("page_id", "_p"), (F.col("page_id") == F.col("_p")) & (F.col("id") == F.col("_for")), "left")
     some = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
     cell = F.when(F.length(some("prev_cell")) <= 80, some("prev_cell"))
     return out.withColumn("label", F.substring(F.coalesce(some("_own"), some("parent_text_label"), some("aria_label"), some("prev_text"), cell), 1, 200)).drop("_own", "_p", "_for")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, box, enclosing, right, rounded, union
-from ..functions.lineage import settled
+from ..functions.lineage import paired, settled
 from ..functions.places import part_of, touched
 from .detect import detect_pii
 from .propagate import document_kind
@@ -135,7 +135,7 @@ def form_fields(lines: DataFrame) -> DataFrame:
         place = box(r["x"] + rounded(r["width"] * left), r["y"] + rounded(r["height"] * top), F.least(F.lit(WIDEST), rounded(r["width"] * 0.50)), F.lit(tall))
         slots.append(F.when(~F.array_contains("found", kind), F.struct(F.lit(kind).alias("type"), F.lit(0.96).alias("confidence"), F.lit(f"form_field_anchor:{reason}_slot").alias("reason"), place.alias("bbox"))))
     forms = base.where(F.rlike(text, F.lit(INVOICE))).select("page_id", "region_idx", F.explode(F.array(*slots)).alias("a")).where("a is not null").select("page_id", "region_idx", "a.*")
-    return first.unionByName(forms.join(first.select("page_id", "region_idx", "type"), ["page_id", "region_idx", "type"], "left_anti"))
+    return first.unionByName(paired(forms, first.select("page_id", "region_idx", "type"), ["page_id", "region_idx", "type"], "left_anti"))
 
 
 def region_findings(words: DataFrame, regions: DataFrame) -> DataFrame:
@@ -151,8 +151,8 @@ def region_findings(words: DataFrame, regions: DataFrame) -> DataFrame:
     kinds = hits.groupBy("page_id", "region_idx").agg(F.array_sort(F.collect_set("type")).alias("found"))
     whole = texts.groupBy("page_id", "region_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "text"))), lambda x: x["text"]), "\n").alias("_text"))
     area = regions.select("page_id", "region_idx", F.col("bbox").alias("region"))
-    both = whole.join(area, ["page_id", "region_idx"]).join(kinds, ["page_id", "region_idx"], "left")
+    both = paired(paired(whole, area, ["page_id", "region_idx"]), kinds, ["page_id", "region_idx"], "left")
     card = document_kind(F.col("_text"), F.col("region.width"), F.col("region.height"), F.col("found"))
     cards = both.withColumn("_k", card).where("_k is not null").select("page_id", "region_idx", F.lit("identity_document").alias("type"), F.lit("").alias("text"), F.lit(1.0).alias("confidence"), F.concat(F.lit("document_shield:"), F.when(F.col("_k").isin("pan", "aadhaar"), F.concat("_k", F.lit("_card"))).otherwise(F.col("_k"))).alias("reason"), F.col("region").alias("bbox"))
-    fields = form_fields(lines.join(area, ["page_id", "region_idx"]).join(kinds, ["page_id", "region_idx"], "left")).withColumn("text", F.lit(""))
+    fields = form_fields(paired(paired(lines, area, ["page_id", "region_idx"]), kinds, ["page_id", "region_idx"], "left")).withColumn("text", F.lit(""))
     return cards.unionByName(hits.where("bbox is not null")).unionByName(fields)

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settled
+from ..functions.lineage import paired, settled
 from ..functions.places import interpolated, span_boxes
 from .detect import clamp_confidence, detect_pii
 from .fields import typed_fields
@@ -42,7 +42,7 @@ def element_candidates(elements: DataFrame) -> DataFrame:
     """
     none = F.expr("cast(array() as array<string>)")
     boxed = elements.where("bbox is not null and not coalesce(is_header, false)").where(~structural(F.col("tag"), F.col("block_child")))
-    fields = typed_fields(boxed).join(boxed.select("page_id", "elem_idx", "bbox"), ["page_id", "elem_idx"])
+    fields = paired(typed_fields(boxed), boxed.select("page_id", "elem_idx", "bbox"), ["page_id", "elem_idx"])
     faces = boxed.where("is_avatar").select("page_id", "elem_idx", F.lit("face").alias("type"), F.lit("").alias("text"), F.lit("").alias("original_value"), none.alias("tokens"), F.coalesce("avatar_confidence", F.lit(0.85)).alias("confidence"), F.lit("avatar").alias("reason"), "bbox", F.lit(0).alias("start"))
     seen = boxed.where(~F.lower("tag").isin("input", "textarea", "select") & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= 3))
     found = detect_pii(seen, ["page_id", "elem_idx", "bbox", "tokens", F.col("text").alias("whole")], "text", "label")
@@ -57,7 +57,7 @@ def element_candidates(elements: DataFrame) -> DataFrame:
 def spread_candidates(elements: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates of further elements that show a value the page is sure of."""
     more = spread(confirmed(candidates, elements), elements, candidates)
-    at = more.join(elements.select("page_id", "elem_idx", F.col("text").alias("_whole"), F.col("bbox").alias("_b")), ["page_id", "elem_idx"])
+    at = paired(more, elements.select("page_id", "elem_idx", F.col("text").alias("_whole"), F.col("bbox").alias("_b")), ["page_id", "elem_idx"])
     start = F.instr("_whole", F.col("value")) - 1
     box = interpolated(F.col("_b"), F.col("_whole"), start, start + F.length("value"))
     kind = F.when(F.col("kind") == "name", "name").otherwise("username")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import map_box, padded, scale_mismatch
-from ..functions.lineage import settled
+from ..functions.lineage import paired, settled
 from ..functions.places import interpolated, span_boxes
 from .fuse import fuse, summaries
 from .names import heuristic_entities, name_items
@@ -78,19 +78,19 @@ def name_candidates(elements: DataFrame, lines: DataFrame | None, model: DataFra
     if lines is not None:
         own = F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), t["text"].alias("text"), t["start"].alias("start"), t["end"].alias("end"), t["bbox"].alias("bbox"), F.array(t["bbox"]).alias("boxes")))
         places = places.unionByName(lines.select("page_id", F.lit("ocr").alias("source"), F.col("line_index").cast("long").alias("elem_idx"), own.alias("tokens")))
-    items = name_items(elements, lines).join(places, ["page_id", "source", "elem_idx"], "left")
+    items = paired(name_items(elements, lines), places, ["page_id", "source", "elem_idx"], "left")
     rules = heuristic_entities(items.withColumn("whole", F.col("text")), ["page_id", "item_idx"])
     held = lambda a, b: F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
     if model is not None:
         m = model.select(F.col("page_id").alias("_p"), F.col("type").alias("_t"), F.col("text").alias("_x"))
-        rules = rules.join(m, (F.col("page_id") == F.col("_p")) & (F.col("type") == F.col("_t")) & held(F.col("text"), F.col("_x")), "left_anti")
+        rules = paired(rules, m, (F.col("page_id") == F.col("_p")) & (F.col("type") == F.col("_t")) & held(F.col("text"), F.col("_x")), "left_anti")
     row = F.struct("item_idx", "rule_ord", "start", "end", "text", "confidence", "reason")
     kept = rules.groupBy("page_id", "type").agg(F.sort_array(F.collect_list(row)).alias("all"))
     kept = kept.select("page_id", "type", F.inline(F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: held(x["text"], y["text"])), acc).otherwise(F.concat(acc, F.array(x))))))
     found = kept.select("page_id", "item_idx", "type", "text", "start", "end", "confidence", "reason")
     if model is not None:
         found = found.unionByName(model.select("page_id", "item_idx", "type", "text", "start", "end", "confidence", F.lit("model").alias("reason")))
-    at = found.join(items.select("page_id", "item_idx", "elem_idx", "source", F.col("text").alias("_whole"), F.col("bbox").alias("_b"), F.col("tokens").alias("_tokens")), ["page_id", "item_idx"])
+    at = paired(found, items.select("page_id", "item_idx", "elem_idx", "source", F.col("text").alias("_whole"), F.col("bbox").alias("_b"), F.col("tokens").alias("_tokens")), ["page_id", "item_idx"])
     by_word = span_boxes(F.col("_tokens"), F.col("start"), F.col("end"), clamp=True)
     place: Column = F.coalesce(by_word["bbox"], interpolated(F.col("_b"), F.col("_whole"), F.col("start"), F.col("end"), NAME_WIDTH, NAME_HEIGHT))
     rows = at.withColumn("bbox", place).where("bbox is not null")
@@ -100,7 +100,7 @@ def name_candidates(elements: DataFrame, lines: DataFrame | None, model: DataFra
 def read_candidates(words: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates of recognised words in the regions that are worth reading, and the lines of these."""
     chosen = regions_to_read(regions)
-    own = settled(words.join(chosen.select("page_id", "region_idx"), ["page_id", "region_idx"], "left_semi"))
+    own = settled(paired(words, chosen.select("page_id", "region_idx"), ["page_id", "region_idx"], "left_semi"))
     found = region_findings(own, chosen)
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("region_idx", "reason", F.col("bbox")["y"], F.col("bbox")["x"]))
     rows = found.select("page_id", F.lit(None).cast("int").alias("elem_idx"), "type", "text", F.col("text").alias("original_value"), F.expr("cast(array() as array<string>)").alias("tokens"), "confidence", "reason", "bbox", order.alias("start"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroudlake.operators import detect, names, propagate, regions, whole
+from shroudlake.operators import detect, fuse, names, propagate, regions, whole
 from shroudlake.plans import catalog, flows
 from shroudlake.sources import pictures, tables
 
@@ -190,3 +190,10 @@ def test_references_without_a_semicolon(spark, tmp_path):
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["tag"]: r["text"] for r in catalog.page_elements(spark, str(tmp_path)).collect()}
     assert got == read(False)
+
+
+def test_summaries_join_by_exchange(spark):
+    found = spark.createDataFrame([(1, "email", ["dom"]), (1, "face", ["dom", "ocr"]), (2, "email", ["ocr"])], "page_id long, type string, sources array<string>").repartition(2)
+    out = fuse.summaries(found.where("page_id > 0"))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.page_id, r.total, r.by_type.get("email"), r.by_source.get("dom")) for r in out.collect()} == {(1, 2, 1, 2), (2, 1, 1, None)}
