@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlaps
+from ..functions.lineage import paired
 from ..functions.text import replace_spans
 from .detect import all_matches, readable
 from .rules import REDACT
@@ -39,8 +40,8 @@ def sanitize_elements(elements: DataFrame, redactions: DataFrame, scale: bool =
     if scale:
         r = F.struct((r["x"] / F.col("scale_x")).alias("x"), (r["y"] / F.col("scale_y")).alias("y"), (r["width"] / F.col("scale_x")).alias("width"), (r["height"] / F.col("scale_y")).alias("height"))
     marks = redactions.withColumnRenamed("bbox", "_r").withColumnRenamed("page_id", "_p")
-    hit = elements.join(marks, (F.col("page_id") == F.col("_p")) & overlaps(F.col("bbox"), r), "left_semi").select("page_id", "elem_idx").distinct().withColumn("_hit", F.lit(True))
-    out = elements.join(hit, ["page_id", "elem_idx"], "left")
+    hit = paired(elements, marks, (F.col("page_id") == F.col("_p")) & overlaps(F.col("bbox"), r), "left_semi").select("page_id", "elem_idx").distinct().withColumn("_hit", F.lit(True))
+    out = paired(elements, hit, ["page_id", "elem_idx"], "left")
     gone = F.coalesce("_hit", F.lit(False))
     secret = gone | F.coalesce("is_sensitive", F.lit(False)) | (F.coalesce("input_type", F.lit("")) == "password")
     is_input = F.col("tag").isin("input", "textarea", "select")

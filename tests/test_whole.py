@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroudlake.operators import detect, fuse, names, propagate, regions, whole
+from shroudlake.operators import detect, fuse, names, propagate, regions, sanitize, whole
 from shroudlake.plans import catalog, flows
 from shroudlake.sources import pictures, tables
 
@@ -197,3 +197,11 @@ def test_summaries_join_by_exchange(spark):
     out = fuse.summaries(found.where("page_id > 0"))
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.page_id, r.total, r.by_type.get("email"), r.by_source.get("dom")) for r in out.collect()} == {(1, 2, 1, 2), (2, 1, 1, None)}
+
+
+def test_sanitizing_joins_by_exchange(spark):
+    rows = spark.range(4).selectExpr("id as page_id", "0 as elem_idx", "'p' as tag", "concat('t', id) as text", "struct(0 as x, 0 as y, 10 as width, 10 as height) as bbox", "false as is_sensitive")
+    rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("role", "input_type", "label", "value", "placeholder", "alt", "href")})
+    out = sanitize.sanitize_elements(rows, rows.where("page_id = 1").select("page_id", "bbox"))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.page_id: r.text for r in out.collect()} == {0: "t0", 1: "[REDACTED]", 2: "t2", 3: "t3"}
