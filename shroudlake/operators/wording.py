@@ -165,8 +165,8 @@ def contact_task(task: Column) -> Column:
     """struct<contact, body>: whom a task sends a message, and what. Of each reader the leftmost reading counts, and of the readers the first whose reading names a contact."""
 
     def read(p: Pieces, n: Column) -> Column:
-        tries = F.array(*[p.first_reading(reader) for reader in _recipients(p, n)])
-        return F.get(F.filter(tries, lambda x: x.isNotNull() & contact_name(x["contact"])), F.lit(0))
+        # a reader is asked only if none before it names a contact
+        return F.coalesce(*[let(p.first_reading(reader), lambda x: F.when(x.isNotNull() & contact_name(x["contact"]), x)) for reader in _recipients(p, n)])
 
     # most texts hold no verb of sending at all
     return F.when(F.rlike(F.coalesce(task, F.lit("")), F.lit(rf"(?i)(?:{'|'.join(SEND)})")), Pieces(task).over(read))

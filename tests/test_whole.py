@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shroudlake.operators import detect, fuse, names, propagate, regions, sanitize, whole
-from shroudlake.plans import catalog, flows
+from shroudlake.plans import catalog, flows, more
 from shroudlake.sources import pictures, tables
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
@@ -193,8 +193,9 @@ def test_references_without_a_semicolon(spark, tmp_path):
 
 
 def test_summaries_join_by_exchange(spark):
-    found = spark.createDataFrame([(1, "email", ["dom"]), (1, "face", ["dom", "ocr"]), (2, "email", ["ocr"])], "page_id long, type string, sources array<string>").repartition(2)
-    out = fuse.summaries(found.where("page_id > 0"))
+    rows = [(1, "email", ["dom"]), (1, "face", ["dom", "ocr"]), (2, "email", ["ocr"])]
+    found = spark.range(3).select(F.get(F.lit([p for p, _, _ in rows]), F.col("id").cast("int")).alias("page_id"), F.get(F.lit([k for _, k, _ in rows]), F.col("id").cast("int")).alias("type"), F.when(F.col("id") == 0, F.array(F.lit("dom"))).when(F.col("id") == 1, F.array(F.lit("dom"), F.lit("ocr"))).otherwise(F.array(F.lit("ocr"))).alias("sources"))
+    out = fuse.summaries(found)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.page_id, r.total, r.by_type.get("email"), r.by_source.get("dom")) for r in out.collect()} == {(1, 2, 1, 2), (2, 1, 1, None)}
 
@@ -205,3 +206,10 @@ def test_sanitizing_joins_by_exchange(spark):
     out = sanitize.sanitize_elements(rows, rows.where("page_id = 1").select("page_id", "bbox"))
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.page_id: r.text for r in out.collect()} == {0: "t0", 1: "[REDACTED]", 2: "t2", 3: "t3"}
+
+
+def test_a_small_file_is_dealt_over_the_cores(spark, tmp_path):
+    spark.range(100).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = more._dealt(spark, str(tmp_path), "customer")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 100
+    assert more.message_tasks(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
