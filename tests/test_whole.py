@@ -213,3 +213,9 @@ def test_a_small_file_is_dealt_over_the_cores(spark, tmp_path):
     rows = more._dealt(spark, str(tmp_path), "customer")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 100
     assert more.message_tasks(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lots_of_pages_keep_every_element(spark):
+    n = 2 * tables.LOT + 7
+    pages = spark.range(n).selectExpr("id as page_id", "concat('<div><p>t', id, '</p></div>') as html").coalesce(1)
+    assert {(r.page_id, r.elem_idx, r.tag, r.text) for r in tables.elements(pages).collect()} == {x for i in range(n) for x in ((i, 0, "div", ""), (i, 1, "p", f"t{i}"))}
