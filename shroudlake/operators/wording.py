@@ -72,7 +72,7 @@ class Pieces:
     def text(self, start: Column, end: Column) -> Column:
         """The pieces from start up to end as they stand; null if there is nothing."""
         own = strip(F.array_join(F.transform(F.slice(self.all, start + 1, F.greatest(end - start, F.lit(0))), lambda x: x["raw"]), ""))
-        return F.nullif(own, F.lit(""))
+        return let(own, lambda x: F.when(x != "", x))
 
     def places(self, start: Column | int = 0) -> Column:
         n = F.size(self.all)
@@ -226,10 +226,10 @@ def told_text(task: Column) -> Column:
             where = p.first(i + 2, lambda k: p.word(k).isin("in", "into", "to", "on") & (k < n - 1), n)
             return F.when(p.word(i).isin("say", "type", "write"), said(i + 1, where))
 
-        quote = p.first_reading(content)
+        quote = let(p.first_reading(content), lambda x: F.when(~x["whom"], x["v"]))
         saying = p.first_reading(lambda i: F.when(p.word(i) == "saying", said(i + 1, n)))
         that = p.first_reading(lambda i: F.when((p.word(i) == "message") & (p.word(i + 1) == "that"), said(i + 2, n)))
-        return F.coalesce(F.when(~quote["whom"], quote["v"]), saying, p.first_reading(typed), that)
+        return F.coalesce(quote, saying, p.first_reading(typed), that)
 
     return Pieces(task).over(read)
 
@@ -267,9 +267,12 @@ def without_command(task: Column, verbs: Sequence[str] = ("send", "message", "ty
 
     def read(p: Pieces, n: Column) -> Column:
         start = F.when((n > 1) & p.word(F.lit(0)).isin(*verbs), p.after(F.lit(1), *PRONOUNS)).otherwise(F.lit(0))
-        start = F.when(start < n, start).otherwise(F.lit(1))
-        rest = F.when(p.quoted(start), p.after(start + 1, "a", "an", *SAYING)).otherwise(start)
         text = lambda i: F.coalesce(F.lower(p.text(i, n)), F.lit(""))
-        return F.struct(text(start).alias("bare"), text(rest).alias("rest"))
+
+        def both(start: Column) -> Column:
+            rest = F.when(p.quoted(start), p.after(start + 1, "a", "an", *SAYING)).otherwise(start)
+            return F.struct(text(start).alias("bare"), let(rest, text).alias("rest"))
+
+        return let(let(start, lambda at: F.when(at < n, at).otherwise(F.lit(1))), both)
 
     return Pieces(task).over(read)

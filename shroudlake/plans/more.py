@@ -109,7 +109,9 @@ def drafts(spark: SparkSession, d: str) -> DataFrame:
     """Drafts that only repeat their task, the words a task wants sent, and its theme; a row for each customer and case."""
     made = F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.lit(t).alias("task"), F.lit(v).alias("draft")) for i, (t, v, *_) in enumerate(DRAFTS)])
     rows = _dealt(spark, d, "customer").select("c_custkey", F.inline(made))
-    return rows.select("c_custkey", "k", messages.echo(F.col("draft"), F.col("task")).alias("echo"), messages.message_text(F.col("task")).alias("words"), messages.theme(F.col("task")).alias("theme"))
+    task = F.col("task")
+    got = wording.let(wording.contact_task(task), lambda named: F.struct(messages.echo(F.col("draft"), task, named).alias("echo"), messages.message_text(task, named).alias("words")))
+    return rows.select("c_custkey", "k", got.alias("got"), messages.theme(task).alias("theme")).select("c_custkey", "k", "got.echo", "got.words", "theme")
 
 
 def composed_lines(spark: SparkSession, d: str) -> DataFrame:
