@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import places
+from ..functions.lineage import paired
 from ..functions.text import first_keyword, mask_typed, padded_id, shown_task, without_guidance
 from ..operators import agent, chain, detect, fields, fuse, history, lookup, messages, names, page, propagate, reading, regions, run, sanitize, wording
 from ..sources import tables
@@ -46,11 +47,14 @@ SAMPLES = (
 
 def rule_samples(spark: SparkSession, d: str) -> DataFrame:
     """Every match of the rules in made-up texts, of which each rule has one that it takes or all but takes."""
-    c = _dealt(spark, d, "customer").select("c_custkey", F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("number"))
-    rows = c.select("*", F.posexplode(F.lit(list(SAMPLES))).alias("k", "form"))
-    texts = rows.select((F.col("c_custkey") * 100 + F.col("k")).alias("doc_id"), F.regexp_replace("form", r"N(?=[^a-z]|$)", F.col("number")).alias("text"))
-    found = detect.detect_pii(texts, ["doc_id"], rules=list(rules_sql.NAMES))
-    return found.select("doc_id", "rule", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), F.round("confidence", 4).alias("confidence"), "decision")
+    c = _table(spark, d, "customer").select("c_custkey", F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("number"))
+    # customers with the same number have the same texts, and so have all numbers where a form names none: each text is read once, dealt over the cores
+    texts = c.select("number").distinct().select("number", F.posexplode(F.lit(list(SAMPLES))).alias("k", "form")).select("number", "k", F.regexp_replace("form", r"N(?=[^a-z]|$)", F.col("number")).alias("whole"))
+    once = texts.select("whole").distinct().repartition(4 * spark.sparkContext.defaultParallelism)
+    found = detect.detect_pii(once, ["whole"], "whole", rules=list(rules_sql.NAMES))
+    found = found.select("whole", "rule", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), F.round("confidence", 4).alias("confidence"), "decision")
+    rows = paired(c, paired(texts, found, "whole"), "number")
+    return rows.select((F.col("c_custkey") * 100 + F.col("k")).alias("doc_id"), "rule", "span_start", "span_end", "confidence", "decision")
 
 
 def shown_dates(spark: SparkSession, d: str) -> DataFrame:

@@ -18,3 +18,16 @@ def test_task_is_cut_into_pieces_once_for_each_reading(spark):
     assert 1 <= cuts(messages.message_text(F.col("task"))) <= 2  # whom it names, what it tells
     got = rows.select(messages.echo(F.col("draft"), F.col("task")).alias("echo"), messages.message_text(F.col("task")).alias("words")).collect()
     assert [(r.echo, r.words) for r in got] == [(False, "order 0"), (True, "order 1"), (False, "order 2")]
+
+
+def test_rule_samples_read_each_text_once(spark, tmp_path, monkeypatch):
+    from shroudlake.operators import detect
+    from shroudlake.plans import more
+
+    spark.createDataFrame([(7,), (8,), (10007,), (20007,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(more, "SAMPLES", ("write to x@mail5.example.com", "ssn 123-45-N"))
+    read, plain_run = [], detect.detect_pii
+    monkeypatch.setattr(detect, "detect_pii", lambda df, keys, *a, **k: read.append(df.count()) or plain_run(df, keys, *a, **{**k, "rules": ["email", "ssn"]}))
+    got = more.rule_samples(spark, str(tmp_path)).select("doc_id", "rule", "span_start", "span_end").collect()
+    assert read == [3]  # eight rows of text, three texts
+    assert sorted(map(tuple, got)) == sorted([(i * 100, "email", 9, 28) for i in (7, 8, 10007, 20007)] + [(i * 100 + 1, "ssn", 4, 15) for i in (7, 8, 10007, 20007)])
