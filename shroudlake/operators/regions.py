@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, area, box, iou, rounded, union
 from .rank import top_regions
+from .wording import let
 
 #: Fixed values.
 READ_WIDTH, READ_HEIGHT, READ_AREA, READ_REGIONS = 60, 25, 5_000_000, 4
@@ -103,9 +104,8 @@ def verified(b: Column, width: Column, height: Column, clean: Column) -> Column:
         more = F.struct(grown(acc["bbox"], width, height).alias("bbox"), F.coalesce(F.get(clean, k), F.lit(False)).alias("passed"), k.alias("expansions"))
         return F.when(acc["passed"], acc).otherwise(more)
 
-    end = F.aggregate(F.lit(list(range(1, EXPANSIONS + 1))), start, step)
-    kept = F.struct(F.when(end["passed"] & (end["expansions"] > 0), end["bbox"]).otherwise(b).alias("bbox"), end["passed"].alias("passed"), end["expansions"].alias("expansions"))
-    return F.when((first["width"] > 0) & (first["height"] > 0), kept)
+    kept = lambda end: F.struct(F.when(end["passed"] & (end["expansions"] > 0), end["bbox"]).otherwise(b).alias("bbox"), end["passed"].alias("passed"), end["expansions"].alias("expansions"))
+    return F.when((first["width"] > 0) & (first["height"] > 0), let(F.aggregate(F.lit(list(range(1, EXPANSIONS + 1))), start, step), kept))
 
 
 def by_decision(found: DataFrame) -> DataFrame:

@@ -31,3 +31,13 @@ def test_rule_samples_read_each_text_once(spark, tmp_path, monkeypatch):
     got = more.rule_samples(spark, str(tmp_path)).select("doc_id", "rule", "span_start", "span_end").collect()
     assert read == [3]  # eight rows of text, three texts
     assert sorted(map(tuple, got)) == sorted([(i * 100, "email", 9, 28) for i in (7, 8, 10007, 20007)] + [(i * 100 + 1, "ssn", 4, 15) for i in (7, 8, 10007, 20007)])
+
+
+def test_redaction_grows_once(spark):
+    from shroudlake.functions import geometry as geo
+    from shroudlake.operators import regions
+
+    b = geo.box(F.col("id"), F.lit(10), F.lit(20), F.lit(20))
+    rows = spark.range(3).select("id", regions.verified(b, F.lit(100), F.lit(80), F.array(F.lit(False), F.col("id") > 0)).alias("v"))
+    assert planned(rows).count("aggregate(") == 1
+    assert [(r.v.passed, r.v.expansions, r.v.bbox.x, r.v.bbox.width) for r in rows.orderBy("id").collect()] == [(False, 3, 0, 20), (True, 1, 0, 25), (True, 1, 0, 25)]
