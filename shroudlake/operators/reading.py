@@ -143,8 +143,8 @@ def region_findings(words: DataFrame, regions: DataFrame) -> DataFrame:
 
     The rules' matches in each line, a shield over a region that shows an identity document, and the fields of printed forms.
     """
-    lines = region_lines(words)
-    texts = line_texts(lines)
+    lines = settled(region_lines(words))  # both are read by the rules, the shields and the fields
+    texts = settled(line_texts(lines))
     found = detect_pii(texts, ["page_id", "region_idx", "tokens"], "text")
     hits = found.select("page_id", "region_idx", "type", "text", "confidence", F.concat(F.lit("ocr_regex:"), "rule").alias("reason"), span_line_boxes(F.col("tokens"), F.col("start"), F.col("end"))["bbox"].alias("bbox"))
     hits = settled(hits)  # read three times below
