@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import paired
 from .rank import VOICE, says
 
 #: Fixed values.
@@ -102,10 +103,10 @@ def table_headers(cells: DataFrame, headers: DataFrame, slack: int = 4) -> DataF
 
     cells: table_id, cell_id, col_idx, x, width. headers: table_id, th_idx, x, width, text.
     """
-    h = headers.select(F.col("table_id").alias("_t"), "th_idx", F.col("x").alias("_x"), F.col("width").alias("_w"), F.col("text").alias("header"))
+    one = F.struct("th_idx", F.col("x").alias("x"), F.col("width").alias("width"), F.col("text").alias("header"))
+    h = headers.where("th_idx is not null").groupBy(F.col("table_id").alias("_t")).agg(F.sort_array(F.collect_list(one)).alias("_h"))  # a table has few
     centre = F.col("x") + F.col("width") / 2
-    over = centre.between(F.col("_x") - slack, F.col("_x") + F.col("_w") + slack)
-    both = cells.join(h, F.col("table_id") == F.col("_t"), "left").groupBy(*cells.columns).agg(F.min_by(F.when(over, F.col("header")), F.when(over, F.col("th_idx"))).alias("_a"), F.max(F.when(F.col("th_idx") == F.col("col_idx"), F.col("header"))).alias("_b"))
-    return both.select(*cells.columns, F.coalesce("_a", "_b").alias("header"))
-
-
+    over = F.filter("_h", lambda t: centre.between(t["x"] - slack, t["x"] + t["width"] + slack))
+    placed = F.array_max(F.transform(F.filter("_h", lambda t: t["th_idx"] == F.col("col_idx")), lambda t: t["header"]))
+    both = paired(cells, h, F.col("table_id") == F.col("_t"), "left")
+    return both.select(*cells.columns, F.coalesce(F.get(over, F.lit(0))["header"], placed).alias("header")).distinct()

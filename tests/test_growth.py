@@ -41,3 +41,13 @@ def test_redaction_grows_once(spark):
     rows = spark.range(3).select("id", regions.verified(b, F.lit(100), F.lit(80), F.array(F.lit(False), F.col("id") > 0)).alias("v"))
     assert planned(rows).count("aggregate(") == 1
     assert [(r.v.passed, r.v.expansions, r.v.bbox.x, r.v.bbox.width) for r in rows.orderBy("id").collect()] == [(False, 3, 0, 20), (True, 1, 0, 25), (True, 1, 0, 25)]
+
+
+def test_headers_do_not_multiply_cells(spark):
+    from shroudlake.operators import lookup
+
+    cells = spark.createDataFrame([(1, 0, 0, 10, 20), (1, 0, 0, 10, 20), (1, 1, 2, 900, 20), (1, 2, 7, 900, 20), (2, 0, 0, 10, 20)], "table_id long, cell_id long, col_idx long, x int, width int")
+    heads = spark.createDataFrame([(1, 1, 0, 100, "b"), (1, 0, 0, 100, "a"), (1, 2, 100, 100, "c"), (1, None, 890, 60, "z")], "table_id long, th_idx long, x int, width int, text string")
+    df = lookup.table_headers(cells, heads)
+    assert "min_by" not in df._jdf.queryExecution().analyzed().toString()  # a row for each cell and header would be sorted
+    assert sorted((r.table_id, r.cell_id, r.header) for r in df.collect()) == [(1, 0, "a"), (1, 1, "c"), (1, 2, None), (2, 0, None)]
