@@ -62,9 +62,12 @@ def matched(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """(page_id, key, elem_idx): the elements of each page that each selector of wanted(page_id, key, selector) means. tree: page_tree(). A selector that is not understood means nothing."""
     parsed = wanted.select("page_id", "key", F.posexplode(steps_of(F.col("selector"))).alias("k", "steps"))
     longest = parsed.agg(F.max(F.size("steps"))).first()[0] or 0
-    e = tree.select("page_id", "elem_idx", "parent_idx", "last_idx", "tag", "attrs", "nth")
+    # what is exchanged for each step is small: of the steps how they are joined, and of an element which of them it fits, and its sibling before; elements that fit none are never meant
+    sibling = F.lag("elem_idx").over(Window.partitionBy("page_id", "parent_idx").orderBy("elem_idx"))
+    e = tree.select("page_id", "elem_idx", "parent_idx", "last_idx", "tag", "attrs", "nth").withColumn("before_idx", sibling)
     rows = e.join(parsed, "page_id")
-    known = rows.select("page_id", "key", "k", "elem_idx", "parent_idx", "last_idx", "nth", "steps", F.transform("steps", lambda s: fits(s, F.col("tag"), F.col("attrs"), F.col("nth"))).alias("fits"))
+    fit = F.transform("steps", lambda s: fits(s, F.col("tag"), F.col("attrs"), F.col("nth")))
+    known = rows.select("page_id", "key", "k", "elem_idx", "parent_idx", "last_idx", "before_idx", F.array_join(F.transform("steps", lambda s: F.rpad(F.coalesce(s["join"], F.lit("")), 1, " ")), "").alias("joins"), F.explode(F.filter(F.array(fit), lambda f: F.exists(f, lambda x: x))).alias("fits"))
     out = known.withColumn("on", F.col("fits")[0])
     own = ["page_id", "key", "k"]
     for i in range(1, longest):
@@ -72,14 +75,14 @@ def matched(tree: DataFrame, wanted: DataFrame) -> DataFrame:
         beside = Window.partitionBy(*own, "parent_idx").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, -1)
         inside = F.coalesce(F.max(F.when(F.col("on"), F.col("last_idx"))).over(before) >= F.col("elem_idx"), F.lit(False))
         later = F.coalesce(F.max("on").over(beside), F.lit(False))
-        next_to = F.coalesce(F.last("on").over(beside), F.lit(False))
+        next_to = F.coalesce(F.last(F.when(F.col("on"), F.col("elem_idx"))).over(beside) == F.col("before_idx"), F.lit(False))
         above = out.where("on").select(*[F.col(c).alias(f"_{c}") for c in own], F.col("elem_idx").alias("_at"))
         out = out.withColumns({"_inside": inside, "_later": later, "_next": next_to})
         met = [F.col(c) == F.col(f"_{c}") for c in own]
         out = out.join(above, [*met, F.col("parent_idx") == F.col("_at")], "left")
-        join = F.get("steps", F.lit(i))["join"]
+        join = F.substring("joins", i + 1, 1)
         held = F.when(join == " ", F.col("_inside")).when(join == ">", F.col("_at").isNotNull()).when(join == "+", F.col("_next")).otherwise(F.col("_later"))
-        now = F.when(F.size("steps") > i, held & F.col("fits")[i]).otherwise(F.col("on"))
+        now = F.when(F.length("joins") > i, held & F.col("fits")[i]).otherwise(F.col("on"))
         out = out.withColumn("on", now).drop("_inside", "_later", "_next", "_at", *[f"_{c}" for c in own])
     return out.where("on").select("page_id", "key", "elem_idx").distinct()
 

@@ -51,3 +51,15 @@ def test_headers_do_not_multiply_cells(spark):
     df = lookup.table_headers(cells, heads)
     assert "min_by" not in df._jdf.queryExecution().analyzed().toString()  # a row for each cell and header would be sorted
     assert sorted((r.table_id, r.cell_id, r.header) for r in df.collect()) == [(1, 0, "a"), (1, 1, "c"), (1, 2, None), (2, 0, None)]
+
+
+def test_selector_steps_are_not_exchanged(spark):
+    from shroudlake.operators import selectors
+    from shroudlake.sources import styles
+
+    p = spark.createDataFrame([(1, "<ul><li>a</li><p>x</p><li>b</li><li>c</li></ul>")], "page_id long, html string")
+    wanted = spark.createDataFrame([(1, 0, "li + li"), (1, 1, "li ~ li"), (1, 2, "ul > li")], "page_id long, key int, selector string")
+    df = selectors.matched(styles.page_tree(p), wanted)
+    assert sum("steps#" in line and "on#" in line for line in planned(df).splitlines()) == 0
+    counts = {r.key: r["count"] for r in df.groupBy("key").count().collect()}
+    assert counts == {0: 1, 1: 2, 2: 3}
