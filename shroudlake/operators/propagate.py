@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import paired
@@ -59,11 +59,11 @@ def confirmed(candidates: DataFrame, elements: DataFrame) -> DataFrame:
         ("identifier", text, F.rlike(label, F.lit(f"(?i){ID_COLUMN}")) & F.length(text).between(6, 25) & F.rlike(text, F.lit("[0-9]")) & ~F.rlike(text, F.lit("(?i)roll"))),
         ("name", text, F.rlike(label, F.lit(f"(?i){NAME_COLUMN}")) & F.length(text).between(2, 40) & ~is_label(text)),
     )
-    return a.unionByName(b).distinct()
+    return a.unionByName(b).repartition("page_id").distinct()  # by page, as what follows is
 
 
-#: Code points of the pieces by which values are sought.
-PIECE = 4
+#: Code points of the pieces by which values are sought, and the values of a page up to which each of its texts is compared with all of them.
+PIECE, FEW_VALUES = 4, 64
 
 
 def pieces(text: Column, size: Column) -> Column:
@@ -72,19 +72,26 @@ def pieces(text: Column, size: Column) -> Column:
     return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size))))
 
 
-def holders(values: DataFrame, elements: DataFrame) -> DataFrame:
+def holders(values: DataFrame, elements: DataFrame, few: int = FEW_VALUES) -> DataFrame:
     """(page_id, elem_idx, kind, value): the elements(page_id, elem_idx, text) of each page whose text holds a value of values(page_id, kind, value).
 
-    Texts are cut into all their stretches of PIECE code points (of fewer where a page has shorter values), a value stands under one of its own, the one with the least hash; the two are joined, and
-    what meets is looked at. So a page with many values and many elements costs as much as its texts are long, not each value against each element. Empty values are held by nothing.
+    The values of a page that has at most ``few`` come to its texts as one row, so texts are exchanged once. Texts of other pages are cut into all their stretches of PIECE code points (of fewer where a
+    page has shorter values), a value stands under one of its own, the one with the least hash; the two are joined, and what meets is looked at. So a page with many values and many elements costs as
+    much as its texts are long, not each value against each element. Empty values are held by nothing.
     """
-    size = F.least(F.length("value"), F.lit(PIECE))
-    v = values.where(F.length("value") > 0).select("page_id", "kind", "value", size.alias("_q")).distinct()
-    v = v.withColumn("_piece", F.array_min(F.transform(pieces(F.col("value"), F.col("_q")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    cut = paired(elements.select("page_id", "elem_idx", "text"), v.select("page_id", "_q").distinct(), "page_id")
+    texts = elements.select("page_id", "elem_idx", "text")
+    v = values.where(F.length("value") > 0).select("page_id", "kind", "value").distinct().withColumn("_n", F.count("*").over(Window.partitionBy("page_id")))
+    lists = v.where(F.col("_n") <= few).groupBy("page_id").agg(F.collect_list(F.struct("kind", "value")).alias("_v"))
+    near = paired(texts, lists, "page_id").select("page_id", "elem_idx", F.inline(F.filter("_v", lambda x: F.contains("text", x["value"]))))
+    many = v.where(F.col("_n") > few).select("page_id", "kind", "value", F.least(F.length("value"), F.lit(PIECE)).alias("_q"))
+    sizes = many.groupBy("page_id").agg(F.collect_set("_q").alias("_q"))
+    many = many.withColumn("_piece", F.array_min(F.transform(pieces(F.col("value"), F.col("_q")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    own = paired(texts, sizes, "page_id")
+    cut = own.select("page_id", "elem_idx", "text", F.explode("_q").alias("_q"))
     parts = cut.select("page_id", "elem_idx", "_q", F.explode(pieces(F.col("text"), F.col("_q"))).alias("_piece"))
-    met = paired(parts, v, ["page_id", "_q", "_piece"]).select("page_id", "elem_idx", "kind", "value")
-    return paired(met, elements.select("page_id", "elem_idx", "text"), ["page_id", "elem_idx"]).where(F.contains("text", F.col("value"))).select("page_id", "elem_idx", "kind", "value")
+    met = paired(parts, many, ["page_id", "_q", "_piece"]).select("page_id", "elem_idx", "kind", "value")
+    far = paired(met, own.select("page_id", "elem_idx", "text"), ["page_id", "elem_idx"]).where(F.contains("text", F.col("value")))
+    return near.unionByName(far.select("page_id", "elem_idx", "kind", "value"))
 
 
 def spread(values: DataFrame, elements: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -194,8 +201,6 @@ def labels(elements: DataFrame) -> DataFrame:
 
 def ordered_union(*parts: DataFrame) -> DataFrame:
     """Detector outputs in fixed order, numbered per page."""
-    from pyspark.sql import Window
-
     numbered = [p.withColumn("_o", F.lit(i)) for i, p in enumerate(parts)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
     return both.withColumn("cand_seq", F.row_number().over(Window.partitionBy("page_id").orderBy("_o", *[c for c in ("elem_idx", "region_idx", "start") if c in both.columns])).cast("long")).drop("_o")

@@ -63,3 +63,14 @@ def test_selector_steps_are_not_exchanged(spark):
     assert sum("steps#" in line and "on#" in line for line in planned(df).splitlines()) <= 1  # where they are made
     counts = {r.key: r["count"] for r in df.groupBy("key").count().collect()}
     assert counts == {0: 1, 1: 2, 2: 3}
+
+
+def test_texts_of_pages_with_few_values_are_not_cut_into_pieces(spark, monkeypatch):
+    from shroudlake.operators import propagate
+
+    e = spark.range(60).select((F.col("id") % 3).alias("page_id"), F.col("id").cast("int").alias("elem_idx"), F.concat(F.lit("row id"), "id", F.lit(" kim")).alias("text"))
+    v = spark.range(60).where("id % 3 < 2 and (id % 3 = 0 or id < 10)").select((F.col("id") % 3).alias("page_id"), F.lit("name").alias("kind"), F.concat(F.lit("id"), "id").alias("value"))  # 20 values, 3 values, none
+    got = [sorted(map(tuple, propagate.holders(v, e, few).collect())) for few in (0, 3, 64)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 20 + 3 + sum(i % 3 < 2 and j != i and str(j).startswith(str(i)) and j % 3 == i % 3 for i in range(10) for j in range(60))
+    monkeypatch.setattr(propagate, "pieces", lambda text, size: F.when(F.lit(False), F.array(text)))  # none
+    assert propagate.holders(v, e).count() == len(got[0])
