@@ -67,6 +67,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^[{WHITE}]+", ""), rf"[{WHITE}]+\z", "")
 
 
+def stripped_over(text: Column, n: int) -> Column:
+    """length(strip(text)) > n for n of 1 or more, without cutting the text."""
+    return F.rlike(text, F.lit(f"(?s)[^{WHITE}]{'.' * (n - 1)}.*[^{WHITE}]"))
+
+
 def replace_spans(text: Column, found: Column, marker: str = "[REDACTED]", mode: str = "compat") -> Column:
     """Spans (struct with s, e, in rule order) replaced by the marker.
 

@@ -38,8 +38,8 @@ def negative_prefix(text: Column, ctx: Column, start: Column) -> Column:
     return F.rlike(cut(text, start - 50, start), pattern) | ((ctx != "") & F.rlike(strip(ctx), pattern))
 
 
-def matches(text: Column, ctx: Column, low: Column, ordinal: int, rule: Rule) -> Column:
-    """array<struct> of a rule's accepted matches; null where the cheap gate shows that there are none. low: the text, lower-cased once for all rules."""
+def matches(text: Column, ctx: Column, low: Column, ordinal: int, rule: Rule, digit: Column | None = None) -> Column:
+    """array<struct> of a rule's accepted matches; null where the cheap gate shows that there are none. low: the text, lower-cased once for all rules; digit: whether it or its context has a digit."""
     pattern = dialect(rule.pattern)
     found = spans(text, pattern)
     if rule.group:
@@ -68,6 +68,8 @@ def matches(text: Column, ctx: Column, low: Column, ordinal: int, rule: Rule) ->
         ),
     )
     tests = []
+    if digit is not None and r"\d" in rule.gate:
+        tests.append(digit)
     if rule.words:
         tests.append(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in rule.words]))
     if rule.gate:
@@ -79,16 +81,16 @@ NO_MATCHES = "cast(array() as array<struct<rule_ord:int,rule:string,type:string,
 
 
 def readable(df: DataFrame, keys: Sequence[str | Column], text: str, context: str | None = None) -> DataFrame:
-    """(keys.., _text, _ctx, _low): what all_matches() reads; _low is context and text lower-cased."""
+    """(keys.., _text, _ctx, _low, _digit): what all_matches() reads; _low is context and text lower-cased, _digit whether they have a digit, which most rules need."""
     ctx = F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
-    return df.select(*keys, plain(F.col(text)).alias("_text"), ctx.alias("_ctx")).select("*", F.lower(F.concat("_ctx", F.lit("\n"), "_text")).alias("_low"))
+    return df.select(*keys, plain(F.col(text)).alias("_text"), ctx.alias("_ctx")).select("*", F.lower(F.concat("_ctx", F.lit("\n"), "_text")).alias("_low"), (F.rlike("_text", F.lit("[0-9]")) | F.rlike("_ctx", F.lit("[0-9]"))).alias("_digit"))
 
 
 def all_matches(rules: Sequence[str] | None = None, registry: "Detectors | None" = None) -> Column:
     """One array of the accepted matches of all chosen rules in a row of readable(), in the order of the rules, then of the text."""
-    text, ctx, low = F.col("_text"), F.col("_ctx"), F.col("_low")
+    text, ctx, low, digit = F.col("_text"), F.col("_ctx"), F.col("_low"), F.col("_digit")
     chosen = [BY_NAME[n] for n in rules] if rules else [(i + 1, r) for i, r in enumerate(RULES)]
-    arrays = [matches(text, ctx, low, i, r) for i, r in chosen] + (registry.columns(text, ctx) if registry else [])
+    arrays = [matches(text, ctx, low, i, r, digit) for i, r in chosen] + (registry.columns(text, ctx) if registry else [])
     return F.flatten(F.array(*[F.coalesce(a, F.expr(NO_MATCHES)) for a in arrays]))
 
 
@@ -98,7 +100,7 @@ def detect_pii(df: DataFrame, keys: Sequence[str], text: str = "text", context:
     Overlapping matches of different rules all stay. No shuffle, one pass.
     """
     base = readable(df, keys, text, context)
-    found = base.select(*base.columns[:-3], F.inline(all_matches(rules, registry)))
+    found = base.select(*base.columns[:-4], F.inline(all_matches(rules, registry)))
     return found.withColumns({"source": F.lit("dom"), "decision": decide(F.col("confidence"))})
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import paired
-from ..functions.text import dialect, plain, spans, strip
+from ..functions.text import dialect, plain, spans, strip, stripped_over
 from .rules import COMMON_NAMES, GIVEN_NAMES, has
 
 #: Words that no person is called, and those that a name must not hold as a word.
@@ -48,7 +49,7 @@ def name_items(elements: DataFrame, lines: DataFrame | None = None) -> DataFrame
     own = elements.where(~quiet).select("page_id", F.lit("dom").alias("source"), F.col("elem_idx").cast("long").alias("elem_idx"), "text", "bbox")
     both = own if lines is None else own.unionByName(lines.select("page_id", F.lit("ocr").alias("source"), F.col("line_index").cast("long").alias("elem_idx"), "text", "bbox"))
     w = Window.partitionBy("page_id").orderBy("source", "elem_idx")
-    return both.where(F.length(strip(F.col("text"))) > 3).withColumn("item_idx", F.row_number().over(w).cast("long"))
+    return both.where(stripped_over(F.col("text"), 3)).withColumn("item_idx", F.row_number().over(w).cast("long"))
 
 
 def model_items(items: DataFrame) -> DataFrame:
@@ -56,6 +57,12 @@ def model_items(items: DataFrame) -> DataFrame:
     return items.where((F.col("item_idx") <= MODEL_ITEMS) & (F.length(strip(F.col("text"))) <= LONGEST_CHUNK))
 
 
+#: What a text with matches of a rule holds, by reason: one of these words (lower-cased where the rule ignores case), or a cheap pattern.
+HOLDS = {
+    "name_honorific": ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Shri", "Smt"), "name_label": ("name",), "street_address": r"\d\s+[A-Z]",
+    "city": ("Delhi", "Mumbai", "Bengaluru", "Hyderabad", "Chennai", "Kolkata", "Pune", "Jaipur", "Francisco", "York", "London", "Seattle"),
+    "org_suffix": ("Inc", "Ltd", "LLC", "Corp", "Limited", "Bank", "Technologies", "Solutions", "Enterprises", "Hospital", "University"), "common_name": tuple(f"{GIVEN_NAMES}|{COMMON_NAMES}".split("|")),
+}
 #: Fixed values: (reason, type, confidence, pattern, group).
 RULES = (
     ("name_honorific", "name", 0.85, r"\b(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Shri|Smt\.?)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}\b", 0),
@@ -68,22 +75,24 @@ RULES = (
 
 
 def _found(i: int, reason: str, kind: str, conf: float, pattern: str, group: int) -> Column:
-    """A rule's matches in the column _text."""
-    java = dialect(pattern)
+    """A rule's matches in the column _text; its pattern is tried only where HOLDS allows a match."""
+    java, holds = dialect(pattern), HOLDS[reason]
+    body = F.lower("_text") if pattern.startswith("(?i)") else F.col("_text")
+    gate = F.rlike(body, F.lit(dialect(holds))) if isinstance(holds, str) else reduce(lambda a, b: a | b, [F.contains(body, F.lit(w)) for w in holds])
 
     def row(x: Column) -> Column:
         value = F.regexp_extract(x["m"], java, 1) if group else x["m"]
         s = x["s"] + F.instr(x["m"], value) - 1
         return F.struct(F.lit(i).alias("rule_ord"), F.lit(kind).alias("type"), value.alias("text"), s.alias("start"), (s + F.length(value)).alias("end"), F.lit(conf).alias("confidence"), F.lit(f"heuristic_ner:{reason}").alias("reason"))
 
-    out = F.transform(F.coalesce(spans(F.col("_text"), java), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")), row)
+    out = F.transform(F.coalesce(F.when(gate, spans(F.col("_text"), java)), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")), row)
     return F.filter(out, lambda r: person_name(r["text"])) if kind == "name" else out
 
 
 def heuristic_entities(items: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """(keys.., rule_ord, type, text, start, end, confidence, reason): matches of the six rules in texts of over three characters; names must be able to be names."""
     arrays = [_found(i, *rule) for i, rule in enumerate(RULES)]
-    base = items.select(*keys, plain(F.col(text)).alias("_text")).where(F.length(strip(F.col("_text"))) > 3)
+    base = items.select(*keys, plain(F.col(text)).alias("_text")).where(stripped_over(F.col("_text"), 3))
     return base.select(*keys, F.inline(F.concat(*arrays)))
 
 

@@ -78,7 +78,7 @@ def name_candidates(elements: DataFrame, lines: DataFrame | None, model: DataFra
     if lines is not None:
         own = F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), t["text"].alias("text"), t["start"].alias("start"), t["end"].alias("end"), t["bbox"].alias("bbox"), F.array(t["bbox"]).alias("boxes")))
         places = places.unionByName(lines.select("page_id", F.lit("ocr").alias("source"), F.col("line_index").cast("long").alias("elem_idx"), own.alias("tokens")))
-    items = paired(name_items(elements, lines), places, ["page_id", "source", "elem_idx"], "left")
+    items = settled(paired(name_items(elements, lines), places, ["page_id", "source", "elem_idx"], "left"))  # the rules read them, and what they find is put in its place by them
     rules = heuristic_entities(items.withColumn("whole", F.col("text")), ["page_id", "item_idx"])
     held = lambda a, b: F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
     if model is not None:

@@ -74,3 +74,17 @@ def test_texts_of_pages_with_few_values_are_not_cut_into_pieces(spark, monkeypat
     assert got[0] == got[1] == got[2] and len(got[0]) == 20 + 3 + sum(i % 3 < 2 and j != i and str(j).startswith(str(i)) and j % 3 == i % 3 for i in range(10) for j in range(60))
     monkeypatch.setattr(propagate, "pieces", lambda text, size: F.when(F.lit(False), F.array(text)))  # none
     assert propagate.holders(v, e).count() == len(got[0])
+
+
+def test_name_rules_are_tried_only_where_they_can_match(spark, monkeypatch):
+    from shroudlake.functions.text import strip, stripped_over
+    from shroudlake.operators import names
+
+    held = ["Dr. Ravi Kumar", "NAME: Meera Shah", "12 Green Street", "in Mumbai", "Acme Solutions", "with Susan"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*held, "nothing of that kind is said here"])], "id int, text string")
+    assert {r.id for r in names.heuristic_entities(df, ["id"]).collect()} == set(range(6))
+    monkeypatch.setattr(names, "spans", lambda text, pattern: F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"), text.alias("m"))))
+    monkeypatch.setattr(names, "person_name", lambda text: F.lit(True))
+    assert {r.id for r in names.heuristic_entities(df, ["id"]).collect()} == set(range(6))  # the last is not tried
+    w = spark.createDataFrame([(s,) for s in ("", " ", "abc", "abcd", " ab d ", "　abc　", "a\n\nb", "a  b", "😀bcd", "😀bc", "  a", "a\r\nb", None)], "t string")
+    assert [r for r in w.select((F.length(strip(F.col("t"))) > 3).alias("a"), stripped_over(F.col("t"), 3).alias("b")).collect() if r.a != r.b] == []
