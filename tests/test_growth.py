@@ -88,3 +88,27 @@ def test_name_rules_are_tried_only_where_they_can_match(spark, monkeypatch):
     assert {r.id for r in names.heuristic_entities(df, ["id"]).collect()} == set(range(6))  # the last is not tried
     w = spark.createDataFrame([(s,) for s in ("", " ", "abc", "abcd", " ab d ", "　abc　", "a\n\nb", "a  b", "😀bcd", "😀bc", "  a", "a\r\nb", None)], "t string")
     assert [r for r in w.select((F.length(strip(F.col("t"))) > 3).alias("a"), stripped_over(F.col("t"), 3).alias("b")).collect() if r.a != r.b] == []
+
+
+def test_signal_of_a_loop_is_one_cell(spark, tmp_path):
+    from datetime import datetime
+
+    from shroudlake.streaming import loops, sinks
+
+    own = sinks.with_state(spark)
+    kinds = "loop_id string, seq long, at timestamp, kind string, task string, action_type string, target string, value string, confidence double, needs_clarification boolean, exec_success boolean"
+    odd, t = 'a"\\\n \x01é😀', datetime(2024, 1, 1)
+    rows = [
+        ("k" + odd, 1, t, "turn", odd, "type", None, odd, float("nan"), None, None), ("k" + odd, 0, t, "turn", None, "scroll", odd, "", None, None, None), ("k" + odd, 2, t, "turn", odd, "type", None, odd, 0.44, False, True),
+        ("b", 2, t, "turn", "find red shoes", "click", "x", None, 0.9, False, True), ("b", 1, t, "turn", "find red shoes", "scroll", "x", None, 0.9, False, True), ("b", 0, t, "turn", "find red shoes", "click", "x", None, 0.9, False, True),
+        ("b", None, t, "stop", None, None, None, None, None, None, None), ("b", 2**60, t, "stop", None, None, None, None, None, None, None),
+    ]
+    own.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = loops.run_loops(own.readStream.schema(kinds).parquet(f"{tmp_path}/in"))
+    node = stream._jdf.queryExecution().analyzed()
+    while "TransformWithState" not in node.nodeName():
+        node = node.children().head()
+    assert node.children().head().output().size() <= 4  # loop, also as the key, time, signal
+    found = sorted((r.loop_id, r.seq, r.guard_type, r.guard_value, r.stop_reason) for r in sinks.drained(stream, "odd").collect())
+    assert found[:3] == [("b", 0, "click", None, None), ("b", 1, "scroll", None, None), ("b", 2, "type", "red shoes", None)]
+    assert found[3:] == [("k" + odd, 0, "scroll", "", None), ("k" + odd, 1, "type", odd, None), ("k" + odd, 2, "type", odd, "low_confidence")]
