@@ -112,3 +112,26 @@ def test_signal_of_a_loop_is_one_cell(spark, tmp_path):
     found = sorted((r.loop_id, r.seq, r.guard_type, r.guard_value, r.stop_reason) for r in sinks.drained(stream, "odd").collect())
     assert found[:3] == [("b", 0, "click", None, None), ("b", 1, "scroll", None, None), ("b", 2, "type", "red shoes", None)]
     assert found[3:] == [("k" + odd, 0, "scroll", "", None), ("k" + odd, 1, "type", odd, None), ("k" + odd, 2, "type", odd, "low_confidence")]
+
+
+def test_elements_of_large_pages_are_handed_on_early(spark, monkeypatch):
+    from shroudlake.sources import tables
+
+    lots, made = spark.sparkContext.accumulator(0), tables.pa.record_batch
+    pages = spark.range(12).selectExpr("id as page_id", "repeat(concat('<p>t', id, '</p>'), 600) as html").coalesce(1)
+
+    class Counted:
+        def __getattr__(self, name):
+            import pyarrow
+
+            return getattr(pyarrow, name)
+
+        def record_batch(self, columns, names):
+            assert len(columns[0]) < tables.LOT_ROWS + tables.MOST  # what one page may add
+            lots.add(1)
+            return made(columns, names)
+
+    monkeypatch.setattr(tables, "pa", Counted())
+    found = tables.elements(pages).groupBy("page_id").count().collect()
+    assert {r.page_id: r["count"] for r in found} == dict.fromkeys(range(12), 600)
+    assert lots.value >= 6  # pages of 600 elements go two at a time
