@@ -233,3 +233,16 @@ def test_long_pages_give_every_element(spark, tmp_path):
     assert len(want) == 84 * 50 and sorted(tuple(r)[:3] + (r.text,) for r in got if r.page_id == 1) == sorted(r[:3] + r[4:] for r in want)
     assert {r.elem_idx: r.parent_idx for r in got if r.page_id == 1} == {r[1]: r[3] for r in want}
     assert {(r.elem_idx, r.tag, r.parent_idx, r.text) for r in got if r.page_id == 2} == {(0, "article", None, "")} | {(i, "b", i - 1, "w") for i in range(1, 20_001)}
+
+
+def test_long_pages_count_every_tag(spark, tmp_path):
+    last = "<nav></nav><article>search the series</article>"  # what a search looks for, after the 4,000th element
+    rows = [(3, ("<div>" + "<p>" * 49 + "x</div>") * 80 + last), (4, "<ul>" + "<li>x</li>" * 4500 + "</ul>" + last), (7, "<li>x"), (9, None)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet' WHERE page_id <> 4")
+    ranked = con.execute(flows.oracle_sql()["ranked_elements"]).fetchall()  # the first 4,000 here
+    assert sorted(tuple(r) for r in catalog.ranked_elements(spark, str(tmp_path)).where("page_id <> 4").collect()) == sorted(ranked)
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["page_tags"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.page_tags(spark, str(tmp_path)).collect()) == sorted(want) == [("article", 2, 2), ("li", 4501, 2), ("nav", 2, 2)]
